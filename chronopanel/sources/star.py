@@ -65,7 +65,6 @@ def monthly_facts(spark, folder, by_flag: bool = False) -> DataFrame:
     ]
     if not by_flag:
         return line.groupBy("l_suppkey", "month").agg(*sums)
-    s, m, f = F.col("l_suppkey"), F.col("month"), F.col("l_returnflag").alias("flag")
     line = line.withColumn("flag", F.col("l_returnflag"))
     return line.groupingSets(
         [[F.col("l_suppkey"), F.col("month")], [F.col("l_suppkey"), F.col("month"), F.col("flag")]],
@@ -94,9 +93,9 @@ def housing_bulk(spark, folder, facts: DataFrame) -> DataFrame:
         F.col("n_nationkey").cast("string").alias("state_code"),
         kind.alias("property_type"),
         F.col("last_shipped").alias("last_updated"),
-        (F.col("cents") / (100 * n)).alias("median_sale_price"),
-        (F.col("cents") / (100 * n) * (1 + F.col("tax") / (100 * n))).alias("median_list_price"),
-        (F.col("cents") / (100 * F.col("qty"))).alias("median_ppsf"),
+        (F.col("cents") / (10 * n)).alias("median_sale_price"),
+        (F.col("cents") / (10 * n) * (1 + F.col("tax") / (100 * n))).alias("median_list_price"),
+        (F.col("cents") / (1000 * F.col("qty"))).alias("median_ppsf"),
         n.cast("double").alias("homes_sold"),
         F.col("n_open").cast("double").alias("pending_sales"),
         F.col("n_new").cast("double").alias("new_listings"),
@@ -119,14 +118,14 @@ def two_decimals(hundredths: Column) -> Column:
 
 
 def rate_series(spark, folder) -> DataFrame:
-    """Weekly share of urgent orders, as dated text; the first ISO week has no value."""
+    """Weekly rate moved by the share of urgent orders, as dated text; the first ISO week has no value."""
     orders = table(spark, folder, "orders", "o_orderdate", "o_orderpriority").select(
         F.date_add(F.date_trunc("week", "o_orderdate").cast("date"), 3).alias("day"), "o_orderpriority"
     )
     weekly = orders.groupBy("day").agg(
         F.count(F.lit(1)).alias("n"), _count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent")
     )
-    bp = F.floor(F.col("urgent") * 10000 / F.col("n"))
+    bp = 200 + F.floor(F.col("urgent") * 2000 / F.col("n"))
     return weekly.select(
         F.col("day").cast("string").alias("observation_date"),
         F.when(F.weekofyear("day") == 1, ".").otherwise(two_decimals(bp)).alias("mortgage30us"),
