@@ -197,7 +197,7 @@ def assemble(df: DataFrame, s: Scaling, carry: list[str]) -> DataFrame:
 
 
 def fit_logistic(
-    vectors: DataFrame, s: Scaling, n: int, c: float, keep: list[int] | None = None, max_iter: int = 300, tol: float = 1e-7
+    vectors: DataFrame, s: Scaling, n: int, c: float, keep: list[int] | None = None, max_iter: int = 100, tol: float = 1e-6
 ) -> LogisticModel:
     """L2 multinomial fit whose penalty matches C on the summed loss (regParam = 1/(C n))."""
     idx = list(range(len(s.features))) if keep is None else keep
