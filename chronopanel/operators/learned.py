@@ -24,7 +24,7 @@ from ..functions.scalar import classify
 from ..schema import CLASSES, TEST, TRAIN, VALIDATION
 from .metrics import evaluate
 from .naive import CONTEXT, PROBS, TRUTH, predict_naive
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, right_sized
 from .results import LOGISTIC, RIDGE
 
 
@@ -72,7 +72,7 @@ def moments(train: DataFrame, features: list[str], target: str = "target_dg") ->
     cols = [blank.imputed(i).alias(f"x{i}") for i in range(len(features))]
     wide = train.filter(F.col(target).isNotNull()).select(*cols, F.col(target).alias("y"))
     vec = VectorAssembler(inputCols=wide.columns, outputCol="v").transform(wide).select("v")
-    vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
+    vec = right_sized(vec).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         s = vec.select(Summarizer.metrics("count", "mean", "variance").summary(F.col("v")).alias("s")).first()["s"]
         corr = Correlation.corr(vec, "v").first()[0].toArray()
@@ -214,7 +214,8 @@ def fit_logistic(
 def _fit_many(jobs: dict[str, tuple]) -> dict[str, LogisticModel]:
     """Independent fits, several at a time, as MLlib's own tuning does."""
     with ThreadPool(PARALLEL_FITS) as pool:
-        fit = inheritable_thread_target(lambda a: fit_logistic(*a))
+        spark = next(iter(jobs.values()))[0].sparkSession
+        fit = inheritable_thread_target(spark)(lambda a: fit_logistic(*a))
         return dict(zip(jobs, pool.map(fit, jobs.values())))
 
 
@@ -290,7 +291,7 @@ def train_and_score(
     m = moments(train, names)
     ridge, ridge_scores = scan_ridge(m, validation, tau, alphas)
 
-    train_v = assemble(train, m.scaling, TRUTH).persist(StorageLevel.MEMORY_AND_DISK)
+    train_v = right_sized(assemble(train, m.scaling, TRUTH)).persist(StorageLevel.MEMORY_AND_DISK)
     validation_v = assemble(validation, m.scaling, TRUTH)
     logistic, logistic_scores = scan_logistic(train_v, validation_v, m.scaling, m.n, cs)
     ablation = (
@@ -299,7 +300,7 @@ def train_and_score(
 
     full = moments(development, names)
     final_ridge = solve_ridge(full, ridge.alpha)
-    dev_v = assemble(development, full.scaling, TRUTH).persist(StorageLevel.MEMORY_AND_DISK)
+    dev_v = right_sized(assemble(development, full.scaling, TRUTH)).persist(StorageLevel.MEMORY_AND_DISK)
     final_logistic = fit_logistic(dev_v, full.scaling, full.n, logistic.c)
     train_v.unpersist()
     dev_v.unpersist()

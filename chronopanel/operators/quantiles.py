@@ -39,6 +39,16 @@ def _null_safe(keys: list[str], a: str, b: str) -> Column:
     return cond
 
 
+def right_sized(df: DataFrame, target: int = 32 << 20) -> DataFrame:
+    """No more partitions than the estimated size fills.
+
+    An iterative fit runs one job per step, so a small input should be one task;
+    large input is left as it is (``coalesce`` never raises the count).
+    """
+    size = estimated_bytes(df)
+    return df if size is None else df.coalesce(max(1, -(-size // target)))
+
+
 def exact_quantiles(
     df: DataFrame, columns: list[str], probs: list[float], keys: list[str] = (),
     accuracy: int = ACCURACY, plain_limit: int = PLAIN_LIMIT,

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +38,9 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.DoubleType):
-            c = F.round(c, 3 if f.name in PRICES else digits)
+            # Prices are ratios of integers and often end exactly half-way; the
+            # offset moves the rounding edge off those values.
+            c = F.floor(c * 1000 + 0.50013) / 1000 if f.name in PRICES else F.round(c, digits)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         out.append(c.alias(f.name))
@@ -966,6 +969,9 @@ def learned_results(spark, folder):
 def family_ablation(spark, folder):
     train_, val = train(spark, folder), split(spark, folder).filter(F.col("split") == VALIDATION)
     m = learned.moments(train_, C.features.names())
-    tv = learned.assemble(train_, m.scaling, naive.TRUTH).persist()
+    tv = quantiles.right_sized(learned.assemble(train_, m.scaling, naive.TRUTH)).persist(StorageLevel.MEMORY_AND_DISK)
     vv = learned.assemble(val, m.scaling, naive.TRUTH)
-    return learned.ablate(m, tv, val, vv, C.features, 100.0, 0.1, C.target.tau)
+    try:
+        return learned.ablate(m, tv, val, vv, C.features, 100.0, 0.1, C.target.tau)
+    finally:
+        tv.unpersist()
