@@ -48,6 +48,12 @@ def long_panel(spark, months=48, start=(2018, 1), gap=(2020, 6)):
     return df.withColumn("prediction_as_of", F.date_add(F.add_months("reference_month", 1), 14))
 
 
+_VALUES = {
+    "median_sale_price": 500_000.0, "median_list_price": 510_000.0, "median_ppsf": 400.0, "avg_sale_to_list": 1.01,
+    "sold_above_list": 0.4, "price_drops": 0.2, "off_market_in_two_weeks": 0.3,
+}
+
+
 def small_sources(spark):
     """2 entities x 4 months; the second lacks its last housing month."""
     ids = [("06001", "Alameda County"), ("06003", "Alpine County")]
@@ -56,7 +62,7 @@ def small_sources(spark):
         [(i, n, n.replace(" County", "").lower()) for i, n in ids], "county_fips string, county_name string, county_name_key string"
     )
     housing = spark.createDataFrame(
-        [(i, n, m, *[500_000.0 + 1000 * k if c == "median_sale_price" else 10.0 for c in MEASURES], dt.datetime(2024, 6, 1))
+        [(i, n, m, *[_VALUES.get(c, 10.0) + (1000 * k if c == "median_sale_price" else 0) for c in MEASURES], dt.datetime(2024, 6, 1))
          for i, n in ids for k, m in enumerate(months) if not (i == "06003" and k == 3)],
         "county_fips string, county_name string, reference_month date, " + ", ".join(f"{c} double" for c in MEASURES)
         + ", redfin_last_updated timestamp",
