@@ -55,93 +55,69 @@ def exact_quantiles(
 ) -> DataFrame:
     """Long (keys, column, prob, value) with linear interpolation, NULLs ignored.
 
-    Three aggregations and no driver action.  Without keys the brackets are
-    scalar subqueries; with keys they join back as one small row per group.
+    Columns become rows first, so the generated code stays small however many
+    columns are asked for; every aggregation then combines map-side per (keys,
+    column).  No driver action.
     """
     keys = list(keys)
-    slots = [(c, p) for c in columns for p in probs]
     data = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
-
     if is_small(data, plain_limit):
         return _plain(data, columns, probs, keys)
 
-    # Bracket half-width in rank, well over the sketch's error.
+    cells = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).alias("_v")) for i, c in enumerate(columns)])
+    long = data.select(*keys, F.explode(cells).alias("s")).select(*keys, "s.*").filter("_v IS NOT NULL")
+    group = [*keys, "_c"]
+
+    # 1. Bracket every quantile, half-width in rank well over the sketch's error.
     margin = 4 / accuracy
-    edges = []
-    for c in columns:
-        asked = sorted({e for p in probs for e in (max(p - margin, 0.0), min(p + margin, 1.0))})
-        sketch = F.percentile_approx(c, [float(a) for a in asked], F.lit(accuracy))
-        for p in probs:
-            lo, hi = asked.index(max(p - margin, 0.0)), asked.index(min(p + margin, 1.0))
-            i = slots.index((c, p))
-            edges += [sketch[lo].alias(f"_lo{i}"), sketch[hi].alias(f"_hi{i}")]
-    brackets = data.groupBy(*keys).agg(*edges)
-
-    def zone(c, i):
-        return (
-            F.when(F.col(c).isNull(), None)
-            .when(F.col(c) < F.col(f"_lo{i}"), 0)
-            .when(F.col(c) <= F.col(f"_hi{i}"), 1)
-            .otherwise(2)
-        )
+    asked = sorted({e for p in probs for e in (max(p - margin, 0.0), min(p + margin, 1.0))})
+    brackets = long.groupBy(*group).agg(F.percentile_approx("_v", [float(x) for x in asked], F.lit(accuracy)).alias("_e"))
+
+    # 2. Count the rows below and up to each bracket.
+    lo = [F.col("_e")[asked.index(max(p - margin, 0.0))] for p in probs]
+    hi = [F.col("_e")[asked.index(min(p + margin, 1.0))] for p in probs]
+    v = F.col("_v")
+    counts = _attach(long, brackets, group).groupBy(*group).agg(
+        F.first("_e").alias("_e"), F.count(F.lit(1)).alias("_n"),
+        *[F.count_if(v < x).alias(f"_b{i}") for i, x in enumerate(lo)],
+        *[F.count_if(v <= x).alias(f"_u{i}") for i, x in enumerate(hi)],
+    )
 
-    bracketed = _attach(data, brackets, keys)
-    counts = bracketed.groupBy(*keys).agg(*[
-        x
-        for i, (c, _) in enumerate(slots)
-        for x in (
-            F.count(c).alias(f"_n{i}"),
-            F.count_if(zone(c, i) == 0).alias(f"_b{i}"),
-            F.count_if(zone(c, i) == 1).alias(f"_m{i}"),
-        )
-    ])
-    # Ranks wanted by each slot, the zones that hold them, and the rows before each zone.
-    plan_cols = []
-    for i, (_, p) in enumerate(slots):
-        pos = F.lit(float(p)) * (F.col(f"_n{i}") - 1)
+    # 3. The wanted ranks of each quantile, the zones holding them, the rows before.
+    def slot(i, p):
+        pos = F.lit(float(p)) * (F.col("_n") - 1)
         k0, k1 = F.floor(pos).cast("long"), F.ceil(pos).cast("long")
-        below, mid = F.col(f"_b{i}"), F.col(f"_b{i}") + F.col(f"_m{i}")
+        below, upto = F.col(f"_b{i}"), F.col(f"_u{i}")
 
         def holds(k):
-            return F.when(k < below, 0).when(k < mid, 1).otherwise(2)
-
-        plan_cols += [
-            k0.alias(f"_k0{i}"), k1.alias(f"_k1{i}"), (pos - k0).alias(f"_f{i}"),
-            holds(k0).alias(f"_z0{i}"), holds(k1).alias(f"_z1{i}"),
-            F.when(holds(k0) == 0, 0).when(holds(k0) == 1, below).otherwise(mid).cast("long").alias(f"_off{i}"),
-        ]
-    wanted = _attach(counts, brackets, keys).select(*keys, *[f"_{s}{i}" for i in range(len(slots)) for s in ("lo", "hi")], *plan_cols)
-
-    cells = F.filter(
-        F.array(*[
-            F.when(
-                zone(c, i).between(F.col(f"_z0{i}"), F.col(f"_z1{i}")),
-                F.struct(
-                    F.lit(i).alias("slot"), F.col(c).alias("v"), F.col(f"_k0{i}").alias("k0"),
-                    F.col(f"_k1{i}").alias("k1"), F.col(f"_f{i}").alias("f"), F.col(f"_off{i}").alias("off"),
-                ),
-            )
-            for i, (c, _) in enumerate(slots)
-        ]),
-        lambda s: s.isNotNull(),
-    )
-    narrow = _attach(data, wanted, keys).select(*keys, F.explode(cells).alias("s")).select(*keys, "s.*")
-    by_value = narrow.groupBy(*keys, "slot", "v").agg(
-        F.count(F.lit(1)).alias("n"), F.first("k0").alias("k0"), F.first("k1").alias("k1"),
-        F.first("f").alias("f"), F.first("off").alias("off"),
+            return F.when(k < below, 0).when(k < upto, 1).otherwise(2)
+
+        return F.struct(
+            F.lit(i).alias("_p"), lo[i].alias("_lo"), hi[i].alias("_hi"), k0.alias("_k0"), k1.alias("_k1"),
+            (pos - k0).alias("_f"), holds(k0).alias("_z0"), holds(k1).alias("_z1"),
+            F.when(holds(k0) == 0, 0).when(holds(k0) == 1, below).otherwise(upto).cast("long").alias("_off"),
+        )
+
+    slots = counts.select(*group, F.explode(F.array(*[slot(i, p) for i, p in enumerate(probs)])).alias("s")).select(*group, "s.*")
+
+    # 4. Count out, value by value, only the rows of those zones.
+    zone = F.when(v < F.col("_lo"), 0).when(v <= F.col("_hi"), 1).otherwise(2)
+    narrow = _attach(long, slots, group).filter(zone.between(F.col("_z0"), F.col("_z1")))
+    one = [*group, "_p"]
+    by_value = narrow.groupBy(*one, "_v").agg(
+        F.count(F.lit(1)).alias("n"), *[F.first(x).alias(x) for x in ("_k0", "_k1", "_f", "_off")]
     )
-    w = Window.partitionBy(*keys, "slot").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.col("off") + F.sum("n").over(w)
-    ranked = by_value.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("n"))
+    w = Window.partitionBy(*one).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = by_value.withColumn("upto", F.col("_off") + F.sum("n").over(w)).withColumn("from", F.col("upto") - F.col("n"))
 
     def at(k):
-        return F.max(F.when((F.col("from") <= F.col(k)) & (F.col(k) < F.col("upto")), F.col("v")))
+        return F.max(F.when((F.col("from") <= F.col(k)) & (F.col(k) < F.col("upto")), v))
 
-    names = F.array(*[F.lit(c) for c, _ in slots])
-    ps = F.array(*[F.lit(float(p)) for _, p in slots])
-    low, high = at("k0"), at("k1")
-    return ranked.groupBy(*keys, "slot").agg((low + (high - low) * F.first("f")).alias("value")).select(
-        *keys, names[F.col("slot")].alias("column"), ps[F.col("slot")].alias("prob"), "value"
+    names = F.array(*[F.lit(c) for c in columns])
+    ps = F.array(*[F.lit(float(p)) for p in probs])
+    low, high = at("_k0"), at("_k1")
+    return ranked.groupBy(*one).agg((low + (high - low) * F.first("_f")).alias("value")).select(
+        *keys, names[F.col("_c")].alias("column"), ps[F.col("_p")].alias("prob"), "value"
     )
 
 
@@ -156,15 +132,10 @@ def _plain(data, columns, probs, keys) -> DataFrame:
 
 
 def _attach(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """Bring per-group values to the rows: scalar subquery, or a join on the keys."""
-    if not keys:
-        cols = small.columns
-        one = small.select(F.struct(*cols).alias("_all")).scalar()
-        wide = df.withColumn("_all", one)
-        return wide.select(*df.columns, *[F.col("_all")[c].alias(c) for c in cols])
-    a, b = df.alias("a"), small.alias("b")
-    extra = [c for c in small.columns if c not in keys]
-    return a.join(b, _null_safe(keys, "a", "b")).select("a.*", *[F.col(f"b.{c}") for c in extra])
+    """Join per-group values back to the rows; adaptive execution broadcasts a small side
+    and splits a hot key of a large one."""
+    extra = [F.col(f"b.{c}") for c in small.columns if c not in keys]
+    return df.alias("a").join(small.alias("b"), _null_safe(keys, "a", "b")).select("a.*", *extra)
 
 
 def exact_median(df: DataFrame, column: str, keys: list[str] = (), name: str | None = None) -> DataFrame:

@@ -57,8 +57,14 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 # a pipeline publishes its panel, feature and prediction tables.
 
 
+def facts(spark, folder, by_flag: bool = False) -> DataFrame:
+    """The fact table's one aggregation; landed, so line items are scanned once for all sources."""
+    name = "facts_by_flag" if by_flag else "facts"
+    return landed(spark, f"{name}@{folder}", lambda: star.monthly_facts(spark, folder, by_flag))
+
+
 def staged(spark, folder, by_flag: bool = False):
-    return star.stage_all(spark, folder, C, star.monthly_facts(spark, folder, by_flag))
+    return star.stage_all(spark, folder, C, facts(spark, folder, by_flag))
 
 
 def panel(spark, folder) -> DataFrame:
@@ -138,8 +144,8 @@ def _one_state_housing(spark, folder):
     one = replace(C.staging, state="15")
     codes = star.reference_codes(spark, folder).withColumn("statefp", S.zero_pad(F.col("statefp"), 2))
     known = staging.stage_entities(codes, one).table
-    facts = star.monthly_facts(spark, folder, by_flag=True)
-    return staging.stage_housing(star.housing_bulk(spark, folder, facts), known, C.staging)
+    bulk = star.housing_bulk(spark, folder, facts(spark, folder, by_flag=True))
+    return staging.stage_housing(bulk, known, C.staging)
 
 
 @query
@@ -200,7 +206,7 @@ def text_scan_reference_codes(spark, folder):
 @query
 def text_scan_housing_bulk(spark, folder):
     path = new_folder(spark, "bulk")
-    bulk = star.housing_bulk(spark, folder, star.monthly_facts(spark, folder))
+    bulk = star.housing_bulk(spark, folder, facts(spark, folder))
     out = bulk.withColumn("period_end", F.lit(None).cast("string"))
     out.toDF(*[c.upper() for c in out.columns]).write.option("sep", "\t").option("header", True).option("compression", "gzip").csv(path)
     landed_path = new_folder(spark, "bulk_parquet")
@@ -223,9 +229,8 @@ def text_scan_labour_padded(spark, folder):
     padded = lambda df: df.select(*[F.concat(F.lit("  "), F.col(c), F.lit(" ")).alias(f" {c} ") for c in df.columns])
     tsv = lambda df, p: padded(df).write.option("sep", "\t").option("header", True).option(
         "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(p)
-    facts = star.monthly_facts(spark, folder)
     tsv(star.labour_series(spark, folder), series_path)
-    tsv(star.labour_observations(spark, folder, facts), data_path)
+    tsv(star.labour_observations(spark, folder, facts(spark, folder)), data_path)
     known = staging.stage_entities(star.reference_codes(spark, folder), C.staging).table
     return staging.stage_labour(
         io.read_labour_observations(spark, data_path), io.read_labour_series(spark, series_path), known, C.staging

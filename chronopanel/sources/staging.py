@@ -99,12 +99,13 @@ def labour_series(series: DataFrame, c: StagingContract) -> DataFrame:
 
 
 def widen_labour(long: DataFrame) -> DataFrame:
-    """Long (entity, month, measure, value) -> one column per measure."""
-    return (
-        long.groupBy(ENTITY, PERIOD)
-        .pivot("measure", sorted(LABOUR_MEASURES.values()))
-        .agg(F.min("value"))
-    )
+    """Long (entity, month, measure, value) -> one column per measure.
+
+    The measures are declared, so the pivot is one conditional aggregate each:
+    a single shuffle, combined map-side.
+    """
+    names = sorted(LABOUR_MEASURES.values())
+    return long.groupBy(ENTITY, PERIOD).agg(*[F.min(F.when(F.col("measure") == m, F.col("value"))).alias(m) for m in names])
 
 
 def stage_labour(observations: DataFrame, series: DataFrame, entities: DataFrame, c: StagingContract) -> Staged:
