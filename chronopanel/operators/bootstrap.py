@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..contracts import BootstrapContract
 from ..schema import CLASSES, ENTITY, PERIOD
 from .metrics import accuracy, balanced_accuracy, both_labels, class_counts, error, macro_f1
-from .quantiles import _null_safe
+from ..session import land
+from .quantiles import _null_safe, exact_median, is_small
 
 BLOCKS = {"county": ENTITY, "month": PERIOD}
 
@@ -70,8 +71,8 @@ def _poisson_one(u32: Column) -> Column:
         k += 1
 
 
-def slot_weights(stats: DataFrame, keys: list[str], resamples: int, seed: int) -> DataFrame:
-    """(keys, block_key, resample, weight): B draws with replacement from B blocks.
+def slot_weights(stats: DataFrame, keys: list[str], resamples: int, seed: int):
+    """B draws with replacement from B blocks, as a function adding (resample, weight) to rows.
 
     Blocks are numbered in key order within each group; the caller has checked
     that a group has few enough of them.  Groups with the same number of blocks
@@ -90,16 +91,24 @@ def slot_weights(stats: DataFrame, keys: list[str], resamples: int, seed: int) -
         .select("blocks", "resample", F.pmod(_hash32(F.lit(seed), F.col("resample"), F.col("slot")), F.col("blocks")).alias("idx"))
         .groupBy("blocks", "resample", "idx").agg(F.count(F.lit(1)).alias("weight"))
     )
-    return numbered.join(drawn, ["blocks", "idx"]).select(*keys, "block_key", "resample", "weight")
+    weights = numbered.join(drawn, ["blocks", "idx"]).select(*keys, "block_key", "resample", "weight")
 
+    def expand(df: DataFrame) -> DataFrame:
+        on = _null_safe([*keys, "block_key"], "a", "b")
+        return df.alias("a").join(weights.alias("b"), on).select("a.*", "b.resample", "b.weight")
 
-def poisson_weights(stats: DataFrame, keys: list[str], resamples: int, seed: int) -> DataFrame:
-    """Independent Poisson(1) weights, computed next to each block: no shuffle."""
+    return expand
+
+
+def poisson_weights(resamples: int, seed: int):
+    """Independent Poisson(1) weights, computed on the row they belong to: no join, no shuffle."""
     weight = _poisson_one(_hash32(F.lit(seed), F.col("resample"), F.col("block_key")))
-    return (
-        stats.select(*keys, "block_key", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
-        .withColumn("weight", weight.cast("long")).filter("weight > 0")
-    )
+
+    def expand(df: DataFrame) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")
+        return df.select("*", every).withColumn("weight", weight.cast("long")).filter("weight > 0")
+
+    return expand
 
 
 def _weights(stats, keys, c: BootstrapContract, draws: str):
@@ -109,18 +118,18 @@ def _weights(stats, keys, c: BootstrapContract, draws: str):
     if draws == "slots":
         return slot_weights(stats, keys, c.resamples, c.seed)
     if draws == "poisson":
-        return poisson_weights(stats, keys, c.resamples, c.seed)
+        return poisson_weights(c.resamples, c.seed)
     raise ValueError(f"unknown draws {draws!r}")
 
 
-def _weighted(stats: DataFrame, weights: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+def _weighted(stats: DataFrame, expand, keys: list[str], sums: list[str]) -> DataFrame:
     """Sums per (keys, resample) under the resample's weights."""
-    a, b = stats.alias("a"), weights.alias("b")
-    on = _null_safe(keys, "a", "b") & (F.col("a.block_key") == F.col("b.block_key"))
-    return (
-        a.join(b, on).select("a.*", "b.resample", "b.weight")
-        .groupBy(*keys, "resample").agg(*[F.sum(F.col(s) * F.col("weight")).alias(s) for s in sums])
-    )
+    return expand(stats).groupBy(*keys, "resample").agg(*[F.sum(F.col(s) * F.col("weight")).alias(s) for s in sums])
+
+
+def _settled(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """Block sums are read several times; of a large input they are written once."""
+    return stats if is_small(df) else land(stats, "block_stats")
 
 
 def _long(df: DataFrame, keys: list[str], metrics: list[str], value: str) -> DataFrame:
@@ -153,7 +162,7 @@ def intervals(
     """
     out = None
     for block in blocks:
-        stats = block_stats(df, keys, block)
+        stats = _settled(df, block_stats(df, keys, block))
         additive = [m for m in metrics if m != MEDIAN]
         weights = _weights(stats, keys, contract, draws)
         parts = []
@@ -178,7 +187,7 @@ def intervals(
 MEDIAN_SPREAD = 0.1
 
 
-def _median_interval(df, weights, keys, block, c: BootstrapContract) -> DataFrame:
+def _median_interval(df, expand, keys, block, c: BootstrapContract) -> DataFrame:
     e = F.abs(error())
     rows = df.select(*keys, F.col(block_column(block)).cast("string").alias("block_key"), e.alias("v")).filter("v IS NOT NULL")
     edges = rows.groupBy(*keys).agg(
@@ -189,7 +198,7 @@ def _median_interval(df, weights, keys, block, c: BootstrapContract) -> DataFram
         "a.*", F.when(F.col("v") < F.col("edge")[0], 0).when(F.col("v") <= F.col("edge")[1], 1).otherwise(2).alias("zone")
     )
     per_block = zoned.groupBy(*keys, "block_key").agg(*[F.count_if(F.col("zone") == z).alias(f"_z{z}") for z in range(3)])
-    sums = _weighted(per_block, weights, keys, ["_z0", "_z1", "_z2"])
+    sums = _weighted(per_block, expand, keys, ["_z0", "_z1", "_z2"])
     n = F.col("_z0") + F.col("_z1") + F.col("_z2")
     k0, k1 = F.floor((n - 1) / 2), F.ceil((n - 1) / 2)
     low, mid = F.col("_z0"), F.col("_z0") + F.col("_z1")
@@ -201,13 +210,11 @@ def _median_interval(df, weights, keys, block, c: BootstrapContract) -> DataFram
         *keys, "resample", k0.alias("k0"), k1.alias("k1"), holds(k0).alias("first_zone"), holds(k1).alias("last_zone"),
         F.when(holds(k0) == 0, 0).when(holds(k0) == 1, low).otherwise(mid).cast("long").alias("off"),
     )
-    wr = weights.alias("a").join(
-        ranks.alias("b"), _null_safe([*keys, "resample"], "a", "b")
-    ).select("a.*", *[F.col(f"b.{x}") for x in ("k0", "k1", "first_zone", "last_zone", "off")])
-    hits = zoned.alias("a").join(
-        wr.alias("b"),
-        _null_safe([*keys, "block_key"], "a", "b") & F.col("a.zone").between(F.col("b.first_zone"), F.col("b.last_zone")),
-    ).select(*[F.col(f"a.{k}") for k in keys], F.col("a.v"), *[F.col(f"b.{x}") for x in ("resample", "weight", "k0", "k1", "off")])
+    # One small row per (group, resample): cheap to bring to the rows.
+    hits = expand(zoned).alias("a").join(
+        ranks.alias("b"),
+        _null_safe([*keys, "resample"], "a", "b") & F.col("a.zone").between(F.col("b.first_zone"), F.col("b.last_zone")),
+    ).select(*[F.col(f"a.{k}") for k in keys], *[F.col(f"a.{x}") for x in ("v", "resample", "weight")], *[F.col(f"b.{x}") for x in ("k0", "k1", "off")])
     by_value = hits.groupBy(*keys, "resample", "v").agg(
         F.sum("weight").alias("n"), *[F.first(x).alias(x) for x in ("k0", "k1", "off")]
     )
@@ -218,8 +225,6 @@ def _median_interval(df, weights, keys, block, c: BootstrapContract) -> DataFram
         return F.max(F.when((F.col("from") <= F.col(k)) & (F.col(k) < F.col("upto")), F.col("v")))
 
     values = ranked.groupBy(*keys, "resample").agg(((at("k0") + at("k1")) / 2).alias("value"))
-    from .quantiles import exact_median
-
     points = exact_median(rows, "v", keys, "point").withColumn("metric", F.lit(MEDIAN))
     return _summary(points, values.withColumn("metric", F.lit(MEDIAN)), keys, c)
 
@@ -247,7 +252,7 @@ def paired_difference(
             for s, t in (("left", "a"), ("right", "b"))
         ])).alias("m"),
     ).select(*on, "m.*")
-    stats = block_stats(sides, ["side"], block)
+    stats = _settled(left, block_stats(sides, ["side"], block))
     weights = _weights(stats, ["side"], contract, draws)
 
     def diff(df, keys, value):

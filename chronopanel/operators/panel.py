@@ -34,7 +34,7 @@ def build_panel(entities, housing, rate, labour, contracts: Contracts) -> DataFr
     panel = validated_join(spine, housing.drop(NAME), KEY, validate="one_to_one")
     # One row per calendar month: the number of months a DATE can hold bounds it.
     panel = panel.join(F.broadcast(rate), PERIOD, "left")
-    panel = validated_join(panel, labour, KEY, validate="many_to_one")
+    panel = validated_join(panel, labour, KEY, validate="one_to_one")
     fc = contracts.features
     out = panel.withColumn("prediction_as_of", cutoff(F.col(PERIOD), fc.cutoff_months, fc.cutoff_day))
     for flag, column in contracts.flags:

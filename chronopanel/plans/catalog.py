@@ -80,7 +80,7 @@ def model_rows(spark, folder) -> DataFrame:
 def features(spark, folder) -> DataFrame:
     return landed(
         spark, f"features@{folder}", lambda: feat.build_features(panel(spark, folder), C.features),
-        bucket_by=ENTITY, sort_by=KEY,
+        bucket_by=ENTITY, sort_by=KEY, clustered=True,
     )
 
 
@@ -89,7 +89,7 @@ def split(spark, folder) -> DataFrame:
 
 
 def predictions(spark, folder) -> DataFrame:
-    return landed(spark, f"predictions@{folder}", lambda: naive.predict_naive(split(spark, folder), C.target.tau))
+    return landed(spark, f"predictions@{folder}", lambda: naive.predict_naive(split(spark, folder), C.target.tau), partition_by=["split"])
 
 
 def run(spark, folder) -> learned.Run:
@@ -100,7 +100,7 @@ def run(spark, folder) -> learned.Run:
 
 
 def all_predictions(spark, folder) -> DataFrame:
-    return landed(spark, f"all_predictions@{folder}", lambda: run(spark, folder).predictions)
+    return landed(spark, f"all_predictions@{folder}", lambda: run(spark, folder).predictions, partition_by=["split"])
 
 
 _runs: dict = {}

@@ -47,22 +47,26 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def land(df: DataFrame, name: str, bucket_by: str | None = None, sort_by: list[str] | None = None) -> DataFrame:
+def land(
+    df: DataFrame, name: str, bucket_by: str | None = None, sort_by: list[str] | None = None,
+    clustered: bool = False, partition_by: list[str] | None = None,
+) -> DataFrame:
     """Write a table once to the shared folder and read it back.
 
     This cuts lineage (a lost executor re-reads files) and, with ``bucket_by``,
     leaves the table hash-distributed on that column, so later windows and
-    aggregations on it need no exchange.
+    aggregations on it need no exchange.  ``clustered`` says the rows already sit
+    that way (they come from a table bucketed alike), so they are not moved again.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
     if bucket_by is None:
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        df.write.partitionBy(*(partition_by or [])).parquet(path)
+        return spark.read.schema(df.schema).parquet(path).select(*df.columns)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     table = f"chronopanel_{name}_{uuid.uuid4().hex[:12]}"
     (
-        df.repartition(buckets, bucket_by)
+        (df if clustered else df.repartition(buckets, bucket_by))
         .write.option("path", path)
         .format("parquet")
         .bucketBy(buckets, bucket_by)
