@@ -27,7 +27,7 @@ def test_clean_panel_has_no_errors(small_panel):
     got = checks(small_panel)
     assert len(got) == 17
     assert [k for k, r in got.items() if r.severity == "ERROR" and not r.passed] == []
-    assert got["coverage_has_redfin"].count == 1 and not got["coverage_has_redfin"].passed
+    assert got["coverage_has_redfin"]["count"] == 1 and not got["coverage_has_redfin"].passed
 
 
 @pytest.mark.parametrize("change,check", [
