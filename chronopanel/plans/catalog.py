@@ -28,7 +28,7 @@ from ..sources import io, staging, star
 from . import jobs
 
 C = STAR
-PRICES = ("median_sale_price", "median_list_price", "price_smoothed")
+PRICES = ("median_sale_price", "median_list_price", "median_ppsf", "price_smoothed")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 

@@ -272,7 +272,7 @@ def show(spec: str, source: str, extra: dict[str, str] | None = None) -> str:
 
 
 HOUSING = (
-    "$median_sale_price $median_list_price ~median_ppsf ~homes_sold ~pending_sales ~new_listings ~inventory ~months_of_supply "
+    "$median_sale_price $median_list_price $median_ppsf ~homes_sold ~pending_sales ~new_listings ~inventory ~months_of_supply "
     "~median_dom ~avg_sale_to_list ~sold_above_list ~price_drops ~off_market_in_two_weeks"
 )
 RATE = "~mortgage_rate_30y ~mortgage_rate_30y_last #mortgage_rate_weeks_observed mortgage_rate_last_release"
@@ -864,6 +864,7 @@ def build() -> dict[str, str]:
             "(SELECT reference_month AS month, mean_before, mean_after, mean_after - mean_before AS shift FROM t_scan WHERE pos >= 12 AND pos < months - 12)",
         ),
         "eda_regime_shifts": _greedy_shifts(),
+        "eda_regime_shifts_by_tier": _greedy_by_tier(),
         "eda_rate_regimes": show(
             "rate_band ~cooling ~stable ~heating #rows ~dg_mean",
             f"(SELECT {bands('mortgage_rate_30y')} AS rate_band, {shares()}, count(*) AS rows, avg(target_dg) AS dg_mean FROM t_model WHERE {bands('mortgage_rate_30y')} IS NOT NULL GROUP BY 1)",
@@ -967,6 +968,24 @@ def _greedy_shifts(top: int = 5) -> str:
     return show("#rank month ~mean_before ~mean_after ~shift", "(" + " UNION ALL ".join(f"SELECT * FROM {t}" for t in taken) + ")", extra)
 
 
+def _greedy_by_tier(top: int = 5) -> str:
+    """The same choice within each tier."""
+    extra, out = {}, []
+    for name in T.tier_names:
+        m, s, g = f"m_{name}", f"s_{name}", f"g_{name}"
+        extra[m] = f"SELECT reference_month, avg(target_dg) AS mean FROM t_model WHERE volume_tier = '{name}' GROUP BY 1"
+        extra[s] = CTES["t_scan"].replace("t_monthly", m)
+        extra[g] = f"""SELECT reference_month AS month, mean_before, mean_after, mean_after - mean_before AS shift,
+            row_number() OVER (ORDER BY abs(mean_after - mean_before) DESC, reference_month) AS rk FROM {s} WHERE pos >= 12 AND pos < months - 12"""
+        taken: list[str] = []
+        for i in range(1, top + 1):
+            far = " AND ".join(f"coalesce((SELECT abs(date_diff('day', r.month, t.month)) >= 360 FROM {t} t), true)" for t in taken) or "true"
+            extra[f"{g}_{i}"] = f"SELECT {i} AS rank, month, mean_before, mean_after, shift FROM {g} r WHERE {far} ORDER BY rk LIMIT 1"
+            taken.append(f"{g}_{i}")
+            out.append(f"SELECT '{name}' AS volume_tier, * FROM {g}_{i}")
+    return show("volume_tier #rank month ~mean_before ~mean_after ~shift", f"({' UNION ALL '.join(out)})", extra)
+
+
 def _claims() -> str:
     of = lambda m, c, n: f"max({c}) FILTER (model = '{m}') AS {n}"
     low, high = T.tiers[1][0], T.tiers[-2][0]
