@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, tokenfile
+from . import bpe, language, packing, quality, simhash, tokenfile
 from .shared import importable, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,14 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return run
 
 
+@query
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of all documents by a model that saw three quarters of the keys."""
+    docs = read(spark, folder, "documents")
+    found = language.identify(docs, language.fit(docs))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "n_words")
+
+
 @query
 def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as bit-packed token files in key order, read back."""
@@ -49,6 +57,21 @@ def op3_packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return packed
 
 
+@query
+def op5_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    found = simhash.near_duplicates(read(spark, folder, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Measures and verdict of all documents, thresholds certified on the labelled ones."""
+    found = quality.judge(read(spark, folder, "documents"), read(spark, folder, "labels"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query
 def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of all documents by ranks, and the bytes they decode to, as digests."""
