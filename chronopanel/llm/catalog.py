@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, packing, quality, simhash, tokenfile
+from . import bpe, language, lines, packing, quality, simhash, tokenfile
 from .shared import importable, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,12 @@ def op5_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+@query
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the lines that stand, exactly or within one edit, earlier in the corpus."""
+    return lines.deduplicate(read(spark, folder, "documents")).select("doc_id", "text", "lines_dropped")
+
+
 @query
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Measures and verdict of all documents, thresholds certified on the labelled ones."""
