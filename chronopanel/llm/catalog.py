@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, lines, packing, quality, simhash, tokenfile
+from . import bpe, embeddings, html, language, lines, packing, quality, simhash, tokenfile
 from .shared import importable, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,12 @@ def op5_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+@query
+def op6_vector_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Links, groups and representatives of all vectors, within their labels."""
+    return embeddings.near_duplicates(read(spark, folder, "embeddings"))
+
+
 @query
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without the lines that stand, exactly or within one edit, earlier in the corpus."""
@@ -78,6 +84,12 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query
+def op9_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of all pages."""
+    return html.extract(read(spark, folder, "pages"))
+
+
 @query
 def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of all documents by ranks, and the bytes they decode to, as digests."""
