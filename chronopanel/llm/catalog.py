@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, html, language, lines, packing, quality, simhash, tokenfile
+from . import bpe, embeddings, html, language, licenses, lines, packing, quality, simhash, tokenfile
 from .shared import importable, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,12 @@ def op3_packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return packed
 
 
+@query
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License notices in all documents, with coverage and spans."""
+    return licenses.find(read(spark, folder, "documents"))
+
+
 @query
 def op5_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate groups of all documents."""

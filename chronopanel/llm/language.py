@@ -308,3 +308,19 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
                                              names=[key, "lang_pred", "score", "n_words"])
 
     return docs.select(key, F.col(text).cast("string").alias(text)).mapInArrow(run, shape)
+
+
+def keep(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", least: float = 0.5, **how,
+) -> DataFrame:
+    """The rows of ``docs`` in which one language holds at least ``least`` of the letters, with their own columns.
+
+    Texts without letters go.  Where nothing can be learned, as no row has a
+    label, the rest stays.
+    """
+    model = fit(docs, key, text, label, **how)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col(f"`{text}`").alias("text"))
+    if not model.languages:
+        return whole.filter(F.col("text").rlike(r"\p{L}")).select("own.*")
+    found = identify(whole, model, "own", "text")
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("own.*")

@@ -210,22 +210,42 @@ def thresholds(measured: DataFrame, labels: DataFrame, risk: float = 0.05, failu
 
 def judge(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang",
-    risk: float = 0.05, failure: float = 0.05,
+    carry: str | None = None, risk: float = 0.05, failure: float = 0.05,
 ) -> DataFrame:
     """Measures, ``base_failed``, ``kept`` and the certified step for every row.
 
     ``labels`` holds ``key`` and ``quality``.  A null stratum is a stratum of its
     own.  Null, empty and blank texts fail the base rules.  Repeated rows are
     judged alike; rows with null keys are judged but have no labels.  Other
-    columns are not read.
+    columns are not read, but for one named by ``carry``, which is returned too.
     """
     whole = docs.select(
-        F.struct(F.col(key).alias("key"), F.coalesce(F.col(stratum).cast("string"), F.lit("\0")).alias("stratum")).alias("own"),
+        F.struct(F.col(key).alias("key"), F.coalesce(F.col(stratum).cast("string"), F.lit("\0")).alias("stratum"),
+                 (F.col(carry) if carry else F.lit(None).cast("int")).alias("carried")).alias("own"),
         F.col(text).alias("text"))
-    own = measures(whole, "own", "text").select("own.key", "own.stratum", *COUNTS)
+    own = measures(whole, "own", "text").select("own.key", "own.stratum", "own.carried", *COUNTS)
     own = store(own.withColumn("base_failed", base_failed()).select("*", *[v.alias(f"m_{k}") for k, v in rules().items()]),
                 "quality-measures")
     cuts = thresholds(own, labels.select(F.col(key).alias("key"), F.col("quality")), risk, failure)
     judged = own.join(cuts.select("stratum", "step", *RULES), "stratum", "left")
     kept = ~F.col("base_failed") & ~F.coalesce(_any_over(), F.lit(False))
-    return judged.select(F.col("key").alias(key), *COUNTS, "base_failed", kept.alias("kept"), "step")
+    carried = [F.col("carried").alias(carry)] if carry else []
+    return judged.select(F.col("key").alias(key), *COUNTS, "base_failed", kept.alias("kept"), "step", *carried)
+
+
+def keep(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", **how,
+) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with their own columns only.
+
+    A verdict belongs to a key, text and stratum, so rows that share a key are
+    told apart by their text's hash.
+    """
+    mark = [F.col(key).cast("long").alias("k"), F.xxhash64(F.col(text)).alias("h"), F.col(stratum).cast("string").alias("s")]
+    named = docs.select(F.struct(*mark).alias("carried"), F.col(text).alias("text"))
+    named = named.select("carried", F.col("carried.k").alias("key"), F.col("carried.s").alias("stratum"), "text")
+    good = judge(named, labels.select(F.col(key).alias("key"), "quality"), "key", "text", "stratum", "carried", **how)
+    good = good.filter("kept").select("carried.*").distinct()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), *mark)
+    same = [whole[c].eqNullSafe(good[c]) for c in ("k", "h", "s")]
+    return whole.join(good, same[0] & same[1] & same[2], "left_semi").select("own.*")
