@@ -169,6 +169,8 @@ class Model:
     def documents(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, its share of letters, and the number of words, per text."""
         split = [WORD.findall(t.lower()) for t in texts]
+        if not self.languages:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.array([len(d) for d in split], np.int64)
         p = self.words(split)
         letters = np.fromiter((len(w) for d in split for w in d), np.float64, len(p))
         sizes = np.array([len(d) for d in split], np.int64)
@@ -176,7 +178,7 @@ class Model:
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         mass = ends[bounds[1:]] - ends[bounds[:-1]]
         total = mass.sum(axis=1)
-        best = mass.argmax(axis=1) if len(self.languages) else np.zeros(len(texts), np.int64)
+        best = mass.argmax(axis=1)
         score = np.where(total > 0, mass[np.arange(len(texts)), best] / np.maximum(total, 1e-300), 0.0)
         names = [self.languages[b] if t > 0 else UNKNOWN for b, t in zip(best, total)]
         return names, np.clip(score, 0, 1), sizes

@@ -26,8 +26,9 @@ from .shared import store, text_slices
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "top_word")
-# Share of good documents of the proposing half that one rule may turn away, from mild to strict.
-STEPS = (0.0, 0.0005, 0.001, 0.002, 0.005, 0.01, 0.02)
+# From mild to strict: room above the worst good document of the proposing half (relative, and up to 8
+# cells), then the share of good documents that one rule may turn away there.
+STEPS = ((1.0, 0.0), (0.5, 0.0), (0.25, 0.0), (0.0, 0.0), (0.0, 0.001), (0.0, 0.002), (0.0, 0.005), (0.0, 0.01), (0.0, 0.02))
 GRID = 256  # cells per measure
 
 
@@ -134,7 +135,7 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 def _propose(rows: pd.DataFrame) -> pd.DataFrame:
     """Per stratum: for every step the largest cell that each rule still lets through."""
     out = []
-    for step, share in enumerate(STEPS):
+    for step, (room, share) in enumerate(STEPS):
         cut = {"stratum": rows["stratum"].iloc[0], "step": step}
         for rule in RULES:
             good = rows[(rows["rule"] == rule) & (rows["quality"] == 1)].groupby("cell")["n"].sum().sort_index()
@@ -142,6 +143,7 @@ def _propose(rows: pd.DataFrame) -> pd.DataFrame:
             if total:
                 above = total - good.cumsum()  # good documents in larger cells
                 most = int(above[above <= share * total].index[0])
+                most = min(GRID, most + math.ceil(room * most) + math.ceil(8 * room))
             cut[rule] = most
         out.append(cut)
     return pd.DataFrame(out)
