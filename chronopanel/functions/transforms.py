@@ -9,6 +9,7 @@ sort and one Window operator.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
@@ -63,15 +64,20 @@ def _reltrend(x, p, lag, w):
 
 Builder = Callable[[Column, int, int, WindowSpec], Column]
 
-# name -> (builder, months of history beyond the lag).  Register more with
-# ``register_transform``: a transform is any function returning a Column.
-_REGISTRY: dict[str, tuple[Builder, Callable[[int], int]]] = {
-    "lag": (_lag, lambda p: p),
-    "diff": (_diff, lambda p: p),
-    "log_diff": (_log_diff, lambda p: p),
-    "rollmean": (_rollmean, lambda p: p - 1),
-    "rollstd": (_rollstd, lambda p: p - 1),
-    "reltrend": (_reltrend, lambda p: p - 1),
+class Transform(NamedTuple):
+    build: Builder
+    depth: Callable[[int], int]  # months of history read beyond the nearest one
+    reading: str  # how the months ``{near}`` and ``{far}`` enter
+
+
+# Register more with ``register_transform``: a transform is any function returning a Column.
+_REGISTRY: dict[str, Transform] = {
+    "lag": Transform(_lag, lambda p: p, "value of {far}"),
+    "diff": Transform(_diff, lambda p: p, "{near} minus {far}"),
+    "log_diff": Transform(_log_diff, lambda p: p, "100 x log({near} / {far})"),
+    "rollmean": Transform(_rollmean, lambda p: p - 1, "mean over {far} .. {near}"),
+    "rollstd": Transform(_rollstd, lambda p: p - 1, "sample SD over {far} .. {near}"),
+    "reltrend": Transform(_reltrend, lambda p: p - 1, "{near} / mean over {far} .. {near}, less 1"),
 }
 
 
@@ -79,19 +85,23 @@ def known_transforms() -> frozenset[str]:
     return frozenset(_REGISTRY)
 
 
-def register_transform(name: str, builder: Builder, depth: Callable[[int], int]) -> None:
-    _REGISTRY[name] = (builder, depth)
+def register_transform(name: str, builder: Builder, depth: Callable[[int], int], reading: str = "months {far} .. {near}") -> None:
+    _REGISTRY[name] = Transform(builder, depth, reading)
 
 
-def _entry(name: str):
+def _entry(name: str) -> Transform:
     if name not in _REGISTRY:
         raise KeyError(f"unknown transform {name!r}; known: {', '.join(sorted(_REGISTRY))}")
     return _REGISTRY[name]
 
 
 def history_depth(name: str, param: int) -> int:
-    return _entry(name)[1](param)
+    return _entry(name).depth(param)
+
+
+def reading(name: str, near: int, far: int) -> str:
+    return _entry(name).reading.format(near=f"t-{near}", far=f"t-{far}")
 
 
 def apply_transform(x: Column, name: str, param: int, lag: int, w: WindowSpec) -> Column:
-    return _entry(name)[0](x.cast("double"), param, lag, w)
+    return _entry(name).build(x.cast("double"), param, lag, w)

@@ -8,6 +8,8 @@ from a hash of (seed, resample, slot), so a retried task draws the same blocks.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from ..contracts import BootstrapContract
 from ..schema import CLASSES, ENTITY, PERIOD
 from .metrics import accuracy, balanced_accuracy, both_labels, class_counts, error, macro_f1
 from ..session import land
-from .quantiles import _null_safe, exact_median, is_small
+from .quantiles import _holds, _null_safe, _spans, attach, bin_of, exact_median
 
 BLOCKS = {"county": ENTITY, "month": PERIOD}
 
@@ -71,18 +73,38 @@ def _poisson_one(u32: Column) -> Column:
         k += 1
 
 
-def slot_weights(stats: DataFrame, keys: list[str], resamples: int, seed: int):
-    """B draws with replacement from B blocks, as a function adding (resample, weight) to rows.
+class Weights(NamedTuple):
+    """How often a resample draws a block."""
 
-    Blocks are numbered in key order within each group; the caller has checked
-    that a group has few enough of them.  Groups with the same number of blocks
-    share one set of draws, which also pairs models with each other.
+    expand: Callable[[DataFrame], DataFrame]  # adds every (resample, weight) to rows with a block
+    attach: Callable[[DataFrame], DataFrame]  # adds the weight to rows with a block and a resample
+
+
+def _numbered(stats: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks numbered in key order within each group, and the group's number of blocks.
+
+    Blocks are laid out by range and counted per range, so a group of any size is
+    numbered by many tasks.
     """
+    own = land(stats.select(*keys, "block_key").repartitionByRange(*keys, "block_key").withColumn("_part", F.spark_partition_id()), "blocks")
+    per = own.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_m"))
     w = Window.partitionBy(*keys)
-    numbered = stats.select(*keys, "block_key").withColumns({
-        "idx": F.row_number().over(w.orderBy("block_key")) - 1,
-        "blocks": F.count(F.lit(1)).over(w),
-    }).filter("blocks >= 2")
+    per = per.withColumns({
+        "_before": F.coalesce(F.sum("_m").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "blocks": F.sum("_m").over(w),
+    }).drop("_m")
+    rank = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("block_key")) - 1
+    joined = own.withColumn("_rank", rank).alias("a").join(per.alias("b"), _null_safe([*keys, "_part"], "a", "b"))
+    return joined.select(*[F.col(f"a.{k}") for k in (*keys, "block_key")], (F.col("_before") + F.col("_rank")).alias("idx"), "blocks")
+
+
+def slot_weights(stats: DataFrame, keys: list[str], resamples: int, seed: int) -> Weights:
+    """B draws with replacement from B blocks.
+
+    Groups with the same number of blocks share one set of draws, which also pairs
+    models with each other.
+    """
+    numbered = _numbered(stats, keys).filter("blocks >= 2")
     sizes = numbered.select("blocks").distinct()
     drawn = (
         sizes.select("blocks", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
@@ -93,43 +115,35 @@ def slot_weights(stats: DataFrame, keys: list[str], resamples: int, seed: int):
     )
     weights = numbered.join(drawn, ["blocks", "idx"]).select(*keys, "block_key", "resample", "weight")
 
-    def expand(df: DataFrame) -> DataFrame:
-        on = _null_safe([*keys, "block_key"], "a", "b")
-        return df.alias("a").join(weights.alias("b"), on).select("a.*", "b.resample", "b.weight")
+    def joined(df: DataFrame, on: list[str]) -> DataFrame:
+        extra = [F.col("b.resample")] * ("resample" not in on) + [F.col("b.weight")]
+        return df.alias("a").join(weights.alias("b"), _null_safe(on, "a", "b")).select("a.*", *extra)
 
-    return expand
+    return Weights(lambda df: joined(df, [*keys, "block_key"]), lambda df: joined(df, [*keys, "block_key", "resample"]))
 
 
-def poisson_weights(resamples: int, seed: int):
+def poisson_weights(resamples: int, seed: int) -> Weights:
     """Independent Poisson(1) weights, computed on the row they belong to: no join, no shuffle."""
     weight = _poisson_one(_hash32(F.lit(seed), F.col("resample"), F.col("block_key")))
 
-    def expand(df: DataFrame) -> DataFrame:
-        every = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")
-        return df.select("*", every).withColumn("weight", weight.cast("long")).filter("weight > 0")
+    def weigh(df: DataFrame) -> DataFrame:
+        return df.withColumn("weight", weight.cast("long")).filter("weight > 0")
 
-    return expand
+    every = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")
+    return Weights(lambda df: weigh(df.select("*", every)), weigh)
 
 
-def _weights(stats, keys, c: BootstrapContract, draws: str):
-    if draws == "auto":
-        largest = stats.groupBy(*keys).agg(F.count(F.lit(1)).alias("b")).agg(F.max("b")).first()[0] or 0
-        draws = "slots" if largest <= c.max_slot_blocks else "poisson"
-    if draws == "slots":
+def _weights(stats, keys, c: BootstrapContract) -> Weights:
+    if c.scheme == "slots":
         return slot_weights(stats, keys, c.resamples, c.seed)
-    if draws == "poisson":
+    if c.scheme == "poisson":
         return poisson_weights(c.resamples, c.seed)
-    raise ValueError(f"unknown draws {draws!r}")
+    raise ValueError(f"unknown scheme {c.scheme!r}; choose slots or poisson")
 
 
-def _weighted(stats: DataFrame, expand, keys: list[str], sums: list[str]) -> DataFrame:
+def _weighted(stats: DataFrame, weights: Weights, keys: list[str], sums: list[str]) -> DataFrame:
     """Sums per (keys, resample) under the resample's weights."""
-    return expand(stats).groupBy(*keys, "resample").agg(*[F.sum(F.col(s) * F.col("weight")).alias(s) for s in sums])
-
-
-def _settled(df: DataFrame, stats: DataFrame) -> DataFrame:
-    """Block sums are read several times; of a large input they are written once."""
-    return stats if is_small(df) else land(stats, "block_stats")
+    return weights.expand(stats).groupBy(*keys, "resample").agg(*[F.sum(F.col(s) * F.col("weight")).alias(s) for s in sums])
 
 
 def _long(df: DataFrame, keys: list[str], metrics: list[str], value: str) -> DataFrame:
@@ -153,7 +167,7 @@ def _summary(points: DataFrame, draws: DataFrame, keys: list[str], c: BootstrapC
 
 def intervals(
     df: DataFrame, keys: list[str], metrics=("mae", "macro_f1"), blocks=("county", "month"),
-    contract: BootstrapContract = BootstrapContract(), draws: str = "auto",
+    contract: BootstrapContract = BootstrapContract(),
 ) -> DataFrame:
     """Percentile intervals for every group x metric x block scheme in one plan.
 
@@ -162,9 +176,9 @@ def intervals(
     """
     out = None
     for block in blocks:
-        stats = _settled(df, block_stats(df, keys, block))
+        stats = land(block_stats(df, keys, block), "block_stats")  # read several times, written once
         additive = [m for m in metrics if m != MEDIAN]
-        weights = _weights(stats, keys, contract, draws)
+        weights = _weights(stats, keys, contract)
         parts = []
         if additive:
             totals = stats.groupBy(*keys).agg(*[F.sum(s).alias(s) for s in SUMS])
@@ -172,7 +186,10 @@ def intervals(
             values = _long(_weighted(stats, weights, keys, SUMS), keys, additive, "value")
             parts.append(_summary(points, values, keys, contract))
         if MEDIAN in metrics:
-            parts.append(_median_interval(df, weights, keys, block, contract))
+            rows = _errors(df, keys, block)
+            points = exact_median(rows, "v", keys, "point").withColumn("metric", F.lit(MEDIAN))
+            values = _median_values(rows, weights, keys).withColumn("metric", F.lit(MEDIAN))
+            parts.append(_summary(points, values, keys, contract))
         for p in parts:
             p = p.withColumn("block", F.lit(block)).filter(F.col("point").isNotNull())
             out = p if out is None else out.unionByName(p)
@@ -181,66 +198,57 @@ def intervals(
 
 # ------------------------------------------------- median absolute error
 
-# Half-width, in rank, of the bracket around the pooled median.  Resampled
-# medians nearly always fall inside; one that does not is read from the outer
-# zone, so the width affects cost only.
-MEDIAN_SPREAD = 0.1
+# The pooled ranks that resampled medians nearly always fall between, and the bins
+# between them; a median outside is found in the outer bins, so these affect cost only.
+MEDIAN_RANGE, MEDIAN_BINS = (0.4, 0.6), 64
 
 
-def _median_interval(df, expand, keys, block, c: BootstrapContract) -> DataFrame:
-    e = F.abs(error())
-    rows = df.select(*keys, F.col(block_column(block)).cast("string").alias("block_key"), e.alias("v")).filter("v IS NOT NULL")
-    edges = rows.groupBy(*keys).agg(
-        F.percentile_approx("v", [0.5 - MEDIAN_SPREAD, 0.5 + MEDIAN_SPREAD], F.lit(2_000)).alias("edge")
-    )
-    a, b = rows.alias("a"), edges.alias("b")
-    zoned = a.join(b, _null_safe(keys, "a", "b")).select(
-        "a.*", F.when(F.col("v") < F.col("edge")[0], 0).when(F.col("v") <= F.col("edge")[1], 1).otherwise(2).alias("zone")
-    )
-    per_block = zoned.groupBy(*keys, "block_key").agg(*[F.count_if(F.col("zone") == z).alias(f"_z{z}") for z in range(3)])
-    sums = _weighted(per_block, expand, keys, ["_z0", "_z1", "_z2"])
-    n = F.col("_z0") + F.col("_z1") + F.col("_z2")
-    k0, k1 = F.floor((n - 1) / 2), F.ceil((n - 1) / 2)
-    low, mid = F.col("_z0"), F.col("_z0") + F.col("_z1")
-
-    def holds(k):
-        return F.when(k < low, 0).when(k < mid, 1).otherwise(2)
-
-    ranks = sums.filter(n > 0).select(
-        *keys, "resample", k0.alias("k0"), k1.alias("k1"), holds(k0).alias("first_zone"), holds(k1).alias("last_zone"),
-        F.when(holds(k0) == 0, 0).when(holds(k0) == 1, low).otherwise(mid).cast("long").alias("off"),
-    )
-    # One small row per (group, resample): cheap to bring to the rows.
-    hits = expand(zoned).alias("a").join(
-        ranks.alias("b"),
-        _null_safe([*keys, "resample"], "a", "b") & F.col("a.zone").between(F.col("b.first_zone"), F.col("b.last_zone")),
-    ).select(*[F.col(f"a.{k}") for k in keys], *[F.col(f"a.{x}") for x in ("v", "resample", "weight")], *[F.col(f"b.{x}") for x in ("k0", "k1", "off")])
-    by_value = hits.groupBy(*keys, "resample", "v").agg(
-        F.sum("weight").alias("n"), *[F.first(x).alias(x) for x in ("k0", "k1", "off")]
-    )
-    w = Window.partitionBy(*keys, "resample").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = by_value.withColumn("upto", F.col("off") + F.sum("n").over(w)).withColumn("from", F.col("upto") - F.col("n"))
+def _errors(df: DataFrame, keys: list[str], block: str) -> DataFrame:
+    v = F.abs(error()).alias("v")
+    return df.select(*keys, F.col(block_column(block)).cast("string").alias("block_key"), v).filter("v IS NOT NULL")
 
-    def at(k):
-        return F.max(F.when((F.col("from") <= F.col(k)) & (F.col(k) < F.col("upto")), F.col("v")))
 
-    values = ranked.groupBy(*keys, "resample").agg(((at("k0") + at("k1")) / 2).alias("value"))
-    points = exact_median(rows, "v", keys, "point").withColumn("metric", F.lit(MEDIAN))
-    return _summary(points, values.withColumn("metric", F.lit(MEDIAN)), keys, c)
+def _median_values(rows: DataFrame, weights: Weights, keys: list[str]) -> DataFrame:
+    """Exact weighted median per (keys, resample) of rows (keys, block_key, v).
+
+    Blocks shrink to counts per bin, whose weighted sums tell the bin of each
+    resample's median; only the rows of that bin meet that resample.
+    """
+    edges = rows.groupBy(*keys).agg(F.percentile_approx("v", list(MEDIAN_RANGE), F.lit(2_000)).alias("edge"))
+    binned = attach(rows, edges, keys).withColumn(
+        "bin", bin_of(F.col("v"), F.col("edge")[0], F.col("edge")[1], MEDIAN_BINS)).drop("edge")
+    counts = binned.groupBy(*keys, "block_key", "bin").agg(F.count(F.lit(1)).alias("_n"))
+    one = [*keys, "resample"]
+    sums = weights.expand(counts).groupBy(*one, "bin").agg(F.sum(F.col("_n") * F.col("weight")).alias("_m"))
+    n = F.sum("_m").over(Window.partitionBy(*one))
+    spans = _spans(sums.withColumns({
+        "_off": F.lit(0).cast("long"), "_k0": F.floor((n - 1) / 2), "_k1": F.ceil((n - 1) / 2)}), one, "bin", "_m")
+    wanted = spans.filter(_holds("_k0") | _holds("_k1")).select(*one, "bin", "_k0", "_k1", "_from")
+    first = Window.partitionBy(*one)
+    wanted = wanted.withColumn("_off", F.min("_from").over(first)).drop("_from")
+    # Between two bins that hold the middle ranks there are no values, so these two are all that is read.
+    hits = binned.alias("a").join(wanted.alias("b"), _null_safe([*keys, "bin"], "a", "b")).select(
+        "a.*", *[F.col(f"b.{x}") for x in ("resample", "_k0", "_k1", "_off")])
+    by_value = weights.attach(hits).groupBy(*one, "v").agg(
+        F.sum("weight").alias("_m"), *[F.first(x).alias(x) for x in ("_k0", "_k1", "_off")])
+    ranked = _spans(by_value, one, "v", "_m")
+    low, high = (F.max(F.when(_holds(k), F.col("v"))) for k in ("_k0", "_k1"))
+    return ranked.groupBy(*one).agg(((low + high) / 2).alias("value"))
 
 
 # -------------------------------------------------------- paired difference
 
 
 def paired_difference(
-    left: DataFrame, right: DataFrame, metric: str = "mae", block: str = "county",
-    contract: BootstrapContract = BootstrapContract(), draws: str = "auto",
+    left: DataFrame, right: DataFrame, metric: str = "mae", block: str = "county", contract: BootstrapContract = BootstrapContract(),
 ) -> DataFrame:
     """Interval for metric(left) - metric(right) on the rows both models scored.
 
     The rows are paired by (entity, month) and both models' sums ride through
     the same draws side by side, which keeps the pairing.
     """
+    if metric != MEDIAN and metric not in FORMULAS:
+        raise KeyError(f"unknown metric {metric!r}; choose one of {', '.join(sorted([*FORMULAS, MEDIAN]))}")
     need = ["predicted_dg", "predicted_label", "target_dg", "target_label"]
     on = [ENTITY, PERIOD]
     a, b = left.select(*on, *need).alias("a"), right.select(*on, *need).alias("b")
@@ -252,17 +260,20 @@ def paired_difference(
             for s, t in (("left", "a"), ("right", "b"))
         ])).alias("m"),
     ).select(*on, "m.*")
-    stats = _settled(left, block_stats(sides, ["side"], block))
-    weights = _weights(stats, ["side"], contract, draws)
+    stats = land(block_stats(sides, ["side"], block), "block_stats")
+    weights = _weights(stats, ["side"], contract)
+    if metric == MEDIAN:
+        rows = _errors(sides, ["side"], block)
+        points, values = exact_median(rows, "v", ["side"], "point"), _median_values(rows, weights, ["side"])
+    else:
+        totals = stats.groupBy("side").agg(*[F.sum(s).alias(s) for s in SUMS])
+        points = _long(totals, ["side"], [metric], "point")
+        values = _long(_weighted(stats, weights, ["side"], SUMS), ["resample", "side"], [metric], "value")
 
     def diff(df, keys, value):
-        long = _long(df, [*keys, "side"], [metric], value)
         pick = lambda s: F.max(F.when(F.col("side") == s, F.col(value)))
-        return long.groupBy(*keys, "metric").agg((pick("left") - pick("right")).alias(value))
+        return df.withColumn("metric", F.lit(metric)).groupBy(*keys, "metric").agg((pick("left") - pick("right")).alias(value))
 
-    totals = stats.groupBy("side").agg(*[F.sum(s).alias(s) for s in SUMS])
-    points = diff(totals, [], "point")
-    values = diff(_weighted(stats, weights, ["side"], SUMS), ["resample"], "value")
-    return _summary(points, values, [], contract).select(
+    return _summary(diff(points, [], "point"), diff(values, ["resample"], "value"), [], contract).select(
         F.concat("metric", F.lit("_difference")).alias("metric"), F.lit(block).alias("block"), "point", "low", "high", "resamples"
     )

@@ -1,20 +1,18 @@
-"""Learned forecasters: ridge from one pass of moments, multinomial logistic by MLlib.
+"""Learned forecasters: ridge from one pass of moments, multinomial logistic by Newton steps of one pass each.
 
 Imputation medians, standardisation and coefficients are numbers per feature, so
-they are bounded by the declaration and live on the driver like any MLlib model;
+they are bounded by the declaration and live on the driver like any fitted model;
 all row work stays in Spark.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler, VectorSlicer
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,13 +22,10 @@ from ..functions.scalar import classify
 from ..schema import CLASSES, TEST, TRAIN, VALIDATION
 from .metrics import evaluate
 from .naive import CONTEXT, PROBS, TRUTH, predict_naive
-from .quantiles import exact_quantiles, right_sized
+from .quantiles import exact_quantiles
 from .results import LOGISTIC, RIDGE
 
 
-PARALLEL_FITS = 4
-
-
 @dataclass(frozen=True)
 class Scaling:
     """Exact medians, then mean and population deviation of the imputed columns."""
@@ -72,7 +67,7 @@ def moments(train: DataFrame, features: list[str], target: str = "target_dg") ->
     cols = [blank.imputed(i).alias(f"x{i}") for i in range(len(features))]
     wide = train.filter(F.col(target).isNotNull()).select(*cols, F.col(target).alias("y"))
     vec = VectorAssembler(inputCols=wide.columns, outputCol="v").transform(wide).select("v")
-    vec = right_sized(vec).persist(StorageLevel.MEMORY_AND_DISK)
+    vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         s = vec.select(Summarizer.metrics("count", "mean", "variance").summary(F.col("v")).alias("s")).first()["s"]
         corr = Correlation.corr(vec, "v").first()[0].toArray()
@@ -160,25 +155,37 @@ def scan_ridge(m: Moments, validation: DataFrame, tau: float, alphas=RIDGE_ALPHA
 class LogisticModel:
     scaling: Scaling
     index: tuple[int, ...]
-    model: LogisticRegressionModel
+    weights: np.ndarray  # classes x features, on the standardised scale
+    intercepts: np.ndarray  # minus infinity for a class that was never seen
     c: float
+    steps: int
 
-    def predict(self, vectors: DataFrame) -> DataFrame:
+    def predict(self, rows: DataFrame) -> DataFrame:
         """Label and one probability per class on assembled rows; an absent class gets 0."""
-        out = self.model.transform(vectors)
-        p = vector_to_array(F.col("probability"))
-        probs = [F.coalesce(F.get(p, F.lit(i)), F.lit(0.0)).alias(n) for i, n in enumerate(PROBS)]
-        label = F.array(*map(F.lit, CLASSES))[F.col("prediction").cast("int")]
-        return out.select(
-            *[c for c in vectors.columns if c != "features"], F.lit(None).cast("double").alias("predicted_dg"),
+        z = F.array(*[F.get("features", F.lit(i)) for i in self.index]) if len(self.index) < len(self.scaling.features) else F.col("features")
+        seen = [k for k in range(len(CLASSES)) if np.isfinite(self.intercepts[k])]
+        own = rows.withColumn("_z", z)
+        scores = {
+            k: F.aggregate(
+                F.zip_with("_z", F.array(*[F.lit(float(w)) for w in self.weights[k]]), lambda a, b: a * b),
+                F.lit(float(self.intercepts[k])), lambda a, b: a + b)
+            for k in seen
+        }
+        own = own.withColumns({f"_s{k}": v for k, v in scores.items()})
+        own = own.withColumn("_top", F.greatest(*[F.col(f"_s{k}") for k in seen]) if len(seen) > 1 else F.col(f"_s{seen[0]}"))
+        own = own.withColumns({f"_e{k}": F.exp(F.col(f"_s{k}") - F.col("_top")) for k in seen})
+        total = _balanced_sum([F.col(f"_e{k}") for k in seen])
+        probs = [(F.col(f"_e{k}") / total if k in seen else F.lit(0.0)).alias(n) for k, n in enumerate(PROBS)]
+        label = F.coalesce(*[F.when(F.col(f"_s{k}") == F.col("_top"), F.lit(CLASSES[k])) for k in seen])
+        return own.select(
+            *[c for c in rows.columns if c != "features"], F.lit(None).cast("double").alias("predicted_dg"),
             label.alias("predicted_label"), *probs,
         )
 
     def coefficients(self, spark) -> DataFrame:
-        w = self.model.coefficientMatrix.toArray()
         rows = [
-            (self.scaling.features[i], c, float(w[k, j]))
-            for j, i in enumerate(self.index) for k, c in enumerate(CLASSES[: w.shape[0]])
+            (self.scaling.features[i], c, float(self.weights[k, j]))
+            for j, i in enumerate(self.index) for k, c in enumerate(CLASSES) if np.isfinite(self.intercepts[k])
         ]
         rows.sort(key=lambda r: (-abs(r[2]), r[0], r[1]))
         return spark.createDataFrame(
@@ -187,52 +194,120 @@ class LogisticModel:
 
 
 def assemble(df: DataFrame, s: Scaling, carry: list[str]) -> DataFrame:
-    """Carried columns plus the standardised feature vector."""
+    """Carried columns plus the class number and the standardised features as an array."""
     label = F.when(F.col("target_label").isNotNull(), sum(
         (F.when(F.col("target_label") == c, float(i)).otherwise(0.0) for i, c in enumerate(CLASSES)), F.lit(0.0)
     )).alias("label")
-    wide = df.select(*carry, label, *[s.standardised(i).alias(f"z{i}") for i in range(len(s.features))])
-    out = VectorAssembler(inputCols=[f"z{i}" for i in range(len(s.features))], outputCol="features").transform(wide)
-    return out.select(*carry, "label", "features")
-
-
-def fit_logistic(
-    vectors: DataFrame, s: Scaling, n: int, c: float, keep: list[int] | None = None, max_iter: int = 100, tol: float = 1e-6
-) -> LogisticModel:
-    """L2 multinomial fit whose penalty matches C on the summed loss (regParam = 1/(C n))."""
-    idx = list(range(len(s.features))) if keep is None else keep
-    data = vectors.filter("label IS NOT NULL")
-    if keep is not None:
-        data = VectorSlicer(inputCol="features", outputCol="kept", indices=idx).transform(data).drop("features").withColumnRenamed("kept", "features")
-    lr = LogisticRegression(
-        family="multinomial", elasticNetParam=0.0, standardization=False, regParam=1.0 / (c * n),
-        maxIter=max_iter, tol=tol, aggregationDepth=2,
-    )
-    return LogisticModel(s, tuple(idx), lr.fit(data), c)
+    return df.select(*carry, label, F.array(*[s.standardised(i) for i in range(len(s.features))]).alias("features"))
 
 
-def _fit_many(jobs: dict[str, tuple]) -> dict[str, LogisticModel]:
-    """Independent fits, several at a time, as MLlib's own tuning does."""
-    with ThreadPool(PARALLEL_FITS) as pool:
-        spark = next(iter(jobs.values()))[0].sparkSession
-        fit = inheritable_thread_target(spark)(lambda a: fit_logistic(*a))
-        return dict(zip(jobs, pool.map(fit, jobs.values())))
+def _newton_sums(states: dict):
+    """Per task, loss, gradient and curvature of every model at its present coefficients, as ``(model, cell, value)``.
 
+    ``states`` holds (columns, coefficients) with an intercept last in each class's row.
+    """
 
-def _score_logistics(vectors: DataFrame, models: dict[str, LogisticModel]) -> DataFrame:
+    def run(batches):
+        sums: dict = {}
+        for batch in batches:
+            y = batch.column(0).to_numpy(zero_copy_only=False).astype(int)
+            if not len(y):
+                continue
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
+            for name, (columns, classes, beta) in states.items():
+                own = np.column_stack([x[:, columns], np.ones(len(y))])
+                p = own @ beta.T
+                p = np.exp(p - p.max(axis=1, keepdims=True))
+                p /= p.sum(axis=1, keepdims=True)
+                hit = y[:, None] == np.array(classes)[None, :]
+                k, d = beta.shape
+                blocks = np.empty((k, d, k, d))
+                for i in range(k):
+                    for j in range(i, k):
+                        weight = p[:, i] * ((i == j) - p[:, j])
+                        blocks[i, :, j, :] = (own * weight[:, None]).T @ own
+                        blocks[j, :, i, :] = blocks[i, :, j, :].T
+                gradient = (p - hit).T @ own
+                loss = -np.log(np.maximum(p[hit], 1e-300)).sum()
+                flat = np.concatenate([[loss, len(y)], gradient.ravel(), blocks.reshape(k * d, k * d)[np.triu_indices(k * d)]])
+                sums[name] = sums.get(name, 0) + flat
+        for name, flat in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(flat)), pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)],
+                names=["model", "cell", "value"])
+
+    return run
+
+
+def fit_logistics(rows: DataFrame, s: Scaling, jobs: dict[str, tuple[float, list[int] | None]], most_steps: int = 100,
+                  tol: float = 1e-12) -> dict[str, LogisticModel]:
+    """L2 multinomial fits of summed loss plus |w|^2 / 2C, several penalties and subsets side by side.
+
+    Every step is one pass over the rows for all models that have not converged: tasks
+    sum loss, gradient and curvature, and (features x classes)^2 numbers reach the
+    driver, which takes a Newton step and halves it where the loss would rise.  The
+    objective is strictly convex in the weights, so there is one optimum; a fit that does
+    not reach it (Newton decrement at most ``tol`` per row) raises.  Intercepts bear no
+    penalty and sum to zero.
+    """
+    data = rows.filter("label IS NOT NULL").select("label", "features")
+    seen = sorted(int(r[0]) for r in data.select("label").distinct().collect())
+    if not seen:
+        raise ValueError("no labelled rows to fit on")
+    every = list(range(len(s.features)))
+    states = {k: {"c": c, "idx": every if keep is None else keep, "n": 0, "old": None, "step": None} for k, (c, keep) in jobs.items()}
+    for st in states.values():
+        st["beta"] = np.zeros((len(seen), len(st["idx"]) + 1))
+    done: dict[str, LogisticModel] = {}
+    for turn in range(1, most_steps + 1):
+        asked = {k: (st["idx"], seen, st["beta"]) for k, st in states.items() if k not in done}
+        cells = data.mapInArrow(_newton_sums(asked), "model string, cell int, value double").groupBy("model", "cell").agg(
+            F.sum("value").alias("value"))
+        found: dict[str, dict] = {}
+        for r in cells.collect():
+            found.setdefault(r["model"], {})[r["cell"]] = r["value"]
+        for name in asked:
+            st, own = states[name], found[name]
+            beta, (k, d) = st["beta"], st["beta"].shape
+            flat = np.array([own[i] for i in range(len(own))])
+            penalty = np.tile(np.append(np.full(d - 1, 1.0 / st["c"]), 0.0), k)
+            loss = flat[0] + 0.5 * (penalty * beta.ravel() ** 2).sum()
+            if st["old"] is not None and loss > st["old"][1] + 1e-9 * max(1.0, abs(st["old"][1])):
+                st["step"] = st["step"] / 2
+                st["beta"] = st["old"][0] - st["step"].reshape(k, d)
+                continue
+            gradient = flat[2:2 + k * d] + penalty * beta.ravel()
+            curve = np.zeros((k * d, k * d))
+            curve[np.triu_indices(k * d)] = flat[2 + k * d:]
+            curve = curve + np.triu(curve, 1).T + np.diag(penalty)
+            step = np.linalg.lstsq(curve, gradient, rcond=1e-13)[0]
+            if gradient @ step <= tol * flat[1]:
+                beta = beta - step.reshape(k, d)
+                weights, ends = np.zeros((len(CLASSES), d - 1)), np.full(len(CLASSES), -np.inf)
+                weights[seen], ends[seen] = beta[:, :-1], beta[:, -1] - beta[:, -1].mean()
+                done[name] = LogisticModel(s, tuple(st["idx"]), weights, ends, st["c"], turn)
+            else:
+                st["old"], st["step"], st["beta"] = (beta, loss), step, beta - step.reshape(k, d)
+        if len(done) == len(states):
+            return {k: done[k] for k in jobs}
+    raise RuntimeError(f"no optimum after {most_steps} steps for {sorted(set(states) - set(done))}")
+
+
+def fit_logistic(rows: DataFrame, s: Scaling, c: float, keep: list[int] | None = None, **how) -> LogisticModel:
+    return fit_logistics(rows, s, {"": (c, keep)}, **how)[""]
+
+
+def _score_logistics(rows: DataFrame, models: dict[str, LogisticModel]) -> DataFrame:
     out = None
     for k, m in models.items():
-        v = vectors
-        if len(m.index) != len(m.scaling.features):
-            v = VectorSlicer(inputCol="features", outputCol="kept", indices=list(m.index)).transform(vectors).drop("features").withColumnRenamed("kept", "features")
-        part = m.predict(v).withColumn("candidate", F.lit(k))
+        part = m.predict(rows).withColumn("candidate", F.lit(k))
         out = part if out is None else out.unionByName(part)
     return evaluate(out, ["candidate"])
 
 
-def scan_logistic(train_v, validation_v, s: Scaling, n: int, values=LOGISTIC_CS) -> tuple[LogisticModel, DataFrame]:
+def scan_logistic(train_v, validation_v, s: Scaling, values=LOGISTIC_CS) -> tuple[LogisticModel, DataFrame]:
     """Choose C by validation macro-F1; ties go to the smallest."""
-    models = _fit_many({f"{c:g}": (train_v, s, n, c) for c in values})
+    models = fit_logistics(train_v, s, {f"{c:g}": (c, None) for c in values})
     scores = _score_logistics(validation_v, models).withColumn("C", F.col("candidate").cast("double")).drop("candidate")
     found = {r["C"]: r["macro_f1"] for r in scores.select("C", "macro_f1").collect()}
     best = min(values, key=lambda c: (-(found.get(float(f"{c:g}")) or 0.0), c))
@@ -265,9 +340,8 @@ def ablate(m: Moments, train_v, validation, validation_v, contract: FeatureContr
         if keep:
             subsets[family] = keep
     ridge = _score_ridges(validation, {f: solve_ridge(m, alpha, k) for f, k in subsets.items()}, tau)
-    logistic = _score_logistics(validation_v, _fit_many({
-        f: (train_v, m.scaling, m.n, c, None if f == "" else k) for f, k in subsets.items()
-    }))
+    logistic = _score_logistics(validation_v, fit_logistics(
+        train_v, m.scaling, {f: (c, None if f == "" else k) for f, k in subsets.items()}))
     both = ridge.select("candidate", "mae").join(logistic.select("candidate", "macro_f1"), "candidate")
     full = both.filter(F.col("candidate") == "").select(F.struct("mae", "macro_f1")).scalar()
     size = F.create_map(*[x for f in subsets if f for x in (F.lit(f), F.lit(len(contract.families()[f])))])
@@ -291,17 +365,17 @@ def train_and_score(
     m = moments(train, names)
     ridge, ridge_scores = scan_ridge(m, validation, tau, alphas)
 
-    train_v = right_sized(assemble(train, m.scaling, TRUTH)).persist(StorageLevel.MEMORY_AND_DISK)
+    train_v = assemble(train, m.scaling, TRUTH).persist(StorageLevel.MEMORY_AND_DISK)
     validation_v = assemble(validation, m.scaling, TRUTH)
-    logistic, logistic_scores = scan_logistic(train_v, validation_v, m.scaling, m.n, cs)
+    logistic, logistic_scores = scan_logistic(train_v, validation_v, m.scaling, cs)
     ablation = (
         ablate(m, train_v, validation, validation_v, contract, ridge.alpha, logistic.c, tau) if with_ablation else None
     )
 
     full = moments(development, names)
     final_ridge = solve_ridge(full, ridge.alpha)
-    dev_v = right_sized(assemble(development, full.scaling, TRUTH)).persist(StorageLevel.MEMORY_AND_DISK)
-    final_logistic = fit_logistic(dev_v, full.scaling, full.n, logistic.c)
+    dev_v = assemble(development, full.scaling, TRUTH).persist(StorageLevel.MEMORY_AND_DISK)
+    final_logistic = fit_logistic(dev_v, full.scaling, logistic.c)
     train_v.unpersist()
     dev_v.unpersist()
 

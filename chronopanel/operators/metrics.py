@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import period_label
 from ..schema import CLASSES, PERIOD, TEST
 from .naive import BASE, PROBS
-from .quantiles import _null_safe, exact_median, is_small
+from .quantiles import _null_safe, exact_median
 
 EPSILON = 1e-15
 PRIMARY_MAGNITUDE, PRIMARY_DIRECTIONAL = "mae", "macro_f1"
@@ -130,11 +130,10 @@ def evaluate(df: DataFrame, keys: list[str], forward: bool = False, bounded: boo
     """Every metric a set of predictions supports, per group; NULL groups are kept.
 
     One aggregation of additive parts.  The median absolute error is the only
-    part that is not additive: it goes through the bracketed exact quantile so
+    part that is not additive: it goes through the counting exact quantile so
     that no task holds a group's errors.  ``bounded`` says every group is at most
-    one entity's months, where the plain aggregate is safe, as it is for small input.
+    one entity's months, where the plain aggregate is safe.
     """
-    bounded = bounded or is_small(df)
     parts = magnitude_aggs() + class_counts() + probability_aggs() + (forward_aggs() if forward else [])
     if bounded:
         parts.append(F.percentile(F.abs(error()), 0.5).alias("medae"))

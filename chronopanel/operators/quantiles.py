@@ -1,13 +1,12 @@
-"""Exact quantiles of unbounded groups.
+"""Exact quantiles of unbounded groups, by repeated counting.
 
 ``percentile`` keeps every distinct value of a group in one task, which a group
 holding a third of a 100 TB table does not survive.  Here a sketch brackets each
-quantile, one pass counts the rows below, inside and above the bracket, and only
-the rows of the zone that holds the wanted ranks are counted out value by value.
-The answer is exact whatever the sketch said: a rank outside the bracket is
-looked up in the outer zone instead.
-
-Input the optimizer already knows to be small takes the plain aggregate.
+quantile; then rows are counted per bin of the bracket (and below and above it), the
+bins that hold the wanted ranks become the next bracket, and after a few rounds the
+values left are counted out.  Counts combine map-side, so rows never move: only
+(group, bin) counts are shuffled, and a window sees one row per bin.  The answer is
+exact whatever the sketch said, as a rank outside the bracket is followed there.
 """
 
 from __future__ import annotations
@@ -16,20 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 2_000
-PLAIN_LIMIT = 16 << 20  # bytes; up to here one task holds every value easily
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate (file sizes carried through the plan); no job runs."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return None
-
-
-def is_small(df: DataFrame, limit: int = PLAIN_LIMIT) -> bool:
-    size = estimated_bytes(df)
-    return size is not None and size <= limit
+BINS, ROUNDS = 1024, 2
 
 
 def _null_safe(keys: list[str], a: str, b: str) -> Column:
@@ -39,19 +25,27 @@ def _null_safe(keys: list[str], a: str, b: str) -> Column:
     return cond
 
 
-def right_sized(df: DataFrame, target: int = 32 << 20) -> DataFrame:
-    """No more partitions than the estimated size fills.
+def bin_of(v: Column, low: Column, high: Column, bins: int) -> Column:
+    """Equal-width bin inside ``[low, high]``; -1 below, ``bins`` above."""
+    inside = F.coalesce(F.least(F.floor(F.try_divide(v - low, high - low) * bins), F.lit(bins - 1)), F.lit(0))
+    return F.when(v < low, -1).when(v > high, bins).otherwise(inside).cast("int")
 
-    An iterative fit runs one job per step, so a small input should be one task;
-    large input is left as it is (``coalesce`` never raises the count).
+
+def attach(df: DataFrame, small: DataFrame, keys: list[str], few_groups: bool = True) -> DataFrame:
+    """Join per-group values to the rows.
+
+    ``few_groups``: the caller declares groups by model, split, tier, class or column,
+    so the small side is bounded by the declaration and may be broadcast; otherwise
+    adaptive execution chooses and splits hot keys.
     """
-    size = estimated_bytes(df)
-    return df if size is None else df.coalesce(max(1, -(-size // target)))
+    extra = [F.col(f"b.{c}") for c in small.columns if c not in keys]
+    side = F.broadcast(small) if few_groups else small
+    return df.alias("a").join(side.alias("b"), _null_safe(keys, "a", "b")).select("a.*", *extra)
 
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], keys: list[str] = (),
-    accuracy: int = ACCURACY, plain_limit: int = PLAIN_LIMIT,
+    df: DataFrame, columns: list[str], probs: list[float], keys: list[str] = (), accuracy: int = ACCURACY,
+    few_groups: bool = True, bins: int = BINS, rounds: int = ROUNDS,
 ) -> DataFrame:
     """Long (keys, column, prob, value) with linear interpolation, NULLs ignored.
 
@@ -59,83 +53,60 @@ def exact_quantiles(
     columns are asked for; every aggregation then combines map-side per (keys,
     column).  No driver action.
     """
+    if rounds < 1 or bins < 1:
+        raise ValueError("at least one round of one bin is needed")
     keys = list(keys)
-    data = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
-    if is_small(data, plain_limit):
-        return _plain(data, columns, probs, keys)
-
-    cells = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).alias("_v")) for i, c in enumerate(columns)])
-    long = data.select(*keys, F.explode(cells).alias("s")).select(*keys, "s.*").filter("_v IS NOT NULL")
-    group = [*keys, "_c"]
+    cells = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])
+    long = df.select(*keys, F.explode(cells).alias("s")).select(*keys, "s.*").filter("_v IS NOT NULL")
+    group, v = [*keys, "_c"], F.col("_v")
+    one = [*group, "_p"]
+    carried = ("_k0", "_k1", "_f")
 
-    # 1. Bracket every quantile, half-width in rank well over the sketch's error.
+    # Half-width in rank well over the sketch's error.
     margin = 4 / accuracy
     asked = sorted({e for p in probs for e in (max(p - margin, 0.0), min(p + margin, 1.0))})
-    brackets = long.groupBy(*group).agg(F.percentile_approx("_v", [float(x) for x in asked], F.lit(accuracy)).alias("_e"))
-
-    # 2. Count the rows below and up to each bracket.
-    lo = [F.col("_e")[asked.index(max(p - margin, 0.0))] for p in probs]
-    hi = [F.col("_e")[asked.index(min(p + margin, 1.0))] for p in probs]
-    v = F.col("_v")
-    counts = _attach(long, brackets, group).groupBy(*group).agg(
-        F.first("_e").alias("_e"), F.count(F.lit(1)).alias("_n"),
-        *[F.count_if(v < x).alias(f"_b{i}") for i, x in enumerate(lo)],
-        *[F.count_if(v <= x).alias(f"_u{i}") for i, x in enumerate(hi)],
-    )
+    sketch = long.groupBy(*group).agg(
+        F.percentile_approx("_v", [float(x) for x in asked], F.lit(accuracy)).alias("_e"), F.count(F.lit(1)).alias("_n"))
 
-    # 3. The wanted ranks of each quantile, the zones holding them, the rows before.
     def slot(i, p):
-        pos = F.lit(float(p)) * (F.col("_n") - 1)
-        k0, k1 = F.floor(pos).cast("long"), F.ceil(pos).cast("long")
-        below, upto = F.col(f"_b{i}"), F.col(f"_u{i}")
-
-        def holds(k):
-            return F.when(k < below, 0).when(k < upto, 1).otherwise(2)
-
+        place = F.lit(float(p)) * (F.col("_n") - 1)
+        first = F.floor(place).cast("long")
         return F.struct(
-            F.lit(i).alias("_p"), lo[i].alias("_lo"), hi[i].alias("_hi"), k0.alias("_k0"), k1.alias("_k1"),
-            (pos - k0).alias("_f"), holds(k0).alias("_z0"), holds(k1).alias("_z1"),
-            F.when(holds(k0) == 0, 0).when(holds(k0) == 1, below).otherwise(upto).cast("long").alias("_off"),
-        )
-
-    slots = counts.select(*group, F.explode(F.array(*[slot(i, p) for i, p in enumerate(probs)])).alias("s")).select(*group, "s.*")
-
-    # 4. Count out, value by value, only the rows of those zones.
-    zone = F.when(v < F.col("_lo"), 0).when(v <= F.col("_hi"), 1).otherwise(2)
-    narrow = _attach(long, slots, group).filter(zone.between(F.col("_z0"), F.col("_z1")))
-    one = [*group, "_p"]
-    by_value = narrow.groupBy(*one, "_v").agg(
-        F.count(F.lit(1)).alias("n"), *[F.first(x).alias(x) for x in ("_k0", "_k1", "_f", "_off")]
-    )
-    w = Window.partitionBy(*one).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = by_value.withColumn("upto", F.col("_off") + F.sum("n").over(w)).withColumn("from", F.col("upto") - F.col("n"))
-
-    def at(k):
-        return F.max(F.when((F.col("from") <= F.col(k)) & (F.col(k) < F.col("upto")), v))
-
+            F.lit(i).alias("_p"), F.col("_e")[asked.index(max(p - margin, 0.0))].alias("_low"),
+            F.col("_e")[asked.index(min(p + margin, 1.0))].alias("_high"), F.lit(0).cast("long").alias("_off"),
+            first.alias("_k0"), F.ceil(place).cast("long").alias("_k1"), (place - first).alias("_f"))
+
+    state = sketch.select(*group, F.explode(F.array(*[slot(i, p) for i, p in enumerate(probs)])).alias("s")).select(*group, "s.*")
+    for turn in range(rounds):
+        rows = attach(long, state, group, few_groups)
+        if turn:
+            rows = rows.filter(v.between(F.col("_low"), F.col("_high")))
+        counted = rows.groupBy(*one, bin_of(v, F.col("_low"), F.col("_high"), bins).alias("_bin")).agg(
+            F.count(F.lit(1)).alias("_m"), F.min(v).alias("_least"), F.max(v).alias("_most"),
+            *[F.first(x).alias(x) for x in ("_off", *carried)])
+        spans = _spans(counted, one, "_bin", "_m")
+        state = spans.groupBy(*one).agg(
+            F.min(F.when(_holds("_k0"), F.col("_least"))).alias("_low"), F.max(F.when(_holds("_k1"), F.col("_most"))).alias("_high"),
+            F.min(F.when(_holds("_k0"), F.col("_from"))).alias("_off"), *[F.first(x).alias(x) for x in carried])
+    left = attach(long, state, group, few_groups).filter(v.between(F.col("_low"), F.col("_high")))
+    by_value = left.groupBy(*one, "_v").agg(F.count(F.lit(1)).alias("_m"), *[F.first(x).alias(x) for x in ("_off", *carried)])
+    ranked = _spans(by_value, one, "_v", "_m")
+    low, high = (F.max(F.when(_holds(k), v)) for k in ("_k0", "_k1"))
     names = F.array(*[F.lit(c) for c in columns])
     ps = F.array(*[F.lit(float(p)) for p in probs])
-    low, high = at("_k0"), at("_k1")
     return ranked.groupBy(*one).agg((low + (high - low) * F.first("_f")).alias("value")).select(
         *keys, names[F.col("_c")].alias("column"), ps[F.col("_p")].alias("prob"), "value"
     )
 
 
-def _plain(data, columns, probs, keys) -> DataFrame:
-    asked = F.array(*[F.lit(float(p)) for p in probs])
-    wide = data.groupBy(*keys).agg(*[F.percentile(c, asked).alias(f"_q{i}") for i, c in enumerate(columns)])
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("prob"), F.col(f"_q{i}")[j].alias("value"))
-        for i, c in enumerate(columns) for j, p in enumerate(probs)
-    ])
-    return wide.select(*keys, F.explode(cells).alias("s")).select(*keys, "s.*").filter("value IS NOT NULL")
+def _spans(df: DataFrame, group: list[str], order: str, n: str) -> DataFrame:
+    """Ranks each row's ``n`` values take: ``_from`` up to but without ``_upto``, after ``_off`` smaller ones."""
+    upto = F.col("_off") + F.sum(n).over(Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col(n))
 
 
-def _attach(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """Join per-group values back to the rows; adaptive execution broadcasts a small side
-    and splits a hot key of a large one."""
-    extra = [F.col(f"b.{c}") for c in small.columns if c not in keys]
-    return df.alias("a").join(small.alias("b"), _null_safe(keys, "a", "b")).select("a.*", *extra)
+def _holds(rank: str) -> Column:
+    return (F.col("_from") <= F.col(rank)) & (F.col(rank) < F.col("_upto"))
 
 
 def exact_median(df: DataFrame, column: str, keys: list[str] = (), name: str | None = None) -> DataFrame:

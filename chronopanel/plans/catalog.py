@@ -692,10 +692,10 @@ def metrics_skill(spark, folder):
 
 @query
 def exact_quantiles_bracketed(spark, folder):
-    """The path taken by input too large for one task, on the whole line-item table."""
+    """Quantiles of three hot groups, over the whole line-item table."""
     li = star.table(spark, folder, "lineitem", "l_returnflag", "l_extendedprice", "l_quantity")
     return quantiles.exact_quantiles(
-        li, ["l_extendedprice", "l_quantity"], [0.01, 0.5, 0.975], ["l_returnflag"], plain_limit=0
+        li, ["l_extendedprice", "l_quantity"], [0.01, 0.5, 0.975], ["l_returnflag"]
     )
 
 
@@ -717,13 +717,14 @@ def bootstrap_intervals_months(spark, folder):
 
 @query
 def bootstrap_median_error(spark, folder):
-    return bootstrap.intervals(test_rows(spark, folder), ["model"], ("medae",), blocks=("month",), contract=replace(C.bootstrap, resamples=200))
+    return bootstrap.intervals(test_rows(spark, folder), ["model"], ("medae",), blocks=("month",), contract=C.bootstrap)
 
 
 @query
 def bootstrap_poisson_weights(spark, folder):
-    """The shuffle-free weights used when there are too many blocks to draw slots."""
-    return bootstrap.intervals(test_rows(spark, folder), ["model"], ("mae",), blocks=("county",), contract=C.bootstrap, draws="poisson")
+    """The other scheme: weights without a shuffle on the drawn block."""
+    return bootstrap.intervals(
+        test_rows(spark, folder), ["model"], ("mae",), blocks=("county",), contract=replace(C.bootstrap, scheme="poisson"))
 
 
 @query
@@ -974,9 +975,10 @@ def learned_results(spark, folder):
 def family_ablation(spark, folder):
     train_, val = train(spark, folder), split(spark, folder).filter(F.col("split") == VALIDATION)
     m = learned.moments(train_, C.features.names())
-    tv = quantiles.right_sized(learned.assemble(train_, m.scaling, naive.TRUTH)).persist(StorageLevel.MEMORY_AND_DISK)
+    tv = learned.assemble(train_, m.scaling, naive.TRUTH).persist(StorageLevel.MEMORY_AND_DISK)
     vv = learned.assemble(val, m.scaling, naive.TRUTH)
     try:
-        return learned.ablate(m, tv, val, vv, C.features, 100.0, 0.1, C.target.tau)
+        chosen = run(spark, folder).params
+        return learned.ablate(m, tv, val, vv, C.features, chosen["alpha"], chosen["C"], C.target.tau)
     finally:
         tv.unpersist()

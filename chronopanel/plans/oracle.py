@@ -407,7 +407,7 @@ def _dictionary() -> str:
 def _availability(extra: str = "") -> str:
     parts = [
         f"SELECT '{s.name}' AS feature, '{s.family}' AS family, '{s.source}' AS source, '{s.definition()}' AS definition, "
-        f"CAST({s.release_lag} AS BIGINT) AS release_lag_months, CAST({s.reach} AS BIGINT) AS reads_back_months, "
+        f"CAST({s.held} AS BIGINT) AS release_lag_months, CAST({s.reach} AS BIGINT) AS reads_back_months, "
         f"{plus_months('min(reference_month)', s.reach)} AS earliest_month_expected, "
         f"min(reference_month) FILTER ({s.name} IS NOT NULL) AS earliest_month_observed, "
         f"round(1 - count({s.name}) / CAST(count(*) AS DOUBLE), 6) + 0.0 AS null_rate FROM t_matrix"
@@ -491,7 +491,7 @@ def _two_blocks() -> str:
     return show(INTERVAL, f"({' UNION ALL '.join(selects)}) WHERE {wanted}", extra)
 
 
-def _median_bootstrap(resamples: int = 200) -> str:
+def _median_bootstrap(resamples: int = 1000) -> str:
     extra = _block_ctes("reference_month", resamples)
     extra["b_rows"] = "SELECT model, CAST(reference_month AS VARCHAR) AS bk, abs(predicted_dg - target_dg) AS v FROM t_test WHERE predicted_dg IS NOT NULL"
     extra["b_values"] = """SELECT model, r, quantile_cont(v, 0.5) AS v FROM (SELECT model, r, v, unnest(range(w)) FROM b_rows

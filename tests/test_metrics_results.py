@@ -158,11 +158,11 @@ def test_one_block_has_no_interval(spark):
 
 def test_poisson_weights_agree_roughly(spark):
     df = noisy(spark, entities=40).cache()
-    a, b = (B.intervals(df, ["model"], ("mae",), ("county",), SMALL, draws=d).orderBy("model").collect() for d in ("slots", "poisson"))
+    a, b = (B.intervals(df, ["model"], ("mae",), ("county",), replace(SMALL, scheme=d)).orderBy("model").collect() for d in ("slots", "poisson"))
     for x, y in zip(a, b):
         assert near(x.point, y.point) and abs(x.low - y.low) < 0.3 * x.point and abs(x.high - y.high) < 0.3 * x.point
-    auto = B.intervals(df, ["model"], ("mae",), ("county",), replace(SMALL, max_slot_blocks=10)).orderBy("model").collect()
-    assert [r.low for r in auto] == pytest.approx([r.low for r in b])
+    with pytest.raises(ValueError, match="scheme"):
+        B.intervals(df, ["model"], ("mae",), ("county",), replace(SMALL, scheme="auto"))
 
 
 def test_paired_difference(spark):
@@ -174,6 +174,26 @@ def test_paired_difference(spark):
     assert near(r.point, mae["a"] - mae["b"], 1e-9) and r.low < r.point < r.high and r.metric == "mae_difference"
     same = B.paired_difference(a, a, "mae", "county", SMALL).first()
     assert near(same.low, 0.0) and near(same.high, 0.0)
+    with pytest.raises(KeyError, match="tract_error"):
+        B.paired_difference(a, b, "tract_error", "county", SMALL)
+
+
+@pytest.mark.parametrize("block,column", [("county", "county_fips"), ("month", "reference_month")])
+def test_paired_medians_equal_row_replication(spark, block, column):
+    import hashlib
+
+    df = noisy(spark).cache()
+    r = B.paired_difference(df.filter("model = 'a'"), df.filter("model = 'b'"), "medae", block, SMALL).first()
+    pdf = df.toPandas().assign(v=lambda d: (d.predicted_dg - d.target_dg).abs())
+    keys = sorted(pdf[column].astype(str).unique())
+    parts = {(m, k): g.v.to_numpy() for (m, k), g in pdf.groupby(["model", pdf[column].astype(str)])}
+    vals = []
+    for n in range(SMALL.resamples):
+        idx = [int(hashlib.md5(f"{SMALL.seed}:{n}:{s}".encode()).hexdigest()[:8], 16) % len(keys) for s in range(len(keys))]
+        a, b = (np.median(np.concatenate([parts[m, keys[i]] for i in idx])) for m in ("a", "b"))
+        vals.append(a - b)
+    low, high = np.quantile(vals, [SMALL.alpha / 2, 1 - SMALL.alpha / 2])
+    assert near(r.low, low, 1e-9) and near(r.high, high, 1e-9) and r.resamples == SMALL.resamples
 
 
 def skewed(spark, n=30_000):
@@ -186,19 +206,29 @@ def skewed(spark, n=30_000):
 
 
 @pytest.mark.parametrize("keys", [[], ["k"]])
-@pytest.mark.parametrize("accuracy", [20, 2000])
-def test_bracketed_quantiles_are_exact(spark, keys, accuracy):
+@pytest.mark.parametrize("how", [{"accuracy": 20}, {}, {"bins": 4, "rounds": 3, "few_groups": False}])
+def test_counted_quantiles_are_exact(spark, keys, how):
     df, probs = skewed(spark), [0.0, 0.001, 0.25, 0.5, 0.999, 1.0]
-    order = [*keys, "column", "prob"]
-    plain = Q.exact_quantiles(df, ["x", "y"], probs, keys, plain_limit=1 << 60).orderBy(*order).collect()
-    got = Q.exact_quantiles(df, ["x", "y"], probs, keys, accuracy=accuracy, plain_limit=0).orderBy(*order).collect()
-    assert len(got) == len(plain)
-    assert all(a[:-1] == b[:-1] and near(a[-1], b[-1], 1e-9) for a, b in zip(plain, got))
+    got = {tuple(r)[:-1]: r.value for r in Q.exact_quantiles(df, ["x", "y"], probs, keys, **how).collect()}
+    pdf = df.toPandas()
+    want = {}
+    for k, g in pdf.groupby(keys) if keys else [((), pdf)]:
+        for c in ("x", "y"):
+            for p in probs:
+                want[(*k, c, p)] = np.nanquantile(g[c], p)
+    assert got.keys() == want.keys() and all(near(got[k], want[k], 1e-9) for k in want)
+
+
+def test_quantile_plan_moves_no_rows(spark):
+    """Without broadcasts to lean on, every exchange of rows is below a partial count."""
+    plan = Q.exact_quantiles(skewed(spark), ["x"], [0.5], ["k"])._jdf.queryExecution().executedPlan().toString()
+    lines = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    after = [plan.split("\n")[plan.split("\n").index(line) + 1] for line in lines]
+    assert lines and all("Aggregate" in x or "Exchange" in x for x in after) and "SortMergeJoin" not in plan
 
 
-def test_bracketed_medae_matches_plain(spark, monkeypatch):
+def test_counted_medae_matches_plain(spark):
     df = noisy(spark, 20)
-    plain = {r.model: r for r in M.evaluate(df, ["model"]).collect()}
-    monkeypatch.setattr(M, "is_small", lambda d: False)
+    plain = {r.model: r for r in M.evaluate(df, ["model"], bounded=True).collect()}
     big = {r.model: r for r in M.evaluate(df, ["model"]).collect()}
     assert all(near(plain[m].medae, big[m].medae) and near(plain[m].mae, big[m].mae) for m in plain)

@@ -131,20 +131,28 @@ def test_ridge_closed_form(spark, xy, alpha):
     assert abs(top.coefficient) == pytest.approx(np.abs(want).max())
 
 
+def probabilities(z, model):
+    s = z @ model.weights.T + model.intercepts
+    p = np.exp(s - s.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
 def test_logistic_optimum(xy):
     df, names, x, _, lab = xy
     z, _ = standardised(x)
     m = L.moments(df, names)
     v = L.assemble(df, m.scaling, ["target_label"])
     c = 0.5
-    model = L.fit_logistic(v, m.scaling, m.n, c, max_iter=2000, tol=1e-12)
-    w, b = model.model.coefficientMatrix.toArray(), model.model.interceptVector.toArray()
-    s = z @ w.T + b
-    p = np.exp(s - s.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
+    model = L.fit_logistic(v, m.scaling, c)
+    w = model.weights
+    p = probabilities(z, model)
     hot = np.array([[l == k for k in CLASSES] for l in lab], dtype=float)
     gradient = (p - hot).T @ z * c + w  # of C * loss + |w|^2 / 2
-    assert np.abs(gradient).max() < 1e-3
+    assert np.abs(gradient).max() < 1e-6
+    loose = L.fit_logistic(v, m.scaling, 1e4)  # almost no penalty, where slow methods stop short
+    assert np.abs((probabilities(z, loose) - hot).T @ z + loose.weights / 1e4).max() < 1e-4
+    with pytest.raises(RuntimeError, match="no optimum"):
+        L.fit_logistic(v, m.scaling, c, most_steps=1)
     out = model.predict(v).toPandas()
     assert np.allclose(out[[f"prob_{k}" for k in CLASSES]].sum(axis=1), 1.0)
     assert set(out["predicted_label"]) <= set(CLASSES)
@@ -155,7 +163,7 @@ def test_absent_class_has_probability_zero(xy):
     two = df.filter("target_label <> 'heating'")
     m = L.moments(two, names)
     v = L.assemble(two, m.scaling, ["target_label"])
-    out = L.fit_logistic(v, m.scaling, m.n, 1.0).predict(v)
+    out = L.fit_logistic(v, m.scaling, 1.0).predict(v)
     assert out.agg(F.max("prob_heating")).first()[0] == 0.0
 
 
@@ -167,6 +175,6 @@ def test_scans_choose_on_validation(xy):
     table = {r.alpha: r.mae for r in scores.collect()}
     assert len(table) == 6 and table[best.alpha] == min(table.values())
     v = L.assemble(df, m.scaling, ["target_dg", "target_label"]).cache()
-    best, scores = L.scan_logistic(v, v, m.scaling, m.n, (0.01, 1.0))
+    best, scores = L.scan_logistic(v, v, m.scaling, (0.01, 1.0))
     f1 = {r.C: r.macro_f1 for r in scores.collect()}
     assert f1[best.c] == max(f1.values())
