@@ -4,12 +4,14 @@ Two lines are near when one edit (a character replaced, added or left out) makes
 them equal.  Each line emits itself and itself without each character, as
 hashes.  Lines that share a variant with the same place left out differ by a
 replacement there; a line that equals a variant of a longer one lacks that
-character.  So the earliest near line comes from a minimum per variant, combined
-before the shuffle: lines that share a variant are never paired with each other
-all together.  The edit distance of the pair found is verified on the texts.
-
-Only lines that share half of their text with another, at their head or tail,
-can have a near line; all others leave before variants are made.
+character.  A line's earliest near line comes from the least of such a run, so lines
+that share a variant are not all paired; as distinct lines of one run differ in one
+character, a run is no longer than the alphabet, or that times the line's length.
+The edit distance of the pair found is verified on the texts.
+
+Near lines agree on all but one of ``m`` segments, counted from head and tail.
+Hashes of these, first of halves and then of eighths, tell which lines can have a near
+line and where the edit would be, so that variants are made for little else.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import land
 from .shared import partitions, store, text_slices
 
 LEAST = 20  # characters; shorter lines are left alone
@@ -38,17 +39,6 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _halves(line: str) -> list[int]:
-    """Hashes of the head and tail halves, at both lengths a line one shorter or longer would use."""
-    from xxhash import xxh3_64_intdigest
-
-    n, out = len(line), []
-    for h in {n // 2, (n + 1) // 2}:
-        out.append(_signed(xxh3_64_intdigest(line[:h].encode("utf-8", "surrogatepass"), h * 2)))
-        out.append(_signed(xxh3_64_intdigest(line[n - h:].encode("utf-8", "surrogatepass"), h * 2 + 1)))
-    return out
-
-
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd multipliers of the two polynomial hashes
 
 
@@ -77,6 +67,23 @@ def variant_hashes(line: str) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def segment_keys(line: str, m: int) -> list[tuple[int, int, int]]:
+    """``(hash, lo, hi)``: what is left of a line without places ``lo`` to ``hi``, for each of ``m`` segments.
+
+    Segments are laid out for the line's own length and for one less, so that a
+    line and one with a character more have common layouts.
+    """
+    from xxhash import xxh3_64_intdigest
+
+    n, out = len(line), {}
+    for whole in (n, n - 1):
+        for k in range(m):
+            lo, tail = k * whole // m, whole - (k + 1) * whole // m
+            rest = f"{whole} {k} {line[:lo]}\0{line[n - tail:]}"
+            out[_signed(xxh3_64_intdigest(rest.encode("utf-8", "surrogatepass")))] = (lo, n - tail)
+    return [(h, lo, hi) for h, (lo, hi) in out.items()]
+
+
 def within_one(a: str, b: str) -> bool:
     """Edit distance of at most one, from the common head and tail."""
     if abs(len(a) - len(b)) > 1:
@@ -89,8 +96,14 @@ def within_one(a: str, b: str) -> bool:
         a[head + 1:] == b[head:] if len(a) > len(b) else a[head:] == b[head + 1:])
 
 
-def distinct_lines(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """Every line of ``least`` characters or more once, with its earliest place: ``(a, b, key, line, text)``, bucketed by ``a``."""
+OCCURRENCES = "a long, b long, key long, line int, halves array<long>"
+
+
+def occurrences(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
+    """Every line of ``least`` characters or more: its number ``(a, b)`` and place ``(key, line)``.
+
+    ``halves`` comes with the earliest places only that a task sees of a line.
+    """
 
     def split(batches):
         seen: dict[tuple[int, int], tuple] = {}
@@ -100,17 +113,24 @@ def distinct_lines(docs: DataFrame, key: str, text: str, least: int) -> DataFram
                 for n, line in enumerate(whole.split("\n")):
                     if len(line) < least:
                         continue
-                    a, b = _number(line.encode("utf-8", "surrogatepass"))
-                    if (a, b) in seen and seen[a, b] <= _place(k, n):
-                        continue
-                    seen[a, b] = _place(k, n)
-                    rows.append((a, b, k, n, line))
+                    own, place, halves = _number(line.encode("utf-8", "surrogatepass")), (k is not None, k or 0, n), None
+                    if own not in seen or place < seen[own]:
+                        seen[own] = place
+                        halves = [h for h, _, _ in segment_keys(line, 2)]
+                    rows.append((*own, k, n, halves))
             if len(seen) > _SEEN:
                 seen.clear()
             if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()))],
-                    names=["a", "b", "key", "line", "text"])
+                    [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["a", "b", "key", "line", "halves"])
+
+    own = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
+    return store(own.mapInArrow(split, OCCURRENCES), "line-occurrences")
+
+
+def distinct_lines(seen: DataFrame) -> DataFrame:
+    """Every line once, with its earliest place (null keys first)."""
 
     def first(batches):
         last = None
@@ -122,114 +142,113 @@ def distinct_lines(docs: DataFrame, key: str, text: str, least: int) -> DataFram
             last = (a[-1], b[-1])
             yield batch.filter(pa.array(new))
 
-    shape = "a long, b long, key long, line int, text string"
-    own = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
-    dealt = own.mapInArrow(split, shape).repartition(partitions(docs.sparkSession), "a")
-    dealt = dealt.sortWithinPartitions("a", "b", F.col("key").asc_nulls_first(), "line").mapInArrow(first, shape)
-    return land(dealt, "lines", bucket_by="a", sort_by=["a", "b"], clustered=True)
+    dealt = seen.filter("halves IS NOT NULL").repartition(partitions(seen.sparkSession), "a", "b")
+    dealt = dealt.sortWithinPartitions("a", "b", F.col("key").asc_nulls_first(), "line")
+    return store(dealt.mapInArrow(first, OCCURRENCES), "lines")
 
 
-def _place(key, line):
-    return (key is not None, key or 0, line)
+def _shared(keys: DataFrame) -> DataFrame:
+    """The rows whose ``h`` occurs more than once; counted first, so that a frequent ``h`` is combined and can be split."""
+    often = keys.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    return keys.join(often, "h")
 
 
-def near_lines(lines: DataFrame) -> DataFrame:
-    """Lines with an earlier line within one edit: ``(a, b)`` of the line, ``(key, line)`` of the earliest such line."""
-    lines = lines.select("a", "b", "key", "line", "text")
+def able_lines(docs: DataFrame, lines: DataFrame, key: str, text: str) -> DataFrame:
+    """Lines that share a half with another, with their texts; ``r`` numbers them in order of place."""
+    some = _shared(lines.select(F.explode("halves").alias("h"), "a", "b")).select("a", "b").distinct()
+    places = lines.join(some, ["a", "b"]).groupBy("key").agg(F.collect_list(F.struct("line", "a", "b")).alias("places"))
+    own = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    places = store(places, "line-places")
+    both = own.join(places, F.col("doc").eqNullSafe(F.col("key"))).select("doc", "text", "places")
 
-    def halves(batches):
+    def pick(batches):
         for batch in batches:
-            a, b, keys = [], [], []
-            for x, y, line in zip(*[batch.column(k).to_pylist() for k in (0, 1, 2)]):
-                own = _halves(line)
-                keys += own
-                a += [x] * len(own)
-                b += [y] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (keys, a, b)], names=["half", "a", "b"])
-
-    half = store(lines.select("a", "b", "text").mapInArrow(halves, "half long, a long, b long"), "line-halves")
-    shared = half.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    some = half.join(shared, "half").select("a", "b").distinct()
-    # Joined by ``a`` alone, as the table is bucketed: its texts stay where they are.
-    able = store(lines.join(some.withColumnRenamed("b", "other"), "a").filter("b = other").drop("other"), "lines-able")
+            rows = []
+            for k, whole, wanted in zip(*[batch.column(c).to_pylist() for c in range(3)]):
+                own = (whole or "").split("\n")
+                for w in wanted:  # rows may share a key: only the line meant is taken
+                    line = own[w["line"]] if w["line"] < len(own) else ""
+                    if _number(line.encode("utf-8", "surrogatepass")) == (w["a"], w["b"]):
+                        rows.append((w["a"], w["b"], k, w["line"], line))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["a", "b", "key", "line", "text"])
 
-    def variants(batches):
-        for batch in batches:
-            rows = list(zip(*[batch.column(k).to_pylist() for k in range(5)]))
-            lo = 0
-            while lo < len(rows):  # output of bounded size
-                hi, held = lo, 0
-                while hi < len(rows) and (hi == lo or held + len(rows[hi][4]) < 1 << 18):
-                    held += len(rows[hi][4])
-                    hi += 1
-                hashes = [variant_hashes(r[4]) for r in rows[lo:hi]]
-                sizes = [len(h[0]) for h in hashes]
-                columns = [
-                    pa.array(np.concatenate([h[0] for h in hashes])), pa.array(np.concatenate([h[1] for h in hashes])),
-                    pa.array(np.concatenate([np.arange(-1, n - 1, dtype=np.int32) for n in sizes]))]
-                for c, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int64()), (3, pa.int32())):
-                    columns.append(pa.array([r[c] for r in rows[lo:hi]], t).take(pa.array(np.repeat(np.arange(hi - lo), sizes))))
-                yield pa.RecordBatch.from_arrays(columns, names=["v", "w", "gap", "a", "b", "key", "line"])
-                lo = hi
-
-    made = able.select("a", "b", "key", "line", "text").mapInArrow(
-        variants, "v long, w long, gap int, a long, b long, key long, line int")
-    # The key of a variant of the same length carries the place left out; the line itself meets all that lack one character.
-    place = F.struct(F.col("key"), F.col("line"), F.col("a"), F.col("b"))
-    made = made.select("v", "w", "gap", place.alias("at"))
-    swap = made.filter("gap >= 0").groupBy("v", "w", "gap").agg(
-        F.min("at").alias("low"), F.count("*").alias("n")).filter("n > 1")
-    swapped = made.filter("gap >= 0").join(swap, ["v", "w", "gap"]).filter("at > low").select("at", F.col("low").alias("near"))
-    meet = made.groupBy("v", "w").agg(
-        F.min(F.when(F.col("gap") < 0, F.col("at"))).alias("whole"),
-        F.min(F.when(F.col("gap") >= 0, F.col("at"))).alias("low"), F.max("gap").alias("far"),
-    ).filter("whole IS NOT NULL AND far >= 0")
-    longer = made.filter("gap >= 0").join(meet.select("v", "w", "whole"), ["v", "w"]).filter("at > whole").select(
-        "at", F.col("whole").alias("near"))
-    shorter = meet.filter("whole > low").select(F.col("whole").alias("at"), F.col("low").alias("near"))
-    best = swapped.unionByName(longer).unionByName(shorter).groupBy("at").agg(F.min("near").alias("near"))
-    pairs = store(best.select("at.*", F.col("near.a").alias("na"), F.col("near.b").alias("nb"),
-                              F.col("near.key").alias("near_key"), F.col("near.line").alias("near_line")), "line-pairs")
-    texts = able.select(F.col("a").alias("na"), F.col("b").alias("nb"), F.col("text").alias("near_text"))
-    both = pairs.join(able.select("a", "b", "text"), ["a", "b"]).join(texts, ["na", "nb"])
+    found = both.mapInArrow(pick, "a long, b long, key long, line int, text string")
+    by = [F.col("key").asc_nulls_first(), F.col("line"), F.col("a"), F.col("b")]
+    n = partitions(docs.sparkSession)
+    ranked = store(found, "lines-found").dropDuplicates(["a", "b"]).repartitionByRange(n, *by).sortWithinPartitions(*by)
+    return store(ranked.withColumn("r", F.monotonically_increasing_id()), "lines-able")
 
-    def verify(batches):
-        for batch in batches:
-            own = [within_one(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
-            yield batch.select([0, 1, 2, 3]).filter(pa.array(own, pa.bool_()))
 
-    return both.select("a", "b", "near_key", "near_line", "text", "near_text").mapInArrow(
-        verify, "a long, b long, near_key long, near_line int")
+def near_lines(able: DataFrame) -> DataFrame:
+    """``(a, b)`` of the lines with an earlier line within one edit."""
 
+    def eighths(batches):
+        for batch in batches:
+            rows = [(h, r, lo, hi) for r, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                    for h, lo, hi in segment_keys(line, 8)]
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["h", "r", "lo", "hi"])
 
-def decisions(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """Every distinct line of ``least`` characters or more: ``(a, b, key, line, stays)``.
+    keys = store(able.select("r", "text").mapInArrow(eighths, "h long, r long, lo int, hi int"), "line-eighths")
+    spans = _shared(keys).groupBy("r").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))  # 16 at most
 
-    ``(key, line)`` is its earliest place; it stays there unless an earlier line
-    is within one edit.  Everywhere else it goes.
-    """
-    lines = distinct_lines(docs, key, text, least)
-    near = store(near_lines(lines).select("a", F.col("b").alias("other")), "lines-near")
-    own = lines.select("a", "b", "key", "line")
-    goes = own.join(near, (own["a"] == near["a"]) & (own["b"] == near["other"]), "left")
-    return store(goes.select(own["a"], "b", "key", "line", near["other"].isNull().alias("stays")), "line-decisions")
+    def variants(batches):
+        for batch in batches:
+            for r, line, spans in zip(*[batch.column(c).to_pylist() for c in range(3)]):
+                gaps = np.unique(np.concatenate([[-1], *[np.arange(s["lo"], s["hi"]) for s in spans]])).astype(np.int64)
+                v, w = variant_hashes(line)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v[gaps + 1]), pa.array(w[gaps + 1]), pa.array(gaps.astype(np.int32)), pa.array(np.full(len(gaps), r))],
+                    names=["v", "w", "gap", "r"])
 
+    def runs(batches):
+        """Sorted by variant, gap and place: the least of a run, for every other row of it."""
+        held = None
+        for batch in batches:
+            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
+            if held is not None:
+                own = [np.concatenate(x) for x in zip(held, own)]
+            if not len(own[0]):
+                continue
+            cut = int(np.searchsorted(own[0], own[0][-1]))
+            held = [c[cut:] for c in own]
+            yield from pairs([c[:cut] for c in own])
+        if held is not None:
+            yield from pairs(held)
+
+    def pairs(own):
+        v, w, gap, r = own
+        if len(v) < 2:
+            return
+        new = np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])])
+        start = np.flatnonzero(new)[np.cumsum(new) - 1]  # of the variant; the line itself stands there with gap -1
+        whole = gap[start] < 0
+        low = np.where(whole & (gap >= 0), r[start], r)
+        least = np.minimum.reduceat(np.where(gap < 0, np.iinfo(np.int64).max, r), np.flatnonzero(new))[np.cumsum(new) - 1]
+        low = np.where(gap < 0, np.minimum(least, r), low)
+        run = np.concatenate([[True], new[1:] | (gap[1:] != gap[:-1])])
+        low = np.minimum(low, r[np.flatnonzero(run)[np.cumsum(run) - 1]])
+        out = low < r
+        if out.any():
+            yield pa.RecordBatch.from_arrays([pa.array(r[out]), pa.array(low[out])], names=["r", "near"])
+
+    n = partitions(able.sparkSession)
+    made = able.select("r", "text").join(spans, "r").select("r", "text", "spans").mapInArrow(variants, "v long, w long, gap int, r long")
+    least = made.repartition(n, "v").sortWithinPartitions("v", "w", "gap", "r").mapInArrow(runs, "r long, near long")
+    least = least.groupBy("r").agg(F.min("near").alias("near"))
+    near = able.select(F.col("r").alias("near"), F.col("text").alias("near_text"))
+    both = able.join(least, "r").join(near, "near").select("a", "b", "text", "near_text")
 
-def _occurrences(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    def split(batches):
-        for part, texts in text_slices(batches, text):
-            rows = [
-                (*_number(line.encode("utf-8", "surrogatepass")), k, n)
-                for k, whole in zip(part.column(0).to_pylist(), texts)
-                for n, line in enumerate(whole.split("\n")) if len(line) >= least
-            ]
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32()))],
-                    names=["a", "b", "doc", "n"])
+    def verify(batches):
+        for batch in batches:
+            own = [within_one(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield batch.select([0, 1]).filter(pa.array(own, pa.bool_()))
 
-    own = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
-    return own.mapInArrow(split, "a long, b long, doc long, n int")
+    return both.mapInArrow(verify, "a long, b long")
 
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
@@ -240,12 +259,15 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
     line whose only earlier neighbour goes itself still goes.)  Rows that share a
     key share its places and are treated alike; null keys come first.
     """
-    decided = decisions(docs, key, text, least)
-    # Lines that occur once and stay need no look at their occurrences' places.
-    own = _occurrences(docs, key, text, least)
-    out = own.join(decided, ["a", "b"]).filter(
-        ~(F.col("stays") & F.col("doc").eqNullSafe(F.col("key")) & (F.col("n") == F.col("line"))))
-    return store(out.groupBy("doc").agg(F.sort_array(F.collect_set("n")).alias("dropped")), "line-removals")
+    seen = occurrences(docs, key, text, least)
+    lines = distinct_lines(seen)
+    near = near_lines(able_lines(docs, lines, key, text))
+    goes = F.col("near").isNotNull()
+    decided = lines.join(near.withColumn("near", F.lit(True)), ["a", "b"], "left").select(
+        "a", "b", F.col("key").alias("first_key"), F.col("line").alias("first_line"), goes.alias("goes"))
+    out = seen.select("a", "b", "key", "line").join(decided, ["a", "b"]).filter(
+        F.col("goes") | ~F.col("key").eqNullSafe(F.col("first_key")) | (F.col("line") != F.col("first_line")))
+    return store(out.groupBy(F.col("key").alias("doc")).agg(F.sort_array(F.collect_set("line")).alias("dropped")), "line-removals")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
