@@ -158,7 +158,8 @@ def able_lines(docs: DataFrame, lines: DataFrame, key: str, text: str) -> DataFr
     some = _shared(lines.select(F.explode("halves").alias("h"), "a", "b")).select("a", "b").distinct()
     places = lines.join(some, ["a", "b"]).groupBy("key").agg(F.collect_list(F.struct("line", "a", "b")).alias("places"))
     own = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    places = store(places, "line-places")
+    # Lines to look up grow with the corpus, so documents are always dealt by key, at any size.
+    places = store(places, "line-places").hint("merge")
     both = own.join(places, F.col("doc").eqNullSafe(F.col("key"))).select("doc", "text", "places")
 
     def pick(batches):
@@ -276,7 +277,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     A null text stays null, an empty one empty.  A text of which nothing is left
     becomes empty.  ``docs`` may not have a column ``lines_dropped`` itself.
     """
-    gone = removals(docs, key, text, least)
+    gone = removals(docs, key, text, least).hint("merge")  # grows with the corpus
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
     both = whole.join(gone, F.col("own")[key].cast("long").eqNullSafe(F.col("doc")), "left").select(
         "own", F.col("own")[text].cast("string").alias("text"), "dropped")
