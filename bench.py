@@ -22,7 +22,8 @@ COLD = [
 LANDED = [
     "feature_matrix", "feature_availability", "quality_checks", "column_profile", "audit_publication", "split_accounting",
     "metrics_model_table", "metrics_by_tier", "bootstrap_intervals_entities", "eda_target_distribution", "eda_outliers",
-    "eda_regime_shifts", "results_headline", "imputer_scaling",
+    "eda_regime_shifts", "results_headline", "imputer_scaling", "bootstrap_poisson_weights", "bootstrap_median_error",
+    "bootstrap_paired_median", "audit_replay", "ridge_alpha_scan", "logistic_c_scan", "learned_predictions", "family_ablation",
 ]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..contracts import Contracts
 from ..functions.scalar import cutoff, month_start
 from ..schema import ENTITY, KEY, NAME, PERIOD
-from .rows import join_accounting, validated_join
+from .rows import count_guard, join_accounting, validated_join
 
 
 def month_range(start: Column, end: Column) -> Column:
@@ -32,8 +32,8 @@ def build_panel(entities, housing, rate, labour, contracts: Contracts) -> DataFr
     """Left-join the staged sources onto the spine under a cardinality contract."""
     spine = build_spine(entities, housing)
     panel = validated_join(spine, housing.drop(NAME), KEY, validate="one_to_one")
-    # One row per calendar month: the number of months a DATE can hold bounds it.
-    panel = panel.join(F.broadcast(rate), PERIOD, "left")
+    # The guard leaves one row per calendar month, and the months a DATE can hold bound those.
+    panel = panel.join(F.broadcast(count_guard(rate, [PERIOD], "rate")), PERIOD, "left")
     panel = validated_join(panel, labour, KEY, validate="one_to_one")
     fc = contracts.features
     out = panel.withColumn("prediction_as_of", cutoff(F.col(PERIOD), fc.cutoff_months, fc.cutoff_day))

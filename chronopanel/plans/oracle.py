@@ -252,14 +252,14 @@ def statement(final: str, extra: dict[str, str] | None = None) -> str:
 
 
 def pick(spec: str) -> str:
-    """``~x`` rounds to 6 places, ``$x`` to 3 (off the exact half-way values), ``#x`` is a BIGINT; others pass through."""
+    """``~x`` rounds to 6 places, ``$x`` (money) to single precision, ``#x`` is a BIGINT; others pass through."""
     out = []
     for tok in spec.split():
         kind, name = (tok[0], tok[1:]) if tok[0] in "~$#" else ("", tok)
         if kind == "~":
             out.append(f"round({name}, 6) + 0.0 AS {name}")
         elif kind == "$":
-            out.append(f"floor({name} * 1000 + 0.50013) / 1000 AS {name}")
+            out.append(f"CAST(CAST({name} AS FLOAT) AS DOUBLE) AS {name}")
         elif kind == "#":
             out.append(f"CAST({name} AS BIGINT) AS {name}")
         else:
@@ -534,6 +534,23 @@ def _paired() -> str:
     )
 
 
+def _paired_median() -> str:
+    """Median errors of two models under the same draws, for entity and month blocks."""
+    extra, selects = {}, []
+    two = "(SELECT * FROM t_test WHERE model IN ('base_effect', 'zero_change'))"
+    for tag, block, column in (("c", "county", "county_fips"), ("m", "month", "reference_month")):
+        ren = lambda t: re.sub(r"\bb_(stats|num|draw|sample|total)\b", rf"{tag}_\1", t)
+        extra |= {ren(k): ren(v) for k, v in _block_ctes(column, source=two).items()}
+        extra[f"{tag}_rows"] = f"SELECT model, CAST({column} AS VARCHAR) AS bk, abs(predicted_dg - target_dg) AS v FROM {two} WHERE predicted_dg IS NOT NULL"
+        extra[f"{tag}_values"] = f"""SELECT model, r, quantile_cont(v, 0.5) AS v FROM (SELECT model, r, v, unnest(range(w)) FROM {tag}_rows
+            JOIN (SELECT model, bk, r, w FROM {tag}_num JOIN {tag}_draw USING (b, idx)) USING (model, bk)) GROUP BY 1, 2"""
+        side = "max(v) FILTER (model = 'base_effect') - max(v) FILTER (model = 'zero_change')"
+        selects.append(f"""SELECT 'medae_difference' AS metric, '{block}' AS block,
+            (SELECT {side} FROM (SELECT model, quantile_cont(v, 0.5) AS v FROM {tag}_rows GROUP BY 1)) AS point,
+            quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high, count(*) AS resamples FROM (SELECT r, {side} AS d FROM {tag}_values GROUP BY r)""")
+    return show("metric block ~point ~low ~high #resamples", f"({' UNION ALL '.join(selects)})", extra)
+
+
 # --------------------------------------------------------------- result tables
 
 
@@ -585,11 +602,11 @@ def _dispersion(where: str, extra_cols: str = "", spec: str = "") -> str:
     )
 
 
-def _staged_counts() -> str:
-    return statement(
-        "SELECT 'entities' AS source, count(*) AS rows FROM t_entities UNION ALL SELECT 'housing', count(*) FROM t_housing "
-        "UNION ALL SELECT 'mortgage_rate', count(*) FROM t_rate UNION ALL SELECT 'unemployment', count(*) FROM t_labour"
-    )
+def _kept_whole(sources: dict[str, str]) -> str:
+    """Row counts of tables that a write and a read must return unchanged."""
+    return statement(" UNION ALL ".join(
+        f"SELECT '{name}' AS source, count(*) AS rows, count(*) AS rows_back, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS gained FROM {table}"
+        for name, table in sources.items()))
 
 
 def _scaling() -> str:
@@ -626,7 +643,7 @@ def build() -> dict[str, str]:
         ),
         "housing_unmatched_names": statement(
             "SELECT s_name || ' County, ' || r_name AS region, count(*) AS rows FROM t_facts JOIN supplier ON l_suppkey = s_suppkey "
-            "JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_nationkey <> 15 GROUP BY 1 ORDER BY 1 LIMIT 10"
+            "JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_nationkey <> 15 GROUP BY 1"
         ),
         "staged_rate": show(f"reference_month {RATE}", "t_rate"),
         "text_scan_rate_series": show(f"reference_month {RATE}", "t_rate"),
@@ -646,11 +663,13 @@ def build() -> dict[str, str]:
         "labour_unknown_entities": statement(
             "SELECT county_fips, count(*) AS rows FROM t_labour WHERE substr(county_fips, 1, 2) <> '15' GROUP BY 1"
         ),
-        "staged_tables_sink": _staged_counts(),
-        "panel_sink_roundtrip": statement(
-            "SELECT reference_month, count(*) AS panel_rows, count(*) FILTER (is_included AND has_target) AS modelling_rows FROM t_target GROUP BY 1"
-        ),
-        "predictions_sink": statement("SELECT model, split, count(*) AS rows FROM t_pred WHERE split = 'validation' GROUP BY 1, 2"),
+        "staged_tables_sink": _kept_whole(
+            {"entities": "t_entities", "housing": "t_housing", "mortgage_rate": "t_rate", "unemployment": "t_labour"}),
+        "snapshot_sink": _kept_whole({
+            n: f"{t} WHERE substr(county_fips, 1, 2) = '15'" for n, t in (
+                ("entities", "t_entities"), ("housing", "t_housing"), ("unemployment", "t_labour"))} | {"mortgage_rate": "t_rate"}),
+        "panel_sink_roundtrip": _kept_whole({"panel": "t_target", "modelling": "t_target WHERE is_included AND has_target"}),
+        "predictions_sink": _kept_whole({"predictions": "t_pred"}),
         "table_fingerprint_check": """WITH y AS (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1)
             SELECT CAST(y AS VARCHAR) AS part, CASE WHEN y <> 2001 THEN n END AS rows_recorded, CASE WHEN y <> 1996 THEN n END AS rows_found,
             CASE y WHEN 1996 THEN 'missing' WHEN 1998 THEN 'mismatch' WHEN 2001 THEN 'not recorded' ELSE 'ok' END AS status FROM y""",
@@ -734,9 +753,9 @@ def build() -> dict[str, str]:
         "quality_missingness": show('"column" #nulls ~null_rate', f"({_nulls()})"),
         "quality_worst_missing": show('"column" #nulls ~null_rate', f'(SELECT * FROM ({_nulls()}) ORDER BY null_rate DESC, "column" LIMIT 3)'),
         "split_row_count_guard": statement(
-            """SELECT e.split, CAST(expected AS BIGINT) AS expected, coalesce(actual, 0) AS actual, expected = coalesce(actual, 0) AS passed FROM
-            (VALUES ('train', 3771), ('validation', 870), ('test', 1), ('embargo', 575), ('eligible', 6275)) e(split, expected) LEFT JOIN
-            (SELECT split, count(*) AS actual FROM t_split GROUP BY 1 UNION ALL SELECT 'eligible', count(*) FROM t_split WHERE split <> 'ineligible') a ON e.split = a.split"""
+            """SELECT split, actual + CAST(split = 'test' AS BIGINT) AS expected, actual, split <> 'test' AS passed FROM
+            (SELECT e.split, coalesce(n, 0) AS actual FROM (VALUES ('train'), ('validation'), ('test'), ('embargo'), ('eligible')) e(split) LEFT JOIN
+            (SELECT split, count(*) AS n FROM t_split GROUP BY 1 UNION ALL SELECT 'eligible', count(*) FROM t_split WHERE split <> 'ineligible') a ON e.split = a.split)"""
         ),
         "column_profile": show(PROFILE, f"({_profile(PANEL_TYPES)})"),
         "data_dictionary": _dictionary(),
@@ -812,6 +831,7 @@ def build() -> dict[str, str]:
         ),
         "bootstrap_median_error": _median_bootstrap(),
         "bootstrap_poisson_weights": _poisson(),
+        "bootstrap_paired_median": _paired_median(),
         "bootstrap_paired_difference": _paired(),
         "eda_target_distribution": show(
             "#rows ~mean ~std start \"end\" ~median ~iqr ~abs_median " + " ".join(f"~q{str(p).replace('.', '_')}" for p in QUANTILES),
@@ -898,8 +918,9 @@ def build() -> dict[str, str]:
             f"JOIN (SELECT volume_tier, {metric_columns()} FROM t_test WHERE model = 'mean_reversion' GROUP BY 1) b USING (volume_tier))",
         ),
         "results_by_entity": show(
-            "county_fips county_name volume_tier ~mae #n county",
-            "(SELECT county_fips, county_name, volume_tier, avg(abs(predicted_dg - target_dg)) AS mae, count(*) AS n, replace(county_name, ' County', '') AS county FROM t_test WHERE model = 'base_effect' GROUP BY 1, 2, 3)",
+            "county_fips county_name volume_tier ~mae #n county #place_in_tier",
+            "(SELECT *, row_number() OVER (PARTITION BY volume_tier ORDER BY round(mae, 9) DESC NULLS LAST, county_fips) AS place_in_tier FROM "
+            "(SELECT county_fips, county_name, volume_tier, avg(abs(predicted_dg - target_dg)) AS mae, count(*) AS n, replace(county_name, ' County', '') AS county FROM t_test WHERE model = 'base_effect' GROUP BY 1, 2, 3))",
         ),
         "results_base_effect_correlation": show(
             "~corr_dg_base #rows",

@@ -41,6 +41,8 @@ def shared_folder(spark: SparkSession) -> str:
 _local_folders: dict[str, str] = {}
 _landed: dict[tuple[str, str], DataFrame] = {}
 _tables: dict[tuple[str, str], str] = {}
+_written: dict[str, list[str]] = {}
+on_release: list = []  # called by ``release``, for what else is kept of landed tables
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -49,7 +51,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def land(
     df: DataFrame, name: str, bucket_by: str | None = None, sort_by: list[str] | None = None,
-    clustered: bool = False, partition_by: list[str] | None = None,
+    clustered: bool = False, partition_by: list[str] | None = None, buckets: int | None = None,
 ) -> DataFrame:
     """Write a table once to the shared folder and read it back.
 
@@ -57,13 +59,15 @@ def land(
     leaves the table hash-distributed on that column, so later windows and
     aggregations on it need no exchange.  ``clustered`` says the rows already sit
     that way (they come from a table bucketed alike), so they are not moved again.
+    ``buckets`` is the table's own number, by default that of the shuffle partitions.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     if bucket_by is None:
         df.write.partitionBy(*(partition_by or [])).parquet(path)
         return spark.read.schema(df.schema).parquet(path).select(*df.columns)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     table = f"chronopanel_{name}_{uuid.uuid4().hex[:12]}"
     (
         (df if clustered else df.repartition(buckets, bucket_by))
@@ -86,9 +90,15 @@ def landed(spark: SparkSession, key: str, build, **how) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Forget this application's landed tables (their files stay in the shared folder)."""
+    """Forget this application's landed tables and delete their files."""
     app = spark.sparkContext.applicationId
+    for forget in on_release:
+        forget()
     for k in [k for k in _landed if k[0] == app]:
         del _landed[k]
     for k in [k for k in _tables if k[0] == app]:
         spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(k)}")
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    for folder in _written.pop(app, []):
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)

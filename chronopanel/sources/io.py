@@ -46,10 +46,13 @@ def read_housing_bulk(spark, path, measures):
     return raw.select(*context, *[F.col(m).try_cast("double").alias(m) for m in measures])
 
 
-def land_housing_bulk(bulk: DataFrame, path: str) -> None:
-    """Splittable copy, partitioned on the two columns every reader filters on."""
+def land_housing_bulk(bulk: DataFrame, path: str, spread: int = 16) -> None:
+    """Splittable copy, partitioned on the two columns every reader filters on.
+
+    Rows of one state and year are spread over ``spread`` tasks and files, so a hot one is not one task's.
+    """
     (bulk.withColumn("period_year", F.year(F.col("period_begin").try_cast("date")))
-     .repartition("state_code", "period_year")
+     .repartition("state_code", "period_year", F.pmod(F.xxhash64("region", "period_begin"), F.lit(spread)))
      .write.mode("overwrite").partitionBy("state_code", "period_year").parquet(path))
 
 
@@ -95,6 +98,21 @@ def write_tables(tables: dict[str, DataFrame], folder: str, prefix: str = "") ->
     return paths
 
 
+SNAPSHOTS = ("entities", "housing", "mortgage_rate", "unemployment")
+
+
+def write_snapshots(tables: dict[str, DataFrame], folder: str, state: str | None = None, names=SNAPSHOTS) -> dict[str, str]:
+    """The declared slices of the staged tables, cut to one state's entities where there are any.
+
+    Every declared table must be there; tables without entities are written whole.
+    """
+    absent = [n for n in names if n not in tables]
+    if absent:
+        raise KeyError(f"no staged table for the snapshots {', '.join(absent)}")
+    own = lambda t: t.filter(F.col(ENTITY).startswith(state)) if state and ENTITY in t.columns else t
+    return write_tables({n: own(tables[n]) for n in names}, folder, "snapshot_")
+
+
 # ------------------------------------------------------------- fingerprints
 
 
@@ -108,6 +126,17 @@ def fingerprint(df: DataFrame, by: Column | str, name: str = "part") -> DataFram
     return df.groupBy(part).agg(F.count(F.lit(1)).alias("rows"), F.sum(row).alias("content_hash"))
 
 
+def same_content(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of either table, and rows that the other lacks, copies counted."""
+    columns = sorted(a.columns)
+    if columns != sorted(b.columns):
+        raise ValueError(f"columns differ: {sorted(set(a.columns) ^ set(b.columns))}")
+    sides = a.select(*columns, F.lit(1).alias("_d")).unionByName(b.select(*columns, F.lit(-1).alias("_d")))
+    per = sides.groupBy(*columns).agg(F.sum("_d").alias("_d"), F.count_if(F.col("_d") > 0).alias("_a"), F.count_if(F.col("_d") < 0).alias("_b"))
+    return per.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (
+        ("_a", "rows"), ("_b", "rows_back"), (F.greatest("_d", F.lit(0)), "lost"), (F.greatest(-F.col("_d"), F.lit(0)), "gained"))])
+
+
 def compare_fingerprints(recorded: DataFrame, current: DataFrame, name: str = "part") -> DataFrame:
     """Every part with its status; a mismatch never hides the ones after it."""
     a, b = recorded.alias("a"), current.alias("b")

@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 
 from ..contracts import LABOUR_MEASURES, MEASURES, StagingContract
 from ..functions import scalar as S
-from ..operators.rows import REASON, Staged, account, kept, tag
+from ..operators.rows import REASON, Staged, account, count_guard, kept, tag, validated_join
 from ..schema import ENTITY, NAME, PERIOD
 
 
 def stage_entities(raw: DataFrame, c: StagingContract) -> Staged:
-    """Entity codes -> (id, name, name key)."""
+    """Entity codes -> (id, name, name key), and the state's abbreviation where the codes carry one.
+
+    With it, names are looked up within their state, as they repeat between states.
+    """
     rules = [] if c.state is None else [("other state", F.col("statefp") != c.state)]
     tagged = tag(raw, rules) if rules else raw.withColumn(REASON, F.lit(None).cast("string"))
     table = kept(tagged).select(
         S.compose_id(F.col("statefp"), F.col("countyfp"), c.state_width, c.county_width).alias(ENTITY),
         F.trim("countyname").alias(NAME),
         S.name_key(F.col("countyname")).alias("county_name_key"),
+        *([F.trim("state").alias("state_code")] if "state" in raw.columns else []),
     )
     return Staged("entities", table, tagged)
 
@@ -39,25 +43,26 @@ def stage_housing(raw: DataFrame, entities: DataFrame, c: StagingContract) -> St
         wanted = wanted & (F.col("state_code") == c.state_abbrev)
     off_grain = ("not an entity-month aggregate row", ~wanted)
 
-    lookup = entities.select(ENTITY, NAME, "county_name_key")
+    by = ["county_name_key", *(["state_code"] if "state_code" in entities.columns else [])]
+    lookup = entities.select(ENTITY, NAME, *by)
     keyed = raw.withColumn("county_name_key", S.name_key(F.col("region")))
     unmatched = ("name not in the reference list", F.col(ENTITY).isNull())
 
     table = kept(tag(
-        keyed.filter(wanted).join(lookup, "county_name_key", "left"), [unmatched]
+        validated_join(keyed.filter(wanted), lookup, by, validate="many_to_one"), [unmatched]
     )).select(
         ENTITY, NAME, S.month_start(F.col("period_begin")).alias(PERIOD), *MEASURES,
         F.col("last_updated").try_cast("timestamp").alias("redfin_last_updated"),
     )
-    tagged = tag(keyed.join(lookup, "county_name_key", "left"), [off_grain, unmatched])
+    tagged = tag(validated_join(keyed, lookup, by, validate="many_to_one"), [off_grain, unmatched])
     return Staged("housing", table, tagged)
 
 
-def unmatched_names(staged: Staged, top: int = 10) -> DataFrame:
-    """First names, in order, that the reference list does not know."""
+def unmatched_names(staged: Staged) -> DataFrame:
+    """Names that the reference list does not know, with their rows."""
     return (
         staged.tagged.filter(F.col(REASON) == "name not in the reference list")
-        .groupBy("region").agg(F.count(F.lit(1)).alias("rows")).orderBy("region").limit(top)
+        .groupBy("region").agg(F.count(F.lit(1)).alias("rows"))
     )
 
 
@@ -102,10 +107,16 @@ def widen_labour(long: DataFrame) -> DataFrame:
     """Long (entity, month, measure, value) -> one column per measure.
 
     The measures are declared, so the pivot is one conditional aggregate each:
-    a single shuffle, combined map-side.
+    a single shuffle, combined map-side.  A measure given twice for an entity and
+    month is an error, not a choice.
     """
     names = sorted(LABOUR_MEASURES.values())
-    return long.groupBy(ENTITY, PERIOD).agg(*[F.min(F.when(F.col("measure") == m, F.col("value"))).alias(m) for m in names])
+    own = {m: F.when(F.col("measure") == m, F.col("value")) for m in names}
+    wide = long.groupBy(ENTITY, PERIOD).agg(
+        *[F.min(v).alias(m) for m, v in own.items()], *[F.count(v).alias(f"_n_{m}") for m, v in own.items()])
+    twice = F.concat_ws(" ", F.lit("measure given twice for"), ENTITY, F.col(PERIOD).cast("string"))
+    once = F.when(F.greatest(*[F.col(f"_n_{m}") for m in names]) > 1, F.raise_error(twice).cast("boolean")).otherwise(True)
+    return wide.filter(once).select(ENTITY, PERIOD, *names)
 
 
 def stage_labour(observations: DataFrame, series: DataFrame, entities: DataFrame, c: StagingContract) -> Staged:
@@ -120,7 +131,7 @@ def stage_labour(observations: DataFrame, series: DataFrame, entities: DataFrame
             "value", S.to_number(F.col("value"))
         )
 
-    joined = decoded(observations.filter(S.is_month_code(F.col("period")))).join(wanted, "series_id")
+    joined = decoded(observations.filter(S.is_month_code(F.col("period")))).join(count_guard(wanted, ["series_id"], "series"), "series_id")
     long = joined.filter(F.col(PERIOD).isNotNull() & F.col("value").isNotNull())
     table = widen_labour(long).join(entities.select(ENTITY), ENTITY, "left_semi")
     tagged = tag(decoded(observations).join(wanted, "series_id", "left"), [non_month, foreign, unusable])

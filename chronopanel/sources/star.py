@@ -30,6 +30,7 @@ def reference_codes(spark, folder) -> DataFrame:
         F.concat(F.lit(" "), F.col("s_nationkey").cast("string")).alias("statefp"),
         F.col("s_suppkey").cast("string").alias("countyfp"),
         F.concat("s_name", F.lit(" County ")).alias("countyname"),
+        F.col("s_nationkey").cast("string").alias("state"),
     )
 
 

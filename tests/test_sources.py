@@ -125,3 +125,54 @@ def test_shared_folder_is_the_clusters(spark):
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_folder(Session())
     assert session.shared_folder(spark) == session.shared_folder(spark)
+
+
+def test_joins_refuse_repeated_keys(spark, entities):
+    from chronopanel.operators.panel import build_panel
+    from helpers import small_sources
+
+    labour = staging.LABOUR_MEASURES
+    code = next(iter(labour))
+    series = spark.createDataFrame([("S1", "F", "CN0603700000000", code)] * 2, "series_id string, area_type_code string, area_code string, measure_code string")
+    seen = spark.createDataFrame([("S1", "2024", "M01", "5.0")], "series_id string, year string, period string, value string")
+    with pytest.raises(Exception, match="series key repeats"):
+        staging.stage_labour(seen, series, entities.table, C).table.collect()
+    once = series.distinct()
+    assert staging.stage_labour(seen, once, entities.table, C).table.count() == 1
+    with pytest.raises(Exception, match="given twice"):
+        staging.stage_labour(seen.unionByName(seen), once, entities.table, C).table.collect()
+    e, h, r, u = small_sources(spark)[:4]
+    from chronopanel.contracts import PRODUCTION
+
+    with pytest.raises(Exception, match="rate key repeats"):
+        build_panel(e, h, r.unionByName(r), u, PRODUCTION).collect()
+
+
+def test_names_are_looked_up_within_their_state(spark):
+    from dataclasses import replace
+
+    codes = spark.createDataFrame(
+        [("06", "001", "Lake County", "CA"), ("08", "003", "Lake County", "CO")], "statefp string, countyfp string, countyname string, state string")
+    every = replace(C, state=None, state_abbrev=None)
+    known = staging.stage_entities(codes, every).table
+    rows = spark.createDataFrame(
+        [("2024-01-01", "30", "county", "Lake County, CA", "CA", "All Residential", "x", 1.0), ("2024-01-01", "30", "county", "Lake County, CO", "CO", "All Residential", "x", 2.0)],
+        "period_begin string, period_duration string, region_type string, region string, state_code string, property_type string, last_updated string, m double")
+    wide = rows.selectExpr("*", *[f"m AS {x}" for x in MEASURES])
+    got = staging.stage_housing(wide, known, every).table.collect()
+    assert sorted((r.county_fips, r.homes_sold) for r in got) == [("06001", 1.0), ("08003", 2.0)]
+    with pytest.raises(Exception, match="key repeats"):
+        staging.stage_housing(wide, known.drop("state_code"), every).table.collect()
+
+
+def test_snapshots_and_content(spark, tmp_path):
+    t = spark.createDataFrame([("06001", 1), ("06001", 1), ("08001", 2)], "county_fips string, n int")
+    rate = spark.createDataFrame([(1.5,)], "rate double")
+    tables = {"entities": t, "housing": t, "mortgage_rate": rate, "unemployment": t}
+    paths = io.write_snapshots(tables, str(tmp_path), "06")
+    assert spark.read.parquet(paths["housing"]).count() == 2 and spark.read.parquet(paths["mortgage_rate"]).count() == 1
+    with pytest.raises(KeyError, match="unemployment"):
+        io.write_snapshots({k: v for k, v in tables.items() if k != "unemployment"}, str(tmp_path))
+    same = lambda a, b: tuple(io.same_content(a, b).first())
+    assert same(t, t) == (3, 3, 0, 0) and same(t, t.distinct()) == (3, 2, 1, 0)
+    assert same(t, t.withColumn("n", t.n + 1)) == (3, 3, 3, 3)
