@@ -14,6 +14,7 @@ the exact recursion, in another order.
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
@@ -47,19 +48,19 @@ def word_features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray
     word = np.repeat(np.arange(len(words)), lengths)
     place = np.arange(len(codes))
     left = np.repeat(ends, lengths) - place  # letters from here to the word's end
-    numbers, owners = [], []
+    numbers, owners = [], []  # 32-bit, as a sample has millions
     for n in GRAMS:
         at = np.flatnonzero(left >= n)
         h = np.full(len(at), n, np.uint64)
         for k in range(n):
             h = (h ^ codes[at + k]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        numbers.append((h >> np.uint64(40)).astype(np.int64) % BUCKETS)
-        owners.append(word[at])
+        numbers.append(((h >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int32))
+        owners.append(word[at].astype(np.int32))
     listed = np.fromiter((lexicon.get(w, -1) for w in words), np.int64, len(words))
     known = np.flatnonzero(listed >= 0)
-    numbers.append(BUCKETS + listed[known])
-    owners.append(known)
+    numbers.append((BUCKETS + listed[known]).astype(np.int32))
+    owners.append(known.astype(np.int32))
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
     count = np.bincount(owner, minlength=len(words))
@@ -132,15 +133,16 @@ class Chains:
         out = both[self.column, self.row]
         if not pairs:
             return out
-        before = np.concatenate([into[None], alpha[:-1]])
-        ahead = e * beta
-        joint = before[..., :, None] * transition * ahead[..., None, :]
-        joint /= joint.sum(axis=(2, 3), keepdims=True)
-        joint[~self.mask] = 0
+        # Expected moves are sums of products before x transition x ahead, each place scaled to one.
+        before, ahead = np.concatenate([into[None], alpha[:-1]]), e * beta
+        ahead /= ((before @ transition) * ahead).sum(axis=2, keepdims=True)
         heads = self.first[self.per > 0]
-        opening = joint[0, heads]  # from the state before the first word
+        opening = before[0, heads] * (ahead[0, heads] @ transition.T)  # from the state before the first word
+        inner = self.mask.copy()
+        inner[0, heads] = False
+        moves = transition * (before[inner].T @ ahead[inner])
         likelihood = float(np.log(scale[self.mask]).sum() + top.sum())
-        return out, joint.sum(axis=(0, 1)) - opening.sum(axis=0), opening.sum(axis=(0, 2)), likelihood
+        return out, moves, opening.sum(axis=0), likelihood
 
 
 # ------------------------------------------------------------------ training
@@ -205,9 +207,9 @@ def train(
     frequent = np.argsort(-np.bincount(codes), kind="stable")[:lexicon_size]
     lexicon = {distinct[w]: i for i, w in enumerate(sorted(frequent.tolist()))}
     numbers, first = word_features(list(distinct), lexicon)
-    owner = np.repeat(np.arange(len(distinct)), np.diff(np.append(first, len(numbers))))
-    by = np.argsort(numbers, kind="stable")
+    by = np.argsort(numbers, kind="stable").astype(np.int32)
     used, cuts = np.unique(numbers[by], return_index=True)
+    owner = np.repeat(np.arange(len(distinct), dtype=np.int32), np.diff(np.append(first, len(numbers))))[by]
     sizes = np.array([len(d) for d in split], np.int64)
     chains = Chains(sizes)
     home = np.repeat([languages.index(x) for x in labels], sizes)
@@ -236,7 +238,7 @@ def train(
         gap = target - p
         for j in range(k):
             per_word[:, j] = np.bincount(codes, gap[:, j], minlength=len(distinct))
-        grad_w = np.add.reduceat(per_word[owner[by]], cuts, axis=0) / len(flat) - penalty * w[used]
+        grad_w = np.add.reduceat(per_word[owner], cuts, axis=0) / len(flat) - penalty * w[used]
         seen = target[:-1][inner[1:]].T @ target[1:][inner[1:]]
         grad_t = (seen - moves) / len(flat) - 1e-4 * t
         grad_s = (target[starts].sum(axis=0) - opening) / len(starts)
@@ -260,14 +262,13 @@ def held_out(key: str = "doc_id"):
 
 
 def fit(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample_rows: int = 350,
-    sample_characters: int = 4_000_000, **how,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample_rows: int = 250,
+    sample_characters: int = 1_500_000, **how,
 ) -> Model:
     """Fit on a bounded sample: about ``sample_rows`` rows per label, whole texts, at most ``sample_characters`` of each label's.
 
     The rows with the smallest hashes are taken, so the sample is the same in
-    every run.  Texts are added in hash order until the next would exceed the
-    bound on characters.
+    every run.  Texts that would exceed the bound on characters are left out.
     """
     rows = learnable(docs, key, label)
     counts = rows.groupBy(label).agg(F.count("*").alias("n"))
@@ -279,14 +280,19 @@ def fit(
     room = sample_characters
     taken = rows.filter(chosen & (F.length(text) <= room)).select(
         F.col(label).cast("string").alias("label"), F.col(text).alias("text"), draw.alias("draw"))
-    got = sorted(taken.collect(), key=lambda r: (r["label"], r["draw"], r["text"]))
-    texts, labels, held, number = [], [], {}, {}
-    for r in got:
-        name = r["label"]
-        if number.get(name, 0) < sample_rows and held.get(name, 0) + len(r["text"]) <= room:
-            texts.append(r["text"]), labels.append(name)
-            held[name], number[name] = held.get(name, 0) + len(r["text"]), number.get(name, 0) + 1
-    return train(texts, labels, **how)
+
+    def learn(batches):
+        got = sorted((r["label"], r["draw"], r["text"]) for batch in batches for r in batch.to_pylist())
+        texts, labels, held, number = [], [], {}, {}
+        for name, _, whole in got:
+            if number.get(name, 0) < sample_rows and held.get(name, 0) + len(whole) <= room:
+                texts.append(whole), labels.append(name)
+                held[name], number[name] = held.get(name, 0) + len(whole), number.get(name, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, labels, **how))])], names=["model"])
+
+    # The sample is bounded, so one task learns from it, and only the model reaches the driver.
+    found = taken.repartition(1).mapInArrow(learn, "model binary").first()
+    return pickle.loads(found["model"]) if found else train([], [])
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

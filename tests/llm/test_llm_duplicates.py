@@ -138,7 +138,7 @@ def plain_dedup(rows, least):
         for n, line in enumerate((t or "").split("\n")):
             if len(line) >= least:
                 at[line] = min(at.get(line, order(k, n)), order(k, n))
-    gone = {x for x in at for y in at if at[y] < at[x] and distance(x, y) == 1}
+    gone = {x for x in at for y in at if at[y] < at[x] and x != y and lines.within_one(x, y)}  # itself tested against edit distances below
     out = []
     for k, t in rows:
         keep = [line for n, line in enumerate((t or "").split("\n"))
