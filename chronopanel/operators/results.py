@@ -89,14 +89,14 @@ def forward_rows(predictions: DataFrame, model: str, split: str = TEST) -> DataF
     ).filter("actual_f IS NOT NULL AND predicted_f IS NOT NULL")
 
 
-def interval_table(predictions: DataFrame, wanted: dict[str, tuple[str, ...]], c: BootstrapContract, split: str = TEST, draws: str = "auto") -> DataFrame:
+def interval_table(predictions: DataFrame, wanted: dict[str, tuple[str, ...]], c: BootstrapContract, split: str = TEST) -> DataFrame:
     """Intervals of chosen (model, metric) pairs, all models in one plan."""
     metrics = tuple(dict.fromkeys(m for ms in wanted.values() for m in ms))
     rows = scored(predictions, split).filter(F.col("model").isin(*wanted))
     pick = reduce(lambda a, b: a | b, [
         (F.col("model") == k) & F.col("metric").isin(*v) for k, v in wanted.items()
     ])
-    return intervals(rows, ["model"], metrics, contract=c, draws=draws).filter(pick)
+    return intervals(rows, ["model"], metrics, contract=c).filter(pick)
 
 
 def claim_facts(predictions: DataFrame, t: TargetContract, magnitude: str = RIDGE, direction: str = LOGISTIC, split: str = TEST) -> DataFrame:
