@@ -34,7 +34,7 @@ FORMULAS = {
     "macro_f1": macro_f1,
     "balanced_accuracy": balanced_accuracy,
 }
-# Not a formula over sums; see ``_median_draws``.
+# Not a formula over sums; see ``_median_values``.
 MEDIAN = "medae"
 
 
