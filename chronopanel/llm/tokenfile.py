@@ -165,7 +165,7 @@ def write(
             out.close()
             made.append((part, shard, uri, len(out.keys), out.n_ids, bits))
 
-        for batch in batches:
+        for batch in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 if out is not None and out.n_ids >= shard_ids:
                     end()
