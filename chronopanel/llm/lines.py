@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 
 from .shared import partitions, store, text_slices
 
-LEAST = 20  # characters; shorter lines are left alone
+LEAST = 1  # characters; every line that is not blank takes part
+NEAR = 20  # characters; shorter lines go as exact repeats only, as one edit makes another short line of them
 _SEEN = 400_000  # lines a task remembers, to leave out repeats early
 
 
@@ -99,10 +100,11 @@ def within_one(a: str, b: str) -> bool:
 OCCURRENCES = "a long, b long, key long, line int, halves array<long>"
 
 
-def occurrences(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """Every line of ``least`` characters or more: its number ``(a, b)`` and place ``(key, line)``.
+def occurrences(docs: DataFrame, key: str, text: str, least: int, near: int) -> DataFrame:
+    """Every line of ``least`` characters or more that is not blank: its number ``(a, b)`` and place ``(key, line)``.
 
-    ``halves`` comes with the earliest places only that a task sees of a line.
+    ``halves`` comes with the earliest places only that a task sees of a line; it
+    is empty for a line of less than ``near`` characters.
     """
 
     def split(batches):
@@ -111,12 +113,12 @@ def occurrences(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
             rows: list[tuple] = []
             for k, whole in zip(part.column(0).to_pylist(), texts):
                 for n, line in enumerate(whole.split("\n")):
-                    if len(line) < least:
+                    if len(line) < least or not line or line.isspace():
                         continue
                     own, place, halves = _number(line.encode("utf-8", "surrogatepass")), (k is not None, k or 0, n), None
                     if own not in seen or place < seen[own]:
                         seen[own] = place
-                        halves = [h for h, _, _ in segment_keys(line, 2)]
+                        halves = [h for h, _, _ in segment_keys(line, 2)] if len(line) >= near else []
                     rows.append((*own, k, n, halves))
             if len(seen) > _SEEN:
                 seen.clear()
@@ -252,32 +254,40 @@ def near_lines(able: DataFrame) -> DataFrame:
     return both.mapInArrow(verify, "a long, b long")
 
 
-def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+def removals(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, near: int | None = None,
+) -> DataFrame:
     """``(doc, dropped)``: the numbers of the lines that go, for every key with any.
 
     A line goes when the same line, or one within one edit, stands earlier: in a
-    document with a smaller key, or earlier in the same one.  (Chains count: a
+    document with a smaller key, or earlier in the same one.  Lines of less than
+    ``near`` characters (``NEAR``; ``least`` where that is given) go as exact repeats
+    only.  Blank lines stay.  (Chains count: a
     line whose only earlier neighbour goes itself still goes.)  Rows that share a
     key share its places and are treated alike; null keys come first.
     """
-    seen = occurrences(docs, key, text, least)
+    if near is None:
+        near = NEAR if least == LEAST else least
+    seen = occurrences(docs, key, text, least, near)
     lines = distinct_lines(seen)
-    near = near_lines(able_lines(docs, lines, key, text))
+    edited = near_lines(able_lines(docs, lines, key, text))
     goes = F.col("near").isNotNull()
-    decided = lines.join(near.withColumn("near", F.lit(True)), ["a", "b"], "left").select(
+    decided = lines.join(edited.withColumn("near", F.lit(True)), ["a", "b"], "left").select(
         "a", "b", F.col("key").alias("first_key"), F.col("line").alias("first_line"), goes.alias("goes"))
     out = seen.select("a", "b", "key", "line").join(decided, ["a", "b"]).filter(
         F.col("goes") | ~F.col("key").eqNullSafe(F.col("first_key")) | (F.col("line") != F.col("first_line")))
     return store(out.groupBy(F.col("key").alias("doc")).agg(F.sort_array(F.collect_set("line")).alias("dropped")), "line-removals")
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+def deduplicate(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, near: int | None = None,
+) -> DataFrame:
     """All rows and columns of ``docs`` with the lines that go left out of ``text``; adds ``lines_dropped``.
 
     A null text stays null, an empty one empty.  A text of which nothing is left
     becomes empty.  ``docs`` may not have a column ``lines_dropped`` itself.
     """
-    gone = removals(docs, key, text, least).hint("merge")  # grows with the corpus
+    gone = removals(docs, key, text, least, near).hint("merge")  # grows with the corpus
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
     both = whole.join(gone, F.col("own")[key].cast("long").eqNullSafe(F.col("doc")), "left").select(
         "own", F.col("own")[text].cast("string").alias("text"), "dropped")

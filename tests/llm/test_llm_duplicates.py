@@ -176,6 +176,14 @@ def test_lines(spark, seed):
     assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
 
 
+def test_short_lines_go_as_exact_repeats(spark):
+    importable(spark)
+    rows = [(1, "yes\n\n- a\n \nyes"), (2, "- b\nyes\n\n \n日本語の行です。"), (3, "日本語の行です。\n日本語の行です\n- b\n}"), (4, "}\n\n")]
+    got = lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.text, r.lines_dropped) for r in got} == {
+        1: ("yes\n\n- a\n ", 1), 2: ("- b\n\n \n日本語の行です。", 1), 3: ("日本語の行です\n}", 2), 4: ("\n", 1)}
+
+
 def test_lines_of_an_empty_table(spark):
     assert lines.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
