@@ -214,6 +214,16 @@ def test_pipeline(spark, corpus):
     assert C.run(spark, folder).count() == len(seen["pack_sequences"])
 
 
+def test_line_stage_keeps_own_short_lines(spark):
+    import corpus_pipeline as C
+
+    footer, own = "Released under the terms given at the end of the book.", "Own verse,\nits short lines,\nand no more."
+    rows = [(1, f"A first document with a line of its own.\n{footer}"), (2, f"{own}\n{footer}"), (3, f"Own verse,\n \n{footer}"), (4, " \n")]
+    got = C.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1L AS n_chars"), "")
+    assert {r.doc_id: (r.text, r.n_chars) for r in got.collect()} == {
+        1: (rows[0][1], len(rows[0][1])), 2: (own, len(own)), 4: (" \n", 2)}
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     import corpus_pipeline as C
 
