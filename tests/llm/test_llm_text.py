@@ -116,6 +116,12 @@ def test_held_out_rows_teach_nothing(spark):
     assert "held" not in model.languages
 
 
+def test_long_texts_teach(spark):
+    rows = [(k, f"{w * 1000} " * (1000 if k == 1 else 2), w) for k, w in ((1, "ab"), (3, "cd"), (4, "cd"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").filter(~language.held_out())
+    assert language.fit(df, rounds=2).languages == sorted({r.lang for r in df.select("lang").collect()}) and df.filter("lang = 'ab'").count()
+
+
 def test_no_labels_and_no_rows(spark):
     importable(spark)
     shape = "doc_id long, text string, lang string"
