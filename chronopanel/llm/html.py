@@ -4,8 +4,9 @@ Every element gets a link-adjusted number of characters per tag; an element's
 density sum adds up its children.  The element with the greatest sum is the core
 of the page.  The least density on the way from it to ``body`` is the page's
 threshold: an ancestor takes the core's place when it has another child that
-reaches the threshold.  The text of the chosen subtree is returned in full but for
-elements that are no part of an article by their kind or name.
+reaches the threshold, ``body`` too.  The text of the chosen subtree is returned in
+full but for elements that are no part of an article by their kind or name; an ``h1``
+beside the way to ``body`` is returned with it.
 """
 
 from __future__ import annotations
@@ -190,16 +191,17 @@ class Page:
         least = min(density[e] for e in path)
         on_path = set(path)
         chosen = core
-        for up in path[1:-1]:
+        for up in path[1:]:
             rich = any(
                 density[e] >= least and not self.drop[e] and e not in on_path and self.tag[e] not in INLINE
                 for e in self.children(up))
             if rich or self.tag[up] in ("article", "main"):
                 chosen = up
         inside = [False] * n
-        inside[chosen] = True
-        for e in range(chosen + 1, n):
-            inside[e] = inside[self.parent[e]]
+        for e in [chosen, *(e for up in path[1:] for e in self.children(up) if self.tag[e] == "h1")]:
+            inside[e] = True
+        for e in range(1, n):
+            inside[e] = inside[e] or inside[self.parent[e]]
         out = [unescape(run) if run else " " for e, run in self.runs if inside[e] and not self.drop[e]]
         return " ".join("".join(out).split())
 

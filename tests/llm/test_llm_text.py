@@ -298,6 +298,13 @@ def test_article(main):
     assert html.main_text(PAGE.format(main=main.format(a, b))) == want
 
 
+def test_article_split_under_body():
+    part = lambda w: "<div>" + 3 * f"<p>{60 * (w + ' ')}</p>" + "</div>"
+    want = lambda w: " ".join(180 * [w])
+    assert html.main_text(f"<body>{part('left')}{part('next')}</body>") == f"{want('left')} {want('next')}"
+    assert html.main_text(f"<body><nav>no</nav><h1>A title</h1>{part('left')}<div class=ad>no</div></body>") == f"A title {want('left')}"
+
+
 def test_odd_pages(spark):
     importable(spark)
     for page, want in (("", ""), ("plain &eacute; text", "plain é text"), ("<p>a<p>b", "a b"), ("<!-- only", ""), ("<p>x < y</p>", "x < y"),
