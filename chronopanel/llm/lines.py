@@ -97,11 +97,16 @@ def within_one(a: str, b: str) -> bool:
         a[head + 1:] == b[head:] if len(a) > len(b) else a[head:] == b[head + 1:])
 
 
-OCCURRENCES = "a long, b long, key long, line int, halves array<long>"
+OCCURRENCES = "a long, b long, key long, row long, line int, halves array<long>"
+
+
+def _row(text):
+    """Tells rows that share a key apart; rows with the same key and text are alike in every line."""
+    return F.xxhash64(text.cast("string"))
 
 
 def occurrences(docs: DataFrame, key: str, text: str, least: int, near: int) -> DataFrame:
-    """Every line of ``least`` characters or more that is not blank: its number ``(a, b)`` and place ``(key, line)``.
+    """Every line of ``least`` characters or more that is not blank: its number ``(a, b)`` and place ``(key, row, line)``.
 
     ``halves`` comes with the earliest places only that a task sees of a line; it
     is empty for a line of less than ``near`` characters.
@@ -109,25 +114,25 @@ def occurrences(docs: DataFrame, key: str, text: str, least: int, near: int) ->
 
     def split(batches):
         seen: dict[tuple[int, int], tuple] = {}
-        for part, texts in text_slices(batches, text):
+        for part, texts in text_slices(batches, "text"):
             rows: list[tuple] = []
-            for k, whole in zip(part.column(0).to_pylist(), texts):
+            for k, row, whole in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts):
                 for n, line in enumerate(whole.split("\n")):
                     if len(line) < least or not line or line.isspace():
                         continue
-                    own, place, halves = _number(line.encode("utf-8", "surrogatepass")), (k is not None, k or 0, n), None
+                    own, place, halves = _number(line.encode("utf-8", "surrogatepass")), (k is not None, k or 0, row, n), None
                     if own not in seen or place < seen[own]:
                         seen[own] = place
                         halves = [h for h, _, _ in segment_keys(line, 2)] if len(line) >= near else []
-                    rows.append((*own, k, n, halves))
+                    rows.append((*own, k, row, n, halves))
             if len(seen) > _SEEN:
                 seen.clear()
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["a", "b", "key", "line", "halves"])
+                    [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["a", "b", "key", "row", "line", "halves"])
 
-    own = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text))
+    own = docs.select(F.col(key).cast("long").alias("key"), _row(F.col(text)).alias("row"), F.col(text).cast("string").alias("text"))
     return store(own.mapInArrow(split, OCCURRENCES), "line-occurrences")
 
 
@@ -145,7 +150,7 @@ def distinct_lines(seen: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(new))
 
     dealt = seen.filter("halves IS NOT NULL").repartition(partitions(seen.sparkSession), "a", "b")
-    dealt = dealt.sortWithinPartitions("a", "b", F.col("key").asc_nulls_first(), "line")
+    dealt = dealt.sortWithinPartitions("a", "b", F.col("key").asc_nulls_first(), "row", "line")
     return store(dealt.mapInArrow(first, OCCURRENCES), "lines")
 
 
@@ -158,28 +163,30 @@ def _shared(keys: DataFrame) -> DataFrame:
 def able_lines(docs: DataFrame, lines: DataFrame, key: str, text: str) -> DataFrame:
     """Lines that share a half with another, with their texts; ``r`` numbers them in order of place."""
     some = _shared(lines.select(F.explode("halves").alias("h"), "a", "b")).select("a", "b").distinct()
-    places = lines.join(some, ["a", "b"]).groupBy("key").agg(F.collect_list(F.struct("line", "a", "b")).alias("places"))
-    own = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    places = lines.join(some, ["a", "b"]).groupBy("key", "row").agg(
+        F.collect_list(F.struct("line", "a", "b")).alias("places"))
+    own = docs.select(F.col(key).cast("long").alias("doc"), _row(F.col(text)).alias("doc_row"), F.col(text).cast("string").alias("text"))
     # Lines to look up grow with the corpus, so documents are always dealt by key, at any size.
     places = store(places, "line-places").hint("merge")
-    both = own.join(places, F.col("doc").eqNullSafe(F.col("key"))).select("doc", "text", "places")
+    both = own.join(places, F.col("doc").eqNullSafe(F.col("key")) & (F.col("doc_row") == F.col("row"))).select(
+        "doc", "row", "text", "places")
 
     def pick(batches):
         for batch in batches:
             rows = []
-            for k, whole, wanted in zip(*[batch.column(c).to_pylist() for c in range(3)]):
+            for k, row, whole, wanted in zip(*[batch.column(c).to_pylist() for c in range(4)]):
                 own = (whole or "").split("\n")
-                for w in wanted:  # rows may share a key: only the line meant is taken
+                for w in wanted:  # only the line meant is taken
                     line = own[w["line"]] if w["line"] < len(own) else ""
                     if _number(line.encode("utf-8", "surrogatepass")) == (w["a"], w["b"]):
-                        rows.append((w["a"], w["b"], k, w["line"], line))
+                        rows.append((w["a"], w["b"], k, row, w["line"], line))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["a", "b", "key", "line", "text"])
+                    [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["a", "b", "key", "row", "line", "text"])
 
-    found = both.mapInArrow(pick, "a long, b long, key long, line int, text string")
-    by = [F.col("key").asc_nulls_first(), F.col("line"), F.col("a"), F.col("b")]
+    found = both.mapInArrow(pick, "a long, b long, key long, row long, line int, text string")
+    by = [F.col("key").asc_nulls_first(), F.col("row"), F.col("line"), F.col("a"), F.col("b")]
     n = partitions(docs.sparkSession)
     ranked = store(found, "lines-found").dropDuplicates(["a", "b"]).repartitionByRange(n, *by).sortWithinPartitions(*by)
     return store(ranked.withColumn("r", F.monotonically_increasing_id()), "lines-able")
@@ -257,14 +264,15 @@ def near_lines(able: DataFrame) -> DataFrame:
 def removals(
     docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, near: int | None = None,
 ) -> DataFrame:
-    """``(doc, dropped)``: the numbers of the lines that go, for every key with any.
+    """``(doc, row, dropped)``: the numbers of the lines that go, for every row with any.
 
     A line goes when the same line, or one within one edit, stands earlier: in a
     document with a smaller key, or earlier in the same one.  Lines of less than
     ``near`` characters (``NEAR``; ``least`` where that is given) go as exact repeats
     only.  Blank lines stay.  (Chains count: a
     line whose only earlier neighbour goes itself still goes.)  Rows that share a
-    key share its places and are treated alike; null keys come first.
+    key are told apart by ``row``, a hash of the text, and come in its order; those with
+    equal texts as well are treated alike.  Null keys come first.
     """
     if near is None:
         near = NEAR if least == LEAST else least
@@ -273,10 +281,11 @@ def removals(
     edited = near_lines(able_lines(docs, lines, key, text))
     goes = F.col("near").isNotNull()
     decided = lines.join(edited.withColumn("near", F.lit(True)), ["a", "b"], "left").select(
-        "a", "b", F.col("key").alias("first_key"), F.col("line").alias("first_line"), goes.alias("goes"))
-    out = seen.select("a", "b", "key", "line").join(decided, ["a", "b"]).filter(
-        F.col("goes") | ~F.col("key").eqNullSafe(F.col("first_key")) | (F.col("line") != F.col("first_line")))
-    return store(out.groupBy(F.col("key").alias("doc")).agg(F.sort_array(F.collect_set("line")).alias("dropped")), "line-removals")
+        "a", "b", F.col("key").alias("first_key"), F.col("row").alias("first_row"), F.col("line").alias("first_line"), goes.alias("goes"))
+    out = seen.select("a", "b", "key", "row", "line").join(decided, ["a", "b"]).filter(
+        F.col("goes") | ~F.col("key").eqNullSafe(F.col("first_key")) | (F.col("row") != F.col("first_row"))
+        | (F.col("line") != F.col("first_line")))
+    return store(out.groupBy(F.col("key").alias("doc"), "row").agg(F.sort_array(F.collect_set("line")).alias("dropped")), "line-removals")
 
 
 def deduplicate(
@@ -288,8 +297,9 @@ def deduplicate(
     becomes empty.  ``docs`` may not have a column ``lines_dropped`` itself.
     """
     gone = removals(docs, key, text, least, near).hint("merge")  # grows with the corpus
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
-    both = whole.join(gone, F.col("own")[key].cast("long").eqNullSafe(F.col("doc")), "left").select(
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), _row(F.col(f"`{text}`")).alias("own_row"))
+    both = whole.join(
+        gone, F.col("own")[key].cast("long").eqNullSafe(F.col("doc")) & (F.col("own_row") == F.col("row")), "left").select(
         "own", F.col("own")[text].cast("string").alias("text"), "dropped")
 
     def cut(batches):

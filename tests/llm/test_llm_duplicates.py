@@ -184,6 +184,14 @@ def test_short_lines_go_as_exact_repeats(spark):
         1: ("yes\n\n- a\n ", 1), 2: ("- b\n\n \n日本語の行です。", 1), 3: ("日本語の行です\n}", 2), 4: ("\n", 1)}
 
 
+def test_lines_of_rows_that_share_a_key(spark):
+    importable(spark)
+    rows = [(k, t.format(k=k)) for k in (None, 7) for t in ("again {k}\nfirst {k}\nagain {k}", "one {k}\ntwo {k}\nthree {k}")]
+    got = lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(
+        str((k, t.removesuffix(f"\nagain {k}"), int("again" in t))) for k, t in rows)
+
+
 def test_lines_of_an_empty_table(spark):
     assert lines.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
