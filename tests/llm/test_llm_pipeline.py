@@ -53,7 +53,7 @@ def result(spark):
 
 
 def test_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in catalog.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in catalog.QUERIES) == list(range(1, 14))
     assert set(catalog.QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
