@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation, Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..contracts import LOGISTIC_CS, RIDGE_ALPHAS, FeatureContract
@@ -107,7 +108,7 @@ class RidgeModel:
 
     def coefficients(self, spark) -> DataFrame:
         rows = [(self.scaling.features[i], float(w)) for i, w in zip(self.index, self.weights)]
-        rows.sort(key=lambda r: (-abs(r[1]), r[0]))
+        rows.sort(key=lambda r: (-round(abs(r[1]), 9), r[0]))  # weights equal up to rounding go by name
         return spark.createDataFrame(
             [(k + 1, f, w) for k, (f, w) in enumerate(rows)], "rank int, feature string, coefficient double"
         )
@@ -127,6 +128,15 @@ def solve_ridge(m: Moments, alpha: float, keep: list[int] | None = None) -> Ridg
     return RidgeModel(m.scaling, tuple(idx), np.linalg.solve(gram, rhs), m.y_mean, alpha)
 
 
+def normal_equations(spark, m: Moments, alpha: float) -> DataFrame:
+    """The standardised system of a ridge fit in long form, each cell per row of data: the Gram matrix's upper half, the right side, the solution."""
+    names, fit = m.scaling.features, solve_ridge(m, alpha)
+    cells = [("gram", a, names[j], float(m.corr[i, j])) for i, a in enumerate(names) for j in range(i, len(names))]
+    cells += [("right", a, None, float(m.corr_y[i] * m.y_sd)) for i, a in enumerate(names)]
+    cells += [("coefficient", names[i], None, float(w)) for i, w in zip(fit.index, fit.weights)]
+    return spark.createDataFrame(cells, "part string, feature string, other string, value double")
+
+
 def fit_ridge(train: DataFrame, features: list[str], alpha: float) -> RidgeModel:
     return solve_ridge(moments(train, features), alpha)
 
@@ -159,6 +169,29 @@ class LogisticModel:
     intercepts: np.ndarray  # minus infinity for a class that was never seen
     c: float
     steps: int
+    curvature: np.ndarray | None = None  # of the objective at the optimum, seen classes x (features, intercept)
+
+    def _seen(self) -> list[int]:
+        return [k for k in range(len(CLASSES)) if np.isfinite(self.intercepts[k])]
+
+    def without(self, keep: list[int]) -> np.ndarray:
+        """Coefficients to start a fit on fewer features from: the least point of this fit's quadratic model with the others at zero."""
+        seen, own = self._seen(), list(self.index)
+        full = np.column_stack([self.weights[seen], self.intercepts[seen]])
+        stays = np.zeros(full.shape, bool)
+        stays[:, [own.index(i) for i in keep] + [len(own)]] = True
+        stays, flat = stays.ravel(), full.ravel().copy()
+        if self.curvature is not None and not stays.all():
+            h = self.curvature
+            flat[stays] += np.linalg.lstsq(h[np.ix_(stays, stays)], h[np.ix_(stays, ~stays)] @ flat[~stays], rcond=1e-13)[0]
+        return flat[stays].reshape(len(seen), -1)
+
+    def rescaled(self, to: Scaling) -> np.ndarray:
+        """The same model's coefficients where features are standardised by ``to``."""
+        seen, index = self._seen(), list(self.index)
+        per = to.sds[index] / self.scaling.sds[index]
+        shift = (to.means[index] - self.scaling.means[index]) / self.scaling.sds[index]
+        return np.column_stack([self.weights[seen] * per, self.intercepts[seen] + self.weights[seen] @ shift])
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """Label and one probability per class on assembled rows; an absent class gets 0."""
@@ -187,7 +220,7 @@ class LogisticModel:
             (self.scaling.features[i], c, float(self.weights[k, j]))
             for j, i in enumerate(self.index) for k, c in enumerate(CLASSES) if np.isfinite(self.intercepts[k])
         ]
-        rows.sort(key=lambda r: (-abs(r[2]), r[0], r[1]))
+        rows.sort(key=lambda r: (-round(abs(r[2]), 9), r[0], r[1]))
         return spark.createDataFrame(
             [(k + 1, *r) for k, r in enumerate(rows)], "rank int, feature string, class string, coefficient double"
         )
@@ -201,8 +234,11 @@ def assemble(df: DataFrame, s: Scaling, carry: list[str]) -> DataFrame:
     return df.select(*carry, label, F.array(*[s.standardised(i) for i in range(len(s.features))]).alias("features"))
 
 
+STRETCH = 4096  # sums in one row
+
+
 def _newton_sums(states: dict):
-    """Per task, loss, gradient and curvature of every model at its present coefficients, as ``(model, cell, value)``.
+    """Per task, loss, gradient and curvature of every model at its present coefficients, as ``(model, part, cells)``.
 
     ``states`` holds (columns, coefficients) with an intercept last in each class's row.
     """
@@ -232,15 +268,16 @@ def _newton_sums(states: dict):
                 flat = np.concatenate([[loss, len(y)], gradient.ravel(), blocks.reshape(k * d, k * d)[np.triu_indices(k * d)]])
                 sums[name] = sums.get(name, 0) + flat
         for name, flat in sums.items():
+            parts = [flat[lo:lo + STRETCH] for lo in range(0, len(flat), STRETCH)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(flat)), pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)],
-                names=["model", "cell", "value"])
+                [pa.array([name] * len(parts)), pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.tolist() for p in parts], pa.list_(pa.float64()))],
+                names=["model", "part", "cells"])
 
     return run
 
 
 def fit_logistics(rows: DataFrame, s: Scaling, jobs: dict[str, tuple[float, list[int] | None]], most_steps: int = 100,
-                  tol: float = 1e-12) -> dict[str, LogisticModel]:
+                  tol: float = 1e-12, starts: dict[str, np.ndarray] | None = None) -> dict[str, LogisticModel]:
     """L2 multinomial fits of summed loss plus |w|^2 / 2C, several penalties and subsets side by side.
 
     Every step is one pass over the rows for all models that have not converged: tasks
@@ -248,7 +285,8 @@ def fit_logistics(rows: DataFrame, s: Scaling, jobs: dict[str, tuple[float, list
     driver, which takes a Newton step and halves it where the loss would rise.  The
     objective is strictly convex in the weights, so there is one optimum; a fit that does
     not reach it (Newton decrement at most ``tol`` per row) raises.  Intercepts bear no
-    penalty and sum to zero.
+    penalty and sum to zero.  ``starts`` names coefficients to begin with instead of
+    zeros; they change the number of steps, not the optimum.
     """
     data = rows.filter("label IS NOT NULL").select("label", "features")
     seen = sorted(int(r[0]) for r in data.select("label").distinct().collect())
@@ -258,18 +296,21 @@ def fit_logistics(rows: DataFrame, s: Scaling, jobs: dict[str, tuple[float, list
     states = {k: {"c": c, "idx": every if keep is None else keep, "n": 0, "old": None, "step": None} for k, (c, keep) in jobs.items()}
     for st in states.values():
         st["beta"] = np.zeros((len(seen), len(st["idx"]) + 1))
+    for k, beta in (starts or {}).items():
+        if beta.shape == states[k]["beta"].shape:
+            states[k]["beta"] = beta
     done: dict[str, LogisticModel] = {}
     for turn in range(1, most_steps + 1):
         asked = {k: (st["idx"], seen, st["beta"]) for k, st in states.items() if k not in done}
-        cells = data.mapInArrow(_newton_sums(asked), "model string, cell int, value double").groupBy("model", "cell").agg(
-            F.sum("value").alias("value"))
+        sums = data.mapInArrow(_newton_sums(asked), "model string, part int, cells array<double>").groupBy("model", "part").agg(
+            Summarizer.sum(array_to_vector("cells")).alias("cells"))
         found: dict[str, dict] = {}
-        for r in cells.collect():
-            found.setdefault(r["model"], {})[r["cell"]] = r["value"]
+        for r in sums.collect():
+            found.setdefault(r["model"], {})[r["part"]] = r["cells"].toArray()
         for name in asked:
             st, own = states[name], found[name]
             beta, (k, d) = st["beta"], st["beta"].shape
-            flat = np.array([own[i] for i in range(len(own))])
+            flat = np.concatenate([own[i] for i in range(len(own))])
             penalty = np.tile(np.append(np.full(d - 1, 1.0 / st["c"]), 0.0), k)
             loss = flat[0] + 0.5 * (penalty * beta.ravel() ** 2).sum()
             if st["old"] is not None and loss > st["old"][1] + 1e-9 * max(1.0, abs(st["old"][1])):
@@ -285,7 +326,7 @@ def fit_logistics(rows: DataFrame, s: Scaling, jobs: dict[str, tuple[float, list
                 beta = beta - step.reshape(k, d)
                 weights, ends = np.zeros((len(CLASSES), d - 1)), np.full(len(CLASSES), -np.inf)
                 weights[seen], ends[seen] = beta[:, :-1], beta[:, -1] - beta[:, -1].mean()
-                done[name] = LogisticModel(s, tuple(st["idx"]), weights, ends, st["c"], turn)
+                done[name] = LogisticModel(s, tuple(st["idx"]), weights, ends, st["c"], turn, curve)
             else:
                 st["old"], st["step"], st["beta"] = (beta, loss), step, beta - step.reshape(k, d)
         if len(done) == len(states):
@@ -293,22 +334,47 @@ def fit_logistics(rows: DataFrame, s: Scaling, jobs: dict[str, tuple[float, list
     raise RuntimeError(f"no optimum after {most_steps} steps for {sorted(set(states) - set(done))}")
 
 
-def fit_logistic(rows: DataFrame, s: Scaling, c: float, keep: list[int] | None = None, **how) -> LogisticModel:
-    return fit_logistics(rows, s, {"": (c, keep)}, **how)[""]
+def fit_logistic(rows: DataFrame, s: Scaling, c: float, keep: list[int] | None = None, start: np.ndarray | None = None, **how) -> LogisticModel:
+    return fit_logistics(rows, s, {"": (c, keep)}, starts=None if start is None else {"": start}, **how)[""]
 
 
-def _score_logistics(rows: DataFrame, models: dict[str, LogisticModel]) -> DataFrame:
-    out = None
-    for k, m in models.items():
-        part = m.predict(rows).withColumn("candidate", F.lit(k))
-        out = part if out is None else out.unionByName(part)
-    return evaluate(out, ["candidate"])
+def _dot(x: Column, w: Column) -> Column:
+    return F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+
 
+def score_fits(rows: DataFrame, tau: float, fits: dict[str, tuple[RidgeModel | None, LogisticModel | None]]) -> DataFrame:
+    """Metrics of many candidates from one scan of assembled rows: errors of the ridge, classes and probabilities of the logistic model.
 
-def scan_logistic(train_v, validation_v, s: Scaling, values=LOGISTIC_CS) -> tuple[LogisticModel, DataFrame]:
+    A candidate without a logistic model takes its class from the predicted value.  The
+    table of candidates is as large as their coefficients, so it stands in the plan.
+    """
+    def wide(model, weights):
+        out = np.zeros(len(model.scaling.features))
+        out[list(model.index)] = weights
+        return F.array(*[F.lit(float(w)) for w in out])
+
+    none = F.lit(None).cast("array<double>")
+    cells = [F.struct(
+        F.lit(name).alias("candidate"), (none if r is None else wide(r, r.weights)).alias("w"), F.lit(None if r is None else r.intercept).cast("double").alias("b"),
+        *[(none if lo is None else wide(lo, lo.weights[k])).alias(f"w{k}") for k in range(len(CLASSES))],
+        *[F.lit(None if lo is None else float(lo.intercepts[k])).cast("double").alias(f"b{k}") for k in range(len(CLASSES))],
+    ) for name, (r, lo) in fits.items()]
+    long = rows.select(*TRUTH, "features", F.explode(F.array(*cells)).alias("m"))
+    score = {k: F.col(f"m.b{k}") + _dot(F.col("features"), F.col(f"m.w{k}")) for k in range(len(CLASSES))}
+    long = long.select(*TRUTH, "m.candidate", (F.col("m.b") + _dot(F.col("features"), F.col("m.w"))).alias("predicted_dg"),
+                       *[v.alias(f"_s{k}") for k, v in score.items()])
+    top = F.greatest(*[F.col(f"_s{k}") for k in score])
+    total = _balanced_sum([F.exp(F.col(f"_s{k}") - top) for k in score])
+    best = F.coalesce(*[F.when(F.col(f"_s{k}") == top, F.lit(CLASSES[k])) for k in score])
+    long = long.withColumn("predicted_label", F.when(top.isNull(), classify(F.col("predicted_dg"), tau)).otherwise(best))
+    return evaluate(long.withColumns({p: F.exp(F.col(f"_s{k}") - top) / total for k, p in enumerate(PROBS)}), ["candidate"])
+
+
+def scan_logistic(train_v, validation_v, s: Scaling, tau: float, values=LOGISTIC_CS) -> tuple[LogisticModel, DataFrame]:
     """Choose C by validation macro-F1; ties go to the smallest."""
     models = fit_logistics(train_v, s, {f"{c:g}": (c, None) for c in values})
-    scores = _score_logistics(validation_v, models).withColumn("C", F.col("candidate").cast("double")).drop("candidate")
+    scores = score_fits(validation_v, tau, {k: (None, m) for k, m in models.items()})
+    scores = scores.withColumn("C", F.col("candidate").cast("double")).drop("candidate")
     found = {r["C"]: r["macro_f1"] for r in scores.select("C", "macro_f1").collect()}
     best = min(values, key=lambda c: (-(found.get(float(f"{c:g}")) or 0.0), c))
     return models[f"{best:g}"], scores
@@ -325,30 +391,49 @@ class Run:
     ridge_scores: DataFrame
     logistic_scores: DataFrame
     ablation: DataFrame | None = None
+    chosen: LogisticModel | None = None  # the logistic fit of the training rows alone
     params: dict = field(default_factory=dict)
 
 
-def ablate(m: Moments, train_v, validation, validation_v, contract: FeatureContract, alpha: float, c: float, tau: float) -> DataFrame:
-    """Change in validation metrics without each feature family, hyperparameters fixed.
+def family_masks(contract: FeatureContract) -> dict[str, list[int]]:
+    """Positions of the features that stay when a family goes; families that are all there is are no candidates."""
+    names = contract.names()
+    gone = {family: frozenset(members) for family, members in contract.families().items()}
+    return {f: [i for i, n in enumerate(names) if n not in g] for f, g in gone.items() if len(g) < len(names)}
+
+
+def ablate(m: Moments, train_v: DataFrame, validation_v: DataFrame, contract: FeatureContract, alpha: float, full: LogisticModel, tau: float) -> DataFrame:
+    """``(position, family, features_removed, mae, macro_f1, steps)``: change in validation metrics without a family, largest loss first.
 
-    Ridge reuses submatrices of the one Gram matrix, so its subsets cost no scan.
+    Penalties stay.  Ridge solves submatrices of the one Gram matrix, at no scan.  The
+    logistic fits start from the full fit's coefficients, moved by its curvature to
+    where the removed ones are zero, so that few passes are left.  All candidates are
+    scored in one scan.
     """
-    names = list(m.scaling.features)
-    subsets = {"": list(range(len(names)))}
-    for family, members in sorted(contract.families().items()):
-        keep = [i for i, n in enumerate(names) if n not in set(members)]
-        if keep:
-            subsets[family] = keep
-    ridge = _score_ridges(validation, {f: solve_ridge(m, alpha, k) for f, k in subsets.items()}, tau)
-    logistic = _score_logistics(validation_v, fit_logistics(
-        train_v, m.scaling, {f: (c, None if f == "" else k) for f, k in subsets.items()}))
-    both = ridge.select("candidate", "mae").join(logistic.select("candidate", "macro_f1"), "candidate")
-    full = both.filter(F.col("candidate") == "").select(F.struct("mae", "macro_f1")).scalar()
-    size = F.create_map(*[x for f in subsets if f for x in (F.lit(f), F.lit(len(contract.families()[f])))])
-    return both.filter(F.col("candidate") != "").select(
-        F.col("candidate").alias("family"), size[F.col("candidate")].alias("features_removed"),
-        (F.col("mae") - full["mae"]).alias("mae"), (F.col("macro_f1") - full["macro_f1"]).alias("macro_f1"),
-    )
+    masks, size = family_masks(contract), len(m.scaling.features)
+    fits = fit_logistics(train_v, m.scaling, {f: (full.c, keep) for f, keep in masks.items()},
+                         starts={f: full.without(keep) for f, keep in masks.items()}) if masks else {}
+    scores = score_fits(validation_v, tau, {"": (solve_ridge(m, alpha), full)} | {f: (solve_ridge(m, alpha, masks[f]), fits[f]) for f in masks})
+    whole = scores.filter(F.col("candidate") == "").select(F.struct("mae", "macro_f1")).scalar()
+    facts = F.create_map(F.lit(""), F.struct(F.lit(0).alias("removed"), F.lit(0).alias("steps")),
+                         *[x for f, keep in masks.items() for x in (F.lit(f), F.struct(F.lit(size - len(keep)).alias("removed"), F.lit(fits[f].steps).alias("steps")))])
+    out = scores.filter(F.col("candidate") != "").select(
+        F.col("candidate").alias("family"), facts[F.col("candidate")]["removed"].alias("features_removed"),
+        (F.col("mae") - whole["mae"]).alias("mae"), (F.col("macro_f1") - whole["macro_f1"]).alias("macro_f1"),
+        facts[F.col("candidate")]["steps"].alias("steps"))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.round("mae", 9).desc(), "family"))  # a row per family
+    return out.select(place.alias("position"), "*")
+
+
+def top_coefficients(spark, models: dict[str, RidgeModel | LogisticModel], k: int = 15) -> DataFrame:
+    """``(model, rank, feature, class, coefficient)``: the ``k`` largest standardised coefficients of each model."""
+    out = None
+    for name, model in models.items():
+        own = model.coefficients(spark)
+        own = own if "class" in own.columns else own.withColumn("class", F.lit(None).cast("string"))
+        own = own.filter(F.col("rank") <= k).select(F.lit(name).alias("model"), "rank", "feature", "class", "coefficient")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def train_and_score(
@@ -367,15 +452,15 @@ def train_and_score(
 
     train_v = assemble(train, m.scaling, TRUTH).persist(StorageLevel.MEMORY_AND_DISK)
     validation_v = assemble(validation, m.scaling, TRUTH)
-    logistic, logistic_scores = scan_logistic(train_v, validation_v, m.scaling, cs)
+    logistic, logistic_scores = scan_logistic(train_v, validation_v, m.scaling, tau, cs)
     ablation = (
-        ablate(m, train_v, validation, validation_v, contract, ridge.alpha, logistic.c, tau) if with_ablation else None
+        ablate(m, train_v, validation_v, contract, ridge.alpha, logistic, tau) if with_ablation else None
     )
 
     full = moments(development, names)
     final_ridge = solve_ridge(full, ridge.alpha)
     dev_v = assemble(development, full.scaling, TRUTH).persist(StorageLevel.MEMORY_AND_DISK)
-    final_logistic = fit_logistic(dev_v, full.scaling, logistic.c)
+    final_logistic = fit_logistic(dev_v, full.scaling, logistic.c, start=logistic.rescaled(full.scaling))
     train_v.unpersist()
     dev_v.unpersist()
 
@@ -385,5 +470,5 @@ def train_and_score(
     r = r.withColumns({"model": F.lit(RIDGE), "predicted_label": classify(F.col("predicted_dg"), tau), **{p: null for p in PROBS}})
     lo = final_logistic.predict(assemble(scored, full.scaling, keep)).drop("label").withColumn("model", F.lit(LOGISTIC))
     predictions = predict_naive(split, tau).unionByName(r).unionByName(lo, allowMissingColumns=True)
-    return Run(predictions, final_ridge, final_logistic, ridge_scores, logistic_scores, ablation,
+    return Run(predictions, final_ridge, final_logistic, ridge_scores, logistic_scores, ablation, logistic,
                {"alpha": ridge.alpha, "C": logistic.c})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..contracts import BootstrapContract, TargetContract
@@ -15,6 +15,7 @@ from .metrics import (
     DIRECTION_BAR, MAGNITUDE_BAR, ZERO_BAR, by_period, confusion, error, evaluate, model_table, per_class, safe_corr, with_skill,
 )
 from .naive import BASE
+from .rows import numbered
 
 RIDGE, LOGISTIC = "ridge", "multinomial_logistic"
 
@@ -61,16 +62,16 @@ def tier_table(predictions: DataFrame, magnitude: str, direction: str, t: Target
 
 
 def by_entity(predictions: DataFrame, model: str, split: str = TEST) -> DataFrame:
-    """Error per entity with the short name, and its place from the worst in its tier.
+    """Error per entity with the short name, and its place from the worst, among all entities and in its tier.
 
-    Places are within a tier: one row per entity meets in a window, so a tier's
-    entities, not its rows, bound the sort.
+    Entities are laid out by range and counted per range, so neither order sorts
+    more than one range's entities in a task.
     """
     table = scored(predictions, split, model).groupBy(ENTITY, NAME, "volume_tier").agg(
         F.avg(F.abs(error())).alias("mae"), F.count(F.lit(1)).alias("n")
     ).withColumn("county", F.replace(F.col(NAME), F.lit(" County"), F.lit("")))
-    worst = Window.partitionBy("volume_tier").orderBy(F.round("mae", 9).desc_nulls_last(), ENTITY)
-    return table.withColumn("place_in_tier", F.row_number().over(worst))
+    worst = [F.round("mae", 9).desc_nulls_last(), F.col(ENTITY)]
+    return numbered(numbered(table, [], worst, "place"), ["volume_tier"], worst, "place_in_tier")
 
 
 def base_effect_correlation(predictions: DataFrame, model: str, split: str = TEST) -> DataFrame:

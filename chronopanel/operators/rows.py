@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import land
+
 REASON = "_reason"
 
 
@@ -102,3 +104,20 @@ def join_accounting(spine: DataFrame, source: DataFrame, on: list[str], name: st
         F.coalesce(F.sum(F.when(F.col("_b").isNull(), F.col("_a"))), F.lit(0)).alias("spine_rows_unmatched"),
         F.coalesce(F.sum(F.when(F.col("_a").isNull(), F.col("_b"))), F.lit(0)).alias("source_rows_outside_spine"),
     )
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """Adds each row's place, from one, in an order within its group; ``order`` must tell the rows of a group apart.
+
+    Rows are laid out by range and counted per range, so a group of any size, the
+    whole table too, is numbered by many tasks.
+    """
+    own = land(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    per = own.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_m"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    per = per.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_range"), F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"))
+    same = F.col("_part") == F.col("_range")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    return own.withColumn("_place", place).join(per, same).select(*df.columns, (F.col("_before") + F.col("_place")).alias(name))

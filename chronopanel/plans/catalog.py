@@ -874,66 +874,30 @@ def eda_histogram_tails(spark, folder):
 _A, _B = "base_effect", "mean_reversion"  # the two models the tables compare
 
 
-@query
-def results_headline(spark, folder):
-    return results.headline(predictions(spark, folder), VALIDATION)
-
-
-@query
-def results_concise(spark, folder):
-    return results.concise(predictions(spark, folder))
-
-
-@query
-def results_by_tier(spark, folder):
-    return results.by_tier(predictions(spark, folder), _A, C.target)
-
-
-@query
-def results_tier_table(spark, folder):
-    return results.tier_table(predictions(spark, folder), _A, _B, C.target)
-
-
-@query
-def results_by_entity(spark, folder):
-    return results.by_entity(predictions(spark, folder), _A)
-
-
-@query
-def results_base_effect_correlation(spark, folder):
-    return results.base_effect_correlation(predictions(spark, folder), _A)
-
-
-@query
-def results_forward_rows(spark, folder):
-    return results.forward_rows(predictions(spark, folder), _B)
-
-
-@query
-def results_intervals(spark, folder):
-    wanted = {_A: ("mae",), _B: ("macro_f1",)}
-    return results.interval_table(predictions(spark, folder), wanted, C.bootstrap)
-
-
-@query
-def results_claim_facts(spark, folder):
+def _result_tables(prefix: str, rows: Callable, a: str, b: str, claim: tuple[str, str]) -> None:
+    """Register every result table over ``rows``, comparing ``a`` (errors) and ``b`` (classes)."""
     t = replace(C.target, tiers=C.target.tiers[:-1])
-    return results.claim_facts(predictions(spark, folder), t, _B, _A)
-
-
-@query
-def results_full_tables(spark, folder):
-    return results.full_tables(predictions(spark, folder))
-
-
-@query
-def results_breakdown(spark, folder):
-    return results.breakdown(predictions(spark, folder), [_A, _B], C.target)
-
-
-@query
-def results_confusion(spark, folder):
-    return results.confusion_tables(predictions(spark, folder), [_A, _B])
+    tables = {
+        "headline": lambda p: results.headline(p, VALIDATION),
+        "concise": results.concise,
+        "by_tier": lambda p: results.by_tier(p, a, C.target),
+        "tier_table": lambda p: results.tier_table(p, a, b, C.target),
+        "by_entity": lambda p: results.by_entity(p, a),
+        "base_effect_correlation": lambda p: results.base_effect_correlation(p, a),
+        "forward_rows": lambda p: results.forward_rows(p, claim[0]),
+        "intervals": lambda p: results.interval_table(p, {a: ("mae",), b: ("macro_f1",)}, C.bootstrap),
+        "claim_facts": lambda p: results.claim_facts(p, t, *claim),
+        "full_tables": results.full_tables,
+        "breakdown": lambda p: results.breakdown(p, [a, b], C.target),
+        "confusion": lambda p: results.confusion_tables(p, [a, b]),
+    }
+    for name, table in tables.items():
+        QUERIES[f"{prefix}_{name}"] = lambda spark, folder, table=table: tidy(table(rows(spark, folder)))
+
+
+_result_tables("results", predictions, _A, _B, (_B, _A))
+_result_tables("learned", all_predictions, results.RIDGE, results.LOGISTIC, (results.RIDGE, results.LOGISTIC))
+QUERIES["learned_results"] = QUERIES.pop("learned_concise")
 
 
 # ------------------------------------------------------- learned forecasters
@@ -953,18 +917,8 @@ def imputer_scaling(spark, folder):
 
 @query
 def ridge_normal_equations(spark, folder):
-    """Residual of the closed-form system at the fitted coefficients: 0 for every feature."""
-    alpha = 100.0
-    m = learned.moments(train(spark, folder), C.features.names())
-    r = learned.solve_ridge(m, alpha)
-    df = train(spark, folder).filter(F.col("target_dg").isNotNull())
-    resid = F.col("target_dg") - r.prediction()
-    wide = df.agg(*[F.sum(m.scaling.standardised(i) * resid).alias(f"g{i}") for i in range(len(r.index))])
-    cells = F.array(*[
-        F.struct(F.lit(m.scaling.features[i]).alias("feature"), (F.col(f"g{i}") - alpha * float(w)).alias("gradient"))
-        for i, w in enumerate(r.weights)
-    ])
-    return wide.select(F.explode(cells).alias("c")).select("c.feature", F.round(F.col("c.gradient"), 3).alias("gradient"))
+    """The system that the chosen ridge fit on the training rows solves, and its solution: cells in long form, per row of data."""
+    return learned.normal_equations(spark, learned.moments(train(spark, folder), C.features.names()), run(spark, folder).params["alpha"])
 
 
 @query
@@ -993,18 +947,19 @@ def learned_predictions(spark, folder):
 
 
 @query
-def learned_results(spark, folder):
-    return results.concise(all_predictions(spark, folder))
+def coefficient_top(spark, folder):
+    """The 15 largest standardised coefficients of each learned model."""
+    found = run(spark, folder)
+    return learned.top_coefficients(spark, {results.RIDGE: found.ridge, results.LOGISTIC: found.logistic})
 
 
 @query
 def family_ablation(spark, folder):
     train_, val = train(spark, folder), split(spark, folder).filter(F.col("split") == VALIDATION)
-    m = learned.moments(train_, C.features.names())
+    m, found = learned.moments(train_, C.features.names()), run(spark, folder)
     tv = learned.assemble(train_, m.scaling, naive.TRUTH).persist(StorageLevel.MEMORY_AND_DISK)
     vv = learned.assemble(val, m.scaling, naive.TRUTH)
     try:
-        chosen = run(spark, folder).params
-        return learned.ablate(m, tv, val, vv, C.features, chosen["alpha"], chosen["C"], C.target.tau)
+        return learned.ablate(m, tv, vv, C.features, found.params["alpha"], found.chosen, C.target.tau).drop("steps")
     finally:
         tv.unpersist()

@@ -12,6 +12,7 @@ import re
 from ..contracts import LABOUR_MEASURES, MEASURES, STAR as C, bounded
 from ..operators.eda import MONTHS, QUANTILES
 from ..schema import CLASSES
+from . import oracle_fits
 
 W = "PARTITION BY county_fips ORDER BY reference_month"
 T = C.target
@@ -76,6 +77,8 @@ FEATURES = C.features.specs()
 NAMES = C.features.names()
 TEXT_ID = "lpad(CAST(s_nationkey AS VARCHAR), 2, '0') || lpad(CAST(s_suppkey AS VARCHAR), 10, '0')"
 BASE = "price_smoothed__log_diff3_o9"
+CONCISE = ("persistence", "zero_change", "mean_reversion", "base_effect", "majority_class", "ridge", "multinomial_logistic")
+WORST = "ORDER BY round(mae, 9) DESC NULLS LAST, county_fips"
 MODELS = ("zero_change", "base_effect", "persistence", "mean_reversion", "majority_class")
 
 
@@ -239,16 +242,18 @@ def statement(final: str, extra: dict[str, str] | None = None) -> str:
     ctes = {**CTES, **(extra or {})}
     need: list[str] = []
 
-    def visit(text: str):
+    def visit(text: str, own: str = ""):
         for name in ctes:
-            if name not in need and re.search(rf"\b{name}\b", text):
-                visit(ctes[name])
+            if name != own and name not in need and re.search(rf"\b{name}\b", text):
+                visit(ctes[name], name)
                 if name not in need:
                     need.append(name)
 
     visit(final)
-    head = ",\n".join(f"{n} AS MATERIALIZED ({ctes[n]})" for n in need)
-    return (f"WITH {head}\n" if head else "") + final
+    # A recursion names itself; the others are computed once.
+    turns = {n for n in need if re.search(rf"\b{n}\b", ctes[n])}
+    head = ",\n".join(f"{n} AS {'' if n in turns else 'MATERIALIZED '}({ctes[n]})" for n in need)
+    return (f"WITH {'RECURSIVE ' if turns else ''}{head}\n" if head else "") + final
 
 
 def pick(spec: str) -> str:
@@ -282,9 +287,9 @@ METRICS = "#n ~mae ~rmse ~mean_error ~medae ~accuracy ~macro_f1 ~balanced_accura
 FORWARD = "#n_forward ~mae_forward ~sd_forward ~corr_dg ~corr_forward"
 
 
-def metric_table(keys: str, source: str, spec: str, forward: bool = False) -> str:
+def metric_table(keys: str, source: str, spec: str, forward: bool = False, extra: dict[str, str] | None = None) -> str:
     cols = ", ".join(keys.split())
-    return show(f"{keys} {spec}", f"(SELECT {cols}, {metric_columns(forward)} FROM {source} GROUP BY {cols})")
+    return show(f"{keys} {spec}", f"(SELECT {cols}, {metric_columns(forward)} FROM {source} GROUP BY {cols})", extra)
 
 
 def transform_query(name: str, params, column: str, shift: int = 0) -> str:
@@ -479,15 +484,15 @@ def _intervals(name: str, block: str, metrics, where: str = "true") -> tuple[str
 INTERVAL = "model metric block ~point ~low ~high #resamples"
 
 
-def _two_blocks() -> str:
+def _two_blocks(magnitude: str, direction: str, extra: dict[str, str]) -> str:
     """Entity and month blocks in one statement, for the interval table."""
     a, b = _block_ctes("county_fips"), _block_ctes("reference_month")
-    extra, selects = {}, []
+    extra, selects = dict(extra), []
     for tag, name, ctes in (("c", "county", a), ("m", "month", b)):
         ren = lambda t: re.sub(r"\bb_(stats|num|draw|sample|total)\b", rf"{tag}_\1", t)
         extra |= {ren(k): ren(v) for k, v in ctes.items()}
         selects.append(ren(_intervals(name, "", ("mae", "macro_f1"))))
-    wanted = "(model = 'base_effect' AND metric = 'mae') OR (model = 'mean_reversion' AND metric = 'macro_f1')"
+    wanted = f"(model = '{magnitude}' AND metric = 'mae') OR (model = '{direction}' AND metric = 'macro_f1')"
     return show(INTERVAL, f"({' UNION ALL '.join(selects)}) WHERE {wanted}", extra)
 
 
@@ -900,54 +905,107 @@ def build() -> dict[str, str]:
         "eda_histogram_tails": statement(
             "SELECT count(*) FILTER (target_dg < -30) AS below, count(*) FILTER (target_dg > 30) AS above, count(target_dg) AS rows FROM t_model"
         ),
-        "results_headline": show(
+        **_results("results", "base_effect", "mean_reversion", ("mean_reversion", "base_effect")),
+        "imputer_medians": show(
+            '"column" ~median',
+            "(" + " UNION ALL ".join(f"SELECT '{n}' AS \"column\", quantile_cont({n}, 0.5) AS median FROM t_split WHERE split = 'train'" for n in NAMES) + ") WHERE median IS NOT NULL",
+        ),
+        "imputer_scaling": _scaling(),
+        **_learned(),
+    }
+    return o
+
+
+def _results(prefix: str, a: str, b: str, claim: tuple[str, str], extra: dict[str, str] | None = None) -> dict[str, str]:
+    """Result tables that compare ``a`` (errors) and ``b`` (classes); ``claim`` holds the models of the claim facts."""
+    extra = extra or {}
+    source = "(SELECT * FROM t_pred WHERE split IN ('test', 'validation'))"
+    concise = " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(CONCISE))
+    return {f"{prefix}_{k}": v for k, v in {
+        "headline": show(
             f"model {METRICS} {FORWARD} {SKILL}", f"({_skill('t_vtable')})",
-            {"t_vtable": f"SELECT model, {metric_columns(True)} FROM t_pred WHERE split = 'validation' GROUP BY model"},
+            {**extra, "t_vtable": f"SELECT model, {metric_columns(True)} FROM t_pred WHERE split = 'validation' GROUP BY model"},
         ),
-        "results_concise": show(
+        "concise": show(
             f"#position model kind ~mae {SKILL} ~macro_f1 ~corr_forward",
-            "(SELECT *, 'naive' AS kind, CASE model WHEN 'persistence' THEN 0 WHEN 'zero_change' THEN 1 WHEN 'mean_reversion' THEN 2 WHEN 'base_effect' THEN 3 ELSE 4 END AS position FROM "
-            f"({_skill('t_table')}))",
+            f"(SELECT *, CASE WHEN model IN ('ridge', 'multinomial_logistic') THEN 'learned' ELSE 'naive' END AS kind, CASE model {concise} END AS position FROM "
+            f"({_skill('t_table')}))", extra,
         ),
-        "results_by_tier": show(
-            f"volume_tier {METRICS} #tier_order", f"(SELECT volume_tier, {metric_columns()}, {tier_pos('volume_tier')} AS tier_order FROM t_test WHERE model = 'base_effect' GROUP BY 1)"
+        "by_tier": show(
+            f"volume_tier {METRICS} #tier_order",
+            f"(SELECT volume_tier, {metric_columns()}, {tier_pos('volume_tier')} AS tier_order FROM t_test WHERE model = '{a}' GROUP BY 1)", extra,
         ),
-        "results_tier_table": show(
+        "tier_table": show(
             "volume_tier #n ~mae ~mean_error ~accuracy ~macro_f1 #tier_order",
-            f"(SELECT volume_tier, a.n, a.mae, a.mean_error, b.accuracy, b.macro_f1, {tier_pos('volume_tier')} AS tier_order FROM (SELECT volume_tier, {metric_columns()} FROM t_test WHERE model = 'base_effect' GROUP BY 1) a "
-            f"JOIN (SELECT volume_tier, {metric_columns()} FROM t_test WHERE model = 'mean_reversion' GROUP BY 1) b USING (volume_tier))",
+            f"(SELECT volume_tier, a.n, a.mae, a.mean_error, b.accuracy, b.macro_f1, {tier_pos('volume_tier')} AS tier_order FROM (SELECT volume_tier, {metric_columns()} FROM t_test WHERE model = '{a}' GROUP BY 1) a "
+            f"JOIN (SELECT volume_tier, {metric_columns()} FROM t_test WHERE model = '{b}' GROUP BY 1) b USING (volume_tier))", extra,
         ),
-        "results_by_entity": show(
-            "county_fips county_name volume_tier ~mae #n county #place_in_tier",
-            "(SELECT *, row_number() OVER (PARTITION BY volume_tier ORDER BY round(mae, 9) DESC NULLS LAST, county_fips) AS place_in_tier FROM "
-            "(SELECT county_fips, county_name, volume_tier, avg(abs(predicted_dg - target_dg)) AS mae, count(*) AS n, replace(county_name, ' County', '') AS county FROM t_test WHERE model = 'base_effect' GROUP BY 1, 2, 3))",
+        "by_entity": show(
+            "county_fips county_name volume_tier ~mae #n county #place #place_in_tier",
+            f"(SELECT *, row_number() OVER (PARTITION BY volume_tier {WORST}) AS place_in_tier, row_number() OVER ({WORST}) AS place FROM "
+            f"(SELECT county_fips, county_name, volume_tier, avg(abs(predicted_dg - target_dg)) AS mae, count(*) AS n, replace(county_name, ' County', '') AS county FROM t_test WHERE model = '{a}' GROUP BY 1, 2, 3))",
+            extra,
         ),
-        "results_base_effect_correlation": show(
+        "base_effect_correlation": show(
             "~corr_dg_base #rows",
-            f"(SELECT {corr('target_dg', f'(-{BASE})', f'target_dg IS NOT NULL AND {BASE} IS NOT NULL')} AS corr_dg_base, count(*) AS rows FROM t_test WHERE model = 'base_effect')",
+            f"(SELECT {corr('target_dg', f'(-{BASE})', f'target_dg IS NOT NULL AND {BASE} IS NOT NULL')} AS corr_dg_base, count(*) AS rows FROM t_test WHERE model = '{a}')", extra,
         ),
-        "results_forward_rows": show(
+        "forward_rows": show(
             f"{KEYS} ~actual_f ~predicted_f volume_tier",
-            f"(SELECT county_fips, reference_month, target_dg + {BASE} AS actual_f, predicted_dg + {BASE} AS predicted_f, volume_tier FROM t_test WHERE model = 'mean_reversion') WHERE actual_f IS NOT NULL AND predicted_f IS NOT NULL",
+            f"(SELECT county_fips, reference_month, target_dg + {BASE} AS actual_f, predicted_dg + {BASE} AS predicted_f, volume_tier FROM t_test WHERE model = '{claim[0]}') WHERE actual_f IS NOT NULL AND predicted_f IS NOT NULL",
+            extra,
         ),
-        "results_intervals": _two_blocks(),
-        "results_claim_facts": _claims(),
-        "results_full_tables": metric_table("split model", "(SELECT * FROM t_pred WHERE split IN ('test', 'validation'))", f"{METRICS} {FORWARD}", True),
-        "results_breakdown": _breakdown(none),
-        "results_confusion": statement(
+        "intervals": _two_blocks(a, b, extra),
+        "claim_facts": _claims(*claim, extra),
+        "full_tables": metric_table("split model", source, f"{METRICS} {FORWARD}", True, extra),
+        "breakdown": _breakdown(a, b, extra),
+        "confusion": statement(
             "SELECT c.*, precision, recall, f1, support, predicted FROM (SELECT model, a.actual, "
             + ", ".join(f"count(*) FILTER (target_label = a.actual AND predicted_label = '{c}') AS {c}" for c in CLASSES)
-            + " FROM t_test, (VALUES " + ", ".join(f"('{c}')" for c in CLASSES) + ") a(actual) WHERE model IN ('base_effect', 'mean_reversion') GROUP BY 1, 2) c JOIN "
-            + f"({_class_union('t_test', 'model')}) p ON c.model = p.model AND c.actual = p.class"
+            + " FROM t_test, (VALUES " + ", ".join(f"('{c}')" for c in CLASSES) + f") a(actual) WHERE model IN ('{a}', '{b}') GROUP BY 1, 2) c JOIN "
+            + f"({_class_union('t_test', 'model')}) p ON c.model = p.model AND c.actual = p.class", extra,
         ),
-        "imputer_medians": show(
-            '"column" ~median',
-            "(" + " UNION ALL ".join(f"SELECT '{n}' AS \"column\", quantile_cont({n}, 0.5) AS median FROM t_split WHERE split = 'train'" for n in NAMES) + ") WHERE median IS NOT NULL",
+    }.items()}
+
+
+def _learned() -> dict[str, str]:
+    """Fitted models and every table over their predictions; the fits are those of ``oracle_fits``."""
+    fits = oracle_fits.tables()
+    every = {**fits, "t_pred": f"{CTES['t_pred']} UNION ALL {oracle_fits.predictions()}"}
+    names = "[" + ", ".join(f"'{n}'" for n in NAMES) + "]"
+    classes = "[" + ", ".join(f"'{c}'" for c in CLASSES) + "]"
+    weights = (f"SELECT feature, class, beta[k][i] AS w FROM k_final, (SELECT unnest({names}) AS feature, unnest(range(1, {len(NAMES) + 1})) AS i), "
+               f"(SELECT unnest({classes}) AS class, unnest(range(1, {len(CLASSES) + 1})) AS k)")
+    largest = lambda key: f"row_number() OVER (ORDER BY round(abs(w), 9) DESC, {key}) AS rank"
+    out = {
+        "ridge_normal_equations": show(
+            "part feature other ~value",
+            f"(SELECT 'gram' AS part, f.feature, g.feature AS other, gram[f.i][g.i] / n AS value FROM g_train, q_names f, q_names g WHERE f.i <= g.i "
+            "UNION ALL SELECT 'right', feature, NULL, rhs[i] / n FROM g_train, q_names "
+            "UNION ALL SELECT 'coefficient', feature, NULL, w[i] FROM r_scan JOIN r_best USING (alpha), q_names)",
+            {**fits, "q_names": f"SELECT unnest({names}) AS feature, unnest(range(1, {len(NAMES) + 1})) AS i"},
         ),
-        "imputer_scaling": _scaling(),
-        "ridge_normal_equations": "SELECT feature, CAST(0.0 AS DOUBLE) AS gradient FROM (VALUES " + ", ".join(f"('{n}')" for n in NAMES) + ") f(feature)",
+        "ridge_coefficients": show(
+            "#rank feature ~coefficient", f"(SELECT {largest('feature')}, feature, w AS coefficient FROM (SELECT unnest({names}) AS feature, unnest(w) AS w FROM r_final))", fits),
+        "ridge_alpha_scan": show(f"{METRICS} ~alpha", "r_table", fits),
+        "logistic_c_scan": show(f"{METRICS} ~C", "(SELECT *, c AS C FROM l_table)", fits),
+        "logistic_coefficients": show(
+            "#rank feature class ~coefficient", f"(SELECT {largest('feature, class')}, feature, class, w AS coefficient FROM ({weights}))", fits),
+        "coefficient_top": show(
+            "model #rank feature class ~coefficient",
+            f"(SELECT 'ridge' AS model, {largest('feature')}, feature, NULL AS class, w AS coefficient FROM (SELECT unnest({names}) AS feature, unnest(w) AS w FROM r_final) "
+            f"UNION ALL SELECT 'multinomial_logistic', {largest('feature, class')}, feature, class, w FROM ({weights})) WHERE rank <= 15", fits),
+        "learned_predictions": show(
+            f"model county_fips county_name reference_month volume_tier split ~{BASE} ~target_dg target_label ~predicted_dg predicted_label ~prob_cooling ~prob_stable ~prob_heating",
+            f"({oracle_fits.predictions()})", fits),
+        "family_ablation": show(
+            "#position family #features_removed ~mae ~macro_f1",
+            "(SELECT row_number() OVER (ORDER BY round(f.mae - a.mae, 9) DESC, f.family) AS position, f.family, f.gone AS features_removed, f.mae - a.mae AS mae, f.macro_f1 - a.macro_f1 AS macro_f1 "
+            "FROM f_table f, f_table a WHERE f.family <> '' AND a.family = '')", fits),
     }
-    return o
+    tables = _results("learned", "ridge", "multinomial_logistic", ("ridge", "multinomial_logistic"), every)
+    tables["learned_results"] = tables.pop("learned_concise")
+    return {**out, **tables}
 
 
 def _class_union(source: str, keys: str) -> str:
@@ -1007,28 +1065,28 @@ def _greedy_by_tier(top: int = 5) -> str:
     return show("volume_tier #rank month ~mean_before ~mean_after ~shift", f"({' UNION ALL '.join(out)})", extra)
 
 
-def _claims() -> str:
+def _claims(magnitude: str, direction: str, extra: dict[str, str]) -> str:
     of = lambda m, c, n: f"max({c}) FILTER (model = '{m}') AS {n}"
     low, high = T.tiers[1][0], T.tiers[-2][0]
-    tier = lambda t, n: f"(SELECT avg(abs(predicted_dg - target_dg)) FROM t_test WHERE model = 'mean_reversion' AND volume_tier = '{t}') AS {n}"
+    tier = lambda t, n: f"(SELECT avg(abs(predicted_dg - target_dg)) FROM t_test WHERE model = '{magnitude}' AND volume_tier = '{t}') AS {n}"
     cols = ", ".join([
-        of("mean_reversion", "n", "rows"), of("mean_reversion", "mae", "mae"), of("base_effect", "mae", "bar_mae"),
-        of("mean_reversion", "skill_vs_base_effect", "skill"), of("mean_reversion", "corr_forward", "corr_forward"),
-        of("base_effect", "corr_forward", "bar_corr_forward"), of("mean_reversion", "mean_error", "mean_error"),
-        of("base_effect", "macro_f1", "macro_f1"), of("majority_class", "macro_f1", "bar_macro_f1"),
+        of(magnitude, "n", "rows"), of(magnitude, "mae", "mae"), of("base_effect", "mae", "bar_mae"),
+        of(magnitude, "skill_vs_base_effect", "skill"), of(magnitude, "corr_forward", "corr_forward"),
+        of("base_effect", "corr_forward", "bar_corr_forward"), of(magnitude, "mean_error", "mean_error"),
+        of(direction, "macro_f1", "macro_f1"), of("majority_class", "macro_f1", "bar_macro_f1"),
         tier(low, "mae_lowest_tier"), tier(high, "mae_highest_tier"),
     ])
     return show(
         "#rows ~mae ~bar_mae ~skill ~corr_forward ~bar_corr_forward ~mean_error ~macro_f1 ~bar_macro_f1 ~mae_lowest_tier ~mae_highest_tier",
-        f"(SELECT {cols} FROM ({_skill('t_table')}))",
+        f"(SELECT {cols} FROM ({_skill('t_table')}))", extra,
     )
 
 
-def _breakdown(none: str) -> str:
-    base = "(SELECT *, year(reference_month) || 'Q' || quarter(reference_month) AS period FROM t_test WHERE model IN ('base_effect', 'mean_reversion'))"
+def _breakdown(a: str, b: str, extra: dict[str, str]) -> str:
+    base = f"(SELECT *, year(reference_month) || 'Q' || quarter(reference_month) AS period FROM t_test WHERE model IN ('{a}', '{b}'))"
     cols = "n, mae, rmse, mean_error, accuracy, macro_f1, balanced_accuracy"
     return show(
         "model kind segment #position #n ~mae ~rmse ~mean_error ~accuracy ~macro_f1 ~balanced_accuracy",
         f"(SELECT model, 'tier' AS kind, volume_tier AS segment, {tier_pos('volume_tier')} AS position, {cols} FROM (SELECT model, volume_tier, {metric_columns()} FROM {base} GROUP BY 1, 2) "
-        f"UNION ALL SELECT model, 'period', period, NULL, {cols} FROM (SELECT model, period, {metric_columns()} FROM {base} GROUP BY 1, 2))",
+        f"UNION ALL SELECT model, 'period', period, NULL, {cols} FROM (SELECT model, period, {metric_columns()} FROM {base} GROUP BY 1, 2))", extra,
     )

@@ -175,6 +175,46 @@ def test_scans_choose_on_validation(xy):
     table = {r.alpha: r.mae for r in scores.collect()}
     assert len(table) == 6 and table[best.alpha] == min(table.values())
     v = L.assemble(df, m.scaling, ["target_dg", "target_label"]).cache()
-    best, scores = L.scan_logistic(v, v, m.scaling, (0.01, 1.0))
+    best, scores = L.scan_logistic(v, v, m.scaling, 1.0, (0.01, 1.0))
     f1 = {r.C: r.macro_f1 for r in scores.collect()}
     assert f1[best.c] == max(f1.values())
+
+
+def test_warm_starts_reach_the_same_optimum_in_fewer_steps(spark, xy):
+    rng = np.random.default_rng(4)
+    n, d = 400, 6
+    x = rng.normal(size=(n, d)) @ (np.eye(d) + 0.3)
+    y = (x @ rng.normal(size=(d, 3)) + rng.gumbel(size=(n, 3))).argmax(axis=1)
+    s = L.Scaling(tuple(f"f{i}" for i in range(d)), np.zeros(d), np.zeros(d), np.ones(d))
+    rows = spark.createDataFrame([(float(a), [float(v) for v in b]) for a, b in zip(y, x)], "label double, features array<double>").repartition(4)
+    full = L.fit_logistic(rows, s, 1.0)
+    keep = [0, 2, 3, 5]
+    cold, warm = L.fit_logistic(rows, s, 1.0, keep), L.fit_logistic(rows, s, 1.0, keep, start=full.without(keep))
+    assert np.allclose(cold.weights, warm.weights, atol=1e-7) and np.allclose(cold.intercepts, warm.intercepts, atol=1e-7)
+    assert warm.steps < cold.steps and L.fit_logistic(rows, s, 1.0, start=full.without(list(range(d)))).steps <= 2
+    # The same model on another scale of the features predicts the same, and starts the fit there at the optimum of a weaker shift.
+    other = L.Scaling(s.features, s.medians, np.full(d, 0.5), np.full(d, 2.0))
+    beta = full.rescaled(other)
+    z = (x - 0.5) / 2
+    assert np.allclose(z @ beta[:, :-1].T + beta[:, -1], x @ full.weights.T + full.intercepts)
+
+
+def test_one_scan_scores_every_candidate(spark):
+    from chronopanel.operators.metrics import evaluate
+    from chronopanel.operators.naive import PROBS
+
+    rng = np.random.default_rng(5)
+    rows = [(float(v), c, [float(a) for a in rng.normal(size=2)]) for v, c in zip(rng.normal(size=60) * 3, rng.choice(["cooling", "stable", "heating"], 60))]
+    df = spark.createDataFrame(rows, "target_dg double, target_label string, features array<double>")
+    df = df.selectExpr("target_dg", "target_label", "1.0D AS price_smoothed__log_diff3_o9", "features")
+    s = L.Scaling(("a", "b"), np.zeros(2), np.zeros(2), np.ones(2))
+    ridge = L.RidgeModel(s, (0, 1), np.array([1.5, -2.0]), 0.25, 1.0)
+    part = L.LogisticModel(s, (1,), np.array([[1.0], [0.0], [-2.0]]), np.array([0.1, -np.inf, 0.3]), 1.0, 1)
+    got = {r.candidate: r for r in L.score_fits(df, 2.0, {"r": (ridge, None), "l": (None, part), "both": (ridge, part)}).collect()}
+    own = part.predict(df.withColumn("label", F.lit(0.0)))
+    alone = evaluate(own, []).first()
+    for name in ("l", "both"):
+        assert got[name].macro_f1 == pytest.approx(alone.macro_f1) and got[name].log_loss == pytest.approx(alone.log_loss)
+    errors = [abs(1.5 * x[0] - 2 * x[1] + 0.25 - y) for y, _, x in rows]
+    assert got["r"].mae == pytest.approx(np.mean(errors)) == got["both"].mae and got["l"].mae is None
+    assert set(PROBS) == {"prob_cooling", "prob_stable", "prob_heating"}
