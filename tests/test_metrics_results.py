@@ -206,7 +206,7 @@ def skewed(spark, n=30_000):
 
 
 @pytest.mark.parametrize("keys", [[], ["k"]])
-@pytest.mark.parametrize("how", [{"accuracy": 20}, {}, {"bins": 4, "rounds": 3, "few_groups": False}])
+@pytest.mark.parametrize("how", [{"digits": (3,)}, {}, {"digits": (2, 6, 20), "few_groups": False}])
 def test_counted_quantiles_are_exact(spark, keys, how):
     df, probs = skewed(spark), [0.0, 0.001, 0.25, 0.5, 0.999, 1.0]
     got = {tuple(r)[:-1]: r.value for r in Q.exact_quantiles(df, ["x", "y"], probs, keys, **how).collect()}
@@ -219,6 +219,30 @@ def test_counted_quantiles_are_exact(spark, keys, how):
     assert got.keys() == want.keys() and all(near(got[k], want[k], 1e-9) for k in want)
 
 
+def test_leading_bits_keep_the_order(spark):
+    values = [0.0, -0.0, 5e-324, -5e-324, 2.2e-308, 1.0, 1.0 + 2**-52, 1.9999, 2.0, -3.7, 1e300, 1.7e308, -1.7e308, float("inf"), float("-inf")]
+    values += [s * 10.0**e * (1 + i / 997) for s in (1, -1) for e in (-300, -5, 0, 3, 200, 307) for i in range(9)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for bits in (1, 4, 12, 40, 52):
+        rows = sorted((r.v, r.k) for r in df.select("v", Q.leading(F.col("v"), bits).alias("k")).collect())
+        assert all(a[1] <= b[1] for a, b in zip(rows, rows[1:]))
+        assert all(v == k or abs(k - v) <= max(abs(v) * 2.0 ** -bits, 5e-324) for v, k in rows)
+    got = {r.prob: r.value for r in Q.exact_quantiles(df, ["v"], [0.0, 0.5, 1.0]).collect()}
+    assert got == {0.0: float("-inf"), 0.5: sorted(values)[len(values) // 2], 1.0: float("inf")} or len(values) % 2 == 0
+    assert got[0.0] == float("-inf") and got[1.0] == float("inf")
+    with pytest.raises(ValueError, match="digits"):
+        Q.exact_quantiles(df, ["v"], [0.5], digits=(20, 4))
+
+
+def test_quantiles_scan_twice(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    skewed(spark, 3000).write.parquet(path)
+    q = Q.exact_quantiles(spark.read.parquet(path), ["x", "y"], [0.1, 0.5], ["k"])
+    q.collect()
+    assert q._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("FileScan parquet") == 2
+    assert Q.exact_quantiles(spark.read.parquet(path).filter("k = 'none'"), ["x"], [0.5]).count() == 0
+
+
 def test_quantile_plan_moves_no_rows(spark):
     """Without broadcasts to lean on, every exchange of rows is below a partial count."""
     plan = Q.exact_quantiles(skewed(spark), ["x"], [0.5], ["k"])._jdf.queryExecution().executedPlan().toString()
