@@ -1,57 +1,99 @@
 """Block-bootstrap intervals from per-block sufficient statistics.
 
-No row is ever replicated: each block shrinks to a handful of sums, a resample
-is a weight per block, and a metric is a formula over weighted sums.  Draws come
-from a hash of (seed, resample, slot), so a retried task draws the same blocks.
+No row is ever replicated: each block shrinks to a handful of sums, and a statistic
+is a formula over their weighted totals.  Resampling is a matrix product: tasks
+multiply the weights of their blocks (resamples x blocks) with the blocks' sums, so
+one row per resample, group and task leaves them.  Draws come from a hash of
+(seed, resample, slot or block), so a retried task draws the same blocks.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..contracts import BootstrapContract
 from ..schema import CLASSES, ENTITY, PERIOD
-from .metrics import accuracy, balanced_accuracy, both_labels, class_counts, error, macro_f1
+from .metrics import accuracy, balanced_accuracy, class_counts, error, macro_f1
 from ..session import land
 from .quantiles import _holds, _null_safe, _spans, attach, bin_of, exact_median
 
 BLOCKS = {"county": ENTITY, "month": PERIOD}
 
-SUMS = ["_n_mag", "_abs", "_err", "_sq", "_n_dir"] + [
-    f"_{part}_{c}" for c in CLASSES for part in ("tp", "pred", "act")
-]
-
-FORMULAS = {
-    "mae": lambda: F.try_divide(F.col("_abs"), F.col("_n_mag")),
-    "rmse": lambda: F.sqrt(F.try_divide(F.col("_sq"), F.col("_n_mag"))),
-    "mean_error": lambda: F.try_divide(F.col("_err"), F.col("_n_mag")),
-    "accuracy": accuracy,
-    "macro_f1": macro_f1,
-    "balanced_accuracy": balanced_accuracy,
+
+@dataclass(frozen=True)
+class Statistic:
+    """``sums``: aggregates over rows that add up over blocks, by name; ``finish``: the figure, from columns of these names."""
+
+    sums: dict[str, Callable[[], Column]]
+    finish: Callable[[], Column]
+
+
+def _counted(name: str, at: int) -> tuple[str, Callable[[], Column]]:
+    return name, lambda: class_counts()[at]
+
+
+_ERRORS = {
+    "_n_mag": lambda: F.count(error()), "_abs": lambda: F.coalesce(F.sum(F.abs(error())), F.lit(0.0)),
+    "_err": lambda: F.coalesce(F.sum(error()), F.lit(0.0)), "_sq": lambda: F.coalesce(F.sum(error() * error()), F.lit(0.0)),
+}
+_COUNTS = dict(_counted(n, i) for i, n in enumerate(["_n_dir"] + [f"_{part}_{c}" for c in CLASSES for part in ("tp", "pred", "act")]))
+
+
+def _of(*names: str) -> dict:
+    return {n: _ERRORS[n] for n in names}
+
+
+STATISTICS: dict[str, Statistic] = {
+    "mae": Statistic(_of("_n_mag", "_abs"), lambda: F.try_divide(F.col("_abs"), F.col("_n_mag"))),
+    "rmse": Statistic(_of("_n_mag", "_sq"), lambda: F.sqrt(F.try_divide(F.col("_sq"), F.col("_n_mag")))),
+    "mean_error": Statistic(_of("_n_mag", "_err"), lambda: F.try_divide(F.col("_err"), F.col("_n_mag"))),
+    "accuracy": Statistic(_COUNTS, accuracy), "macro_f1": Statistic(_COUNTS, macro_f1), "balanced_accuracy": Statistic(_COUNTS, balanced_accuracy),
 }
 # Not a formula over sums; see ``_median_values``.
 MEDIAN = "medae"
 
 
+def register_statistic(name: str, sums: dict[str, Callable[[], Column]], finish: Callable[[], Column]) -> None:
+    """Let intervals and paired differences use another statistic, given by what adds up over rows and how that is read.
+
+    A correlation, say, has the sums of x, y, their squares and their product.  Names
+    of sums are shared: the same name must mean the same aggregate everywhere.
+    """
+    if name == MEDIAN or name in STATISTICS:
+        raise ValueError(f"statistic {name!r} is registered already")
+    STATISTICS[name] = Statistic(dict(sums), finish)
+
+
+def _statistic(name: str) -> Statistic:
+    if name not in STATISTICS:
+        raise KeyError(f"unknown metric {name!r}; choose one of {', '.join(sorted([*STATISTICS, MEDIAN]))}")
+    return STATISTICS[name]
+
+
+def _sums(metrics) -> dict[str, Callable[[], Column]]:
+    return {n: c for m in metrics if m != MEDIAN for n, c in _statistic(m).sums.items()}
+
+
 def block_column(block: str) -> str:
     if block not in BLOCKS:
         raise KeyError(f"unknown block {block!r}; choose one of {', '.join(sorted(BLOCKS))}")
     return BLOCKS[block]
 
 
-def block_stats(df: DataFrame, keys: list[str], block: str) -> DataFrame:
-    """One row of additive sums per (keys, block)."""
-    e = error()
-    return df.groupBy(*keys, F.col(block_column(block)).cast("string").alias("block_key")).agg(
-        F.count(e).alias("_n_mag"), F.coalesce(F.sum(F.abs(e)), F.lit(0.0)).alias("_abs"),
-        F.coalesce(F.sum(e), F.lit(0.0)).alias("_err"), F.coalesce(F.sum(e * e), F.lit(0.0)).alias("_sq"),
-        *class_counts(),
-    )
+def block_stats(df: DataFrame, keys: list[str], block: str, metrics=tuple(STATISTICS)) -> DataFrame:
+    """One row of additive sums, as doubles, per (keys, block)."""
+    rows = df.groupBy(*keys, F.col(block_column(block)).cast("string").alias("block_key"))
+    sums = [c().cast("double").alias(n) for n, c in _sums(metrics).items()]
+    return rows.agg(*(sums or [F.count(F.lit(1)).alias("_rows")]))
 
 
 def _hash32(*parts: Column) -> Column:
@@ -60,17 +102,47 @@ def _hash32(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def _poisson_one(u32: Column) -> Column:
-    """Poisson(1) quantile of a 32-bit integer."""
-    out, cdf, k = None, 0.0, 0
-    while True:
-        cdf += math.exp(-1.0) / math.factorial(k)
-        bound = min(int(cdf * 2**32), 2**32)
-        hit = u32 < bound
-        out = F.when(hit, k) if out is None else out.when(hit, k)
-        if bound >= 2**32 - 1:
-            return out.otherwise(k + 1)
-        k += 1
+# Shifts and multipliers of a published 32-bit integer hash.
+MIX = ((16, 0x7FEB352D), (15, 0x846CA68B), (16, None))
+
+
+def _bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with ``x`` computed once, however often it is named."""
+    return F.transform(F.array(x), use)[0]
+
+
+def _mixed(x: Column) -> Column:
+    """Hash of an unsigned 32-bit integer; products are taken in halves, so that they fit a long."""
+
+    def folded(shift: int):
+        return lambda y: y.bitwiseXOR(F.shiftright(y, shift))
+
+    def times(factor: int):
+        return lambda y: ((y * (factor >> 16)).bitwiseAND(0xFFFF) * 65536 + y * (factor & 0xFFFF)).bitwiseAND(0xFFFFFFFF)
+
+    for shift, factor in MIX:
+        x = _bound(x, folded(shift))
+        x = _bound(x, times(factor)) if factor else x
+    return x
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The same on arrays."""
+    x = x.astype(np.uint32)
+    for shift, factor in MIX:
+        x ^= x >> np.uint32(shift)
+        if factor:
+            x *= np.uint32(factor)
+    return x
+
+
+def _poisson_bounds() -> list[int]:
+    """32-bit integers below the k-th bound, but not below one before, stand for k draws of a block."""
+    bounds, cdf = [], 0.0
+    while not bounds or bounds[-1] < 2**32 - 1:
+        cdf += math.exp(-1.0) / math.factorial(len(bounds))
+        bounds.append(min(int(cdf * 2**32), 2**32))
+    return bounds
 
 
 class Weights(NamedTuple):
@@ -78,6 +150,32 @@ class Weights(NamedTuple):
 
     expand: Callable[[DataFrame], DataFrame]  # adds every (resample, weight) to rows with a block
     attach: Callable[[DataFrame], DataFrame]  # adds the weight to rows with a block and a resample
+    totals: Callable[[DataFrame, list[str]], DataFrame]  # block sums to weighted sums per (keys, resample)
+
+
+CHUNK = 1024  # blocks whose weights a product holds at a time
+HELD = 64  # groups whose products a task holds at a time
+
+
+def _group_rows(own: list, acc: dict, sums: list[str]):
+    """Arrow rows (own, resample, sums) of the products gathered for some groups."""
+    names, products = list(acc), list(acc.values())
+    n = len(products[0])
+    place = pa.array(np.repeat(np.arange(len(names)), n))
+    flat = np.concatenate(products)
+    return pa.array([own[k] for k in names]).take(place), np.tile(np.arange(n, dtype=np.int32), len(names)), [flat[:, i] for i in range(len(sums))]
+
+
+def _pack(stats: DataFrame, keys: list[str], sums: list[str], *more: Column) -> DataFrame:
+    # A group is named by its keys as JSON, which keeps null keys apart from texts.
+    return stats.select(F.to_json(F.struct(*[F.col(k) for k in keys], F.lit(0).alias("_")), {"ignoreNullFields": "false"}).alias("own"),
+                        F.array(*[F.col(c) for c in sums]).alias("s"), *more)
+
+
+def _unpack(products: DataFrame, stats: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    shape = T.StructType([stats.schema[k] for k in keys] + [T.StructField("_", T.IntegerType())])
+    return products.groupBy("own", "resample").agg(*[F.sum(c).alias(c) for c in sums]).withColumn(
+        "_own", F.from_json("own", shape)).select(*[F.col("_own")[k].alias(k) for k in keys], "resample", *sums)
 
 
 def _numbered(stats: DataFrame, keys: list[str]) -> DataFrame:
@@ -105,49 +203,103 @@ def slot_weights(stats: DataFrame, keys: list[str], resamples: int, seed: int) -
     models with each other.
     """
     numbered = _numbered(stats, keys).filter("blocks >= 2")
-    sizes = numbered.select("blocks").distinct()
-    drawn = (
+    sizes = numbered.select(F.col("blocks").alias("blocks")).distinct()
+    slots = (
         sizes.select("blocks", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
         .repartition("resample")
         .select("blocks", "resample", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("slot"))
         .select("blocks", "resample", F.pmod(_hash32(F.lit(seed), F.col("resample"), F.col("slot")), F.col("blocks")).alias("idx"))
-        .groupBy("blocks", "resample", "idx").agg(F.count(F.lit(1)).alias("weight"))
     )
+    drawn = slots.groupBy("blocks", "resample", "idx").agg(F.count(F.lit(1)).alias("weight"))
     weights = numbered.join(drawn, ["blocks", "idx"]).select(*keys, "block_key", "resample", "weight")
 
     def joined(df: DataFrame, on: list[str]) -> DataFrame:
         extra = [F.col("b.resample")] * ("resample" not in on) + [F.col("b.weight")]
         return df.alias("a").join(weights.alias("b"), _null_safe(on, "a", "b")).select("a.*", *extra)
 
-    return Weights(lambda df: joined(df, [*keys, "block_key"]), lambda df: joined(df, [*keys, "block_key", "resample"]))
+    def totals(df: DataFrame, sums: list[str]) -> DataFrame:
+        """Blocks of a chunk meet the draws of that chunk, as lists per resample, once for all groups with as many blocks."""
+        own = df.alias("a").join(numbered.alias("b"), _null_safe([*keys, "block_key"], "a", "b")).select("a.*", "b.idx", "b.blocks")
+        chunk = F.floor(F.col("idx") / CHUNK).alias("chunk")
+        left = _pack(own, keys, sums, "blocks", chunk, (F.col("idx") % CHUNK).cast("int").alias("at"))
+        right = slots.groupBy("blocks", "resample", chunk).agg(F.collect_list((F.col("idx") % CHUNK).cast("int")).alias("at"))
 
+        def multiply(blocks: pa.Table, draws: pa.Table) -> pa.Table:
+            weight = np.zeros((resamples, CHUNK))
+            for r, at in zip(draws["resample"].to_pylist(), draws["at"]):
+                weight[r] = np.bincount(at.values.to_numpy(), minlength=CHUNK)
+            names, place = np.unique(np.array(blocks["own"].to_pylist(), dtype=object), return_inverse=True)
+            at, s_ = blocks["at"].to_numpy(), blocks["s"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(sums))
+            acc = {i: weight[:, at[place == i]] @ s_[place == i] for i in range(len(names))}
+            if not acc:
+                return pa.table({"own": pa.array([], pa.string()), "resample": pa.array([], pa.int32()), **{c: pa.array([], pa.float64()) for c in sums}})
+            own, r, columns = _group_rows(list(names), acc, sums)
+            return pa.table({"own": own, "resample": r, **dict(zip(sums, columns))})
 
-def poisson_weights(resamples: int, seed: int) -> Weights:
-    """Independent Poisson(1) weights, computed on the row they belong to: no join, no shuffle."""
-    weight = _poisson_one(_hash32(F.lit(seed), F.col("resample"), F.col("block_key")))
+        shape = "own string, resample int, " + ", ".join(f"{c} double" for c in sums)
+        at = ("blocks", "chunk")
+        return _unpack(left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(multiply, shape), df, keys, sums)
+
+    return Weights(lambda df: joined(df, [*keys, "block_key"]), lambda df: joined(df, [*keys, "block_key", "resample"]), totals)
+
+
+def poisson_weights(keys: list[str], resamples: int, seed: int) -> Weights:
+    """Independent Poisson(1) weights, computed where the block is: no join, no shuffle.
+
+    A block's name is hashed once; its draws are mixes of that number with the resample's.
+    """
+    bounds = _poisson_bounds()
+    block = _hash32(F.lit(seed), F.col("block_key"))
+    turn = mixed(np.arange(resamples, dtype=np.int64) + seed & 0xFFFFFFFF)
+    u = _mixed(_mixed((F.col("resample") + seed).cast("long").bitwiseAND(0xFFFFFFFF)).bitwiseXOR(block))
+    # As many draws as bounds lie at or below the number.
+    weight = _bound(u, lambda n: F.size(F.filter(F.lit(bounds), lambda bound: bound <= n)))
 
     def weigh(df: DataFrame) -> DataFrame:
         return df.withColumn("weight", weight.cast("long")).filter("weight > 0")
 
     every = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")
-    return Weights(lambda df: weigh(df.select("*", every)), weigh)
+
+    def totals(df: DataFrame, sums: list[str]) -> DataFrame:
+        def multiply(batches):
+            acc: dict[str, np.ndarray] = {}
+
+            def out():
+                own, r, columns = _group_rows({k: k for k in acc}, acc, sums)
+                return pa.RecordBatch.from_arrays([own, pa.array(r), *[pa.array(c) for c in columns]], names=["own", "resample", *sums])
+
+            for batch in batches:
+                names, place = np.unique(np.array(batch.column(0).to_pylist(), dtype=object), return_inverse=True)
+                s_ = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(sums))
+                h = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint32)
+                for lo in range(0, len(h), CHUNK):
+                    part = slice(lo, lo + CHUNK)
+                    draws = np.searchsorted(np.array(bounds, np.uint64), mixed(turn[:, None] ^ h[None, part]), "right").astype(np.float64)
+                    for i in np.unique(place[part]):
+                        mine = place[part] == i
+                        acc[names[i]] = acc.get(names[i], 0.0) + draws[:, mine] @ s_[part][mine]
+                        if len(acc) > HELD:
+                            yield out()
+                            acc.clear()
+            if acc:
+                yield out()
+
+        shape = "own string, resample int, " + ", ".join(f"{c} double" for c in sums)
+        return _unpack(_pack(df, keys, sums, block.alias("h")).mapInArrow(multiply, shape), df, keys, sums)
+
+    return Weights(lambda df: weigh(df.select("*", every)), weigh, totals)
 
 
 def _weights(stats, keys, c: BootstrapContract) -> Weights:
     if c.scheme == "slots":
         return slot_weights(stats, keys, c.resamples, c.seed)
     if c.scheme == "poisson":
-        return poisson_weights(c.resamples, c.seed)
+        return poisson_weights(keys, c.resamples, c.seed)
     raise ValueError(f"unknown scheme {c.scheme!r}; choose slots or poisson")
 
 
-def _weighted(stats: DataFrame, weights: Weights, keys: list[str], sums: list[str]) -> DataFrame:
-    """Sums per (keys, resample) under the resample's weights."""
-    return weights.expand(stats).groupBy(*keys, "resample").agg(*[F.sum(F.col(s) * F.col("weight")).alias(s) for s in sums])
-
-
 def _long(df: DataFrame, keys: list[str], metrics: list[str], value: str) -> DataFrame:
-    cells = F.array(*[F.struct(F.lit(m).alias("metric"), FORMULAS[m]().cast("double").alias(value)) for m in metrics])
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), _statistic(m).finish().cast("double").alias(value)) for m in metrics])
     return df.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*")
 
 
@@ -176,14 +328,14 @@ def intervals(
     """
     out = None
     for block in blocks:
-        stats = land(block_stats(df, keys, block), "block_stats")  # read several times, written once
-        additive = [m for m in metrics if m != MEDIAN]
+        additive, sums = [m for m in metrics if m != MEDIAN], list(_sums(metrics))
+        stats = land(block_stats(df, keys, block, metrics), "block_stats")  # read several times, written once
         weights = _weights(stats, keys, contract)
         parts = []
         if additive:
-            totals = stats.groupBy(*keys).agg(*[F.sum(s).alias(s) for s in SUMS])
+            totals = stats.groupBy(*keys).agg(*[F.sum(s).alias(s) for s in sums])
             points = _long(totals, keys, additive, "point")
-            values = _long(_weighted(stats, weights, keys, SUMS), keys, additive, "value")
+            values = _long(weights.totals(stats, sums), keys, additive, "value")
             parts.append(_summary(points, values, keys, contract))
         if MEDIAN in metrics:
             rows = _errors(df, keys, block)
@@ -247,10 +399,9 @@ def paired_difference(
     The rows are paired by (entity, month) and both models' sums ride through
     the same draws side by side, which keeps the pairing.
     """
-    if metric != MEDIAN and metric not in FORMULAS:
-        raise KeyError(f"unknown metric {metric!r}; choose one of {', '.join(sorted([*FORMULAS, MEDIAN]))}")
-    need = ["predicted_dg", "predicted_label", "target_dg", "target_label"]
+    sums = list(_sums([metric]))
     on = [ENTITY, PERIOD]
+    need = [c for c in left.columns if c in right.columns and c not in on]  # a statistic may read any column that both have
     a, b = left.select(*on, *need).alias("a"), right.select(*on, *need).alias("b")
     pairs = a.join(b, (F.col(f"a.{ENTITY}") == F.col(f"b.{ENTITY}")) & (F.col(f"a.{PERIOD}") == F.col(f"b.{PERIOD}")))
     sides = pairs.select(
@@ -260,15 +411,15 @@ def paired_difference(
             for s, t in (("left", "a"), ("right", "b"))
         ])).alias("m"),
     ).select(*on, "m.*")
-    stats = land(block_stats(sides, ["side"], block), "block_stats")
+    stats = land(block_stats(sides, ["side"], block, [metric]), "block_stats")
     weights = _weights(stats, ["side"], contract)
     if metric == MEDIAN:
         rows = _errors(sides, ["side"], block)
         points, values = exact_median(rows, "v", ["side"], "point"), _median_values(rows, weights, ["side"])
     else:
-        totals = stats.groupBy("side").agg(*[F.sum(s).alias(s) for s in SUMS])
+        totals = stats.groupBy("side").agg(*[F.sum(s).alias(s) for s in sums])
         points = _long(totals, ["side"], [metric], "point")
-        values = _long(_weighted(stats, weights, ["side"], SUMS), ["resample", "side"], [metric], "value")
+        values = _long(weights.totals(stats, sums), ["resample", "side"], [metric], "value")
 
     def diff(df, keys, value):
         pick = lambda s: F.max(F.when(F.col("side") == s, F.col(value)))

@@ -509,6 +509,14 @@ def _median_bootstrap(resamples: int = 1000) -> str:
     )
 
 
+def _mixed(x: str) -> str:
+    """A published hash of 32-bit integers, step by step."""
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B), (16, None)):
+        x = f"list_transform([{x}], lambda y: xor(y, y >> {shift}::UBIGINT))[1]"
+        x = x if factor is None else f"(({x} * {factor}::UBIGINT) % 4294967296)"
+    return x
+
+
 def _poisson() -> str:
     import math
 
@@ -521,8 +529,10 @@ def _poisson() -> str:
             break
         k += 1
     extra = _block_ctes("county_fips")
+    seed = C.bootstrap.seed
+    extra["b_hash"] = f"SELECT *, ('0x' || substr(md5({seed} || ':' || bk), 1, 8))::UBIGINT AS h FROM b_stats"
     extra["b_sample"] = f"""SELECT model, r, {', '.join(f'sum({s} * w) AS {s}' for s in _SUMS)} FROM (SELECT *, CASE {' '.join(arms)} ELSE {k + 1} END AS w
-        FROM (SELECT *, CAST(('0x' || substr(md5({C.bootstrap.seed} || ':' || r || ':' || bk), 1, 8)) AS BIGINT) AS u FROM b_stats, range(1000) x(r))) WHERE w > 0 GROUP BY 1, 2"""
+        FROM (SELECT *, {_mixed('xor(turn, h)')} AS u FROM b_hash, (SELECT r, {_mixed(f'((r + {seed}) % 4294967296)::UBIGINT')} AS turn FROM range(1000) x(r)))) WHERE w > 0 GROUP BY 1, 2"""
     return show(INTERVAL, f"({_intervals('county', '', ('mae',))})", extra)
 
 

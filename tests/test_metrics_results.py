@@ -156,6 +156,75 @@ def test_one_block_has_no_interval(spark):
         B.intervals(df, ["model"], blocks=("tract",))
 
 
+def test_mixes_agree(spark):
+    x = np.array([0, 1, 2, 77, 2**31, 2**32 - 1, 123456789], np.int64)
+    got = [r[0] for r in spark.createDataFrame([(int(v),) for v in x], "x long").select(B._mixed(F.col("x"))).collect()]
+    assert got == B.mixed(x).tolist() and len(set(got)) == len(x)
+
+
+def test_poisson_equals_row_replication(spark):
+    import hashlib
+
+    df = noisy(spark, entities=9).cache()
+    c = replace(SMALL, scheme="poisson")
+    got = {(r.model, r.metric): r for r in B.intervals(df, ["model"], ("mae", "medae", "macro_f1"), ("county",), c).collect()}
+    pdf = df.toPandas()
+    bounds = B._poisson_bounds()
+    for m, g in pdf.groupby("model"):
+        parts = {k: (v.predicted_dg - v.target_dg).abs().to_numpy() for k, v in g.groupby("county_fips")}
+        h = {k: int(hashlib.md5(f"{c.seed}:{k}".encode()).hexdigest()[:8], 16) for k in parts}
+        means, medians = [], []
+        for r in range(c.resamples):
+            turn = int(B.mixed(np.array([(r + c.seed) % 2**32]))[0])
+            w = {k: int(np.searchsorted(bounds, int(B.mixed(np.array([turn ^ h[k]]))[0]), "right")) for k in parts}
+            drawn = np.concatenate([np.repeat(parts[k], w[k]) for k in parts])
+            if len(drawn):
+                means.append(drawn.mean()), medians.append(np.median(drawn))
+        for metric, values in (("mae", means), ("medae", medians)):
+            low, high = np.quantile(values, [c.alpha / 2, 1 - c.alpha / 2])
+            assert near(got[m, metric].low, low, 1e-9) and near(got[m, metric].high, high, 1e-9) and got[m, metric].resamples == len(values)
+
+
+def test_registered_statistic(spark):
+    """Root of the mean squared target and a correlation: intervals and paired differences equal replicated rows."""
+    import hashlib
+
+    x, y = F.col("predicted_dg"), F.col("target_dg")
+    both = x.isNotNull() & y.isNotNull()
+    of = lambda v: (lambda: F.coalesce(F.sum(F.when(both, v)), F.lit(0.0)))
+    sums = {"_pairs": lambda: F.count_if(both), "_x": of(x), "_y": of(y), "_xx": of(x * x), "_yy": of(y * y), "_xy": of(x * y)}
+    n, a, b = F.col("_pairs"), F.col("_x"), F.col("_y")
+
+    def correlation():
+        spread = F.sqrt((n * F.col("_xx") - a * a) * (n * F.col("_yy") - b * b))
+        return F.try_divide(n * F.col("_xy") - a * b, spread)
+
+    B.register_statistic("corr", sums, correlation)
+    try:
+        with pytest.raises(ValueError, match="corr"):
+            B.register_statistic("corr", sums, correlation)
+        df = noisy(spark).cache()
+        got = {r.model: r for r in B.intervals(df, ["model"], ("corr", "mae"), ("county",), SMALL).filter("metric = 'corr'").collect()}
+        pair = B.paired_difference(df.filter("model = 'a'"), df.filter("model = 'b'"), "corr", "county", SMALL).first()
+        pdf = df.toPandas()
+        keys = sorted(pdf.county_fips.unique())
+        parts = {(m, k): g for (m, k), g in pdf.groupby(["model", "county_fips"])}
+        values = {"a": [], "b": []}
+        for r in range(SMALL.resamples):
+            idx = [int(hashlib.md5(f"{SMALL.seed}:{r}:{s}".encode()).hexdigest()[:8], 16) % len(keys) for s in range(len(keys))]
+            for m in values:
+                rows = [parts[m, keys[i]] for i in idx]
+                values[m].append(np.corrcoef(np.concatenate([g.predicted_dg for g in rows]), np.concatenate([g.target_dg for g in rows]))[0, 1])
+        ends = [SMALL.alpha / 2, 1 - SMALL.alpha / 2]
+        for m in values:
+            assert np.allclose([got[m].low, got[m].high], np.quantile(values[m], ends), atol=1e-9)
+        assert np.allclose([pair.low, pair.high], np.quantile(np.subtract(values["a"], values["b"]), ends), atol=1e-9)
+    finally:
+        del B.STATISTICS["corr"]
+    with pytest.raises(KeyError, match="corr"):
+        B.intervals(df, ["model"], ("corr",), ("county",), SMALL)
+
+
 def test_poisson_weights_agree_roughly(spark):
     df = noisy(spark, entities=40).cache()
     a, b = (B.intervals(df, ["model"], ("mae",), ("county",), replace(SMALL, scheme=d)).orderBy("model").collect() for d in ("slots", "poisson"))
