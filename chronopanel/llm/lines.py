@@ -294,8 +294,24 @@ def deduplicate(
     """All rows and columns of ``docs`` with the lines that go left out of ``text``; adds ``lines_dropped``.
 
     A null text stays null, an empty one empty.  A text of which nothing is left
-    becomes empty.  ``docs`` may not have a column ``lines_dropped`` itself.
+    becomes empty.  A column ``lines_dropped`` of ``docs`` itself makes way for the new one.
     """
+    return _cut(docs, key, text, least, near).select(
+        *[(F.col("text") if c == text else F.col("own")[c]).alias(c) for c in docs.columns if c != "lines_dropped"],
+        F.col("n").alias("lines_dropped"))
+
+
+def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, near: int | None = None) -> DataFrame:
+    """Rows of ``docs`` with their own columns and the lines that go left out; a text that loses its last line with text goes itself.
+
+    A text without a line to lose stays, also when it is null, empty or blank.
+    """
+    kept = _cut(docs, key, text, least, near).filter((F.col("n") == 0) | F.col("text").rlike(r"(?U)\S"))
+    return kept.select(*[(F.col("text") if c == text else F.col("own")[c]).alias(c) for c in docs.columns])
+
+
+def _cut(docs: DataFrame, key: str, text: str, least: int, near: int | None) -> DataFrame:
+    """``(own, text, n)``: a row of ``docs``, what is left of its text, and the number of lines that went."""
     gone = removals(docs, key, text, least, near).hint("merge")  # grows with the corpus
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), _row(F.col(f"`{text}`")).alias("own_row"))
     both = whole.join(
@@ -315,6 +331,4 @@ def deduplicate(
                 [batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=["own", "text", "n"])
 
     shape = T.StructType([both.schema["own"], T.StructField("text", T.StringType()), T.StructField("n", T.IntegerType())])
-    return both.mapInArrow(cut, shape).select(
-        *[(F.col("text") if c == text else F.col("own")[c]).alias(c) for c in docs.columns],
-        F.col("n").alias("lines_dropped"))
+    return both.mapInArrow(cut, shape)

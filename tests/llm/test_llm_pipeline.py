@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 from test_llm_duplicates import Groups, expected_groups, plain_dedup
+from test_llm_similar import expected
 from test_llm_text import plain_counts
 
 import __spark_entry__ as entry
@@ -206,8 +207,7 @@ def test_pipeline(spark, corpus):
     assert sorted((r.doc_id, r.text) for r in seen["line_dedup"]) == sorted(want)
     assert all(r.n_chars == len(r.text) for r in seen["line_dedup"]) and 180 not in {k for k, _ in want}
     rows = [(r.doc_id, r.text) for r in seen["line_dedup"]]
-    groups, g = expected_groups(rows)
-    assert sorted(r.doc_id for r in seen["near_duplicates"]) == sorted({e[2] for e in groups})
+    assert sorted(r.doc_id for r in seen["near_duplicates"]) == expected(rows)  # all pairs of shingle sets
     plain = tokens.from_file(catalog.JSON_MODEL[1])
     check_packed(seen["pack_sequences"], {
         r.doc_id: plain.encode(r.text, add_special_tokens=False).ids + [0] for r in seen["near_duplicates"]})
@@ -234,3 +234,13 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
 
 def test_quality_sql_free_rules_name_their_measures():
     assert set(quality.RULES) == set(quality.rules())
+
+
+def test_line_stage_with_a_column_of_the_counter(spark):
+    import corpus_pipeline as C
+
+    rows = [(1, "One line that both of these documents hold.", 7), (2, "One line that both of these documents hold.\nAnd more.", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lines_dropped long").selectExpr("*", "1L AS n_chars")
+    got = C.line_dedup(spark, docs, "")
+    assert got.columns == docs.columns and {tuple(r) for r in got.collect()} == {(1, rows[0][1], 7, 43), (2, "And more.", 8, 9)}
+    assert lines.deduplicate(docs).columns == ["doc_id", "text", "n_chars", "lines_dropped"]
