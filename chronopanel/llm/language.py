@@ -20,17 +20,19 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import text_slices
+from .shared import slices, text_slices
+from .tokens import forget
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
 BLOCK = 64
 GRAMS = (2, 3, 4)
+PART = 100_000  # words that a recursion holds at a time
 
 
 # ------------------------------------------------------------------ features
@@ -211,37 +213,50 @@ def train(
     used, cuts = np.unique(numbers[by], return_index=True)
     owner = np.repeat(np.arange(len(distinct), dtype=np.int32), np.diff(np.append(first, len(numbers))))[by]
     sizes = np.array([len(d) for d in split], np.int64)
-    chains = Chains(sizes)
-    home = np.repeat([languages.index(x) for x in labels], sizes)
-    target = np.eye(k)[home]
+    # Recursions run over slices of documents, so that only one slice's places are held at a time.
+    ends = np.cumsum(sizes)
+    parts = [(int(ends[lo] - sizes[lo]), int(ends[hi - 1]), Chains(sizes[lo:hi])) for lo, hi in slices(sizes.tolist(), PART)]
+    home = np.repeat([languages.index(x) for x in labels], sizes).astype(np.int16)
+    state = home.copy()
     w = np.zeros((BUCKETS + len(lexicon), k))
     t, s = np.full((k, k), -2.0) + 2.0 * np.eye(k), np.zeros(k)
     speed = [np.full_like(x, 1e-8) for x in (w[used], t, s)]
-    starts = np.cumsum(sizes) - sizes
+    starts = ends - sizes
     inner = np.ones(len(flat), bool)
     inner[starts] = False
-    per_word = np.zeros((len(distinct), k))
+    del flat, split
 
     def soft(x, axis=-1):
         y = np.exp(x - x.max(axis=axis, keepdims=True))
         return y / y.sum(axis=axis, keepdims=True)
 
+    def emissions():
+        return np.stack([np.add.reduceat(np.ascontiguousarray(w[:, j])[numbers], first) for j in range(k)], axis=1)
+
     for turn in range(rounds):
+        by_word = emissions()
         if turn == rounds // 2:
-            e = np.add.reduceat(w[numbers], first, axis=0)[codes]
-            e[np.arange(len(e)), home] += 0.5
             gentle = np.exp(np.full((k, k), -3.0) + 3.0 * np.eye(k))
-            target = np.eye(k)[chains.marginals(e, gentle, np.ones(k) / k).argmax(axis=1)]
+            for lo, hi, chains in parts:
+                e = by_word[codes[lo:hi]]
+                e[np.arange(hi - lo), home[lo:hi]] += 0.5
+                state[lo:hi] = chains.marginals(e, gentle, np.ones(k) / k).argmax(axis=1)
             speed = [np.full_like(v, 1e-8) for v in speed]
-        e = np.add.reduceat(w[numbers], first, axis=0)[codes]
-        p, moves, opening, _ = chains.marginals(e, np.exp(t - t.max()), soft(s), pairs=True)
-        gap = target - p
-        for j in range(k):
-            per_word[:, j] = np.bincount(codes, gap[:, j], minlength=len(distinct))
-        grad_w = np.add.reduceat(per_word[owner], cuts, axis=0) / len(flat) - penalty * w[used]
-        seen = target[:-1][inner[1:]].T @ target[1:][inner[1:]]
-        grad_t = (seen - moves) / len(flat) - 1e-4 * t
-        grad_s = (target[starts].sum(axis=0) - opening) / len(starts)
+        per_word, moves, opening = np.zeros((len(distinct), k)), np.zeros((k, k)), np.zeros(k)
+        for lo, hi, chains in parts:
+            gap, more, heads, _ = chains.marginals(by_word[codes[lo:hi]], np.exp(t - t.max()), soft(s), pairs=True)
+            gap *= -1
+            gap[np.arange(hi - lo), state[lo:hi]] += 1
+            for j in range(k):
+                per_word[:, j] += np.bincount(codes[lo:hi], gap[:, j], minlength=len(distinct))
+            moves += more
+            opening += heads
+        grad_w = np.stack([np.add.reduceat(np.ascontiguousarray(per_word[:, j])[owner], cuts) for j in range(k)], axis=1)
+        grad_w = grad_w / len(codes) - penalty * w[used]
+        switches = state[:-1][inner[1:]].astype(np.int64) * k + state[1:][inner[1:]]
+        seen = np.bincount(switches, minlength=k * k).reshape(k, k)
+        grad_t = (seen - moves) / len(codes) - 1e-4 * t
+        grad_s = (np.bincount(state[starts], minlength=k) - opening) / len(starts)
         for x, g, v in zip((w, t, s), (grad_w, grad_t, grad_s), speed):  # steps by each weight's own history
             v += g * g
             if x is w:
@@ -263,32 +278,44 @@ def held_out(key: str = "doc_id"):
 
 def fit(
     docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample_rows: int = 350,
-    sample_characters: int = 4_000_000, **how,
+    sample_characters: int = 4_000_000, most_labels: int = 1000, **how,
 ) -> Model:
-    """Fit on a bounded sample: about ``sample_rows`` rows per label, whole texts, at most ``sample_characters`` of each label's.
+    """Fit on a bounded sample: up to ``sample_rows`` rows per label, whole texts, at most ``sample_characters`` of each label's.
 
-    The rows with the smallest hashes are taken, so the sample is the same in
-    every run.  Texts that would exceed the bound on characters are left out.
+    The rows with the smallest hashes of key and text are taken, so the sample is
+    the same in every run; rows alike in both are drawn once.  Texts that would
+    exceed the bound on characters are left out.  The choice is made on hashes and
+    lengths; only the texts chosen are gathered.  More than ``most_labels`` labels
+    raise, as a model has weights for each.
     """
-    rows = learnable(docs, key, label)
-    counts = rows.groupBy(label).agg(F.count("*").alias("n"))
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 30))
-    shares = [(r[0], min(1.0, 1.5 * sample_rows / r[1])) for r in counts.collect()]  # one row per label
-    chosen = F.lit(False)
-    for name, share in shares:
-        chosen = chosen | ((F.col(label) == name) & (draw < int(share * (1 << 30))))
-    room = sample_characters
-    taken = rows.filter(chosen & (F.length(text) <= room)).select(
-        F.col(label).cast("string").alias("label"), F.col(text).alias("text"), draw.alias("draw"))
+    rows = learnable(docs, key, label).select(
+        F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text"),
+        F.xxhash64(F.col(key), F.col(text), F.lit(11)).alias("draw"))
+    counts = rows.groupBy("label").agg(F.approx_count_distinct("draw", 0.05).alias("n")).limit(most_labels + 1).collect()
+    if len(counts) > most_labels:
+        raise ValueError(f"more than {most_labels} labels to learn")
+    # About twice the rows wanted pass; a label with fewer passes whole.
+    passing, span = F.lit(False), 1 << 40
+    for r in counts:
+        share = int(span * min(1.0, 2.0 * sample_rows / max(1, r["n"])))
+        passing = passing | ((F.col("label") == r["label"]) & (F.pmod("draw", F.lit(span)) < share))
+    passed = rows.filter(passing & (F.length("text") <= sample_characters))
+    order = Window.partitionBy("label").orderBy(F.pmod("draw", F.lit(span)), "draw")
+    sizes = passed.groupBy("label", "draw").agg(F.max(F.length("text")).alias("size")).withColumn(
+        "place", F.row_number().over(order)).filter(F.col("place") <= 2 * sample_rows).collect()
+    chosen, held, number = [], {}, {}
+    for r in sorted(sizes, key=lambda r: (r["label"], r["place"])):
+        name = r["label"]
+        if number.get(name, 0) < sample_rows and held.get(name, 0) + r["size"] <= sample_characters:
+            chosen.append(r["draw"])
+            held[name], number[name] = held.get(name, 0) + r["size"], number.get(name, 0) + 1
+    taken = passed.filter(F.col("draw").isin(chosen)).groupBy("label", "draw").agg(F.max("text").alias("text"))
 
     def learn(batches):
+        forget()  # what earlier tasks of this worker have kept
         got = sorted((r["label"], r["draw"], r["text"]) for batch in batches for r in batch.to_pylist())
-        texts, labels, held, number = [], [], {}, {}
-        for name, _, whole in got:
-            if number.get(name, 0) < sample_rows and held.get(name, 0) + len(whole) <= room:
-                texts.append(whole), labels.append(name)
-                held[name], number[name] = held.get(name, 0) + len(whole), number.get(name, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, labels, **how))])], names=["model"])
+        model = train([t for _, _, t in got], [name for name, _, _ in got], **how)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)])], names=["model"])
 
     # The sample is bounded, so one task learns from it, and only the model reaches the driver.
     found = taken.repartition(1).mapInArrow(learn, "model binary").first()

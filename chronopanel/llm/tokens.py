@@ -212,3 +212,8 @@ def encoder(kind: str, *args: str) -> PieceEncoder:
         make: Callable = {"file": from_file, "ranks": from_ranks}[kind]
         _encoders[key] = PieceEncoder(make(*args))
     return _encoders[key]
+
+
+def forget() -> None:
+    """Drop this worker's encoders with all they have kept; the next task that encodes makes its own."""
+    _encoders.clear()
