@@ -32,7 +32,8 @@ WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
 BLOCK = 64
 GRAMS = (2, 3, 4)
-PART = 100_000  # words that a recursion holds at a time
+PART = 100_000  # words that a recursion holds at a time in training
+SLICE = 512 << 10  # bytes of text whose words are labelled at a time
 
 
 # ------------------------------------------------------------------ features
@@ -198,33 +199,34 @@ def train(
     get their own; a second run learns from these, switches included.
     """
     languages = sorted(set(labels))
-    split = [WORD.findall(t.lower()) for t in texts]
-    keep = [i for i, d in enumerate(split) if d]
-    split, labels = [split[i] for i in keep], [labels[i] for i in keep]
-    flat = [w for d in split for w in d]
+    numbered, parts, sizes, homes = {}, [], [], []
+    for text, label in zip(texts, labels):  # words become numbers text by text, so that only distinct ones are held
+        words = WORD.findall(text.lower())
+        if words:
+            parts.append(np.fromiter((numbered.setdefault(w, len(numbered)) for w in words), np.int32, len(words)))
+            sizes.append(len(words)), homes.append(languages.index(label))
     k = len(languages)
-    if not flat or not k:
+    if not parts or not k:
         return Model([], {}, np.zeros((BUCKETS, 0)), np.zeros((0, 0)), np.zeros(0))
-    codes, distinct = pd.factorize(np.array(flat, dtype=object))
+    codes, distinct, sizes = np.concatenate(parts), list(numbered), np.array(sizes, np.int64)
+    del numbered, parts
     frequent = np.argsort(-np.bincount(codes), kind="stable")[:lexicon_size]
     lexicon = {distinct[w]: i for i, w in enumerate(sorted(frequent.tolist()))}
-    numbers, first = word_features(list(distinct), lexicon)
+    numbers, first = word_features(distinct, lexicon)
     by = np.argsort(numbers, kind="stable").astype(np.int32)
     used, cuts = np.unique(numbers[by], return_index=True)
     owner = np.repeat(np.arange(len(distinct), dtype=np.int32), np.diff(np.append(first, len(numbers))))[by]
-    sizes = np.array([len(d) for d in split], np.int64)
     # Recursions run over slices of documents, so that only one slice's places are held at a time.
     ends = np.cumsum(sizes)
     parts = [(int(ends[lo] - sizes[lo]), int(ends[hi - 1]), Chains(sizes[lo:hi])) for lo, hi in slices(sizes.tolist(), PART)]
-    home = np.repeat([languages.index(x) for x in labels], sizes).astype(np.int16)
+    home = np.repeat(np.array(homes, np.int16), sizes)
     state = home.copy()
     w = np.zeros((BUCKETS + len(lexicon), k))
     t, s = np.full((k, k), -2.0) + 2.0 * np.eye(k), np.zeros(k)
     speed = [np.full_like(x, 1e-8) for x in (w[used], t, s)]
     starts = ends - sizes
-    inner = np.ones(len(flat), bool)
+    inner = np.ones(len(codes), bool)
     inner[starts] = False
-    del flat, split
 
     def soft(x, axis=-1):
         y = np.exp(x - x.max(axis=axis, keepdims=True))
@@ -337,7 +339,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
     def run(batches):
         own = shipped.value
-        for part, texts in text_slices(batches, text):
+        for part, texts in text_slices(batches, text, SLICE):
             names, score, n = own.documents(texts)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(n)],
                                              names=[key, "lang_pred", "score", "n_words"])
