@@ -4,13 +4,21 @@ Every element gets a link-adjusted number of characters per tag; an element's
 density sum adds up its children.  The element with the greatest sum is the core
 of the page.  The least density on the way from it to ``body`` is the page's
 threshold: an ancestor takes the core's place when it has another child that
-reaches the threshold, ``body`` too.  The text of the chosen subtree is returned in
-full but for elements that are no part of an article by their kind or name; an ``h1``
-beside the way to ``body`` is returned with it.
+reaches the threshold, ``body`` too.
+
+Elements that a menu, form, footer, comment section or the like would be by kind or
+name count for less (``MARKED``, comments for nothing) and are left out of the chosen
+subtree.  The mark goes when the element holds the greatest density sum all the same,
+or over half of the page's link-free text with no ``article`` or ``main`` beside it.
+Where ``article`` and ``main`` hold a fifth of the link-free text or more, the core is
+sought in them (in ``article`` alone where it holds half of that), and only other
+articles, or what precedes one inside ``main``, may widen it.  An ``h1`` beside the way to ``body`` is returned too.  Of equal sums the
+denser element wins, then the earlier.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from html import unescape
@@ -27,9 +35,14 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_UNSEEN = re.compile(r"(?:^|\s)hidden(?=\s|$|=|/)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|$|=|/)", re.I)
+_UNSEEN = re.compile(r"aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
+MARKED, PRIOR, COMMENT_SHARE = 0.2, 0.2, 0.9  # weight of marked elements, least share of article and main, share that unmarks comments
+PLAIN, HEAD, OTHER, COMMENT = range(4)  # what a name tells of its element
+
 # Element names of the HTML standard by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -37,8 +50,9 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike "
     "strong sub sup time tt u var wbr".split())
 NEVER = frozenset(
-    "head script style template noscript iframe object embed svg canvas audio video map nav aside footer form button select "
-    "option optgroup textarea input fieldset dialog menu datalist title xmp noembed noframes".split())
+    "head script style template noscript iframe object embed svg canvas audio video map button select option optgroup textarea "
+    "input fieldset datalist title xmp noembed noframes".split())
+ASIDE = frozenset("nav aside footer form dialog menu".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
     "h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
@@ -46,14 +60,33 @@ ALIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
          "th": {"td", "th"}, "option": {"option"}, "thead": {"tbody"}, "tbody": {"thead", "tbody"}, "tfoot": {"tbody"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"},
          "option": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
-# Words in class, id and role that mark menus, headers, footers, sidebars, notices, adverts, forms and comments.
+# Words in class, id and role that mark menus, headers, footers, sidebars, notices, adverts and forms.
 NAMED = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar rail menu menus nav "
-    "navbar navigation breadcrumb breadcrumbs header masthead footer comment comments respond replies disqus cookie "
-    "cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social "
-    "related recommended recommendations widget toolbar pagination pager search complementary contentinfo".split())
-HEADS = frozenset(("header", "masthead", "banner"))
-CORES = frozenset(("article", "main", "body", "html"))
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion sidebar sidebars rail menu menus nav "
+    "navbar navigation breadcrumb breadcrumbs footer footers cookie cookies consent gdpr notice notices alert popup modal overlay "
+    "newsletter subscribe signup login share sharing social related recommended recommendations widget widgets toolbar pagination "
+    "pager search complementary contentinfo".split())
+HEADS = frozenset("header headers masthead banner banners".split())
+COMMENTS = frozenset("comment comments respond replies reply disqus".split())
+# A name is told by its last word, boxes and places aside: "site-footer", "comment-list", but not "search-article".
+BOXES = frozenset(
+    "area articles bar block body bottom box buttons card container content form group inner item items left link links list media "
+    "message outer panel posts primary right row secondary section slot stories text thread top unit wrap wrapper zone".split())
+NEGATES = frozenset("has no not with without".split())
+CORES = frozenset(("article", "main"))
+
+
+@functools.lru_cache(maxsize=1 << 14)
+def kind_of_name(token: str) -> int:
+    """What one class, id or role tells of its element."""
+    parts = [w.lower() for w in _PART.findall(token)]
+    known = [w for w in parts if w not in BOXES]
+    if not known or NEGATES & set(parts):
+        return PLAIN
+    last = known[-1]
+    if last in HEADS:
+        return OTHER if NAMED & set(known) else HEAD
+    return OTHER if last in NAMED else COMMENT if last in COMMENTS else PLAIN
 
 
 class Page:
@@ -61,27 +94,27 @@ class Page:
 
     def __init__(self, html: str):
         self.tag, self.parent, self.drop = ["#"], [0], [False]
+        self.mark, self.is_core = [PLAIN], [False]
         self.runs: list[tuple[int, str]] = []  # element and text; an empty text separates blocks
         self.body = 0
         self._parse(html)
+        self._measure()
 
     def _open(self, tag: str, attrs: str) -> int:
         inside = self.stack[-1]
-        drop = self.drop[inside] or tag in NEVER
-        if not drop and tag not in CORES:
-            if _UNSEEN.search(attrs):
-                drop = True
-            else:
-                in_core = self.core > 0
-                words = {
-                    w.lower() for m in _NAMES.finditer(attrs) for w in _PART.findall(m[2] or m[3] or m[4] or "")
-                } | ({"header"} if tag == "header" else set())
-                found = words & NAMED
-                drop = bool(found - HEADS if in_core else found)
-        elif not drop and tag == "article" and any(
-                w.lower() in ("comment", "comments", "reply") for m in _NAMES.finditer(attrs) for w in _PART.findall(m[2] or m[3] or m[4] or "")):
-            drop = True
+        drop, mark, core = self.drop[inside] or tag in NEVER, PLAIN, tag in CORES
+        if not drop and tag not in ("body", "html"):
+            names = [(m[1].lower(), t) for m in _NAMES.finditer(attrs) for t in (m[2] or m[3] or m[4] or "").split()] if attrs else ()
+            core = core or ("role", "main") in names or ("role", "article") in names
+            kinds = {kind_of_name(t) for _, t in names} | ({HEAD} if tag == "header" else {OTHER} if tag in ASIDE else set())
+            drop = bool(attrs) and not core and bool(
+                _UNSEEN.search(attrs) or "idden" in attrs.lower() and _HIDDEN.search(_QUOTED.sub("", attrs)))
+            if COMMENT in kinds:
+                mark = COMMENT
+            elif not core and (OTHER in kinds or HEAD in kinds and not self.core):
+                mark = OTHER
         self.tag.append(tag), self.parent.append(inside), self.drop.append(drop)
+        self.mark.append(mark), self.is_core.append(core and mark == PLAIN)
         if tag == "body" and not self.body:
             self.body = len(self.tag) - 1
         return len(self.tag) - 1
@@ -92,7 +125,7 @@ class Page:
             tag = self.tag[self.stack[depth]]
             if tag in names:
                 for e in self.stack[depth:]:
-                    self.core -= self.tag[e] in ("article", "main")
+                    self.core -= self.is_core[e]
                 del self.stack[depth:]
                 return
             if tag in stop:
@@ -134,27 +167,63 @@ class Page:
                 continue
             if tag not in VOID and not attrs.rstrip().endswith("/"):
                 self.stack.append(own)
-                self.core += tag in ("article", "main")
+                self.core += self.is_core[own]
             elif tag not in VOID and tag not in ("svg", "path"):  # "<div/>" opens a div
                 self.stack.append(own)
-                self.core += tag in ("article", "main")
+                self.core += self.is_core[own]
         if at < len(html):
             text((self.stack[-1], html[at:]))
 
-    def densities(self) -> tuple[list[float], list[float]]:
+    def _measure(self) -> None:
+        """Characters of each element's own text, all and in links, without what is never shown; the part within ``body``."""
         n = len(self.tag)
-        chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-        in_link = [False] * n
+        self.own, self.own_links = [0] * n, [0] * n
+        self.within, self.in_link = [False] * n, [False] * n
+        self.within[self.body] = True
         for e in range(1, n):
-            in_link[e] = in_link[self.parent[e]] or self.tag[e] == "a"
+            self.in_link[e] = self.in_link[self.parent[e]] or self.tag[e] == "a"
+            self.within[e] = self.within[e] or e > self.body and self.within[self.parent[e]]
         for e, run in self.runs:
             if run and not self.drop[e]:
                 size = len("".join(unescape(run).split()))
-                chars[e] += size
-                if in_link[e]:
-                    link_chars[e] += size
+                self.own[e] += size
+                if self.in_link[e]:
+                    self.own_links[e] += size
+
+    def unmark(self) -> None:
+        """Clear marks of elements that hold over half of the link-free text (comments: nine tenths) and no article beside them."""
+        if not any(self.mark):
+            return
+        n = len(self.tag)
+        free = [a - b for a, b in zip(self.own, self.own_links)]
+        last = list(range(n))  # last element of each subtree: elements stand in page order
         for e in range(n - 1, 0, -1):
-            if self.drop[e]:
+            free[self.parent[e]] += free[e]
+            last[self.parent[e]] = max(last[self.parent[e]], last[e])
+        whole = free[self.body]
+        cores, marked = [c for c in range(1, n) if self.is_core[c] and free[c]], [False] * n
+        for e in range(1, n):
+            large = free[e] > whole * (COMMENT_SHARE if self.mark[e] == COMMENT else 0.5)
+            if self.mark[e] and large and not marked[self.parent[e]]:
+                above, up = set(), self.parent[e]
+                while up:
+                    above.add(up)
+                    up = self.parent[up]
+                if not any(not e <= c <= last[e] and c not in above and not self._is_marked(c) for c in cores):
+                    self.mark[e] = PLAIN
+            marked[e] = marked[self.parent[e]] or self.mark[e] != PLAIN
+
+    def _is_marked(self, e: int) -> bool:
+        while e and not self.mark[e]:
+            e = self.parent[e]
+        return bool(e)
+
+    def densities(self) -> tuple[list[float], list[float], list[int], list[float]]:
+        """Density, density sum, characters and weight of every element; marked ones add nothing to those around them."""
+        n = len(self.tag)
+        chars, link_chars, tags, link_tags, weight = self.own[:], self.own_links[:], [0] * n, [0] * n, [1.0] * n
+        for e in range(n - 1, 0, -1):
+            if self.drop[e] or self.mark[e]:
                 continue
             p = self.parent[e]
             chars[p] += chars[e]
@@ -165,45 +234,87 @@ class Page:
         share = link_chars[root] / max(chars[root], 1)
         density, total = [0.0] * n, [0.0] * n
         for e in range(n):
+            if e:
+                own = (1.0, 1.0, MARKED, 0.0)[self.mark[e]]
+                weight[e] = min(weight[self.parent[e]], own)
             c, t = chars[e], max(tags[e], 1)
-            if c and not self.drop[e]:
+            if c and not self.drop[e] and weight[e]:
                 links, free = link_chars[e], max(c - link_chars[e], 1)
                 base = math.log(c / free * links + share * c + math.e)
                 lift = math.log(c / max(links, 1) * t / max(link_tags[e], 1))
-                density[e] = c / t * lift / max(math.log(base), 0.1)
+                density[e] = weight[e] * (c / t * lift / max(math.log(base), 0.1))
         for e in range(1, n):
-            total[self.parent[e]] += density[e]
-        return density, total
+            if not self.mark[e]:
+                total[self.parent[e]] += density[e]
+        return density, total, [a - b for a, b in zip(chars, link_chars)], weight
 
-    def main(self) -> str:
-        density, total = self.densities()
+    def choose(self) -> list[int]:
+        """Roots of the subtrees that are the page's main part, marked elements in them aside."""
+        self.unmark()
+        density, total, free, weight = self.densities()
         n, root = len(self.tag), self.body
-        within = [False] * n
-        within[root] = True
-        for e in range(root + 1, n):
-            within[e] = within[self.parent[e]]
-        core = max((e for e in range(n) if within[e] and not self.drop[e]), key=lambda e: (total[e], density[e], -e), default=root)
-        if not total[core]:
+        usable = [e for e in range(n) if self.within[e] and not self.drop[e] and weight[e]]
+
+        in_core, in_article = [False] * n, [False] * n
+        for e in range(1, n):
+            own, p = self.is_core[e] and weight[e] == 1.0, self.parent[e]
+            in_core[e] = in_core[p] or own
+            in_article[e] = in_article[p] or own and self.tag[e] == "article"
+        held, articles = (
+            sum(free[e] for e in usable if where[e] and not where[self.parent[e]]) for where in (in_core, in_article))
+        prior = held > 0 and held >= PRIOR * free[root]
+        where = [True] * n if not prior else in_article if 2 * articles >= held else in_core
+        core = max((e for e in usable if where[e]), key=lambda e: (total[e], density[e], -e), default=root)
+        if weight[core] < 1.0:  # the greatest density sum, though it counts for less
+            up = core
+            while up != root:
+                self.mark[up], up = PLAIN, self.parent[up]
+            density, total, free, weight = self.densities()
+        if not total[core] and not (prior and free[core]):
             core = root
+
         path = [core]
         while path[-1] != root:
             path.append(self.parent[path[-1]])
-        least = min(density[e] for e in path)
-        on_path = set(path)
-        chosen = core
-        for up in path[1:]:
-            rich = any(
-                density[e] >= least and not self.drop[e] and e not in on_path and self.tag[e] not in INLINE
-                for e in self.children(up))
-            if rich or self.tag[up] in ("article", "main"):
+        least, on_path = min(density[e] for e in path), set(path)
+        holds_core = [False] * n
+        for e in range(n - 1, 0, -1):
+            own = self.is_core[e] and free[e] > 0
+            if (own or holds_core[e]) and not self.drop[e] and weight[e] == 1.0:
+                holds_core[e] = True
+                holds_core[self.parent[e]] = True
+
+        def rich(up):
+            return [e for e in self.children(up) if e not in on_path and density[e] >= least and not self.drop[e] and not self.mark[e]
+                    and self.tag[e] not in INLINE]
+
+        chosen, leads, within_article = core, [], self.is_core[core]
+        for below, up in zip(path, path[1:]):
+            beside = rich(up)
+            if not within_article:
+                if beside or self.is_core[up]:
+                    chosen = up
+                within_article = self.is_core[up]
+            elif any(holds_core[e] for e in beside):
                 chosen = up
-        inside = [False] * n
-        for e in [chosen, *(e for up in path[1:] for e in self.children(up) if self.tag[e] == "h1")]:
-            inside[e] = True
-        for e in range(1, n):
-            inside[e] = inside[e] or inside[self.parent[e]]
-        out = [unescape(run) if run else " " for e, run in self.runs if inside[e] and not self.drop[e]]
-        return " ".join("".join(out).split())
+            elif in_core[up]:
+                leads += [e for e in beside if e < below]
+        heads = []
+        for up in path[1:]:
+            for e in self.children(up):
+                tops = self.children(e) if in_core[up] and self.tag[e] in ("header", "hgroup") else [e]
+                heads += [h for h in tops if self.tag[h] == "h1"]
+        return [chosen, *leads, *heads]
+
+    def main(self) -> str:
+        chosen = set(self.choose())
+        inside, out = [e in chosen for e in range(len(self.tag))], [self.drop[e] for e in range(len(self.tag))]
+        for e in range(1, len(self.tag)):
+            p = self.parent[e]
+            inside[e] = inside[e] or inside[p]
+            out[e] = out[e] or out[p] or self.mark[e] != PLAIN
+        kept = [unescape(run) if run else " " for e, run in self.runs if inside[e] and not out[e]]
+        return " ".join("".join(kept).split())
 
     def children(self, e: int) -> list[int]:
         if not hasattr(self, "_children"):

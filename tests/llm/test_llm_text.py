@@ -305,6 +305,105 @@ def test_article_split_under_body():
     assert html.main_text(f"<body><nav>no</nav><h1>A title</h1>{part('left')}<div class=ad>no</div></body>") == f"A title {want('left')}"
 
 
+TITLE, FIRST, SECOND = "A Title", "The first paragraph of a story, with commas, that goes on for a while. " * 3, "The second one follows, as they do, and is as long. " * 3
+STORY = f"<h1>{TITLE}</h1><p>{FIRST}</p><p>{SECOND}</p>"
+TOLD = " ".join(f"{TITLE} {FIRST} {SECOND}".split())
+READER = "A reader wrote this comment of some length, in two sentences. Nobody had asked for it, but here it is, in full."
+TEMPLATES = {
+    "named after a search": ('<div class="search-article">{}</div>', TOLD),
+    "wrapper told by what it has": ('<div class="wrapper has-sidebar">{}<div class="sidebar"><p>On the side.</p></div></div>', TOLD),
+    "a post on cookies": ('<div class="post cookie-recipes">{}</div>', TOLD),
+    "state of the page in its class": ('<div id="page" class="nav-open">{}</div>', TOLD),
+    "form around the page": ('<form id="aspnet"><nav><a href="/x">menu</a></nav>{}<div class="comments"><p>' + READER + "</p></div></form>", TOLD),
+    "parts named like boxes": (
+        '<article>{}<div class="related-work"><p>Others did as much.</p></div><section id="notice-of-appeal"><p>It was appealed.</p></section></article>',
+        TOLD + " Others did as much. It was appealed."),
+    "short article, box beside": ("<article><p>Four words, no more.</p></article><div>one two three four five six seven eight nine ten eleven twelve</div>",
+                                  "Four words, no more."),
+    "reader without a name": ("<article>{}</article><div><p>" + READER + "</p></div>", TOLD),
+    "title before the article": (
+        '<header class="site-header"><h1>Site</h1></header><main><header><h1>Big</h1></header><p>' + SECOND + "</p><article>{}</article><div><p>"
+        + READER + "</p></div></main>", "Big " + " ".join(SECOND.split()) + " " + TOLD),
+    "boxes in the article": (
+        '<article>{}<div class="share-buttons">Share this</div><aside>An aside.</aside><div class="ad">Buy it.</div><div class="related-posts"><p>More of it.</p></div>'
+        '<form class="newsletter-signup"><p>Your address</p><input></form></article>', TOLD),
+    "more comments than story": ('<div class="post">{}</div><ol class="comment-list">' + 5 * f'<li class="comment-body"><p>{READER}</p></li>' + "</ol>", TOLD),
+    "comments as articles": ("<main><article>{}</article>" + 5 * f'<article class="comment"><p>{READER}</p></article>' + "</main>", TOLD),
+    "two articles": ("<div><article>{}</article><article><p>" + SECOND + "</p></article></div>", TOLD + " " + " ".join(SECOND.split())),
+    "hidden by attribute, not by class": ('<div class="md hidden block">{}</div><div class="x" hidden>No.</div>', TOLD),
+    "role": ('<div role="main">{}</div><div><p>' + READER + "</p></div>", TOLD),
+}
+
+
+@pytest.mark.parametrize("name", TEMPLATES)
+def test_page_templates(name):
+    page, want = TEMPLATES[name]
+    head, foot = '<html><head><title>t</title></head><body><nav><a href="/">Home</a> <a href="/b">B</a></nav>', "<footer>Imprint</footer></body></html>"
+    assert html.main_text(head + page.replace("{}", STORY) + foot) == want
+
+
+def naive_choice(page):
+    """Densities by recursion over the tree, and the chosen subtree, on a page without articles."""
+    n = len(page.tag)
+    kids = [[k for k in range(1, n) if page.parent[k] == e] for e in range(n)]
+    own = [sum(len("".join(r.split())) for k, r in page.runs if k == e and not page.drop[e]) for e in range(n)]
+    counted = lambda e: [k for k in kids[e] if not page.drop[k] and not page.mark[k]]
+    chars = lambda e: own[e] + sum(map(chars, counted(e)))
+    tags = lambda e: sum(1 + tags(k) for k in counted(e))
+    linked = lambda e, within: (own[e] if within else 0) + sum(linked(k, within or page.tag[k] == "a") for k in counted(e))
+    anchors = lambda e: sum((page.tag[k] == "a") + anchors(k) for k in counted(e))
+    up = lambda e: [e] + (up(page.parent[e]) if e else [])
+    links = [linked(e, any(page.tag[k] == "a" for k in up(e))) for e in range(n)]
+    body = page.body
+    share = links[body] / max(chars(body), 1)
+    weights = [min((1, 1, html.MARKED, 0)[page.mark[k]] for k in up(e)) for e in range(n)]
+    density = []
+    for e in range(n):
+        c, t, a, b = chars(e), max(tags(e), 1), links[e], max(anchors(e), 1)
+        if not c or page.drop[e]:
+            density.append(0.0)
+            continue
+        base = max(np.log(np.log(c / max(c - a, 1) * a + share * c + np.e)), 0.1)
+        density.append(weights[e] * c / t * np.log(c / max(a, 1) * t / b) / base)
+    total = [sum(density[k] for k in kids[e] if not page.mark[k]) for e in range(n)]
+    usable = [e for e in range(n) if body in up(e) and not page.drop[e] and weights[e]]
+    core = max(usable, key=lambda e: (round(total[e], 9), round(density[e], 9), -e))
+    if not total[core]:
+        core = body
+    path = up(core)[:up(core).index(body) + 1]
+    least, chosen = min(density[e] for e in path), core
+    for e in path[1:]:
+        if any(density[k] >= least - 1e-9 and k not in path and not page.drop[k] and not page.mark[k] and page.tag[k] not in html.INLINE for k in kids[e]):
+            chosen = e
+    return density, total, None if weights[core] < 1 else chosen
+
+
+def test_densities_and_choice_against_recursion():
+    rng, compared = random.Random(31), 0
+
+    def tree(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            words = " ".join(rng.choices(["one", "three", "sixteen", "a"], k=rng.randint(0, 12)))
+            if depth and rng.random() < 0.7:
+                tag = rng.choice(["div", "div", "section", "ul", "a", "aside", "script", 'div class="ad-box"', 'div id="comments"'])
+                out.append(f"<{tag}>{words}{tree(depth - 1) if tag != 'script' else ''}</{tag.split()[0]}>")
+            else:
+                out.append(f"<p>{words}</p>")
+        return "".join(out)
+
+    for _ in range(150):
+        page = html.Page(f"<html><body>{tree(3)}</body></html>")
+        page.unmark()
+        density, total, _, _ = page.densities()
+        want_density, want_total, want = naive_choice(page)
+        assert np.allclose(density, want_density) and np.allclose(total, want_total)
+        if want is not None:  # a marked element with the greatest sum loses its mark, which changes the densities
+            compared += 1
+            assert page.choose()[:1] == [want]
+    assert compared > 100
+
+
 def test_odd_pages(spark):
     importable(spark)
     for page, want in (("", ""), ("plain &eacute; text", "plain é text"), ("<p>a<p>b", "a b"), ("<!-- only", ""), ("<p>x < y</p>", "x < y"),
