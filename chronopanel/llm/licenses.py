@@ -35,35 +35,76 @@ NAMES = {
     "EPL-2.0": ["the *Eclipse* Public License, version *2.0*"],
     "BSD-2-Clause": ["the *BSD* *2*-Clause License"],
     "BSD-3-Clause": ["the *BSD* *3*-Clause License"],
-    "GPL-2.0": ["the *GNU* *General* Public License, version *2*"],
-    "GPL-3.0": ["the *GNU* *General* Public License, version *3*"],
-    "LGPL-2.1": ["the *GNU* *Lesser* General Public License, version *2.1*"],
-    "LGPL-3.0": ["the *GNU* *Lesser* General Public License, version *3*"],
-    "AGPL-3.0": ["the *GNU* *Affero* General Public License, version *3*"],
-    "CC0-1.0": ["*CC0* *1.0*"],
-    "CC-BY-4.0": ["*CC* *BY* *4.0*", "a *Creative* Commons *Attribution* *4.0* International License"],
-    "CC-BY-SA-4.0": ["*CC* *BY*-*SA* *4.0*"],
-    "CC-BY-ND-4.0": ["*CC* *BY*-*ND* *4.0*"],
-    "CC-BY-NC-4.0": ["*CC* *BY*-*NC* *4.0*"],
-    "CC-BY-NC-SA-4.0": ["*CC* *BY*-*NC*-*SA* *4.0*"],
-    "CC-BY-NC-ND-4.0": ["*CC* *BY*-*NC*-*ND* *4.0*"],
+    "GPL-2.0": ["the *GNU General* Public License, version *2*"],
+    "GPL-3.0": ["the *GNU General* Public License, version *3*"],
+    "LGPL-2.1": ["the *GNU Lesser General* Public License, version *2.1*"],
+    "LGPL-3.0": ["the *GNU Lesser General* Public License, version *3*"],
+    "AGPL-3.0": ["the *GNU Affero General* Public License, version *3*"],
+    "CC0-1.0": ["*CC0* *1.0*", "the *CC0* *1.0* Universal Public Domain Dedication"],
+    "CC-BY-4.0": ["*CC BY 4.0*", "a *Creative Commons Attribution 4.0* International License"],
+    "CC-BY-SA-4.0": ["*CC BY-SA 4.0*", "a *Creative Commons Attribution-ShareAlike 4.0* International License"],
+    "CC-BY-ND-4.0": ["*CC BY-ND 4.0*", "a *Creative Commons Attribution-NoDerivatives 4.0* International License"],
+    "CC-BY-NC-4.0": ["*CC BY-NC 4.0*", "a *Creative Commons Attribution-NonCommercial 4.0* International License"],
+    "CC-BY-NC-SA-4.0": ["*CC BY-NC-SA 4.0*", "a *Creative Commons Attribution-NonCommercial-ShareAlike 4.0* International License"],
+    "CC-BY-NC-ND-4.0": ["*CC BY-NC-ND 4.0*", "a *Creative Commons Attribution-NonCommercial-NoDerivatives 4.0* International License"],
 }
 PHRASES = ("Licensed under {}", "Released under {}", "This work is licensed under {}", "Distributed under {}",
            "Available under the terms of {}")
-# Opening passages of well-known license texts.
+# Well-known license texts and file headers; words between asterisks have to be matched without a word between them.
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution. ")
+_THIRD = ("3. *Neither* the name of the copyright holder nor the names of its *contributors* may be used to *endorse or promote* products "
+          "derived from this software without specific prior written permission. ")
+_NO_WARRANTY = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT "
+    "NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+    "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_HEADER = ("{what} is free software{stop} you can redistribute it and/or modify it under the terms of the {name} as published by the Free "
+           "Software Foundation{either} *version {number}* of the License, or (at your option) any later version")
 PASSAGES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
            "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
            "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    "MIT whole": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+                 "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
+                 "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+                 "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and "
+                 "this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "
+                 "\"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+                 "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS "
+                 "BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
+                 "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
            "granted, provided that the above copyright notice and this permission notice appear in all copies",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-                    "that the following conditions are met",
+    "BSD-2-Clause": _BSD,
+    "BSD-2-Clause whole": _BSD + _NO_WARRANTY,
+    "BSD-3-Clause": _BSD + _THIRD,
+    "BSD-3-Clause whole": _BSD + _THIRD + _NO_WARRANTY,
     "Apache-2.0": "Unless required by applicable law or agreed to in writing, software distributed under the License is "
                   "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-               "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-               "option) any later version",
+    "Apache-2.0 header": "Licensed under the *Apache* License, Version *2.0* (the \"License\"); you may not use this file except in "
+                         "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+                         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed "
+                         "on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License "
+                         "for the specific language governing permissions and limitations under the License",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the *Mozilla* Public License, v. *2.0*. If a copy of the MPL was not "
+               "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the *Eclipse* Public License *2.0* "
+               "which is available at https://www.eclipse.org/legal/epl-2.0",
+    "GPL-2.0": _HEADER.format(what="This program", stop=";", name="*GNU General* Public License", either="; either", number="2"),
+    "GPL-3.0": _HEADER.format(what="This program", stop=":", name="*GNU General* Public License", either=", either", number="3"),
+    "LGPL-2.1": _HEADER.format(what="This library", stop=";", name="*GNU Lesser General* Public License", either="; either", number="2.1"),
+    "LGPL-3.0": _HEADER.format(what="This library", stop=":", name="*GNU Lesser General* Public License", either=", either", number="3"),
+    "AGPL-3.0": _HEADER.format(what="This program", stop=":", name="*GNU Affero General* Public License", either=", either", number="3"),
+    "CC0-1.0": "To the extent possible under law, the author has waived all *copyright* and related or neighboring rights to this work",
+    "CC0-1.0 text": "The person who associated a work with this deed has dedicated the work to the *public domain* by *waiving* all of his or "
+                    "her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent "
+                    "allowed by law",
 }
 
 
@@ -73,24 +114,25 @@ class Template:
     name: str
     words: tuple[str, ...]
     musts: frozenset  # places of words that have to be matched
+    joined: frozenset = frozenset()  # musts whose next word is one too, with no word of the text between them
 
 
 def template(license_id: str, name: str, text: str) -> Template:
-    """Words between asterisks have to be matched."""
+    """Words between asterisks have to be matched, a run of them word after word."""
     words, musts = [], set()
     for k, part in enumerate(text.split("*")):
         own = WORD.findall(part.lower())
         if k % 2:
             musts.update(range(len(words), len(words) + len(own)))
         words += own
-    return Template(license_id, name, tuple(words), frozenset(musts))
+    return Template(license_id, name, tuple(words), frozenset(musts), frozenset(m for m in musts if m + 1 in musts))
 
 
 def standard_templates() -> list[Template]:
     short = [
         template(key, phrase.format(name.replace("*", "")), phrase.format(name))
         for key, names in NAMES.items() for name in names for phrase in PHRASES]
-    return short + [template(key, f"{key} text", text) for key, text in PASSAGES.items()]
+    return short + [template(key.split()[0], f"{key} text", text) for key, text in PASSAGES.items()]
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
@@ -136,12 +178,15 @@ class Index:
         return np.column_stack([np.repeat(places, n), self.where[at]])
 
 
-def align(want: tuple[str, ...], words: list[str], diagonal: int, band: int = BAND):
-    """Best local alignment within ``band`` of ``text place - template place = diagonal``.
+def align(want: tuple[str, ...], words: list[str], diagonal: int, band: int = BAND, taken: list[tuple[int, int]] = ()):
+    """Best local alignment within ``band`` of ``text place - template place = diagonal``, outside the text places ``taken``.
 
     A match counts 2, a mismatch, insertion or omission -1.  Returns matched
-    template places, first and last text place, and the score (or None).
+    template places, first and last text place, the score, and the text places
+    matched (or None).
     """
+    low, high = diagonal - band, diagonal + len(want) + band
+    shut = {j for a, b in taken for j in range(max(a, low), min(b, high) + 1)}
     width, n = 2 * band + 1, len(words)
     score = [[0] * (width + 2) for _ in range(len(want) + 1)]  # column c stands for text place i - 1 + diagonal + c - 1 - band
     back = [[0] * (width + 2) for _ in range(len(want) + 1)]
@@ -150,7 +195,7 @@ def align(want: tuple[str, ...], words: list[str], diagonal: int, band: int = BA
         row, above, way = score[i], score[i - 1], back[i]
         for c in range(1, width + 1):
             j = i - 1 + diagonal + c - 1 - band
-            if not 0 <= j < n:
+            if not 0 <= j < n or j in shut:
                 continue
             step = above[c] + (2 if want[i - 1] == words[j] else -1)
             gap, skip = above[c + 1] - 1 if c < width else -1, row[c - 1] - 1
@@ -162,19 +207,28 @@ def align(want: tuple[str, ...], words: list[str], diagonal: int, band: int = BA
     if end is None:
         return None
     i, c = end
-    matched, last, first = [], None, None
+    matched, at = [], []
     while i and back[i][c]:
         j = i - 1 + diagonal + c - 1 - band
         if back[i][c] == 1:
             if want[i - 1] == words[j]:
                 matched.append(i - 1)
-                first, last = j, j if last is None else last
+                at.append(j)
             i -= 1
         elif back[i][c] == 2:
             i, c = i - 1, c + 1
         else:
             c -= 1
-    return (matched[::-1], first, last, best) if matched else None
+    return (matched[::-1], at[-1], at[0], best, at[::-1]) if matched else None
+
+
+def _holds(t: Template, got: tuple, coverage: float) -> bool:
+    """Whether an alignment covers the template and all its musts, each run of them word after word."""
+    matched, places = got[0], got[4]
+    if len(matched) < coverage * len(t.words):
+        return False
+    where = dict(zip(matched, places))
+    return all(m in where for m in t.musts) and all(where[m + 1] == where[m] + 1 for m in t.joined)
 
 
 def scan(words: list[str], hits: np.ndarray, index: Index, coverage: float) -> list[tuple]:
@@ -184,13 +238,23 @@ def scan(words: list[str], hits: np.ndarray, index: Index, coverage: float) -> l
         t = index.templates[k]
         own = hits[hits[:, 1] == k]
         diagonals = own[:, 0] - own[:, 2]
-        last = None
-        for d in np.unique(diagonals):
-            if last is not None and d - last <= BAND:
-                continue  # the band around the last diagonal holds this one
-            last = d
-            got = align(t.words, words, int(d))
-            if got and len(got[0]) >= coverage * len(t.words) and t.musts <= set(got[0]):
+        order = np.lexsort((own[:, 0], diagonals))
+        seen, taken = [], []  # alignments made near this diagonal, and the spans of matches there
+        for mine in np.split(order, np.flatnonzero(np.diff(diagonals[order])) + 1):
+            d, places = int(diagonals[mine[0]]), own[mine, 0]
+            seen = [s for s in seen if d - s[0] <= BAND]
+            taken = [s for s in taken if d - s[0] <= 2 * BAND]
+            for p in places:  # every fingerprint lies in an alignment made around it, or gives rise to one
+                if any(a <= p <= b for _, a, b in seen):
+                    continue
+                got = align(t.words, words, d, taken=[s[1:] for s in taken])
+                if got is None:
+                    break
+                seen.append((d, got[1], got[2]))
+                if not _holds(t, got, coverage):
+                    seen.append((d, int(p), int(p)))
+                    break
+                taken.append((d, got[1], got[2]))
                 found.append((got[3], len(got[0]) / len(t.words), got[1], got[2], len(got[0]), int(k)))
     found.sort(key=lambda f: (-f[0] * f[1], -f[0], f[2], f[5]))
     out, taken = [], []

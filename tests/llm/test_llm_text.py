@@ -255,6 +255,67 @@ def test_notices(spark):
         licenses.find(df, templates=[licenses.template("X", "x", "too short a text")])
 
 
+LONG = {  # headers and deeds as projects write them
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+               "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL-3.0": "Foo is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+               "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+                "License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+                "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+                "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "BSD-2-Clause": licenses.PASSAGES["BSD-2-Clause whole"],
+    "BSD-3-Clause": licenses.PASSAGES["BSD-3-Clause whole"].replace("*", "").replace("the copyright holder nor", "Foo Inc. nor"),
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-NC-ND-4.0": "Licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
+    "CC-BY-NC-SA-4.0": "Licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "CC-BY-ND-4.0": "Licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "CC0-1.0": licenses.PASSAGES["CC0-1.0 text"].replace("*", ""),
+    "MPL-2.0": licenses.PASSAGES["MPL-2.0"].replace("*", ""),
+    "MIT": "Copyright 2020 Foo. " + licenses.PASSAGES["MIT whole"],
+}
+
+
+def test_long_notices_are_told_apart(spark):
+    importable(spark)
+    texts = {k: "Before it. " + t + " And after." for k, t in LONG.items()}
+    two = "Licensed under CC0 1.0 Licensed under CC0 1.0 Licensed under CC BY-SA 4.0 Licensed under CC BY 4.0"
+    none = "This library is free software; it is under the terms of the GNU Library General Public License, version 2. Licensed under CC BY-XX 4.0"
+    df = spark.createDataFrame([*texts.items(), ("two", two), ("none", none)], "doc_id string, text string")
+    got = {}
+    for r in licenses.find(df).collect():
+        got.setdefault(r.doc_id, []).append((r.start_char, r.license_id))
+    assert {k: [i for _, i in sorted(v)] for k, v in got.items()} == {k: [k] for k in LONG} | {
+        "two": ["CC0-1.0", "CC0-1.0", "CC-BY-SA-4.0", "CC-BY-4.0"]}
+
+
+def test_scan_against_all_shared_grams():
+    """Winnowed fingerprints lead to what all common grams of all templates lead to."""
+    rng, index = random.Random(33), licenses.Index(licenses.standard_templates())
+    grams = {}
+    for k, t in enumerate(index.templates):
+        for p in range(len(t.words) - licenses.GRAM + 1):
+            grams.setdefault(t.words[p:p + licenses.GRAM], []).append((k, p))
+    found = 0
+    for _ in range(40):
+        words = []
+        for _ in range(rng.randint(1, 5)):
+            own = list(rng.choice(index.templates).words)
+            if rng.random() < 0.3 and len(own) > 30:
+                own[rng.randrange(10, 20)] = "changed"
+            words += own + rng.choices(["the", "license", "under", "4", "0", "public"], k=rng.randint(0, 9))
+        codes = licenses.gram_hashes(licenses.word_hashes(words))
+        winnowed = licenses.scan(words, index.hits(codes, licenses.winnow(codes)), index, licenses.COVERAGE)
+        every = np.array([(j, k, p) for j in range(len(codes)) for k, p in grams.get(tuple(words[j:j + licenses.GRAM]), ())], np.int64)
+        assert winnowed == licenses.scan(words, every, index, licenses.COVERAGE)
+        found += len(winnowed)
+    assert found > 80
+
+
 def test_winnowing_meets_every_shared_run():
     rng = random.Random(11)
     least = licenses.GRAM + licenses.WINDOW - 1
