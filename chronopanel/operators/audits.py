@@ -69,44 +69,56 @@ def cutoff_mismatches(panel: DataFrame, c: FeatureContract) -> DataFrame:
     ).select(*KEY, "prediction_as_of")
 
 
-def replay_diff(panel: DataFrame, c: FeatureContract, cut: str) -> DataFrame:
-    """Feature cells at ``cut`` that change when everything after it is removed.
+def _replayed(panel: DataFrame, c: FeatureContract, cuts: list[str] | None) -> DataFrame:
+    """Per (entity, cut): its feature cells built from all months, and from those up to the cut alone.
 
-    Compared by key and cell rather than by whole-row set difference: one join
-    on the entity, and the offending features are named.
+    Cuts are data.  A month goes into the history of every cut it can reach by the
+    declared lags and fills, and into one history without a cut; all are built in one
+    pass within (entity, cut), so a panel bucketed by entity is not moved.  What a
+    feature reads beyond its declared reach differs too, and is reported.
     """
-    at = F.col(PERIOD) == F.lit(cut).cast("date")
-    names = c.names()
-    full = build_features(panel, c, guard=False).filter(at)
-    past = build_features(panel.filter(F.col(PERIOD) <= F.lit(cut).cast("date")), c, guard=False).filter(at)
-    a, b = full.alias("a"), past.alias("b")
-    joined = a.join(b, F.col(f"a.{ENTITY}") == F.col(f"b.{ENTITY}"), "full_outer")
-    differing = F.filter(
-        F.array(*[
-            F.when(~F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")), F.lit(n)) for n in names
-        ]),
-        lambda x: x.isNotNull(),
-    )
-    present = sum((F.col(f"a.{n}").isNotNull().cast("long") for n in names), F.lit(0).cast("long"))
-    return joined.select(
-        F.coalesce(F.col(f"a.{ENTITY}"), F.col(f"b.{ENTITY}")).alias(ENTITY),
-        differing.alias("differing_features"),
-        present.alias("cells_present"),
+    month = F.col(PERIOD)
+    back = max(s.reach for s in c.specs()) + max((f.cap for f in c.fills), default=0)
+    if any(not f.cap for f in c.fills):  # carried without end: a cut needs all months before it
+        until = panel.agg(F.max(PERIOD)).scalar()
+    else:
+        until = F.add_months(month, back)
+    ahead = F.sequence(month, until, F.expr("INTERVAL 1 MONTH"))
+    wanted = None if cuts is None else F.array(*[F.lit(x).cast("date") for x in cuts])
+    if wanted is not None:
+        ahead = F.array_intersect(ahead, wanted)
+    copies = panel.withColumn("_cut", F.explode(F.concat(F.array(F.lit(None).cast("date")), ahead)))
+    whole = F.col("_cut").isNull()
+    built = build_features(copies, c, guard=False, within=("_cut",)).filter(
+        (month == F.col("_cut")) | (whole if wanted is None else whole & F.array_contains(wanted, month)))
+    cells = F.array(*[F.col(n).cast("double") for n in c.names()])
+    return built.groupBy(*KEY).agg(
+        F.first(F.when(whole, cells), ignorenulls=True).alias("full"),
+        F.first(F.when(~whole, cells), ignorenulls=True).alias("past"))
+
+
+def replay_diff(panel: DataFrame, c: FeatureContract, cut: str) -> DataFrame:
+    """Feature cells at ``cut`` that change when everything after it is removed, named per entity."""
+    names = F.array(*[F.lit(n) for n in c.names()])
+    differing = F.zip_with(names, F.zip_with("full", "past", lambda a, b: ~a.eqNullSafe(b)), lambda n, d: F.when(d, n))
+    return _replayed(panel, c, [cut]).select(
+        ENTITY,
+        F.filter(differing, lambda n: n.isNotNull()).alias("differing_features"),
+        F.size(F.filter("full", lambda v: v.isNotNull())).cast("long").alias("cells_present"),
     )
 
 
-def replay_report(panel: DataFrame, c: FeatureContract, cuts: list[str]) -> DataFrame:
-    """One row per cut: cells compared and cells that differ (must be 0)."""
-    out = None
-    for cut in cuts:
-        part = replay_diff(panel, c, cut).agg(
-            F.lit(cut).cast("date").alias("cut"),
-            F.count(F.lit(1)).alias("entities"),
-            F.coalesce(F.sum("cells_present"), F.lit(0)).alias("cells_present"),
-            F.coalesce(F.sum(F.size("differing_features")), F.lit(0)).cast("long").alias("cells_differing"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+def replay_report(panel: DataFrame, c: FeatureContract, cuts: list[str] | None = None) -> DataFrame:
+    """One row per cut, by default per month of the panel: cells compared and cells that differ (must be 0).
+
+    A cut no entity has a row for gives no row.
+    """
+    differs = F.filter(F.zip_with("full", "past", lambda a, b: ~a.eqNullSafe(b)), lambda d: d)
+    return _replayed(panel, c, cuts).groupBy(F.col(PERIOD).alias("cut")).agg(
+        F.count(F.lit(1)).alias("entities"),
+        F.sum(F.size(F.filter("full", lambda v: v.isNotNull())).cast("long")).alias("cells_present"),
+        F.sum(F.size(differs).cast("long")).alias("cells_differing"),
+    )
 
 
 def early_features(features: DataFrame, c: FeatureContract) -> DataFrame:

@@ -34,9 +34,9 @@ def spine_guard(panel: DataFrame) -> DataFrame:
     return panel.withColumn("_next", expected).filter(ok).drop("_next")
 
 
-def fill_gaps(panel: DataFrame, c: FeatureContract) -> DataFrame:
+def fill_gaps(panel: DataFrame, c: FeatureContract, within: tuple[str, ...] = ()) -> DataFrame:
     """Carry the declared sources forward, at most ``cap`` months, and flag filled rows."""
-    w = entity_window()
+    w = entity_window(*within)
     out = panel
     for policy in c.fills:
         columns = list(dict.fromkeys(s.column for s in c.features if s.source == policy.source))
@@ -53,23 +53,25 @@ def fill_gaps(panel: DataFrame, c: FeatureContract) -> DataFrame:
     return out
 
 
-def build_features(panel: DataFrame, c: FeatureContract, guard: bool = True) -> DataFrame:
+def build_features(panel: DataFrame, c: FeatureContract, guard: bool = True, within: tuple[str, ...] = ()) -> DataFrame:
     """All declared features plus untouched context, one row per panel row.
 
     One wide select: every column shares the (entity, month) window, so the
     plan is one exchange and one sort however many features are declared.
+    ``within`` names columns that part an entity's rows further; they are returned too.
     """
     absent = sorted({s.column for s in c.features} - set(panel.columns))
     if absent:
         raise KeyError(f"features read columns the panel does not have: {', '.join(absent)}")
-    w = entity_window()
+    w = entity_window(*within)
     context = [x for x in CONTEXT if x in panel.columns]
     renamed = {x: f"_ctx_{x}" for x in context}
     # Context is copied before the fill, so a filled column never leaks into it.
     source = spine_guard(panel) if guard else panel
-    filled = fill_gaps(source.withColumns({v: F.col(k) for k, v in renamed.items()}), c)
+    filled = fill_gaps(source.withColumns({v: F.col(k) for k, v in renamed.items()}), c, within)
     return filled.select(
         *KEY,
+        *within,
         *[F.col(v).alias(k) for k, v in renamed.items()],
         *[apply_transform(F.col(s.column), s.transform, s.param, s.lag, w).alias(s.name) for s in c.specs()],
     )

@@ -11,8 +11,8 @@ from ..functions.transforms import full_window, log_growth, shift
 from ..schema import CLASSES, ENTITY, NAME, PERIOD
 
 
-def entity_window() -> WindowSpec:
-    return Window.partitionBy(ENTITY).orderBy(PERIOD)
+def entity_window(*within: str) -> WindowSpec:
+    return Window.partitionBy(ENTITY, *within).orderBy(PERIOD)
 
 
 def smooth(price: Column, c: TargetContract, w: WindowSpec) -> Column:

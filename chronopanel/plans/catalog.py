@@ -599,7 +599,8 @@ def audit_cutoff(spark, folder):
 
 @query
 def audit_replay(spark, folder):
-    return audits.replay_report(panel(spark, folder), C.features, ["1998-03-01", "2000-06-01"])
+    """Every month of the panel as a cut."""
+    return audits.replay_report(panel(spark, folder), C.features)
 
 
 @query

@@ -143,6 +143,22 @@ def test_replay_catches_a_leak(panel):
     assert all(r.differing_features == ["homes_sold__peek1"] for r in bad) and len(bad) == 3
 
 
+def test_replay_over_all_months(panel):
+    every = {r.cut.isoformat(): (r.entities, r.cells_present, r.cells_differing) for r in A.replay_report(panel, FEATURES).collect()}
+    months = {r[0].isoformat() for r in panel.select("reference_month").distinct().collect()}
+    assert set(every) == months and all(d == 0 for _, _, d in every.values())
+    some = A.replay_report(panel, FEATURES, ["2020-09-01", "2021-05-01", "1900-01-01"]).collect()
+    assert {r.cut.isoformat(): (r.entities, r.cells_present, r.cells_differing) for r in some} == {
+        k: every[k] for k in ("2020-09-01", "2021-05-01")}
+
+
+def test_replay_reports_reading_beyond_the_declared_reach(panel):
+    X.register_transform("deep", lambda x, p, lag, w: F.lag(x, p).over(w), lambda p: 0)
+    c = FeatureContract(TIMINGS, (), EXCLUDED, [("homes_sold", HOUSING, "f", 0, {"deep": (9,), "lag": (1,)})])
+    assert all(r.differing_features == ["homes_sold__deep9"] for r in A.replay_diff(panel, c, "2020-09-01").collect())
+    assert A.replay_report(panel, c, ["2020-09-01"]).first().cells_differing > 0
+
+
 def test_publication_audit(panel):
     got = A.publication_audit(panel, FEATURES).collect()
     assert len(got) == 61 and not any(r.leaks for r in got) and min(r.min_margin_days for r in got) >= 0
