@@ -24,7 +24,7 @@ from ..operators import (
 )
 from ..schema import CLASSES, CONTEXT, ENTITY, KEY, NAME, PERIOD, TEST, TRAIN, VALIDATION
 from ..session import landed, new_folder, on_release
-from ..sources import io, staging, star
+from ..sources import io, manifest, staging, star
 from . import jobs
 
 C = STAR
@@ -291,6 +291,21 @@ def table_fingerprint_check(spark, folder):
     return io.compare_fingerprints(recorded, io.fingerprint(changed, year))
 
 
+@query
+def partition_manifest_check(spark, folder):
+    """Orders by year against their manifest: 1998 altered, 1995 rewritten as it was; only these two are read."""
+    path = new_folder(spark, "orders")
+    orders = star.table(spark, folder, "orders").withColumn("y", F.year("o_orderdate"))
+    spread = F.pmod(F.xxhash64("o_orderkey"), F.lit(8))  # a year's rows go to several tasks
+    put = lambda rows: (
+        rows.repartition("y", spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("y").parquet(path))
+    put(orders)
+    manifest.record(spark, path, "y")
+    put(orders.filter("y IN (1995, 1998)").withColumn(
+        "o_totalprice", F.when(F.col("y") == 1998, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))))
+    return manifest.check(spark, path, "y")
+
+
 # ------------------------------------------------------------------- scalars
 
 

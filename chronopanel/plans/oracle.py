@@ -688,6 +688,9 @@ def build() -> dict[str, str]:
         "table_fingerprint_check": """WITH y AS (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1)
             SELECT CAST(y AS VARCHAR) AS part, CASE WHEN y <> 2001 THEN n END AS rows_recorded, CASE WHEN y <> 1996 THEN n END AS rows_found,
             CASE y WHEN 1996 THEN 'missing' WHEN 1998 THEN 'mismatch' WHEN 2001 THEN 'not recorded' ELSE 'ok' END AS status FROM y""",
+        "partition_manifest_check": """SELECT CAST(year(o_orderdate) AS VARCHAR) AS part, count(*) AS rows_recorded, count(*) AS rows_found,
+            CASE year(o_orderdate) WHEN 1998 THEN 'mismatch' ELSE 'ok' END AS status, year(o_orderdate) IN (1995, 1998) AS was_read
+            FROM orders GROUP BY year(o_orderdate)""",
         "scalar_identifiers": """SELECT s_suppkey, lpad(CAST(s_nationkey AS VARCHAR), 2, '0') || CASE WHEN s_suppkey < 1000 THEN lpad(CAST(s_suppkey AS VARCHAR), 3, '0')
             ELSE CAST(s_suppkey AS VARCHAR) END AS short_id, lower(replace(s_name, '#', ' ')) AS key_borough, lower(replace(s_name, '#', ' ')) AS key_parish FROM supplier""",
         "scalar_dates": """SELECT day, month, orders, CAST(month + INTERVAL 1 MONTH AS DATE) + 14 AS cutoff, CAST(last_day(month) AS DATE) + 50 AS published,

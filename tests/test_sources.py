@@ -107,6 +107,32 @@ def test_fingerprint_reports_every_part(spark):
     assert got == {"0": "ok", "1": "missing", "2": "mismatch", "3": "ok", "4": "ok", "9": "not recorded"}
 
 
+def test_manifest_reads_changed_partitions_alone(spark, tmp_path):
+    import os
+
+    from chronopanel.sources import manifest
+
+    path = str(tmp_path / "t")
+    rows = spark.range(60).select(F.col("id").alias("x"), F.when(F.col("id") % 4 < 3, F.concat(F.lit("a:"), F.col("id") % 4)).alias("p"))
+    put = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("p").parquet(path)
+    put(rows)
+    kept = manifest.record(spark, path, "p")
+    assert tuple(manifest.total(kept).first()) == tuple(io.fingerprint(spark.read.parquet(path), F.lit("all")).select("rows", "content_hash").first())
+    status = lambda: {r.part: (r.status, r.was_read) for r in manifest.check(spark, path, "p").collect()}
+    assert status() == {p: ("ok", False) for p in ("a:0", "a:1", "a:2", None)}
+
+    put(rows.filter("p IS NULL").withColumn("x", F.col("x") + 1))
+    put(spark.sql("SELECT 1L x, 'new' p"))
+    put(rows.filter("p = 'a:1'"))
+    unread = next((tmp_path / "t" / "p=a%3A0").glob("*.parquet"))
+    was = unread.stat()
+    unread.write_bytes(b"\0" * was.st_size)  # no reader gets through this
+    os.utime(unread, ns=(was.st_atime_ns, was.st_mtime_ns))
+    for f in (tmp_path / "t" / "p=a%3A2").glob("*"):
+        f.rename(f.with_suffix(".gone"))
+    assert status() == {"a:0": ("ok", False), "a:1": ("ok", True), "a:2": ("missing", False), None: ("mismatch", True), "new": ("not recorded", True)}
+
+
 def test_shared_folder_is_the_clusters(spark):
     from chronopanel import session
 
