@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import FeatureContract, SplitContract, SplitWindow
@@ -57,13 +57,38 @@ def split_report(split: DataFrame) -> DataFrame:
     return totals.join(months, "split")
 
 
-def row_count_guard(split: DataFrame, c: SplitContract) -> DataFrame:
-    """Expected against actual rows for every frozen count."""
+def write_split(split: DataFrame, path: str) -> DataFrame:
+    """Write the split table; its counts are observed by the write itself and recorded beside it, for later runs.
+
+    Returns the record, ``(split, expected)``, one row per frozen count.
+    """
+    spark, seen = split.sparkSession, Observation("split counts")
+    names = (*SPLITS, EMBARGO)
+    counts = [F.count_if(F.col("split") == n).alias(n) for n in names]
+    split.observe(seen, *counts).write.mode("overwrite").parquet(path)
+    found = seen.get
+    rows = [(n, found[n]) for n in names] + [("eligible", sum(found[n] for n in names))]
+    spark.createDataFrame(rows, "split string, expected long").coalesce(1).write.mode("overwrite").parquet(counts_path(path))
+    return recorded_counts(spark, path)
+
+
+def counts_path(path: str) -> str:
+    return path.rstrip("/") + ".counts"
+
+
+def recorded_counts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(counts_path(path))
+
+
+def row_count_guard(split: DataFrame, c: SplitContract, recorded: DataFrame | None = None) -> DataFrame:
+    """Expected against actual rows for every frozen count: those of the contract, or those ``recorded`` by an earlier write."""
     counts = split.groupBy("split").agg(F.count(F.lit(1)).alias("actual"))
     usable = split.agg(F.count_if(F.col("split").isin(*SPLITS, EMBARGO)).alias("actual")).select(
         F.lit("eligible").alias("split"), "actual"
     )
-    expected = split.sparkSession.createDataFrame(list(c.expected_rows), "split string, expected long")
+    expected = recorded
+    if expected is None:
+        expected = split.sparkSession.createDataFrame(list(c.expected_rows), "split string, expected long")
     return (
         F.broadcast(expected).join(counts.unionByName(usable), "split", "left")
         .select("split", "expected", F.coalesce("actual", F.lit(0)).alias("actual"))

@@ -564,6 +564,15 @@ def split_row_count_guard(spark, folder):
     return sp.row_count_guard(own, replace(C.split, expected_rows=recorded))
 
 
+@query
+def split_counts_on_record(spark, folder):
+    """The split without one month against the counts that writing the whole split recorded."""
+    own, path = split(spark, folder), new_folder(spark, "split")
+    sp.write_split(own, path)
+    later = own.filter(F.col(PERIOD) != F.lit("1998-05-01").cast("date"))
+    return sp.row_count_guard(later, C.split, sp.recorded_counts(spark, path))
+
+
 @query
 def column_profile(spark, folder):
     return profile.observe(panel(spark, folder))

@@ -775,6 +775,12 @@ def build() -> dict[str, str]:
             (SELECT e.split, coalesce(n, 0) AS actual FROM (VALUES ('train'), ('validation'), ('test'), ('embargo'), ('eligible')) e(split) LEFT JOIN
             (SELECT split, count(*) AS n FROM t_split GROUP BY 1 UNION ALL SELECT 'eligible', count(*) FROM t_split WHERE split <> 'ineligible') a ON e.split = a.split)"""
         ),
+        "split_counts_on_record": statement(
+            """SELECT e.split, count(*) FILTER (hit) AS expected, count(*) FILTER (hit AND later) AS actual,
+            count(*) FILTER (hit) = count(*) FILTER (hit AND later) AS passed FROM
+            (SELECT n.split, s.split = n.split OR n.split = 'eligible' AND s.split <> 'ineligible' AS hit, reference_month <> DATE '1998-05-01' AS later
+             FROM t_split s, (VALUES ('train'), ('validation'), ('test'), ('embargo'), ('eligible')) n(split)) e GROUP BY e.split"""
+        ),
         "column_profile": show(PROFILE, f"({_profile(PANEL_TYPES)})"),
         "data_dictionary": _dictionary(),
         "coverage_by_entity": show(

@@ -46,6 +46,19 @@ def test_row_count_guard(rows):
     assert {x.split: x.passed for x in S.row_count_guard(rows, c).collect()} == {"test": True, "validation": False, "eligible": True}
 
 
+def test_counts_are_recorded_by_the_write(spark, rows, tmp_path):
+    path = str(tmp_path / "split")
+    record = {x.split: x.expected for x in S.write_split(rows, path).collect()}
+    found = {x.split: x.n for x in rows.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert record == {n: found.get(n, 0) for n in ("train", "validation", "test", "embargo")} | {
+        "eligible": sum(n for k, n in found.items() if k != "ineligible")}
+    guard = lambda df: {x.split: x.passed for x in S.row_count_guard(df, None, S.recorded_counts(spark, path)).collect()}
+    assert all(guard(spark.read.parquet(path)).values())
+    less = guard(rows.filter("split <> 'test'"))
+    assert not less["test"] and not less["eligible"] and less["train"]
+
+
+
 def test_complete_features_can_be_required(spark):
     names = FEATURES.names()
     base = "true as is_included, true as has_target, date'2015-01-01' as reference_month"
