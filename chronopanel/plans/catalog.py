@@ -294,7 +294,7 @@ def table_fingerprint_check(spark, folder):
 @query
 def partition_manifest_check(spark, folder):
     """Orders by year against their manifest: 1998 altered, 1995 rewritten as it was; only these two are read."""
-    path = new_folder(spark, "orders")
+    path = new_folder(spark, "orders") + "/table"
     orders = star.table(spark, folder, "orders").withColumn("y", F.year("o_orderdate"))
     spread = F.pmod(F.xxhash64("o_orderkey"), F.lit(8))  # a year's rows go to several tasks
     put = lambda rows: (
@@ -567,7 +567,7 @@ def split_row_count_guard(spark, folder):
 @query
 def split_counts_on_record(spark, folder):
     """The split without one month against the counts that writing the whole split recorded."""
-    own, path = split(spark, folder), new_folder(spark, "split")
+    own, path = split(spark, folder), new_folder(spark, "split") + "/table"
     sp.write_split(own, path)
     later = own.filter(F.col(PERIOD) != F.lit("1998-05-01").cast("date"))
     return sp.row_count_guard(later, C.split, sp.recorded_counts(spark, path))

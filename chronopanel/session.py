@@ -46,7 +46,10 @@ on_release: list = []  # called by ``release``, for what else is kept of landed
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A folder of its own in the shared one; ``release`` deletes it."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def land(
@@ -63,7 +66,6 @@ def land(
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     if bucket_by is None:
         df.write.partitionBy(*(partition_by or [])).parquet(path)
         return spark.read.schema(df.schema).parquet(path).select(*df.columns)
@@ -90,7 +92,7 @@ def landed(spark: SparkSession, key: str, build, **how) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Forget this application's landed tables and delete their files."""
+    """Forget this application's landed tables and delete all it wrote to the shared folder."""
     app = spark.sparkContext.applicationId
     for forget in on_release:
         forget()

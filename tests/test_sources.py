@@ -153,6 +153,24 @@ def test_shared_folder_is_the_clusters(spark):
     assert session.shared_folder(spark) == session.shared_folder(spark)
 
 
+def test_release_deletes_what_was_written(spark, tmp_path, monkeypatch):
+    import os
+
+    from chronopanel import session
+
+    for kept in ("_landed", "_tables", "_written"):  # the landed tables of other tests stay
+        monkeypatch.setattr(session, kept, {})
+    monkeypatch.setattr(session, "on_release", [])
+    paths = [session.new_folder(spark, "one"), session.new_folder(spark, "two")]
+    spark.range(3).write.parquet(paths[0] + "/table")
+    spark.range(3).write.parquet(paths[1])
+    assert session.land(spark.range(3).toDF("x"), "three").count() == 3
+    mine = [*session._written[spark.sparkContext.applicationId]]
+    assert len(mine) == 3 and all(os.path.exists(p) for p in mine)
+    session.release(spark)
+    assert not any(os.path.exists(p) for p in mine)
+
+
 def test_joins_refuse_repeated_keys(spark, entities):
     from chronopanel.operators.panel import build_panel
     from helpers import small_sources
