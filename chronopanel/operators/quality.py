@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..contracts import ColumnSpec, Contracts, bounded
+from ..contracts import ColumnSpec, Contracts, TargetContract, bounded
 from ..schema import CLASSES, ENTITY, KEY, PERIOD
 
 ERROR, WARN = "ERROR", "WARN"
@@ -18,48 +18,54 @@ def outside(c: ColumnSpec, which: str) -> Column:
     return F.coalesce((x < low) | (x > high), F.lit(False))
 
 
-def _present(panel, registry, which=None):
+def _present(columns, registry, which=None):
     return [
         c for c in bounded(registry)
-        if c.name in panel.columns and (which is None or getattr(c, which) is not None)
+        if c.name in columns and (which is None or getattr(c, which) is not None)
     ]
 
 
-def key_facts(panel: DataFrame) -> DataFrame:
-    """Repeats, entities, months and missing months.
+def key_facts(panel: DataFrame, t: TargetContract) -> DataFrame:
+    """Repeats, entities, months, missing months, and target values too near either end: what counts per row cannot tell.
 
     The panel shrinks to (entity, month) cells before anything distinct is
-    counted.
+    counted, and further to one row per calendar month.
     """
-    cells = panel.groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies"))
+    cells = panel.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("copies"), F.count_if("has_target").alias("targets"), F.count("growth_yoy").alias("grown"))
     entities = cells.groupBy(ENTITY).agg(F.count(F.lit(1)).alias("m"), F.sum("copies").alias("c")).agg(
         F.count(F.lit(1)).alias("entities"), F.sum("c").alias("rows"), F.sum(F.col("c") - F.col("m")).alias("repeats")
     )
-    months = cells.groupBy(PERIOD).agg(F.lit(1)).agg(
-        F.count(F.lit(1)).alias("months"), F.min(PERIOD).alias("lo"), F.max(PERIOD).alias("hi")
+    monthly = cells.groupBy(PERIOD).agg(F.sum("targets").alias("targets"), F.sum("grown").alias("grown"))
+    months = monthly.agg(
+        F.count(F.lit(1)).alias("months"), F.min(PERIOD).alias("lo"), F.max(PERIOD).alias("hi"),
+        F.collect_list(F.struct(PERIOD, "targets", "grown")).alias("all")  # one entry per calendar month
     )
-    m = months.select(F.struct("months", "lo", "hi")).scalar()
+
+    def total(field, wanted):
+        return F.aggregate(F.filter("all", wanted), F.lit(0).cast("long"), lambda n, m: n + m[field])
+
+    m = months.select(F.struct(
+        "months", "lo", "hi",
+        total("targets", lambda x: F.add_months(x[PERIOD], t.horizon) > F.col("hi")).alias("late"),
+        total("grown", lambda x: x[PERIOD] < F.add_months(F.col("lo"), t.lead_in)).alias("early"),
+    )).scalar()
     lo, hi = m["lo"], m["hi"]
     span = ((F.year(hi) - F.year(lo)) * 12 + F.month(hi) - F.month(lo) + 1).cast("long")
-    return entities.select("entities", "rows", "repeats", m["months"].alias("months"), span.alias("span"))
+    return entities.select(
+        "entities", "rows", "repeats", m["months"].alias("months"), span.alias("span"), m["late"].alias("late"), m["early"].alias("early"))
 
 
-def check_panel(panel: DataFrame, contracts: Contracts) -> DataFrame:
-    """(position, check, severity, passed, count): the 17 results, in report order."""
+def additive_counts(columns: list[str], contracts: Contracts) -> list[Column]:
+    """The checks' counts that add up row by row; a scan can aggregate them, and a write can observe them."""
     reg, t = contracts.registry, contracts.target
-    rows = F.col("rows")
-    hard, plausible, every = (_present(panel, reg, w) for w in ("hard", "plausible", None))
-
-    keys = key_facts(panel)
-    bounds = panel.agg(F.struct(F.min(PERIOD).alias("lo"), F.max(PERIOD).alias("hi"))).scalar()
-    late = F.add_months(F.col(PERIOD), t.horizon) > bounds["hi"]
-    early = F.col(PERIOD) < F.add_months(bounds["lo"], t.lead_in)
+    hard, plausible, every = (_present(columns, reg, w) for w in ("hard", "plausible", None))
     model = F.col("is_included") & F.col("has_target")
 
     def total(conditions):
         return sum((F.count_if(c) for c in conditions), F.lit(0).cast("long"))
 
-    counts = panel.agg(
+    return [
         F.count_if(~F.coalesce(F.col(ENTITY).rlike(contracts.staging.id_pattern), F.lit(False))).alias("bad_id"),
         F.count_if(F.dayofmonth(PERIOD) != 1).alias("bad_month"),
         F.count_if(F.col("prediction_as_of") <= F.col(PERIOD)).alias("bad_cutoff"),
@@ -68,12 +74,24 @@ def check_panel(panel: DataFrame, contracts: Contracts) -> DataFrame:
         total([outside(c, "plausible") for c in plausible]).alias("plausible"),
         total([F.col(c.name).isNull() for c in every]).alias("nulls"),
         *[F.count_if(~F.col(f)).alias(f"gap_{f}") for f, _ in contracts.flags],
-        F.count_if(F.col("has_target") & late).alias("late"),
-        F.count_if(F.col("growth_yoy").isNotNull() & early).alias("early"),
         F.count_if(~F.col("is_included")).alias("excluded_rows"),
         F.count_if(model).alias("model_rows"),
         *[F.count_if(model & (F.col("target_label") == c)).alias(f"n_{c}") for c in CLASSES],
-    )
+    ]
+
+
+def check_panel(panel: DataFrame, contracts: Contracts, observed: dict[str, int] | None = None) -> DataFrame:
+    """(position, check, severity, passed, count): the 17 results, in report order.
+
+    ``observed`` are the ``additive_counts`` of the write that made the panel; with
+    them only the keys and two target columns are read again.
+    """
+    reg, rows = contracts.registry, F.col("rows")
+    if observed is None:
+        counts = panel.agg(*additive_counts(panel.columns, contracts))
+    else:
+        counts = panel.sparkSession.range(1).select(*[F.lit(n).cast("long").alias(c) for c, n in observed.items()])
+    keys = key_facts(panel, contracts.target)
     declared, actual = {c.name for c in reg}, set(panel.columns)
     undocumented = len(actual ^ declared)
 
@@ -133,7 +151,7 @@ def _unpivot(wide: DataFrame, specs, fields: dict[str, str]) -> DataFrame:
 
 def bound_violations(panel: DataFrame, registry, which: str) -> DataFrame:
     """Per column: values outside the named bounds."""
-    specs = _present(panel, registry, which)
+    specs = _present(panel.columns, registry, which)
     wide = panel.agg(
         *[F.count_if(outside(c, which)).alias(f"v{i}") for i, c in enumerate(specs)],
         *[F.count(c.name).alias(f"n{i}") for i, c in enumerate(specs)],
@@ -143,7 +161,7 @@ def bound_violations(panel: DataFrame, registry, which: str) -> DataFrame:
 
 def missingness(panel: DataFrame, registry) -> DataFrame:
     """Null count and rate per bounded column."""
-    specs = _present(panel, registry)
+    specs = _present(panel.columns, registry)
     wide = panel.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c.name).alias(f"n{i}") for i, c in enumerate(specs)])
     long = _unpivot(wide, specs, {"observed": "n"})
     nulls = F.col("rows") - F.col("observed")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from ..contracts import Contracts
 from ..operators import eda, learned, quality, results
@@ -30,13 +30,16 @@ def panel_from(staged: dict[str, Staged | DataFrame], contracts: Contracts) -> D
 def rebuild(spark: SparkSession, staged: dict[str, Staged], contracts: Contracts, folder: str) -> dict[str, DataFrame]:
     """Staged tables, panel and modelling rows on disk, with every report.
 
-    Unlike a write-first pipeline, failed ERROR checks stop the job before the
-    panel is published under ``folder``.
+    Failed ERROR checks stop the job before the panel is published under ``folder``.
+    Their counts are observed while the panel is landed; only its keys are read
+    again for them.
     """
     paths = io.write_tables({s: staged[s].table for s in SOURCES}, folder, "stg_")
     tables = {s: io.read_table(spark, p) for s, p in paths.items()}
-    panel = land(panel_from(tables, contracts), "panel", bucket_by=ENTITY, sort_by=KEY)
-    checks = quality.check_panel(panel, contracts)
+    built, seen = panel_from(tables, contracts), Observation("panel checks")
+    panel = land(
+        built, "panel", bucket_by=ENTITY, sort_by=KEY, observe=(seen, quality.additive_counts(built.columns, contracts)))
+    checks = quality.check_panel(panel, contracts, seen.get)
     failed = quality.failed_errors(checks)
     if failed:
         raise ValueError(f"panel not written; failed checks: {', '.join(failed)}")

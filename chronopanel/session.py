@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cpus: int | str = "*", app: str = "chronopanel") -> SparkSession:
@@ -55,6 +55,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def land(
     df: DataFrame, name: str, bucket_by: str | None = None, sort_by: list[str] | None = None,
     clustered: bool = False, partition_by: list[str] | None = None, buckets: int | None = None,
+    observe: tuple[Observation, list[Column]] | None = None,
 ) -> DataFrame:
     """Write a table once to the shared folder and read it back.
 
@@ -63,17 +64,23 @@ def land(
     aggregations on it need no exchange.  ``clustered`` says the rows already sit
     that way (they come from a table bucketed alike), so they are not moved again.
     ``buckets`` is the table's own number, by default that of the shuffle partitions.
+    ``observe`` takes aggregates along in the writing stage itself, after the last
+    exchange, where a task that runs twice is counted once.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
+    if bucket_by is not None and not clustered:
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        df = df.repartition(buckets, bucket_by)
+    if observe:
+        df = df.observe(observe[0], *observe[1])
     if bucket_by is None:
         df.write.partitionBy(*(partition_by or [])).parquet(path)
         return spark.read.schema(df.schema).parquet(path).select(*df.columns)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     table = f"chronopanel_{name}_{uuid.uuid4().hex[:12]}"
     (
-        (df if clustered else df.repartition(buckets, bucket_by))
-        .write.option("path", path)
+        df.write.option("path", path)
         .format("parquet")
         .bucketBy(buckets, bucket_by)
         .sortBy(*(sort_by or [bucket_by]))

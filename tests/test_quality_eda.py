@@ -1,9 +1,11 @@
 import datetime as dt
+import re
 from dataclasses import replace
 
 import numpy as np
 import pytest
 from helpers import column, long_panel, month, near, small_sources
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from chronopanel.contracts import PRODUCTION, REGISTRY, TARGET
@@ -12,6 +14,7 @@ from chronopanel.operators import panel as P
 from chronopanel.operators import profile as O
 from chronopanel.operators import quality as C
 from chronopanel.operators import target as T
+from chronopanel.session import land
 
 
 @pytest.fixture(scope="module")
@@ -51,6 +54,25 @@ def test_negative_controls(small_panel, change, check):
     assert check in C.failed_errors(C.check_panel(bad, PRODUCTION))
 
 
+def test_observed_counts_equal_scanned_ones(spark, small_panel):
+    bad = small_panel.unionByName(small_panel.limit(1)).withColumn("median_sale_price", F.lit(-5.0)).withColumn("county_fips", F.lit("6037"))
+    for panel in (small_panel, bad, small_panel.limit(0)):
+        seen = Observation("counts")
+        landed = land(panel, "observed", bucket_by="county_fips", observe=(seen, C.additive_counts(panel.columns, PRODUCTION)))
+        got = C.check_panel(landed, PRODUCTION, seen.get)
+        assert sorted(got.collect()) == sorted(C.check_panel(panel, PRODUCTION).collect())
+        scans = re.findall(r"ReadSchema: struct<(.*?)>", got._jdf.queryExecution().executedPlan().toString())
+        assert scans and all("county_fips" in s and "median_sale_price" not in s for s in scans), scans  # keys and target columns
+
+
+def test_row_at_a_position(spark):
+    rows = [(g, f"{'a' * 40}{i % 7}{i}") for g in ("x", None, "y") for i in range(50)] + [("x", None), ("x", "b" * 5), ("x", "b" * 5)]
+    df = spark.createDataFrame(rows, "g string, t string").withColumn("at", F.when(F.col("g") == "y", 3).otherwise(0))
+    in_order = lambda g: sorted((t for k, t in rows if k == g), key=lambda t: (t is not None, t or ""))
+    got = E.select_at(df, ["g"], "t", "at").collect()
+    assert {r.g: r.t for r in got} == {"x": None, None: in_order(None)[0], "y": in_order("y")[3]} and len(got) == 3
+
+
 def test_drift_and_bounds(small_panel):
     drift = {(r.column, r.problem) for r in C.schema_drift(small_panel.drop("price_drops").withColumn("x", F.lit(1)), REGISTRY).collect()}
     assert drift == {("price_drops", "absent"), ("x", "undocumented")}
