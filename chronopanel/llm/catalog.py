@@ -35,8 +35,9 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Languages of all documents by a model that saw three quarters of the keys."""
     docs = read(spark, folder, "documents")
-    found = language.identify(docs, language.fit(docs))
-    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "n_words")
+    found = language.label_runs(docs, language.fit(docs))
+    return found.select(
+        "doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "n_words", F.size("runs").alias("n_runs"))
 
 
 @query

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import pickle
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,9 @@ from .tokens import forget
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
+RUNS = T.ArrayType(T.StructType([
+    T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType()),
+    T.StructField("words", T.LongType()), T.StructField("letters", T.LongType()), T.StructField("probability", T.DoubleType())]))
 BUCKETS = 1 << 16
 BLOCK = 64
 GRAMS = (2, 3, 4)
@@ -148,7 +152,21 @@ class Chains:
         return out, moves, opening.sum(axis=0), likelihood
 
 
-# ------------------------------------------------------------------ training
+# -------------------------------------------------------------------- labels
+
+
+def _spans(text: str) -> tuple[list[str], np.ndarray]:
+    """Lower-cased words of a text, and their spans in the text as it is."""
+    low = text.lower()
+    words, spans = [], []
+    for m in WORD.finditer(low):
+        words.append(m.group())
+        spans.append(m.span())
+    spans = np.array(spans, np.int64).reshape(-1, 2)
+    if len(low) != len(text):  # some letters become two when lower-cased
+        origin = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text])
+        spans = np.stack([origin[spans[:, 0]], origin[spans[:, 1] - 1] + 1], axis=1)
+    return words, spans
 
 
 class Model:
@@ -174,19 +192,64 @@ class Model:
     def documents(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, its share of letters, and the number of words, per text."""
         split = [WORD.findall(t.lower()) for t in texts]
+        sizes = np.array([len(d) for d in split], np.int64)
         if not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.array([len(d) for d in split], np.int64)
-        p = self.words(split)
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), sizes
+        return (*self._digest(self.words(split), split, sizes), sizes)
+
+    def _digest(self, p: np.ndarray, split: list[list[str]], sizes: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Language and its share of letters per document, from all words' probabilities; of equal shares the first language's."""
         letters = np.fromiter((len(w) for d in split for w in d), np.float64, len(p))
-        sizes = np.array([len(d) for d in split], np.int64)
         ends = np.cumsum(np.concatenate([np.zeros((1, p.shape[1])), p * letters[:, None]]), axis=0)
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         mass = ends[bounds[1:]] - ends[bounds[:-1]]
         total = mass.sum(axis=1)
         best = mass.argmax(axis=1)
-        score = np.where(total > 0, mass[np.arange(len(texts)), best] / np.maximum(total, 1e-300), 0.0)
+        score = np.where(total > 0, mass[np.arange(len(sizes)), best] / np.maximum(total, 1e-300), 0.0)
         names = [self.languages[b] if t > 0 else UNKNOWN for b, t in zip(best, total)]
-        return names, np.clip(score, 0, 1), sizes
+        return names, np.clip(score, 0, 1)
+
+    def runs(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, pa.Array]:
+        """As ``documents``, and each text's runs of consecutive words whose likeliest language is the same.
+
+        A run's span is in code points of the text as it is, from its first word's
+        start to its last word's end; its probability is the mean of its words',
+        weighted by letters.
+        """
+        found = [_spans(t) for t in texts]
+        split = [words for words, _ in found]
+        sizes = np.array([len(d) for d in split], np.int64)
+        n = int(sizes.sum())
+        if not self.languages:
+            names, score, p = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros((n, 0))
+            best, sure = np.zeros(n, np.int64), np.zeros(n)
+        else:
+            p = self.words(split)
+            names, score = self._digest(p, split, sizes)
+            best = p.argmax(axis=1)
+            sure = p[np.arange(n), best]
+        home = np.repeat(np.arange(len(texts)), sizes)
+        spans = np.concatenate([np.zeros((0, 2), np.int64), *(own for _, own in found)])
+        letters = spans[:, 1] - spans[:, 0]
+        change = np.ones(n, bool)
+        change[1:] = (best[1:] != best[:-1]) | (home[1:] != home[:-1])
+        first = np.flatnonzero(change)
+        last = np.append(first[1:], n) - 1 if n else first
+
+        def total(x):
+            return np.add.reduceat(x, first) if n else x
+
+        held = total(letters)
+        label = [self.languages[b] if self.languages else UNKNOWN for b in best[first]]
+        runs = pa.StructArray.from_arrays(
+            [pa.array(spans[first, 0]), pa.array(spans[last, 1]), pa.array(label, pa.string()), pa.array(last - first + 1),
+             pa.array(held), pa.array(np.clip(total(sure * letters) / np.maximum(held, 1), 0, 1))],
+            ["start", "end", "lang", "words", "letters", "probability"])
+        per = np.bincount(home[first], minlength=len(texts))
+        return names, score, sizes, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per)), pa.int32()), runs)
+
+
+# ------------------------------------------------------------------ training
 
 
 def train(
@@ -327,22 +390,40 @@ def fit(
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, lang_pred, score, n_words)`` for every row, from its whole text alone.
 
-    ``score`` is the language's share of the text's letters.  A text that is
-    null or has no letter is ``und`` with score 0; so is every text when there was
-    nothing to learn from.  Repeated rows come back repeated; other columns are
-    not read.
+    ``score`` is the language's share of the text's letters; of languages with equal
+    shares the first by name is taken.  A text that is null or has no letter is
+    ``und`` with score 0; so is every text when there was nothing to learn from.
+    Repeated rows come back repeated; other columns are not read.
     """
+    return _labelled(docs, model, key, text, Model.documents)
+
+
+def label_runs(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``identify``'s columns and ``runs``: every row's words, labelled by language and joined to runs of one language.
+
+    A run is ``(start, end, lang, words, letters, probability)``, in the order of the
+    text; ``start`` and ``end`` are code points of the whole text.  A text that is null
+    or has no letter has no runs; with nothing to learn from all words are one run
+    of ``und`` with probability 0.  Ties between languages go to the first by name.
+    """
+    return _labelled(docs, model, key, text, Model.runs, RUNS)
+
+
+def _labelled(docs: DataFrame, model: Model, key: str, text: str, how: Callable, runs: T.DataType | None = None) -> DataFrame:
     shape = T.StructType([
         docs.schema[key], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
         T.StructField("n_words", T.LongType())])
+    if runs:
+        shape = shape.add("runs", runs)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded: buckets and lexicon times languages
 
     def run(batches):
         own = shipped.value
         for part, texts in text_slices(batches, text, SLICE):
-            names, score, n = own.documents(texts)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(n)],
-                                             names=[key, "lang_pred", "score", "n_words"])
+            found = how(own, texts)
+            types = [pa.string(), pa.float64(), pa.int64()]
+            columns = [pa.array(c, t) for c, t in zip(found, types)] + list(found[len(types):])
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=shape.names)
 
     return docs.select(key, F.col(text).cast("string").alias(text)).mapInArrow(run, shape)
 

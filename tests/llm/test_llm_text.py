@@ -110,6 +110,43 @@ def test_words_in_another_language_get_their_own():
     assert np.mean(p == np.repeat([0, 1, 0], [30, 12, 30])) > 0.97
 
 
+def test_runs_of_words_by_language(spark):
+    importable(spark)
+    rng = random.Random(4)
+    rows = language_rows()
+    m = language.train([t for _, t, y in rows if y], [y for _, _, y in rows if y])
+    a, b = sentence(rng, "aa", 40), sentence(rng, "bb", 25)
+    mixed = f"\u0130\u0130 12, {a} — {b} ... {a}!"
+    odd = [(1, mixed), (2, None), (3, ""), (4, "7 — !?"), (None, b), (1, mixed), (5, "\u0130"), (6, f"{a} " * 900)]
+    df = spark.createDataFrame(odd + [(100 + k, t) for k, t, _ in rows], "doc_id long, text string").selectExpr("*", "'x' AS runs", "2 AS start")
+    got = language.label_runs(df, m).collect()
+    plain = sorted((tuple(r) for r in language.identify(df, m).collect()), key=str)
+    assert sorted((tuple(r)[:4] for r in got), key=str) == plain  # the documents' columns are those of the same labels
+    # Brute force: every word of every text labelled and joined in a plain loop.
+    texts = [r.text for r in df.select("text").collect()]
+    for r, text in zip(got, texts):
+        text, want = text or "", []
+        p = m.words([language.WORD.findall(text.lower())])
+        lengths = [len(c.lower()) for c in text]
+        place = [i for i, n in enumerate(lengths) for _ in range(n)]
+        for w, q in zip(language.WORD.finditer(text.lower()), p):
+            lo, hi, name = place[w.start()], place[w.end() - 1] + 1, m.languages[q.argmax()]
+            if not want or want[-1][2] != name:
+                want.append([lo, hi, name, 0, 0, 0.0])
+            run = want[-1]
+            run[1], run[3], run[4], run[5] = hi, run[3] + 1, run[4] + hi - lo, run[5] + q.max() * (hi - lo)
+        assert [(x.start, x.end, x.lang, x.words, x.letters) for x in r.runs] == [tuple(x[:5]) for x in want]
+        assert np.allclose([x.probability for x in r.runs], [x[5] / x[4] for x in want])
+        assert sum(x.words for x in r.runs) == r.n_words
+    by = {r.doc_id: r for r in got}
+    assert [r.runs for r in got if r.doc_id in (2, 3, 4)] == [[], [], []] and len([r for r in got if r.doc_id == 1]) == 2
+    long = sorted(by[1].runs, key=lambda x: -x.words)[:3]
+    assert {x.lang for x in long} == {"aa", "bb"} and any(abs(x.start - mixed.index(b)) < 20 for x in long if x.lang == "bb")
+    none = language.label_runs(df, language.train([], [])).collect()
+    assert all(r.lang_pred == "und" and {x.lang for x in r.runs} <= {"und"} and all(x.probability == 0 for x in r.runs) for r in none)
+    assert language.label_runs(df.limit(0), m).count() == 0
+
+
 def test_held_out_rows_teach_nothing(spark):
     rows = [(k, "zzz qqq " * 9, "held") for k in range(400) if zlib.crc32(str(k).encode()) % 4 == 2] + language_rows(60)
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=30)
