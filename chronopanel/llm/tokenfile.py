@@ -10,8 +10,9 @@ One shard, all little-endian:
                 and one more uint64: the number of ids
     trailer     uint64 blocks, documents, ids; uint32 block, bits; b"IDPACK01"
 
-Shards are committed by renaming, under a name that depends only on the task's
-place, so a task that runs twice leaves one file.
+Every attempt of a task writes under names of its own, and nothing is renamed.
+The manifest, committed by Spark with the tasks that ended well, is what says
+which shards belong to the table; what a lost attempt left is never read.
 """
 
 from __future__ import annotations
@@ -55,8 +56,12 @@ def unpack(raw: bytes, bits: int, n: int) -> np.ndarray:
 
 
 def _files(uri: str):
+    """File system and path of a Hadoop-style URI; ``s3a`` and ``s3n`` are names of Hadoop's for ``s3``."""
     from pyarrow import fs
 
+    scheme, _, rest = uri.partition("://")
+    if rest and scheme in ("s3a", "s3n"):
+        uri = f"s3://{rest}"
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
@@ -64,9 +69,8 @@ class ShardWriter:
     """Streams ids to a shard; only one block and the document table stay in memory."""
 
     def __init__(self, uri: str, bits: int, block: int):
-        self.fs, self.path = _files(uri)
-        self.temporary = f"{self.path}.{uuid.uuid4().hex}.writing"
-        self.out = self.fs.open_output_stream(self.temporary)
+        files, path = _files(uri)
+        self.out = files.open_output_stream(path)
         self.out.write(MAGIC)
         self.bits, self.block, self.place = bits, block, len(MAGIC)
         self.rest, self.blocks = np.zeros(0, np.uint32), []
@@ -97,7 +101,6 @@ class ShardWriter:
         self.out.write(np.array([*self.first, self.n_ids], "<u8").tobytes())
         self.out.write(TRAILER.pack(len(self.blocks), len(self.keys), self.n_ids, self.block, self.bits, MAGIC))
         self.out.close()
-        self.fs.move(self.temporary, self.path)
 
 
 class ShardReader:
@@ -150,7 +153,9 @@ def write(
 
     A partition becomes one shard, or several of about ``shard_ids`` ids.  The
     manifest has one row per shard in order, with the ids and documents before
-    it.  Documents without ids stay in the document table.
+    it.  Documents without ids stay in the document table.  Null keys are kept as
+    such, rows that share a key stay rows of their own, and an empty table has an
+    empty manifest.
     """
     spark = encoded.sparkSession
     folder = folder or new_folder(spark, "token-shards")
@@ -160,6 +165,7 @@ def write(
 
     def run(batches):
         part, shard, made, out = TaskContext.get().partitionId(), 0, [], None
+        attempt = uuid.uuid4().hex[:12]
 
         def end():
             out.close()
@@ -171,7 +177,7 @@ def write(
                     end()
                     shard, out = shard + 1, None
                 if out is None:
-                    uri = f"{folder}/part-{part:06d}-{shard:04d}.ids"
+                    uri = f"{folder}/part-{part:06d}-{shard:04d}-{attempt}.ids"
                     out, held, waiting = ShardWriter(uri, bits, block), 0, []
                 ids = np.frombuffer(raw, "<u4")
                 out.add(key, ids)
@@ -199,7 +205,11 @@ def write(
 
 
 def read(manifest: DataFrame, group: int = 1 << 20) -> DataFrame:
-    """Documents of all shards: ``(key, start, n_tokens, ids)`` with ``start`` counted over all shards."""
+    """Documents of all shards: ``(key, start, n_tokens, ids)`` with ``start`` counted over all shards.
+
+    Documents without ids come back with none, null keys as null, repeated keys as
+    often as they were written; an empty manifest gives no rows.
+    """
     spark: SparkSession = manifest.sparkSession
 
     def run(batches):

@@ -147,6 +147,33 @@ def test_written_in_order_and_read_back(spark, plain):
     assert manifest.count() > 1
 
 
+def test_a_second_attempt_leaves_the_first_ones_files_alone(spark, tmp_path):
+    """Attempts write under their own names; what is not in the manifest is never read."""
+    encoded = bpe.encode(tokenfile.ordered(frame(spark)), JSON_MODEL, "key", append=2)
+    tables = [tokenfile.write(encoded, 50_257, folder=f"file://{tmp_path}/shards", block=50, shard_ids=20) for _ in range(2)]
+    paths = [{r.path for r in t.collect()} for t in tables]
+    assert not paths[0] & paths[1] and len(list((tmp_path / "shards").glob("*.ids"))) == len(paths[0]) + len(paths[1])
+    rows = [sorted((r.start, r.n_tokens, bytes(r.ids)) for r in tokenfile.read(t).collect()) for t in tables]
+    assert rows[0] == rows[1] and len(rows[0]) == len(ROWS)
+
+
+def test_names_of_object_stores(monkeypatch):
+    from pyarrow import fs
+
+    asked = []
+
+    class Named:
+        @staticmethod
+        def from_uri(uri):
+            asked.append(uri)
+            return None, uri
+
+    monkeypatch.setattr(fs, "FileSystem", Named)
+    for uri in ("s3a://bucket/a b", "s3n://bucket/x", "hdfs://host/x", "file:/tmp/x"):
+        tokenfile._files(uri)
+    assert asked == ["s3://bucket/a b", "s3://bucket/x", "hdfs://host/x", "file:/tmp/x"]
+
+
 # --------------------------------------------------------------------- packing
 
 
