@@ -17,6 +17,7 @@ from __future__ import annotations
 import pickle
 import re
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,7 @@ WORD = re.compile(r"[^\W\d_]+")
 RUNS = T.ArrayType(T.StructType([
     T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType()),
     T.StructField("words", T.LongType()), T.StructField("letters", T.LongType()), T.StructField("probability", T.DoubleType())]))
+CUT = re.compile(f"({WORD.pattern})")
 BUCKETS = 1 << 16
 BLOCK = 64
 GRAMS = (2, 3, 4)
@@ -158,11 +160,9 @@ class Chains:
 def _spans(text: str) -> tuple[list[str], np.ndarray]:
     """Lower-cased words of a text, and their spans in the text as it is."""
     low = text.lower()
-    words, spans = [], []
-    for m in WORD.finditer(low):
-        words.append(m.group())
-        spans.append(m.span())
-    spans = np.array(spans, np.int64).reshape(-1, 2)
+    parts = CUT.split(low)  # gaps and words in turn
+    words, ends = parts[1::2], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+    spans = np.stack([ends[:-1:2], ends[1::2]], axis=1)
     if len(low) != len(text):  # some letters become two when lower-cased
         origin = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text])
         spans = np.stack([origin[spans[:, 0]], origin[spans[:, 1] - 1] + 1], axis=1)
@@ -199,7 +199,7 @@ class Model:
 
     def _digest(self, p: np.ndarray, split: list[list[str]], sizes: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and its share of letters per document, from all words' probabilities; of equal shares the first language's."""
-        letters = np.fromiter((len(w) for d in split for w in d), np.float64, len(p))
+        letters = np.fromiter(map(len, chain.from_iterable(split)), np.float64, len(p))
         ends = np.cumsum(np.concatenate([np.zeros((1, p.shape[1])), p * letters[:, None]]), axis=0)
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         mass = ends[bounds[1:]] - ends[bounds[:-1]]
