@@ -431,14 +431,15 @@ def _labelled(docs: DataFrame, model: Model, key: str, text: str, how: Callable,
 def keep(
     docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", least: float = 0.5, **how,
 ) -> DataFrame:
-    """The rows of ``docs`` in which one language holds at least ``least`` of the letters, with their own columns.
+    """The rows of ``docs`` in which one language holds at least ``least`` of the letters, with that language as ``label``.
 
-    Texts without letters go.  Where nothing can be learned, as no row has a
-    label, the rest stays.
+    Other columns stay as they are.  Texts without letters go.  Where nothing can be
+    learned, as no row has a label, the rest stays as it is.
     """
     model = fit(docs, key, text, label, **how)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col(f"`{text}`").alias("text"))
     if not model.languages:
         return whole.filter(F.col("text").rlike(r"\p{L}")).select("own.*")
     found = identify(whole, model, "own", "text")
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("own.*")
+    named = [F.col("lang_pred").cast(docs.schema[c].dataType).alias(c) if c == label else F.col(f"own.`{c}`") for c in docs.columns]
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*named)

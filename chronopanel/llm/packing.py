@@ -95,7 +95,8 @@ def _packer(capacity: int, turn: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def pack(
-    items: DataFrame, size: str = "length", capacity: int = 2048, group: int = 100_000, most_rounds: int = 8
+    items: DataFrame, size: str = "length", capacity: int = 2048, group: int = 100_000, most_rounds: int = 8,
+    by: str | None = None,
 ) -> tuple[DataFrame, dict]:
     """Place every item: its columns and ``sequence_id``, ``offset``; and the certificate.
 
@@ -103,52 +104,61 @@ def pack(
     used, the lower bound of all items, and per round the groups, those whose own
     bound certifies them, and the bins.  Sizes are 1 to ``capacity``, else an error
     is raised.  Equal items are told apart, so repeated rows are all packed.  An
-    empty table gives an empty packing.  The names ``item``, ``size``, ``cell``,
+    empty table gives an empty packing.  The names ``item``, ``size``, ``kind``, ``cell``,
     ``bin``, ``fill`` and ``bound`` may occur among the columns of ``items``: these
-    travel in a struct.
+    travel in a struct.  With ``by``, items that differ in that column (a language, say:
+    few values; null is one) never share a sequence, and the bound is the sum over its values.
     """
-    spark = items.sparkSession
     capacity_error = F.raise_error(F.lit(f"sizes must be whole numbers from 1 to {capacity}"))
     rows = store(
         items.select(
             F.struct("*").alias("own"),
             F.when(F.col(size).between(1, capacity), F.col(size).cast("long")).otherwise(capacity_error).alias("size"),
             F.monotonically_increasing_id().alias("item"),
+            (F.lit(None) if by is None else F.col(by)).cast("string").alias("kind"),
         ), "pack-items")
-    counts = np.zeros(capacity + 1, np.int64)
-    for r in rows.groupBy("size").count().collect():  # one row per size: capacity rows at most
-        counts[r[0]] = r[1]
-    certificate = {"bins": int(counts[capacity]), "bound": lower_bound(counts, capacity), "rounds": []}
+    sizes: dict[str | None, np.ndarray] = {}
+    for r in rows.groupBy("kind", "size").count().collect():  # one row per kind and size
+        sizes.setdefault(r[0], np.zeros(capacity + 1, np.int64))[r[1]] = r[2]
+    certificate = {
+        "bins": sum(int(c[capacity]) for c in sizes.values()), "bound": sum(lower_bound(c, capacity) for c in sizes.values()), "rounds": []}
     alone = rows.filter(F.col("size") == capacity).select(
         "own", (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     loose = rows.filter(F.col("size") < capacity).withColumn("bin", F.col("item"))
-    n, done = int(counts[:capacity].sum()), [alone]
+    left, done = {k: int(c[:capacity].sum()) for k, c in sizes.items()}, [alone]
     shape = T.StructType([
         *loose.schema.fields, T.StructField("cell", T.LongType()), T.StructField("offset", T.LongType()),
         T.StructField("fill", T.LongType()), T.StructField("bound", T.LongType())])
     quiet, last = 0, None
     for turn in range(most_rounds):
-        if not n:
+        left = {k: n for k, n in left.items() if n}
+        if not left:
             break
-        groups = -(-n // group)
-        dealt = loose.withColumn("cell", F.pmod(F.xxhash64("bin", F.lit(turn)), F.lit(groups)))
+        # Every kind has cells of its own.
+        cell, before = F.lit(None).cast("long"), 0
+        for k, n in left.items():
+            groups = -(-n // group)
+            cell = F.when(F.col("kind").eqNullSafe(F.lit(k)), before + F.pmod(F.xxhash64("bin", F.lit(turn)), F.lit(groups))).otherwise(cell)
+            before += groups
+        dealt = loose.withColumn("cell", cell)
         packed = store(dealt.groupBy("cell").applyInArrow(_packer(capacity, turn), shape), f"packed-{turn}")
-        seen = packed.groupBy("cell", "bin", "fill", "bound").agg(F.count("*").alias("n"))
+        seen = packed.groupBy("kind", "cell", "bin", "fill", "bound").agg(F.count("*").alias("n"))
         per = seen.groupBy("cell").agg(F.count("*").alias("bins"), F.first("bound").alias("bound"))
         total = per.agg(F.sum("bins"), F.sum((F.col("bins") == F.col("bound")).cast("int")), F.count("*")).first()
-        full = seen.filter(F.col("fill") == capacity).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        full = {r[0]: r for r in seen.filter(F.col("fill") == capacity).groupBy("kind").agg(F.count("*"), F.sum("n")).collect()}
         bins = certificate["bins"] + total[0]
         certificate["rounds"].append({"groups": total[2], "certified": total[1], "bins": bins})
         quiet = quiet + 1 if last == bins else 0
-        ended = bins == certificate["bound"] or total[2] == 1 or quiet == 2 or turn == most_rounds - 1
+        ended = bins == certificate["bound"] or total[2] == len(left) or quiet == 2 or turn == most_rounds - 1
         last = bins
         closed = packed if ended else packed.filter(F.col("fill") == capacity)
         done.append(closed.select("own", F.col("bin").alias("sequence_id"), "offset"))
         if ended:
             certificate["bins"] = bins
             break
-        certificate["bins"] += full[0]
-        loose, n = packed.filter(F.col("fill") < capacity).select(*loose.columns), n - full[1]
+        certificate["bins"] += sum(r[1] for r in full.values())
+        loose = packed.filter(F.col("fill") < capacity).select(*loose.columns)
+        left = {k: n - (full[k][2] if k in full else 0) for k, n in left.items()}
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from test_llm_duplicates import Groups, expected_groups, plain_dedup
 from test_llm_similar import expected
 from test_llm_text import plain_counts
@@ -244,3 +245,36 @@ def test_line_stage_with_a_column_of_the_counter(spark):
     got = C.line_dedup(spark, docs, "")
     assert got.columns == docs.columns and {tuple(r) for r in got.collect()} == {(1, rows[0][1], 7, 43), (2, "And more.", 8, 9)}
     assert lines.deduplicate(docs).columns == ["doc_id", "text", "n_chars", "lines_dropped"]
+
+
+def test_found_languages_decide_who_shares_a_sequence(spark):
+    import corpus_pipeline as C
+
+    english = ["the man and the woman went to the house by the river and talked of the weather in the evening", "he said that she would have been there with them when the work was done this year"]
+    german = ["der Mann und die Frau gingen am Abend zum Haus an dem Fluss und sprachen nicht mehr", "sie sagte dass es auch in diesem Jahr nicht ohne die anderen gehen werde und schwieg"]
+    rows = [(k, own[k % 2] + f" {own[k // 2 % 2]}", y if k % 8 else None) for k in range(80) for y, own in ((("en", english), ("de", german))[k // 40],)]
+    docs = spark.createDataFrame([(k, t, y, "s", len(t)) for k, t, y in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    labelled = C.language_id(spark, docs, "")
+    assert labelled.columns == docs.columns
+    assert {r.doc_id: r.lang for r in labelled.collect()} == {k: "en" if k < 40 else "de" for k in range(80)}
+    packed = C.pack_sequences(spark, labelled, "").collect()
+    by = {}
+    for r in packed:
+        by.setdefault(r.sequence_id, set()).add("en" if r.doc_id < 40 else "de")
+    assert all(len(own) == 1 for own in by.values()) and {r.doc_id for r in packed} == set(range(80))
+    mixed = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert len({r.sequence_id for r in C.pack_sequences(spark, mixed, "").collect()}) < len(by) + 1
+
+
+@pytest.mark.parametrize("group", [7, 1000])
+def test_packing_by_a_column(spark, group):
+    rng = random.Random(5)
+    rows = [(k, rng.randint(1, 64), rng.choice(["a", "b", None])) for k in range(400)]
+    packed, proof = packing.pack(spark.createDataFrame(rows, "k long, length long, kind string"), capacity=64, group=group, by="kind")
+    bins = {}
+    for r in packed.collect():
+        bins.setdefault(r.sequence_id, []).append(r)
+    assert sorted(tuple(r)[:3] for own in bins.values() for r in own) == rows
+    assert all(len({r.kind for r in own}) == 1 and sum(r.length for r in own) <= 64 for own in bins.values())
+    bound = sum(packing.lower_bound(np.bincount([n for _, n, y in rows if y == x], minlength=65), 64) for x in ("a", "b", None))
+    assert proof["bound"] == bound <= len(bins) == proof["bins"] <= bound * 1.1 + 3
