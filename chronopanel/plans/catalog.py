@@ -57,14 +57,18 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 # a pipeline publishes its panel, feature and prediction tables.
 
 
-def facts(spark, folder, by_flag: bool = False) -> DataFrame:
+def facts(spark, folder) -> DataFrame:
     """The fact table's one aggregation; landed, so line items are scanned once for all sources."""
-    name = "facts_by_flag" if by_flag else "facts"
-    return landed(spark, f"{name}@{folder}", lambda: star.monthly_facts(spark, folder, by_flag))
+    return landed(spark, f"facts@{folder}", lambda: star.monthly_facts(spark, folder))
 
 
-def staged(spark, folder, by_flag: bool = False):
-    return star.stage_all(spark, folder, C, facts(spark, folder, by_flag))
+def facts_by_flag(spark, folder) -> DataFrame:
+    """The same by flag too, which only row accounting reads: not landed, so that sums nobody asks for are never shuffled."""
+    return star.monthly_facts(spark, folder, by_flag=True)
+
+
+def staged(spark, folder):
+    return star.stage_all(spark, folder, C, facts(spark, folder))
 
 
 def panel(spark, folder) -> DataFrame:
@@ -137,7 +141,7 @@ def staged_housing(spark, folder):
 
 @query
 def housing_row_accounting(spark, folder):
-    s = staged(spark, folder, by_flag=True)["housing"]
+    s = star.stage_all(spark, folder, C, facts_by_flag(spark, folder))["housing"]
     return rows.account(s.tagged, s.source)
 
 
@@ -145,7 +149,7 @@ def _one_state_housing(spark, folder):
     one = replace(C.staging, state="15")
     codes = star.reference_codes(spark, folder).withColumn("statefp", S.zero_pad(F.col("statefp"), 2))
     known = staging.stage_entities(codes, one).table
-    bulk = star.housing_bulk(spark, folder, facts(spark, folder, by_flag=True))
+    bulk = star.housing_bulk(spark, folder, facts_by_flag(spark, folder))
     return staging.stage_housing(bulk, known, C.staging)
 
 

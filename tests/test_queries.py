@@ -31,3 +31,9 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["housing_row_accounting", "housing_name_lookup_accounting", "housing_unmatched_names"])
+def test_row_accounting_moves_no_sums(spark, name):
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(1)" in plan and "sum(" not in plan
