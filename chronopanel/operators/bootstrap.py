@@ -153,6 +153,7 @@ class Weights(NamedTuple):
     totals: Callable[[DataFrame, list[str]], DataFrame]  # block sums to weighted sums per (keys, resample)
 
 
+SPREAD = 200  # tasks that draw; without a number adaptive execution would join so few rows into one task, which then makes all draws
 CHUNK = 1024  # blocks whose weights a product holds at a time
 HELD = 64  # groups whose products a task holds at a time
 
@@ -206,7 +207,7 @@ def slot_weights(stats: DataFrame, keys: list[str], resamples: int, seed: int) -
     sizes = numbered.select(F.col("blocks").alias("blocks")).distinct()
     slots = (
         sizes.select("blocks", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
-        .repartition("resample")
+        .repartition(SPREAD, "resample")
         .select("blocks", "resample", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("slot"))
         .select("blocks", "resample", F.pmod(_hash32(F.lit(seed), F.col("resample"), F.col("slot")), F.col("blocks")).alias("idx"))
     )

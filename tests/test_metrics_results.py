@@ -325,3 +325,11 @@ def test_counted_medae_matches_plain(spark):
     plain = {r.model: r for r in M.evaluate(df, ["model"], bounded=True).collect()}
     big = {r.model: r for r in M.evaluate(df, ["model"]).collect()}
     assert all(near(plain[m].medae, big[m].medae) and near(plain[m].mae, big[m].mae) for m in plain)
+
+
+def test_draws_are_made_by_a_number_of_tasks_that_adaptive_execution_keeps(spark):
+    from chronopanel.operators import bootstrap
+
+    stats = spark.createDataFrame([("m", str(k), 1.0) for k in range(5)], "model string, block_key string, _n_mag double")
+    plan = bootstrap.slot_weights(stats, ["model"], 50, 1).expand(stats)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan
