@@ -195,13 +195,11 @@ class LogisticModel:
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """Label and one probability per class on assembled rows; an absent class gets 0."""
-        z = F.array(*[F.get("features", F.lit(i)) for i in self.index]) if len(self.index) < len(self.scaling.features) else F.col("features")
         seen = [k for k in range(len(CLASSES)) if np.isfinite(self.intercepts[k])]
-        own = rows.withColumn("_z", z)
+        own = rows
+        # Sums of products, not a function over arrays, so that predicting stays in generated code.
         scores = {
-            k: F.aggregate(
-                F.zip_with("_z", F.array(*[F.lit(float(w)) for w in self.weights[k]]), lambda a, b: a * b),
-                F.lit(float(self.intercepts[k])), lambda a, b: a + b)
+            k: _balanced_sum([F.lit(float(self.intercepts[k])), *[F.get("features", F.lit(i)) * float(w) for i, w in zip(self.index, self.weights[k])]])
             for k in seen
         }
         own = own.withColumns({f"_s{k}": v for k, v in scores.items()})
@@ -235,12 +233,15 @@ def assemble(df: DataFrame, s: Scaling, carry: list[str]) -> DataFrame:
 
 
 STRETCH = 4096  # sums in one row
+SLICE = 1024  # rows multiplied at a time, so that they stay in a core's cache
 
 
 def _newton_sums(states: dict):
     """Per task, loss, gradient and curvature of every model at its present coefficients, as ``(model, part, cells)``.
 
     ``states`` holds (columns, coefficients) with an intercept last in each class's row.
+    Probabilities add up to one, so the last class's curvature is minus the sum of the
+    others': only blocks between the other classes are multiplied out, once per task the rest follows.
     """
 
     def run(batches):
@@ -250,24 +251,32 @@ def _newton_sums(states: dict):
             if not len(y):
                 continue
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
-            for name, (columns, classes, beta) in states.items():
-                own = np.column_stack([x[:, columns], np.ones(len(y))])
-                p = own @ beta.T
-                p = np.exp(p - p.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                hit = y[:, None] == np.array(classes)[None, :]
-                k, d = beta.shape
-                blocks = np.empty((k, d, k, d))
-                for i in range(k):
-                    for j in range(i, k):
-                        weight = p[:, i] * ((i == j) - p[:, j])
-                        blocks[i, :, j, :] = (own * weight[:, None]).T @ own
-                        blocks[j, :, i, :] = blocks[i, :, j, :].T
-                gradient = (p - hit).T @ own
-                loss = -np.log(np.maximum(p[hit], 1e-300)).sum()
-                flat = np.concatenate([[loss, len(y)], gradient.ravel(), blocks.reshape(k * d, k * d)[np.triu_indices(k * d)]])
-                sums[name] = sums.get(name, 0) + flat
-        for name, flat in sums.items():
+            for lo in range(0, len(y), SLICE):
+                some, truth = np.column_stack([x[lo:lo + SLICE], np.ones(len(y[lo:lo + SLICE]))]), y[lo:lo + SLICE]
+                for name, (columns, classes, beta) in states.items():
+                    own = some if len(columns) == some.shape[1] - 1 else some[:, [*columns, -1]]
+                    p = own @ beta.T
+                    p = np.exp(p - p.max(axis=1, keepdims=True))
+                    p /= p.sum(axis=1, keepdims=True)
+                    hit = truth[:, None] == np.array(classes)[None, :]
+                    k, d = beta.shape
+                    if name not in sums:
+                        sums[name] = [np.zeros(2), np.zeros((k, d)), np.zeros((k, d, k, d))]
+                    ends, gradient, blocks = sums[name]
+                    for i in range(k - 1):
+                        for j in range(i, k - 1):
+                            weight = p[:, i] * ((i == j) - p[:, j])
+                            blocks[i, :, j, :] += (own * weight[:, None]).T @ own
+                    gradient += (p - hit).T @ own
+                    ends += [-np.log(np.maximum(p[hit], 1e-300)).sum(), len(truth)]
+        for name, (ends, gradient, blocks) in sums.items():
+            k, d = gradient.shape
+            for i in range(k - 1):
+                for j in range(i):
+                    blocks[i, :, j, :] = blocks[j, :, i, :].T
+            blocks[:-1, :, -1, :] = -blocks[:-1, :, :-1, :].sum(axis=2)
+            blocks[-1, :, -1, :] = -blocks[:-1, :, -1, :].sum(axis=0)
+            flat = np.concatenate([ends, gradient.ravel(), blocks.reshape(k * d, k * d)[np.triu_indices(k * d)]])
             parts = [flat[lo:lo + STRETCH] for lo in range(0, len(flat), STRETCH)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([name] * len(parts)), pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.tolist() for p in parts], pa.list_(pa.float64()))],

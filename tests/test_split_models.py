@@ -231,3 +231,17 @@ def test_one_scan_scores_every_candidate(spark):
     errors = [abs(1.5 * x[0] - 2 * x[1] + 0.25 - y) for y, _, x in rows]
     assert got["r"].mae == pytest.approx(np.mean(errors)) == got["both"].mae and got["l"].mae is None
     assert set(PROBS) == {"prob_cooling", "prob_stable", "prob_heating"}
+
+
+def test_logistic_scores_are_plain_sums(spark):
+    import numpy as np
+
+    from chronopanel.operators import learned
+
+    scaling = learned.Scaling(("a", "b"), np.zeros(2), np.zeros(2), np.ones(2))
+    model = learned.LogisticModel(scaling, (1,), np.array([[1.0], [0.0], [-1.0]]), np.zeros(3), 1.0, 1)
+    out = model.predict(spark.createDataFrame([(1.0, [7.0, 0.5]), (0.0, [7.0, -2.0])], "label double, features array<double>"))
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for x, r in zip((0.5, -2.0), out.collect()):
+        want = np.exp(np.array([x, 0.0, -x]))
+        assert np.allclose([r[f"prob_{c}"] for c in learned.CLASSES], want / want.sum(), atol=1e-12)
