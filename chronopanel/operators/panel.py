@@ -28,13 +28,21 @@ def build_spine(entities: DataFrame, driver: DataFrame) -> DataFrame:
     return entities.select(ENTITY, NAME, F.explode(month_range(lo, hi)).alias(PERIOD))
 
 
-def build_panel(entities, housing, rate, labour, contracts: Contracts) -> DataFrame:
-    """Left-join the staged sources onto the spine under a cardinality contract."""
-    spine = build_spine(entities, housing)
-    panel = validated_join(spine, housing.drop(NAME), KEY, validate="one_to_one")
+def build_panel(entities, housing, rate, labour, contracts: Contracts, by_entity: bool = False) -> DataFrame:
+    """Left-join the staged sources onto the spine under a cardinality contract.
+
+    ``by_entity`` moves every source by entity alone.  Guards and the windows of the
+    target accept that as it is, joins on entity and month where the session allows it
+    (``land`` does with ``co_located``): the joined rows, the widest of all, are then not
+    moved again.  An entity has a row per month, so none is too large for a task, and
+    months are exploded after the entities moved.
+    """
+    moved = (lambda df: df.repartition(ENTITY)) if by_entity else (lambda df: df)
+    spine = build_spine(moved(entities), housing)
+    panel = validated_join(spine, moved(housing.drop(NAME)), KEY, validate="one_to_one")
     # The guard leaves one row per calendar month, and the months a DATE can hold bound those.
     panel = panel.join(F.broadcast(count_guard(rate, [PERIOD], "rate")), PERIOD, "left")
-    panel = validated_join(panel, labour, KEY, validate="one_to_one")
+    panel = validated_join(panel, moved(labour), KEY, validate="one_to_one")
     fc = contracts.features
     out = panel.withColumn("prediction_as_of", cutoff(F.col(PERIOD), fc.cutoff_months, fc.cutoff_day))
     for flag, column in contracts.flags:

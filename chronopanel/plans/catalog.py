@@ -23,7 +23,7 @@ from ..operators import (
     results, rows, split as sp, target as tgt,
 )
 from ..schema import CLASSES, CONTEXT, ENTITY, KEY, NAME, PERIOD, TEST, TRAIN, VALIDATION
-from ..session import landed, new_folder, on_release
+from ..session import is_landed, landed, new_folder, on_release
 from ..sources import io, manifest, staging, star
 from . import jobs
 
@@ -73,14 +73,33 @@ def staged(spark, folder):
 
 def panel(spark, folder) -> DataFrame:
     return landed(
-        spark, f"panel@{folder}", lambda: jobs.panel_from(staged(spark, folder), C), bucket_by=ENTITY, sort_by=KEY
+        spark, f"panel@{folder}", lambda: built_panel(spark, folder), bucket_by=ENTITY, sort_by=KEY, co_located=True
     )
 
 
+CORE = [*KEY, NAME, "median_sale_price", "homes_sold_median", "volume_tier", "is_included", "target_dg", "target_label", "has_target"]
+
+
+def built_panel(spark, folder) -> DataFrame:
+    """The panel's plan, to be landed ``co_located``; what is not selected of it is not computed."""
+    return jobs.panel_from(staged(spark, folder), C, by_entity=True)
+
+
+def core(spark, folder) -> DataFrame:
+    """The published panel, or before it is published the few columns that most tables over it read."""
+    if is_landed(spark, f"panel@{folder}"):
+        return panel(spark, folder)
+    return landed(spark, f"core@{folder}", lambda: built_panel(spark, folder).select(*CORE), co_located=True)
+
+
 def model_rows(spark, folder) -> DataFrame:
     return tgt.modelling_rows(panel(spark, folder))
 
 
+def core_rows(spark, folder) -> DataFrame:
+    return tgt.modelling_rows(core(spark, folder))
+
+
 def features(spark, folder) -> DataFrame:
     return landed(
         spark, f"features@{folder}", lambda: feat.build_features(panel(spark, folder), C.features),
@@ -589,12 +608,12 @@ def data_dictionary(spark, folder):
 
 @query
 def coverage_by_entity(spark, folder):
-    return eda.coverage(panel(spark, folder))
+    return eda.coverage(core(spark, folder))
 
 
 @query
 def coverage_lowest(spark, folder):
-    return eda.lowest_coverage(panel(spark, folder))
+    return eda.lowest_coverage(core(spark, folder))
 
 
 # -------------------------------------------------------------------- audits
@@ -800,17 +819,17 @@ def eda_target_distribution(spark, folder):
 
 @query
 def eda_prevalence(spark, folder):
-    return eda.prevalence(model_rows(spark, folder))
+    return eda.prevalence(core_rows(spark, folder))
 
 
 @query
 def eda_prevalence_by_year(spark, folder):
-    return eda.prevalence_by_year(model_rows(spark, folder))
+    return eda.prevalence_by_year(core_rows(spark, folder))
 
 
 @query
 def eda_crosstab_by_year(spark, folder):
-    return eda.crosstab(model_rows(spark, folder).withColumn("year", F.year(PERIOD)), ["year"])
+    return eda.crosstab(core_rows(spark, folder).withColumn("year", F.year(PERIOD)), ["year"])
 
 
 @query
@@ -820,12 +839,12 @@ def eda_prevalence_by_tier(spark, folder):
 
 @query
 def eda_prevalence_by_entity(spark, folder):
-    return eda.prevalence_by_entity(model_rows(spark, folder))
+    return eda.prevalence_by_entity(core_rows(spark, folder))
 
 
 @query
 def eda_dispersion(spark, folder):
-    return eda.dispersion(model_rows(spark, folder))
+    return eda.dispersion(core_rows(spark, folder))
 
 
 @query
@@ -850,27 +869,27 @@ def eda_outliers(spark, folder):
 
 @query
 def eda_seasonality(spark, folder):
-    return eda.seasonality(model_rows(spark, folder))
+    return eda.seasonality(core_rows(spark, folder))
 
 
 @query
 def eda_regime_series(spark, folder):
-    return eda.regime_series(model_rows(spark, folder))
+    return eda.regime_series(core_rows(spark, folder))
 
 
 @query
 def eda_shift_scan(spark, folder):
-    return eda.shift_scan(model_rows(spark, folder))
+    return eda.shift_scan(core_rows(spark, folder))
 
 
 @query
 def eda_regime_shifts(spark, folder):
-    return eda.regime_shifts(model_rows(spark, folder))
+    return eda.regime_shifts(core_rows(spark, folder))
 
 
 @query
 def eda_regime_shifts_by_tier(spark, folder):
-    return eda.regime_shifts(model_rows(spark, folder), ["volume_tier"])
+    return eda.regime_shifts(core_rows(spark, folder), ["volume_tier"])
 
 
 @query
@@ -890,12 +909,12 @@ def eda_representative_series(spark, folder):
 
 @query
 def eda_histogram(spark, folder):
-    return eda.histogram(model_rows(spark, folder))
+    return eda.histogram(core_rows(spark, folder))
 
 
 @query
 def eda_histogram_tails(spark, folder):
-    return eda.omitted_tails(model_rows(spark, folder))
+    return eda.omitted_tails(core_rows(spark, folder))
 
 
 # ------------------------------------------------------------------- results

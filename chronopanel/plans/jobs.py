@@ -21,10 +21,10 @@ from ..sources.staging import staging_report
 SOURCES = ("entities", "housing", "mortgage_rate", "unemployment")
 
 
-def panel_from(staged: dict[str, Staged | DataFrame], contracts: Contracts) -> DataFrame:
-    """Staged sources -> panel with its target columns."""
+def panel_from(staged: dict[str, Staged | DataFrame], contracts: Contracts, by_entity: bool = False) -> DataFrame:
+    """Staged sources -> panel with its target columns; ``by_entity`` for a panel to be landed ``co_located``."""
     tables = [getattr(staged[s], "table", staged[s]) for s in SOURCES]
-    return add_target(build_panel(*tables, contracts), contracts.target)
+    return add_target(build_panel(*tables, contracts, by_entity), contracts.target)
 
 
 def rebuild(spark: SparkSession, staged: dict[str, Staged], contracts: Contracts, folder: str) -> dict[str, DataFrame]:
@@ -36,9 +36,9 @@ def rebuild(spark: SparkSession, staged: dict[str, Staged], contracts: Contracts
     """
     paths = io.write_tables({s: staged[s].table for s in SOURCES}, folder, "stg_")
     tables = {s: io.read_table(spark, p) for s, p in paths.items()}
-    built, seen = panel_from(tables, contracts), Observation("panel checks")
+    built, seen = panel_from(tables, contracts, by_entity=True), Observation("panel checks")
     panel = land(
-        built, "panel", bucket_by=ENTITY, sort_by=KEY, observe=(seen, quality.additive_counts(built.columns, contracts)))
+        built, "panel", bucket_by=ENTITY, sort_by=KEY, co_located=True, observe=(seen, quality.additive_counts(built.columns, contracts)))
     checks = quality.check_panel(panel, contracts, seen.get)
     failed = quality.failed_errors(checks)
     if failed:

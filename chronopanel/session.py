@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -52,10 +53,22 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def joins_by_part_of_keys(spark: SparkSession):
+    """Within it, joins accept sides that are both distributed by the same part of the keys; the session's setting is put back."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def land(
     df: DataFrame, name: str, bucket_by: str | None = None, sort_by: list[str] | None = None,
     clustered: bool = False, partition_by: list[str] | None = None, buckets: int | None = None,
-    observe: tuple[Observation, list[Column]] | None = None,
+    observe: tuple[Observation, list[Column]] | None = None, co_located: bool = False,
 ) -> DataFrame:
     """Write a table once to the shared folder and read it back.
 
@@ -65,7 +78,8 @@ def land(
     that way (they come from a table bucketed alike), so they are not moved again.
     ``buckets`` is the table's own number, by default that of the shuffle partitions.
     ``observe`` takes aggregates along in the writing stage itself, after the last
-    exchange, where a task that runs twice is counted once.
+    exchange, where a task that runs twice is counted once.  ``co_located`` says the
+    plan's joins lie by part of their keys on purpose, which must then suffice.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
@@ -74,18 +88,21 @@ def land(
         df = df.repartition(buckets, bucket_by)
     if observe:
         df = df.observe(observe[0], *observe[1])
+    how = joins_by_part_of_keys(spark) if co_located else nullcontext()
     if bucket_by is None:
-        df.write.partitionBy(*(partition_by or [])).parquet(path)
+        with how:
+            df.write.partitionBy(*(partition_by or [])).parquet(path)
         return spark.read.schema(df.schema).parquet(path).select(*df.columns)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     table = f"chronopanel_{name}_{uuid.uuid4().hex[:12]}"
-    (
-        df.write.option("path", path)
-        .format("parquet")
-        .bucketBy(buckets, bucket_by)
-        .sortBy(*(sort_by or [bucket_by]))
-        .saveAsTable(table)
-    )
+    with how:
+        (
+            df.write.option("path", path)
+            .format("parquet")
+            .bucketBy(buckets, bucket_by)
+            .sortBy(*(sort_by or [bucket_by]))
+            .saveAsTable(table)
+        )
     _tables[(spark.sparkContext.applicationId, table)] = table
     return spark.table(table)
 
@@ -98,6 +115,10 @@ def landed(spark: SparkSession, key: str, build, **how) -> DataFrame:
     return _landed[k]
 
 
+def is_landed(spark: SparkSession, key: str) -> bool:
+    return (spark.sparkContext.applicationId, key) in _landed
+
+
 def release(spark: SparkSession) -> None:
     """Forget this application's landed tables and delete all it wrote to the shared folder."""
     app = spark.sparkContext.applicationId

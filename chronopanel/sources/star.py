@@ -81,12 +81,12 @@ def housing_bulk(spark, folder, facts: DataFrame) -> DataFrame:
     region = table(spark, folder, "region", "r_regionkey", "r_name")
     # nation and region are fixed code lists (25 and 5 rows at every scale)
     place = F.broadcast(nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey))
-    who = who.join(place, who.s_nationkey == place.n_nationkey)
     kind = (
         F.when(F.col("flag").isNull(), "All Residential").otherwise(F.concat(F.lit("Flag "), F.col("flag")))
         if "flag" in facts.columns else F.lit("All Residential")
     )
-    return facts.join(who, facts.l_suppkey == who.s_suppkey).select(
+    # Places come after suppliers: a join's estimated size is a product, beside which no planner would leave the facts where they are.
+    return facts.join(who, facts.l_suppkey == who.s_suppkey).join(place, who.s_nationkey == place.n_nationkey).select(
         F.col("month").cast("string").alias("period_begin"),
         F.lit("30").alias("period_duration"),
         F.lit("county").alias("region_type"),

@@ -1,4 +1,5 @@
 import math
+import os
 
 import pytest
 from helpers import column, month, near, price_panel, small_sources
@@ -8,7 +9,9 @@ from chronopanel.contracts import PRODUCTION, TARGET
 from chronopanel.operators import panel as P
 from chronopanel.operators import rows as R
 from chronopanel.operators import target as T
+from chronopanel.plans import catalog
 from chronopanel.schema import KEY
+from chronopanel.session import is_landed, joins_by_part_of_keys, release
 
 STEP = [100_000.0] * 12 + [110_000.0] * 6 + [121_000.0] * 6
 
@@ -111,3 +114,25 @@ def test_contract_refuses_other_methods():
         replace(TARGET, statistic="median")
     with pytest.raises(ValueError):
         replace(TARGET, growth="simple")
+
+
+def test_sources_that_moved_by_entity_are_joined_where_they_lie(small, spark):
+    plain = P.build_panel(*small, PRODUCTION)
+    with joins_by_part_of_keys(spark):
+        moved = P.build_panel(*small, PRODUCTION, by_entity=True)
+        before = T.add_target(moved, TARGET)._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, moved.collect())) == sorted(map(str, plain.collect()))
+    joined = before[:before.index("SortMergeJoin")]
+    assert "SortMergeJoin" in before and "Exchange hashpartitioning" not in joined  # nothing moves after the first join
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition", "true") == "true"
+
+
+def test_narrow_queries_neither_build_nor_write_the_whole_panel(spark):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.exists(folder):
+        pytest.skip("test tables not present")
+    release(spark)
+    for name in ("coverage_by_entity", "eda_shift_scan"):
+        catalog.QUERIES[name](spark, folder).collect()
+    assert not is_landed(spark, f"panel@{folder}")
+    assert "median_list_price" not in catalog.core(spark, folder).columns
