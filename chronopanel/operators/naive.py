@@ -18,6 +18,7 @@ BASE = "price_smoothed__log_diff3_o9"
 CONTEXT = [ENTITY, NAME, PERIOD, "volume_tier", "split", BASE]
 TRUTH = ["target_dg", "target_label"]
 PROBS = [f"prob_{c}" for c in CLASSES]
+READS = [*CONTEXT, *TRUTH, CHANGE, LEVEL, NORM]  # all that fitting and predicting look at
 
 NAIVE = ("zero_change", "base_effect", "persistence", "mean_reversion", "majority_class")
 

@@ -132,7 +132,7 @@ def test_narrow_queries_neither_build_nor_write_the_whole_panel(spark):
     if not os.path.exists(folder):
         pytest.skip("test tables not present")
     release(spark)
-    for name in ("coverage_by_entity", "eda_shift_scan"):
+    for name in ("coverage_by_entity", "eda_shift_scan", "results_tier_table", "results_intervals"):
         catalog.QUERIES[name](spark, folder).collect()
-    assert not is_landed(spark, f"panel@{folder}")
+    assert not is_landed(spark, f"panel@{folder}") and not is_landed(spark, f"features@{folder}")
     assert "median_list_price" not in catalog.core(spark, folder).columns
