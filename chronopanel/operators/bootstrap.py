@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from hashlib import md5
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -156,6 +157,7 @@ class Weights(NamedTuple):
 SPREAD = 200  # tasks that draw; without a number adaptive execution would join so few rows into one task, which then makes all draws
 CHUNK = 1024  # blocks whose weights a product holds at a time
 HELD = 64  # groups whose products a task holds at a time
+DRAWS = 1 << 20  # slots of a resample drawn at a time
 
 
 def _group_rows(own: list, acc: dict, sums: list[str]):
@@ -197,6 +199,32 @@ def _numbered(stats: DataFrame, keys: list[str]) -> DataFrame:
     return joined.select(*[F.col(f"a.{k}") for k in (*keys, "block_key")], (F.col("_before") + F.col("_rank")).alias("idx"), "blocks")
 
 
+def drawn_lists(seed: int):
+    """Arrow rows (blocks, resample, from) to the same draws as ``_hash32`` gives, one row per chunk of blocks hit.
+
+    A chunk's draws are put in order and written as gaps, a byte each unless one is wider,
+    so that a draw moves as little over a byte.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for blocks, resample, lo in zip(*(c.to_pylist() for c in batch.columns)):
+                head = f"{seed}:{resample}:".encode()
+                raw = b"".join([md5(head + b"%d" % s, usedforsecurity=False).digest()[:4] for s in range(lo, min(lo + DRAWS, blocks))])
+                idx = np.sort(np.frombuffer(raw, ">u4").astype(np.int64) % blocks)
+                first = np.flatnonzero(np.concatenate([[True], idx[1:] // CHUNK != idx[:-1] // CHUNK]))
+                gaps = np.diff(idx, prepend=0)
+                gaps[first] = idx[first] % CHUNK
+                runs = np.split(gaps, first[1:])
+                wide = [bool(r.max() > 255) for r in runs]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([blocks] * len(runs), pa.int64()), pa.array([resample] * len(runs), pa.int32()), pa.array(idx[first] // CHUNK),
+                    pa.array(wide), pa.array([r.astype("<u2" if w else "u1").tobytes() for r, w in zip(runs, wide)], pa.binary()),
+                ], names=["blocks", "resample", "chunk", "wide", "gaps"])
+
+    return run
+
+
 def slot_weights(stats: DataFrame, keys: list[str], resamples: int, seed: int) -> Weights:
     """B draws with replacement from B blocks.
 
@@ -205,9 +233,9 @@ def slot_weights(stats: DataFrame, keys: list[str], resamples: int, seed: int) -
     """
     numbered = _numbered(stats, keys).filter("blocks >= 2")
     sizes = numbered.select(F.col("blocks").alias("blocks")).distinct()
+    turns = sizes.select("blocks", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
     slots = (
-        sizes.select("blocks", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
-        .repartition(SPREAD, "resample")
+        turns.repartition(SPREAD, "resample")
         .select("blocks", "resample", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("slot"))
         .select("blocks", "resample", F.pmod(_hash32(F.lit(seed), F.col("resample"), F.col("slot")), F.col("blocks")).alias("idx"))
     )
@@ -219,16 +247,18 @@ def slot_weights(stats: DataFrame, keys: list[str], resamples: int, seed: int) -
         return df.alias("a").join(weights.alias("b"), _null_safe(on, "a", "b")).select("a.*", *extra)
 
     def totals(df: DataFrame, sums: list[str]) -> DataFrame:
-        """Blocks of a chunk meet the draws of that chunk, as lists per resample, once for all groups with as many blocks."""
+        """Blocks of a chunk meet the draws of that chunk, as lists of gaps per resample, once for all groups with as many blocks."""
         own = df.alias("a").join(numbered.alias("b"), _null_safe([*keys, "block_key"], "a", "b")).select("a.*", "b.idx", "b.blocks")
         chunk = F.floor(F.col("idx") / CHUNK).alias("chunk")
         left = _pack(own, keys, sums, "blocks", chunk, (F.col("idx") % CHUNK).cast("int").alias("at"))
-        right = slots.groupBy("blocks", "resample", chunk).agg(F.collect_list((F.col("idx") % CHUNK).cast("int")).alias("at"))
+        ranges = turns.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1, F.lit(DRAWS).cast("long"))).alias("from"))
+        right = ranges.repartition(SPREAD, "resample", "from").mapInArrow(
+            drawn_lists(seed), "blocks long, resample int, chunk long, wide boolean, gaps binary")
 
         def multiply(blocks: pa.Table, draws: pa.Table) -> pa.Table:
             weight = np.zeros((resamples, CHUNK))
-            for r, at in zip(draws["resample"].to_pylist(), draws["at"]):
-                weight[r] = np.bincount(at.values.to_numpy(), minlength=CHUNK)
+            for r, wide, gaps in zip(*(draws[c].to_pylist() for c in ("resample", "wide", "gaps"))):
+                weight[r] += np.bincount(np.cumsum(np.frombuffer(gaps, "<u2" if wide else "u1"), dtype=np.int64), minlength=CHUNK)
             names, place = np.unique(np.array(blocks["own"].to_pylist(), dtype=object), return_inverse=True)
             at, s_ = blocks["at"].to_numpy(), blocks["s"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(sums))
             acc = {i: weight[:, at[place == i]] @ s_[place == i] for i in range(len(names))}

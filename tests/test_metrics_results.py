@@ -2,6 +2,7 @@ import math
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import near, preds
 from pyspark.sql import functions as F
@@ -333,3 +334,19 @@ def test_draws_are_made_by_a_number_of_tasks_that_adaptive_execution_keeps(spark
     stats = spark.createDataFrame([("m", str(k), 1.0) for k in range(5)], "model string, block_key string, _n_mag double")
     plan = bootstrap.slot_weights(stats, ["model"], 50, 1).expand(stats)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan
+
+
+@pytest.mark.parametrize("draws", [700, 5])
+def test_lists_of_draws_hold_the_draws_of_the_hash(spark, monkeypatch, draws):
+    """Blocks over three chunks, several ranges of slots, and (5 at a time) gaps of more than a byte: each draw as ``_hash32`` gives it."""
+    monkeypatch.setattr(B, "DRAWS", draws)
+    blocks, seed, got, size = 2500, 7, {}, 0
+    rows = [pa.RecordBatch.from_pydict({"blocks": [blocks] * len(range(0, blocks, draws)), "resample": [3] * len(range(0, blocks, draws)), "from": list(range(0, blocks, draws))})]
+    for batch in B.drawn_lists(seed)(rows):
+        for r in batch.to_pylist():
+            size += len(r["gaps"])
+            for at in np.cumsum(np.frombuffer(r["gaps"], "<u2" if r["wide"] else "u1"), dtype=np.int64):
+                got[r["chunk"] * B.CHUNK + at] = got.get(r["chunk"] * B.CHUNK + at, 0) + 1
+    slots = spark.range(blocks).select(F.pmod(B._hash32(F.lit(seed), F.lit(3), F.col("id")), F.lit(blocks)).alias("idx"))
+    assert got == {r[0]: r[1] for r in slots.groupBy("idx").count().collect()}
+    assert sum(got.values()) == blocks and (draws == 5 or size <= 1.1 * blocks)
