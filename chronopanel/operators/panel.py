@@ -16,19 +16,18 @@ def month_range(start: Column, end: Column) -> Column:
     return F.sequence(month_start(start), month_start(end), F.expr("interval 1 month"))
 
 
-def build_spine(entities: DataFrame, driver: DataFrame) -> DataFrame:
-    """Every entity at every month the driving source covers.
+def build_spine(entities: DataFrame, driver: DataFrame, span: DataFrame | None = None) -> DataFrame:
+    """Every entity at every month the driving source covers, as ``span`` says where the source has staged that apart.
 
-    The window is a pair of scalar subqueries and the months are exploded next
+    The window is one scalar subquery and the months are exploded next
     to each entity: no cross join, no broadcast, rows stay where they are.
     """
-    bounds = driver.agg(F.min(PERIOD).alias("lo"), F.max(PERIOD).alias("hi"))
-    lo = bounds.select("lo").scalar()
-    hi = bounds.select("hi").scalar()
-    return entities.select(ENTITY, NAME, F.explode(month_range(lo, hi)).alias(PERIOD))
+    bounds = driver.agg(F.min(PERIOD).alias("lo"), F.max(PERIOD).alias("hi")) if span is None else span
+    window = bounds.select(F.struct("lo", "hi")).scalar()
+    return entities.select(ENTITY, NAME, F.explode(month_range(window["lo"], window["hi"])).alias(PERIOD))
 
 
-def build_panel(entities, housing, rate, labour, contracts: Contracts, by_entity: bool = False) -> DataFrame:
+def build_panel(entities, housing, rate, labour, contracts: Contracts, by_entity: bool = False, span: DataFrame | None = None) -> DataFrame:
     """Left-join the staged sources onto the spine under a cardinality contract.
 
     ``by_entity`` moves every source by entity alone.  Guards and the windows of the
@@ -38,7 +37,7 @@ def build_panel(entities, housing, rate, labour, contracts: Contracts, by_entity
     months are exploded after the entities moved.
     """
     moved = (lambda df: df.repartition(ENTITY)) if by_entity else (lambda df: df)
-    spine = build_spine(moved(entities), housing)
+    spine = build_spine(moved(entities), housing, span)
     panel = validated_join(spine, moved(housing.drop(NAME)), KEY, validate="one_to_one")
     # The guard leaves one row per calendar month, and the months a DATE can hold bound those.
     panel = panel.join(F.broadcast(count_guard(rate, [PERIOD], "rate")), PERIOD, "left")

@@ -14,11 +14,12 @@ REASON = "_reason"
 
 @dataclass(frozen=True)
 class Staged:
-    """A staged table, plus the source rows tagged with why they were dropped."""
+    """A staged table, the source rows tagged with why they were dropped, and, where cheaper than from the table, the months it covers (``lo``, ``hi``)."""
 
     source: str
     table: DataFrame
     tagged: DataFrame
+    span: DataFrame | None = None
 
 
 def tag(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:

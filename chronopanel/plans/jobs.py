@@ -24,7 +24,8 @@ SOURCES = ("entities", "housing", "mortgage_rate", "unemployment")
 def panel_from(staged: dict[str, Staged | DataFrame], contracts: Contracts, by_entity: bool = False) -> DataFrame:
     """Staged sources -> panel with its target columns; ``by_entity`` for a panel to be landed ``co_located``."""
     tables = [getattr(staged[s], "table", staged[s]) for s in SOURCES]
-    return add_target(build_panel(*tables, contracts, by_entity), contracts.target)
+    span = staged["housing"].span if isinstance(staged["housing"], Staged) else None
+    return add_target(build_panel(*tables, contracts, by_entity, span), contracts.target)
 
 
 def rebuild(spark: SparkSession, staged: dict[str, Staged], contracts: Contracts, folder: str) -> dict[str, DataFrame]:

@@ -55,7 +55,12 @@ def stage_housing(raw: DataFrame, entities: DataFrame, c: StagingContract) -> St
         F.col("last_updated").try_cast("timestamp").alias("redfin_last_updated"),
     )
     tagged = tag(validated_join(keyed, lookup, by, validate="many_to_one"), [off_grain, unmatched])
-    return Staged("housing", table, tagged)
+    # The months covered, from one row per region: so names are normalised and looked up once each, not once per month.
+    month = S.month_start(F.col("period_begin"))
+    regions = raw.filter(wanted).groupBy("region", *by[1:]).agg(F.min(month).alias("lo"), F.max(month).alias("hi"))
+    known = kept(tag(validated_join(
+        regions.withColumn("county_name_key", S.name_key(F.col("region"))), lookup, by, validate="many_to_one"), [unmatched]))
+    return Staged("housing", table, tagged, known.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
 
 
 def unmatched_names(staged: Staged) -> DataFrame:

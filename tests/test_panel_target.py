@@ -1,17 +1,19 @@
 import math
 import os
+from dataclasses import replace
 
 import pytest
 from helpers import column, month, near, price_panel, small_sources
 from pyspark.sql import functions as F
 
-from chronopanel.contracts import PRODUCTION, TARGET
+from chronopanel.contracts import MEASURES, PRODUCTION, TARGET
 from chronopanel.operators import panel as P
 from chronopanel.operators import rows as R
 from chronopanel.operators import target as T
 from chronopanel.plans import catalog
-from chronopanel.schema import KEY
+from chronopanel.schema import ENTITY, KEY, NAME, PERIOD
 from chronopanel.session import is_landed, joins_by_part_of_keys, release
+from chronopanel.sources import staging
 
 STEP = [100_000.0] * 12 + [110_000.0] * 6 + [121_000.0] * 6
 
@@ -136,3 +138,19 @@ def test_narrow_queries_neither_build_nor_write_the_whole_panel(spark):
         catalog.QUERIES[name](spark, folder).collect()
     assert not is_landed(spark, f"panel@{folder}") and not is_landed(spark, f"features@{folder}")
     assert "median_list_price" not in catalog.core(spark, folder).columns
+
+
+def test_months_covered_are_those_of_the_staged_table(spark):
+    """Regions off the list, other grains and unknown names bear no months; the plan looks a region up once."""
+    row = lambda region, begin, days="30": (begin, days, "county", region, "AA", "All Residential", "2024-01-01", *[1.0] * len(MEASURES))
+    raw = spark.createDataFrame(
+        [row("Ash County, AA", "2020-02-01"), row("Ash County, AA", "2020-05-01"), row("Oak County, AA", "2020-04-01"),
+         row("Elm County, AA", "2019-01-01"), row("Ash County, AA", "2021-01-01", "90"), row(None, "2022-01-01")],
+        "period_begin string, period_duration string, region_type string, region string, state_code string, property_type string, last_updated string, "
+        + ", ".join(f"{m} double" for m in MEASURES))
+    entities = spark.createDataFrame([("01001", "Ash County", "ash"), ("01002", "Oak County", "oak")], f"{ENTITY} string, {NAME} string, county_name_key string")
+    staged = staging.stage_housing(raw, entities, replace(PRODUCTION.staging, state_abbrev="AA"))
+    assert staged.span.first() == staged.table.agg(F.min(PERIOD), F.max(PERIOD)).first()
+    assert list(map(str, staged.span.first())) == ["2020-02-01", "2020-05-01"]
+    spine = P.build_spine(entities, staged.table, staged.span)
+    assert sorted(map(str, spine.collect())) == sorted(map(str, P.build_spine(entities, staged.table).collect()))
