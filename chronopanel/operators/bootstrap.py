@@ -25,7 +25,7 @@ from ..contracts import BootstrapContract
 from ..schema import CLASSES, ENTITY, PERIOD
 from .metrics import accuracy, balanced_accuracy, class_counts, error, macro_f1
 from ..session import land
-from .quantiles import _holds, _null_safe, _spans, attach, bin_of, exact_median
+from .quantiles import _holds, _null_safe, _spans, attach, exact_median
 
 BLOCKS = {"county": ENTITY, "month": PERIOD}
 
@@ -150,7 +150,7 @@ class Weights(NamedTuple):
     """How often a resample draws a block."""
 
     expand: Callable[[DataFrame], DataFrame]  # adds every (resample, weight) to rows with a block
-    attach: Callable[[DataFrame], DataFrame]  # adds the weight to rows with a block and a resample
+    cells: Callable[[DataFrame, list[str], DataFrame | None], DataFrame]  # counts per (own keys, block, bin) to weighted ones, see ``_asked``
     totals: Callable[[DataFrame, list[str]], DataFrame]  # block sums to weighted sums per (keys, resample)
 
 
@@ -169,34 +169,40 @@ def _group_rows(own: list, acc: dict, sums: list[str]):
     return pa.array([own[k] for k in names]).take(place), np.tile(np.arange(n, dtype=np.int32), len(names)), [flat[:, i] for i in range(len(sums))]
 
 
+def _name(keys: list[str]) -> Column:
+    """A group's name: its keys as JSON, which keeps null keys apart from texts."""
+    return F.to_json(F.struct(*[F.col(k) for k in keys], F.lit(0).alias("_")), {"ignoreNullFields": "false"}).alias("own")
+
+
+def _named(products: DataFrame, stats: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    shape = T.StructType([stats.schema[k] for k in keys] + [T.StructField("_", T.IntegerType())])
+    return products.withColumn("_own", F.from_json("own", shape)).select(*[F.col("_own")[k].alias(k) for k in keys], "resample", *more)
+
+
 def _pack(stats: DataFrame, keys: list[str], sums: list[str], *more: Column) -> DataFrame:
-    # A group is named by its keys as JSON, which keeps null keys apart from texts.
-    return stats.select(F.to_json(F.struct(*[F.col(k) for k in keys], F.lit(0).alias("_")), {"ignoreNullFields": "false"}).alias("own"),
-                        F.array(*[F.col(c) for c in sums]).alias("s"), *more)
+    return stats.select(_name(keys), F.array(*[F.col(c) for c in sums]).alias("s"), *more)
 
 
 def _unpack(products: DataFrame, stats: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
-    shape = T.StructType([stats.schema[k] for k in keys] + [T.StructField("_", T.IntegerType())])
-    return products.groupBy("own", "resample").agg(*[F.sum(c).alias(c) for c in sums]).withColumn(
-        "_own", F.from_json("own", shape)).select(*[F.col("_own")[k].alias(k) for k in keys], "resample", *sums)
+    return _named(products.groupBy("own", "resample").agg(*[F.sum(c).alias(c) for c in sums]), stats, keys, *sums)
 
 
-def _numbered(stats: DataFrame, keys: list[str]) -> DataFrame:
-    """Blocks numbered in key order within each group, and the group's number of blocks.
+def _numbered(stats: DataFrame, keys: list[str], order: tuple[str, ...] = ("block_key",), carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (blocks, unless told otherwise) numbered in order within each group, and the group's number of them.
 
-    Blocks are laid out by range and counted per range, so a group of any size is
+    They are laid out by range and counted per range, so a group of any size is
     numbered by many tasks.
     """
-    own = land(stats.select(*keys, "block_key").repartitionByRange(*keys, "block_key").withColumn("_part", F.spark_partition_id()), "blocks")
+    own = land(stats.select(*keys, *order, *carry).repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "numbered")
     per = own.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_m"))
     w = Window.partitionBy(*keys)
     per = per.withColumns({
         "_before": F.coalesce(F.sum("_m").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         "blocks": F.sum("_m").over(w),
     }).drop("_m")
-    rank = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("block_key")) - 1
+    rank = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) - 1
     joined = own.withColumn("_rank", rank).alias("a").join(per.alias("b"), _null_safe([*keys, "_part"], "a", "b"))
-    return joined.select(*[F.col(f"a.{k}") for k in (*keys, "block_key")], (F.col("_before") + F.col("_rank")).alias("idx"), "blocks")
+    return joined.select(*[F.col(f"a.{k}") for k in (*keys, *order, *carry)], (F.col("_before") + F.col("_rank")).alias("idx"), "blocks")
 
 
 def drawn_lists(seed: int):
@@ -231,7 +237,7 @@ def slot_weights(stats: DataFrame, keys: list[str], resamples: int, seed: int) -
     Groups with the same number of blocks share one set of draws, which also pairs
     models with each other.
     """
-    numbered = _numbered(stats, keys).filter("blocks >= 2")
+    numbered = land(_numbered(stats, keys).filter("blocks >= 2"), "blocks")
     sizes = numbered.select(F.col("blocks").alias("blocks")).distinct()
     turns = sizes.select("blocks", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
     slots = (
@@ -240,25 +246,76 @@ def slot_weights(stats: DataFrame, keys: list[str], resamples: int, seed: int) -
         .select("blocks", "resample", F.pmod(_hash32(F.lit(seed), F.col("resample"), F.col("slot")), F.col("blocks")).alias("idx"))
     )
     drawn = slots.groupBy("blocks", "resample", "idx").agg(F.count(F.lit(1)).alias("weight"))
-    weights = numbered.join(drawn, ["blocks", "idx"]).select(*keys, "block_key", "resample", "weight")
+    # Estimates do not see that draws are exploded from one row per size, so only a hint keeps all of them from being broadcast.
+    weights = numbered.join(drawn.hint("merge"), ["blocks", "idx"]).select(*keys, "block_key", "resample", "weight")
 
-    def joined(df: DataFrame, on: list[str]) -> DataFrame:
-        extra = [F.col("b.resample")] * ("resample" not in on) + [F.col("b.weight")]
-        return df.alias("a").join(weights.alias("b"), _null_safe(on, "a", "b")).select("a.*", *extra)
+    def expand(df: DataFrame) -> DataFrame:
+        return df.alias("a").join(weights.hint("merge").alias("b"), _null_safe([*keys, "block_key"], "a", "b")).select("a.*", "b.resample", "b.weight")
 
-    def totals(df: DataFrame, sums: list[str]) -> DataFrame:
-        """Blocks of a chunk meet the draws of that chunk, as lists of gaps per resample, once for all groups with as many blocks."""
+    def placed(df: DataFrame) -> tuple[DataFrame, list[Column]]:
+        """Rows with their block's number, and where that lies: the block's place in its chunk."""
         own = df.alias("a").join(numbered.alias("b"), _null_safe([*keys, "block_key"], "a", "b")).select("a.*", "b.idx", "b.blocks")
-        chunk = F.floor(F.col("idx") / CHUNK).alias("chunk")
-        left = _pack(own, keys, sums, "blocks", chunk, (F.col("idx") % CHUNK).cast("int").alias("at"))
+        return own, [F.col("blocks"), F.floor(F.col("idx") / CHUNK).alias("chunk"), (F.col("idx") % CHUNK).cast("int").alias("at")]
+
+    def lists() -> DataFrame:
         ranges = turns.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1, F.lit(DRAWS).cast("long"))).alias("from"))
-        right = ranges.repartition(SPREAD, "resample", "from").mapInArrow(
+        return ranges.repartition(SPREAD, "resample", "from").mapInArrow(
             drawn_lists(seed), "blocks long, resample int, chunk long, wide boolean, gaps binary")
 
+    def weights_of(draws: pa.Table) -> np.ndarray:
+        weight = np.zeros((resamples, CHUNK))
+        for r, wide, gaps in zip(*(draws[c].to_pylist() for c in ("resample", "wide", "gaps"))):
+            weight[r] += np.bincount(np.cumsum(np.frombuffer(gaps, "<u2" if wide else "u1"), dtype=np.int64), minlength=CHUNK)
+        return weight
+
+    kept: list[DataFrame] = []
+
+    def cells(df: DataFrame, own: list[str], asked: DataFrame | None) -> DataFrame:
+        """As ``totals``, for counts in bins; a resample's row is multiplied out for the groups it asks for alone."""
+        if not kept:
+            kept.append(land(lists(), "draws"))  # read by every step
+        rows, at = placed(df)
+        left = rows.select(_name(own), "bin", F.col("_n").cast("double").alias("n"), *at)
+        right, every = kept[0], asked is None
+        if asked is not None:  # a row per resample, with names of declared groups
+            right = right.join(F.broadcast(asked.select(_name(own), "resample").groupBy("resample").agg(F.collect_set("own").alias("asks"))), "resample")
+
+        def multiply(counts: pa.Table, draws: pa.Table) -> pa.Table:
+            weight, out = weights_of(draws), []
+            names, place = np.unique(np.array(counts["own"].to_pylist(), dtype=object), return_inverse=True)
+            at, bins, n = (counts[c].to_numpy() for c in ("at", "bin", "n"))
+            asks: dict = {}
+            if not every:
+                for r, some in sorted(set(zip(draws["resample"].to_pylist(), map(tuple, draws["asks"].to_pylist())))):
+                    for name in some:
+                        asks.setdefault(name, []).append(r)
+            for i, name in enumerate(names):
+                turn = np.arange(resamples) if every else np.array(asks.get(name, []), np.int64)
+                mine = place == i
+                used, column = np.unique(at[mine], return_inverse=True)
+                table = np.zeros((len(used), bins[mine].max() + 1))
+                np.add.at(table, (column, bins[mine]), n[mine])
+                found = weight[np.ix_(turn, used)] @ table
+                r, b = np.nonzero(found)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=len(turn)))]).astype(np.int32)
+                hits = pa.StructArray.from_arrays([pa.array(b.astype(np.int32)), pa.array(found[r, b].astype(np.int64))], names=["bin", "m"])
+                out.append(pa.table({"own": pa.array([name] * len(turn), pa.string()), "resample": pa.array(turn.astype(np.int32)), "hits": pa.ListArray.from_arrays(ends, hits)}))
+            shape = pa.schema([("own", pa.string()), ("resample", pa.int32()), ("hits", pa.list_(pa.struct([("bin", pa.int32()), ("m", pa.int64())])))])
+            return pa.concat_tables(out).cast(shape) if out else shape.empty_table()
+
+        at = ("blocks", "chunk")
+        products = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(multiply, "own string, resample int, hits array<struct<bin: int, m: long>>")
+        sums = products.select("own", "resample", F.inline("hits")).groupBy("own", "resample", "bin").agg(F.sum("m").alias("_m"))
+        return _named(sums, df, own, "bin", "_m")
+
+    def totals(df: DataFrame, sums: list[str]) -> DataFrame:
+        """Blocks of a chunk meet the draws of that chunk, as lists of gaps per resample, once for all groups with as many blocks."""
+        own, at = placed(df)
+        left = _pack(own, keys, sums, *at)
+        right = lists()
+
         def multiply(blocks: pa.Table, draws: pa.Table) -> pa.Table:
-            weight = np.zeros((resamples, CHUNK))
-            for r, wide, gaps in zip(*(draws[c].to_pylist() for c in ("resample", "wide", "gaps"))):
-                weight[r] += np.bincount(np.cumsum(np.frombuffer(gaps, "<u2" if wide else "u1"), dtype=np.int64), minlength=CHUNK)
+            weight = weights_of(draws)
             names, place = np.unique(np.array(blocks["own"].to_pylist(), dtype=object), return_inverse=True)
             at, s_ = blocks["at"].to_numpy(), blocks["s"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(sums))
             acc = {i: weight[:, at[place == i]] @ s_[place == i] for i in range(len(names))}
@@ -271,7 +328,7 @@ def slot_weights(stats: DataFrame, keys: list[str], resamples: int, seed: int) -
         at = ("blocks", "chunk")
         return _unpack(left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(multiply, shape), df, keys, sums)
 
-    return Weights(lambda df: joined(df, [*keys, "block_key"]), lambda df: joined(df, [*keys, "block_key", "resample"]), totals)
+    return Weights(expand, cells, totals)
 
 
 def poisson_weights(keys: list[str], resamples: int, seed: int) -> Weights:
@@ -291,6 +348,11 @@ def poisson_weights(keys: list[str], resamples: int, seed: int) -> Weights:
 
     every = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")
 
+    def cells(df: DataFrame, own: list[str], asked: DataFrame | None) -> DataFrame:
+        turns = df.select("*", every) if asked is None else df.alias("a").join(
+            F.broadcast(asked).alias("b"), _null_safe(own, "a", "b")).select("a.*", "b.resample")
+        return weigh(turns).groupBy(*own, "resample", "bin").agg(F.sum(F.col("_n") * F.col("weight")).alias("_m"))
+
     def totals(df: DataFrame, sums: list[str]) -> DataFrame:
         def multiply(batches):
             acc: dict[str, np.ndarray] = {}
@@ -318,7 +380,7 @@ def poisson_weights(keys: list[str], resamples: int, seed: int) -> Weights:
         shape = "own string, resample int, " + ", ".join(f"{c} double" for c in sums)
         return _unpack(_pack(df, keys, sums, block.alias("h")).mapInArrow(multiply, shape), df, keys, sums)
 
-    return Weights(lambda df: weigh(df.select("*", every)), weigh, totals)
+    return Weights(lambda df: weigh(df.select("*", every)), cells, totals)
 
 
 def _weights(stats, keys, c: BootstrapContract) -> Weights:
@@ -369,7 +431,7 @@ def intervals(
             values = _long(weights.totals(stats, sums), keys, additive, "value")
             parts.append(_summary(points, values, keys, contract))
         if MEDIAN in metrics:
-            rows = _errors(df, keys, block)
+            rows = land(_errors(df, keys, block), "error_rows")
             points = exact_median(rows, "v", keys, "point").withColumn("metric", F.lit(MEDIAN))
             values = _median_values(rows, weights, keys).withColumn("metric", F.lit(MEDIAN))
             parts.append(_summary(points, values, keys, contract))
@@ -381,9 +443,7 @@ def intervals(
 
 # ------------------------------------------------- median absolute error
 
-# The pooled ranks that resampled medians nearly always fall between, and the bins
-# between them; a median outside is found in the outer bins, so these affect cost only.
-MEDIAN_RANGE, MEDIAN_BINS = (0.4, 0.6), 64
+STEPS = 3  # steps that find a rank: each splits what it lies in into as many bins as the cube root of all
 
 
 def _errors(df: DataFrame, keys: list[str], block: str) -> DataFrame:
@@ -394,29 +454,43 @@ def _errors(df: DataFrame, keys: list[str], block: str) -> DataFrame:
 def _median_values(rows: DataFrame, weights: Weights, keys: list[str]) -> DataFrame:
     """Exact weighted median per (keys, resample) of rows (keys, block_key, v).
 
-    Blocks shrink to counts per bin, whose weighted sums tell the bin of each
-    resample's median; only the rows of that bin meet that resample.
+    Values are put in order and numbered.  A resample's middle ranks are found in
+    ``STEPS`` steps: blocks shrink to counts per bin of numbers, their weighted sums tell
+    the bin that holds the rank, and the next step counts that bin alone in finer ones,
+    the last in single numbers.  Bins hold equally many values however these are
+    spread, and a step multiplies as many sums per resample as there are bins.
     """
-    edges = rows.groupBy(*keys).agg(F.percentile_approx("v", list(MEDIAN_RANGE), F.lit(2_000)).alias("edge"))
-    binned = attach(rows, edges, keys).withColumn(
-        "bin", bin_of(F.col("v"), F.col("edge")[0], F.col("edge")[1], MEDIAN_BINS)).drop("edge")
-    counts = binned.groupBy(*keys, "block_key", "bin").agg(F.count(F.lit(1)).alias("_n"))
+    counts = rows.groupBy(*keys, "block_key", "v").agg(F.count(F.lit(1)).alias("_n"))
+    order = _numbered(land(counts, "errors"), keys, ("v", "block_key"), ("_n",))
+    base = (F.ceil(F.cbrt(F.col("blocks").cast("double"))) + 1).cast("long")
+    order = land(order.select(*keys, "block_key", "v", "_n", "idx", base.alias("_base")), "ordered_errors")
+    bases = order.groupBy(*keys).agg(F.first("_base").alias("_base"))
     one = [*keys, "resample"]
-    sums = weights.expand(counts).groupBy(*one, "bin").agg(F.sum(F.col("_n") * F.col("weight")).alias("_m"))
-    n = F.sum("_m").over(Window.partitionBy(*one))
-    spans = _spans(sums.withColumns({
-        "_off": F.lit(0).cast("long"), "_k0": F.floor((n - 1) / 2), "_k1": F.ceil((n - 1) / 2)}), one, "bin", "_m")
-    wanted = spans.filter(_holds("_k0") | _holds("_k1")).select(*one, "bin", "_k0", "_k1", "_from")
-    first = Window.partitionBy(*one)
-    wanted = wanted.withColumn("_off", F.min("_from").over(first)).drop("_from")
-    # Between two bins that hold the middle ranks there are no values, so these two are all that is read.
-    hits = binned.alias("a").join(wanted.alias("b"), _null_safe([*keys, "bin"], "a", "b")).select(
-        "a.*", *[F.col(f"b.{x}") for x in ("resample", "_k0", "_k1", "_off")])
-    by_value = weights.attach(hits).groupBy(*one, "v").agg(
-        F.sum("weight").alias("_m"), *[F.first(x).alias(x) for x in ("_k0", "_k1", "_off")])
-    ranked = _spans(by_value, one, "v", "_m")
-    low, high = (F.max(F.when(_holds(k), F.col("v"))) for k in ("_k0", "_k1"))
-    return ranked.groupBy(*one).agg(((low + high) / 2).alias("value"))
+    own, state = [*keys, "_path"], None
+    for left in range(STEPS - 1, -1, -1):
+        step = F.col("_base") if left == 1 else F.col("_base") ** left
+        path = F.floor(F.col("idx") / step).cast("long") if left else F.col("idx")
+        binned = order.withColumn("_at", path).select(
+            *keys, "block_key", "_n", (F.lit(0).cast("long") if state is None else F.floor(F.col("_at") / F.col("_base"))).alias("_path"),
+            (F.col("_at") if state is None else F.col("_at") % F.col("_base")).cast("int").alias("bin"))
+        if state is not None:
+            held = state.select(*own).distinct()
+            binned = binned.alias("a").join(F.broadcast(held).alias("b"), _null_safe(own, "a", "b"), "left_semi")
+        sums = weights.cells(binned.groupBy(*own, "block_key", "bin").agg(F.sum("_n").alias("_n")), own, None if state is None else state.select(*own, "resample").distinct())
+        if state is None:
+            place = (F.col("_all") - 1) / 2
+            sides = F.explode(F.array(*[F.struct(F.lit(i).alias("_side"), k(place).cast("long").alias("_k")) for i, k in enumerate((F.floor, F.ceil))]))
+            found = sums.withColumn("_all", F.sum("_m").over(Window.partitionBy(*one))).select("*", sides.alias("s")).select(
+                *sums.columns, "s.*", F.lit(0).cast("long").alias("_off"))
+        else:
+            found = state.alias("a").join(sums.alias("b"), _null_safe([*own, "resample"], "a", "b")).select("a.*", "b.bin", "b._m")
+        found = _spans(found, [*one, "_side"], "bin", "_m").filter(_holds("_k"))
+        state = land(attach(found, bases, keys).select(
+            *one, "_side", "_k", (F.col("_path") * F.col("_base") + F.col("bin")).alias("_path"), F.col("_from").alias("_off")), "ranks")
+    values = order.select(*keys, F.col("idx").alias("_path"), "v")
+    hits = values.alias("a").join(F.broadcast(state).alias("b"), _null_safe(own, "a", "b")).select("b.*", "a.v")
+    low, high = (F.max(F.when(F.col("_side") == i, F.col("v"))) for i in (0, 1))
+    return hits.groupBy(*one).agg(((low + high) / 2).alias("value"))
 
 
 # -------------------------------------------------------- paired difference
@@ -445,7 +519,7 @@ def paired_difference(
     stats = land(block_stats(sides, ["side"], block, [metric]), "block_stats")
     weights = _weights(stats, ["side"], contract)
     if metric == MEDIAN:
-        rows = _errors(sides, ["side"], block)
+        rows = land(_errors(sides, ["side"], block), "error_rows")
         points, values = exact_median(rows, "v", ["side"], "point"), _median_values(rows, weights, ["side"])
     else:
         totals = stats.groupBy("side").agg(*[F.sum(s).alias(s) for s in sums])

@@ -25,12 +25,6 @@ def _null_safe(keys: list[str], a: str, b: str) -> Column:
     return cond
 
 
-def bin_of(v: Column, low: Column, high: Column, bins: int) -> Column:
-    """Equal-width bin inside ``[low, high]``; -1 below, ``bins`` above."""
-    inside = F.coalesce(F.least(F.floor(F.try_divide(v - low, high - low) * bins), F.lit(bins - 1)), F.lit(0))
-    return F.when(v < low, -1).when(v > high, bins).otherwise(inside).cast("int")
-
-
 def attach(df: DataFrame, small: DataFrame, keys: list[str], few_groups: bool = True) -> DataFrame:
     """Join per-group values to the rows.
 

@@ -350,3 +350,51 @@ def test_lists_of_draws_hold_the_draws_of_the_hash(spark, monkeypatch, draws):
     slots = spark.range(blocks).select(F.pmod(B._hash32(F.lit(seed), F.lit(3), F.col("id")), F.lit(blocks)).alias("idx"))
     assert got == {r[0]: r[1] for r in slots.groupBy("idx").count().collect()}
     assert sum(got.values()) == blocks and (draws == 5 or size <= 1.1 * blocks)
+
+
+def broadcast_rows(spark, run):
+    """Most rows that a broadcast held while ``run`` ran."""
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    done = store.executionsList()
+    for at in range(before, done.size()):
+        number = done.apply(at).executionId()
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for metric in (node.metrics().apply(i) for i in range(node.metrics().size())) if node.name() == "BroadcastExchange" else ():
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    most = max(most, int(values.apply(metric.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_resampled_medians_broadcast_no_draws(spark):
+    """300 blocks are drawn 90,000 times over 300 resamples; a broadcast may hold 3,000 rows of the input or a few per resample, but not the draws."""
+    df = spark.range(3000).select(
+        F.concat(F.lit("e"), F.col("id") % 300).alias("county_fips"), F.lit("x").alias("county_name"),
+        F.expr("add_months(DATE'2020-01-01', cast(id div 300 as int))").alias("reference_month"), F.lit("large").alias("volume_tier"),
+        (F.hash("id") % 1000 / 100).alias("target_dg"), (F.hash("id", F.lit(1)) % 1000 / 100).alias("predicted_dg")).cache()
+    how, out = replace(SMALL, resamples=300), []
+    most = broadcast_rows(spark, lambda: out.append(B.paired_difference(df, df.withColumn("predicted_dg", F.lit(0.0)), "medae", "county", how).first()))
+    assert out[0].resamples == 300 and 0 < most <= 4000
+
+
+@pytest.mark.parametrize("scheme", ["slots", "poisson"])
+def test_resampled_medians_with_ties_outliers_and_small_groups(spark, scheme):
+    """Medians by weights equal those by replicated rows: most values tie, a group has one block, one value, or a null key."""
+    rows = [(g, f"b{b:02d}", float(v)) for g, b, v in
+            [("ties", i % 7, [0, 0, 0, 1, 1, 50, 1e9][i % 7 - i % 3]) for i in range(60)] + [("one", 0, 3), ("two", 0, 1), ("two", 1, 2)]
+            + [(None, i % 5, (i * 37) % 101) for i in range(90)]]
+    df = spark.createDataFrame(rows, "g string, block_key string, v double")
+    how = replace(SMALL, scheme=scheme, resamples=50)
+    weights = B._weights(df.groupBy("g", "block_key").agg(F.count("*").alias("_rows")), ["g"], how)
+    drawn = {}
+    for r in weights.expand(df.select("g", "block_key").distinct()).collect():
+        drawn.setdefault((r.g, r.resample), {})[r.block_key] = r.weight
+    want = {}
+    for (g, turn), blocks in drawn.items():
+        values = [v for a, b, v in rows if a == g for _ in range(blocks.get(b, 0))]
+        want[g, turn] = float(np.median(values))
+    got = {(r.g, r.resample): r.value for r in B._median_values(df, weights, ["g"]).collect()}
+    assert got == want and len(got) >= 100
