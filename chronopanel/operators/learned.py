@@ -11,8 +11,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +19,7 @@ from pyspark.sql import functions as F
 from ..contracts import LOGISTIC_CS, RIDGE_ALPHAS, FeatureContract
 from ..functions.scalar import classify
 from ..schema import CLASSES, TEST, TRAIN, VALIDATION
+from ..session import land
 from .metrics import evaluate
 from .naive import CONTEXT, PROBS, TRUTH, predict_naive
 from .quantiles import exact_quantiles
@@ -53,6 +52,13 @@ class Moments:
     corr_y: np.ndarray
     y_mean: float
     y_sd: float
+    rows: DataFrame | None = field(default=None, compare=False)  # landed: truth and the imputed features as an array
+
+    def assembled(self, carry: list[str]) -> DataFrame:
+        """``assemble`` on the rows of these moments, as landed."""
+        s = self.scaling
+        cells = [(F.get("imputed", F.lit(i)) - float(s.means[i])) / float(s.sds[i]) for i in range(len(s.features))]
+        return self.rows.select(*carry, _class_number(), F.array(*cells).alias("features"))
 
 
 def medians(train: DataFrame, features: list[str]) -> np.ndarray:
@@ -62,18 +68,20 @@ def medians(train: DataFrame, features: list[str]) -> np.ndarray:
 
 
 def moments(train: DataFrame, features: list[str], target: str = "target_dg") -> Moments:
-    """Standardised Gram matrix as the correlation matrix, a single treeAggregate."""
+    """Standardised Gram matrix as the correlation matrix, a single treeAggregate.
+
+    The imputed rows are landed, not cached: a cached partition's columns are built in
+    the heap, all tasks of an executor at a time, and these rows are the widest there are.
+    """
     med = medians(train, features)
     blank = Scaling(tuple(features), med, np.zeros(len(features)), np.ones(len(features)))
-    cols = [blank.imputed(i).alias(f"x{i}") for i in range(len(features))]
-    wide = train.filter(F.col(target).isNotNull()).select(*cols, F.col(target).alias("y"))
-    vec = VectorAssembler(inputCols=wide.columns, outputCol="v").transform(wide).select("v")
-    vec = vec.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        s = vec.select(Summarizer.metrics("count", "mean", "variance").summary(F.col("v")).alias("s")).first()["s"]
-        corr = Correlation.corr(vec, "v").first()[0].toArray()
-    finally:
-        vec.unpersist()
+    carry = [c for c in dict.fromkeys([*TRUTH, target]) if c in train.columns]
+    rows = land(train.select(*carry, F.array(*[blank.imputed(i) for i in range(len(features))]).alias("imputed")), "imputed_rows")
+    every = F.array_append("imputed", F.col(target).cast("double"))
+    known = F.when(F.exists(every, F.isnan), F.raise_error(F.lit("a feature or the target is not a number"))).otherwise(every)
+    vec = rows.filter(F.col(target).isNotNull()).select(array_to_vector(known).alias("v"))
+    s = vec.select(Summarizer.metrics("count", "mean", "variance").summary(F.col("v")).alias("s")).first()["s"]
+    corr = Correlation.corr(vec, "v").first()[0].toArray()
     n = int(s["count"])
     mean = s["mean"].toArray()
     sd = np.sqrt(s["variance"].toArray() * (n - 1) / n) if n > 1 else np.zeros_like(mean)
@@ -84,7 +92,7 @@ def moments(train: DataFrame, features: list[str], target: str = "target_dg") ->
     # A constant column is centred to zero and left unscaled.
     scale = np.where(flat, 1.0, sd)
     return Moments(
-        Scaling(tuple(features), med, mean[:-1], scale[:-1]), n, corr[:-1, :-1], corr[:-1, -1], float(mean[-1]), float(sd[-1])
+        Scaling(tuple(features), med, mean[:-1], scale[:-1]), n, corr[:-1, :-1], corr[:-1, -1], float(mean[-1]), float(sd[-1]), rows
     )
 
 
@@ -224,12 +232,15 @@ class LogisticModel:
         )
 
 
-def assemble(df: DataFrame, s: Scaling, carry: list[str]) -> DataFrame:
-    """Carried columns plus the class number and the standardised features as an array."""
-    label = F.when(F.col("target_label").isNotNull(), sum(
+def _class_number() -> Column:
+    return F.when(F.col("target_label").isNotNull(), sum(
         (F.when(F.col("target_label") == c, float(i)).otherwise(0.0) for i, c in enumerate(CLASSES)), F.lit(0.0)
     )).alias("label")
-    return df.select(*carry, label, F.array(*[s.standardised(i) for i in range(len(s.features))]).alias("features"))
+
+
+def assemble(df: DataFrame, s: Scaling, carry: list[str]) -> DataFrame:
+    """Carried columns plus the class number and the standardised features as an array."""
+    return df.select(*carry, _class_number(), F.array(*[s.standardised(i) for i in range(len(s.features))]).alias("features"))
 
 
 STRETCH = 4096  # sums in one row
@@ -402,6 +413,7 @@ class Run:
     ablation: DataFrame | None = None
     chosen: LogisticModel | None = None  # the logistic fit of the training rows alone
     params: dict = field(default_factory=dict)
+    moments: Moments | None = None  # of the training rows alone
 
 
 def family_masks(contract: FeatureContract) -> dict[str, list[int]]:
@@ -459,7 +471,7 @@ def train_and_score(
     m = moments(train, names)
     ridge, ridge_scores = scan_ridge(m, validation, tau, alphas)
 
-    train_v = assemble(train, m.scaling, TRUTH).persist(StorageLevel.MEMORY_AND_DISK)
+    train_v = m.assembled(TRUTH)
     validation_v = assemble(validation, m.scaling, TRUTH)
     logistic, logistic_scores = scan_logistic(train_v, validation_v, m.scaling, tau, cs)
     ablation = (
@@ -468,10 +480,7 @@ def train_and_score(
 
     full = moments(development, names)
     final_ridge = solve_ridge(full, ridge.alpha)
-    dev_v = assemble(development, full.scaling, TRUTH).persist(StorageLevel.MEMORY_AND_DISK)
-    final_logistic = fit_logistic(dev_v, full.scaling, logistic.c, start=logistic.rescaled(full.scaling))
-    train_v.unpersist()
-    dev_v.unpersist()
+    final_logistic = fit_logistic(full.assembled(TRUTH), full.scaling, logistic.c, start=logistic.rescaled(full.scaling))
 
     keep = [*CONTEXT, *TRUTH]
     null = F.lit(None).cast("double")
@@ -480,4 +489,4 @@ def train_and_score(
     lo = final_logistic.predict(assemble(scored, full.scaling, keep)).drop("label").withColumn("model", F.lit(LOGISTIC))
     predictions = predict_naive(split, tau).unionByName(r).unionByName(lo, allowMissingColumns=True)
     return Run(predictions, final_ridge, final_logistic, ridge_scores, logistic_scores, ablation, logistic,
-               {"alpha": ridge.alpha, "C": logistic.c})
+               {"alpha": ridge.alpha, "C": logistic.c}, m)

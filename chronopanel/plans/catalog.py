@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -979,7 +978,8 @@ def imputer_scaling(spark, folder):
 @query
 def ridge_normal_equations(spark, folder):
     """The system that the chosen ridge fit on the training rows solves, and its solution: cells in long form, per row of data."""
-    return learned.normal_equations(spark, learned.moments(train(spark, folder), C.features.names()), run(spark, folder).params["alpha"])
+    found = run(spark, folder)
+    return learned.normal_equations(spark, found.moments, found.params["alpha"])
 
 
 @query
@@ -1016,11 +1016,7 @@ def coefficient_top(spark, folder):
 
 @query
 def family_ablation(spark, folder):
-    train_, val = train(spark, folder), split(spark, folder).filter(F.col("split") == VALIDATION)
-    m, found = learned.moments(train_, C.features.names()), run(spark, folder)
-    tv = learned.assemble(train_, m.scaling, naive.TRUTH).persist(StorageLevel.MEMORY_AND_DISK)
+    found, val = run(spark, folder), split(spark, folder).filter(F.col("split") == VALIDATION)
+    m = found.moments
     vv = learned.assemble(val, m.scaling, naive.TRUTH)
-    try:
-        return learned.ablate(m, tv, vv, C.features, found.params["alpha"], found.chosen, C.target.tau).drop("steps")
-    finally:
-        tv.unpersist()
+    return learned.ablate(m, m.assembled(naive.TRUTH), vv, C.features, found.params["alpha"], found.chosen, C.target.tau).drop("steps")

@@ -245,3 +245,27 @@ def test_logistic_scores_are_plain_sums(spark):
     for x, r in zip((0.5, -2.0), out.collect()):
         want = np.exp(np.array([x, 0.0, -x]))
         assert np.allclose([r[f"prob_{c}"] for c in learned.CLASSES], want / want.sum(), atol=1e-12)
+
+
+def test_fits_read_landed_rows_and_cache_none(spark, xy, monkeypatch):
+    """A cached partition of the widest rows is built in the heap; fits land their rows once, of which the standardised ones come to the last bit."""
+    df, names, *_ = xy
+    monkeypatch.setattr(type(df), "persist", lambda *a, **k: pytest.fail("rows were cached"))
+    monkeypatch.setattr(type(df), "cache", lambda *a, **k: pytest.fail("rows were cached"))
+    m = L.moments(df, names)
+    own, direct = m.assembled(["target_dg", "target_label"]), L.assemble(df, m.scaling, ["target_dg", "target_label"])
+    assert "FileScan parquet" in own._jdf.queryExecution().executedPlan().toString()
+    as_rows = lambda d: sorted((r.target_dg, r.target_label, r.label, tuple(r.features)) for r in d.collect())
+    assert as_rows(own) == as_rows(direct) and own.count() == df.count()
+    fit = L.fit_logistic(own, m.scaling, 0.5)
+    assert np.allclose(fit.weights, L.fit_logistic(direct, m.scaling, 0.5).weights, atol=1e-9)
+    with pytest.raises(Exception, match="not a number"):
+        L.moments(df.withColumn("f1", F.when(F.col("f1").isNull(), float("nan")).otherwise(F.col("f1"))), names)
+
+
+def test_family_ablation_caches_no_rows(spark, monkeypatch):
+    from chronopanel.plans.catalog import QUERIES
+
+    frame = type(spark.range(1))
+    monkeypatch.setattr(frame, "persist", lambda *a, **k: pytest.fail("rows were cached"))
+    assert QUERIES["family_ablation"](spark, "/root/testdata/sf0.001").count() > 0
